@@ -32,6 +32,16 @@ def col(sql: str) -> Column:
     return F.expr(sql)
 
 
+def let(value: str, var: str, body: str) -> str:
+    """Bind ``value`` to the lambda variable ``var`` for ``body`` (evaluated once per row).
+
+    Catalyst inlines a computed column into every place that reads it, including the
+    body of a lambda, where it would then be recomputed per element. Reading a
+    computed array only through a bound variable keeps the work linear.
+    """
+    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
+
+
 # P1 ---------------------------------------------------------------------------
 def token_estimate(text: str) -> str:
     """ceil(utf-8 bytes / 4); NULL text counts as 0."""

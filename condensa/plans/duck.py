@@ -146,3 +146,89 @@ def annotated_blocks(src: str, thr: int, image_ocr: bool = True, json_collapse:
 SELECT b.*, {block_tokens('type', 'text', 'data')} AS before,
        {classify('type', 'text', thr)} AS content_type
 FROM {src} b)"""
+
+
+# Text jobs -------------------------------------------------------------------
+def _piece(sep: str) -> str:
+    esc = {"\n\n": "\\n\\n", "\n": "\\n", ". ": "\\. ", " ": " "}[sep]
+    return "(?s)(.*?" + esc + "|.+)"
+
+
+def chunk_fold(text: str, target: int, overlap: int) -> str:
+    """STRUCT(chunks, cur) of the chunk fold; finish with ``chunk_finish``."""
+    t, tc, oc = int(target), int(target) * 4, int(overlap) * 4
+    segs = f"[{text}]"
+    for sep in C.CHUNK_SEPARATORS:
+        segs = (f"flatten(list_transform({segs}, lambda s: CASE WHEN {tokens('s')} > {t} "
+                f"THEN regexp_extract_all(s, {s(_piece(sep))}, 1) ELSE [s] END))")
+    hard = (f"flatten(list_transform({segs}, lambda s: CASE WHEN length(s) > {tc * 1.5} THEN "
+            f"list_transform(range(0, CAST(ceil(length(s) / {tc}) AS BIGINT)), "
+            f"lambda k: substr(s, CAST(k * {tc} + 1 AS BIGINT), {tc})) ELSE [s] END))")
+    tail = f"right(acc.cur, {oc})" if oc > 0 else "''"
+    red = (f"list_reduce({hard}, lambda acc, seg: CASE WHEN {tokens('acc.cur || seg')} > {t} AND length(acc.cur) > 0 "
+           f"THEN {{'chunks': list_append(acc.chunks, acc.cur), 'cur': {tail} || seg}} "
+           f"ELSE {{'chunks': acc.chunks, 'cur': acc.cur || seg}} END, {{'chunks': []::VARCHAR[], 'cur': ''}})")
+    return f"(CASE WHEN {tokens(text)} <= {t} THEN {{'chunks': [{text}], 'cur': ''}} ELSE {red} END)"
+
+
+def chunk_finish(m: str) -> str:
+    return f"(CASE WHEN length({m}.cur) > 0 THEN list_append({m}.chunks, {m}.cur) ELSE {m}.chunks END)"
+
+
+def bm25_ctes(prev: str, k1: float = C.BM25_K1, b: float = C.BM25_B, p: str = "_s") -> tuple[str, str]:
+    """CTEs adding ``scores`` and ``ranked`` to a relation with ``chunks`` and ``q``.
+
+    Returns (cte_text, last_cte_name).
+    """
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    score = (f"list_transform(ct, lambda t: list_reduce(list_transform(q, lambda x, j: "
+             f"{{'tf': len(list_filter(t, lambda w: w = x)), 'df': dfs[j]}}), lambda acc, y: acc + "
+             f"CASE WHEN y.tf = 0 THEN {d(0)} ELSE ln((len(ct) - y.df + {d(0.5)}) / (y.df + {d(0.5)}) + {d(1)}) * "
+             f"(y.tf * {d(k1 + 1)}) / (y.tf + {d(k1)} * ({d(1)} - {d(b)} + {d(b)} * (len(t) / avgdl))) END, {d(0)}))")
+    ctes = f"""
+{p}1 AS (SELECT *, list_transform(chunks, lambda c: {tokenize('c')}) AS ct FROM {prev}),
+{p}2 AS (SELECT *, list_transform(q, lambda x: len(list_filter(ct, lambda t: list_contains(t, x)))) AS dfs,
+               CAST(list_sum(list_transform(ct, lambda t: len(t))) AS DOUBLE) / len(ct) AS avgdl FROM {p}1),
+{p}3 AS (SELECT *, {score} AS scores FROM {p}2),
+{p}4 AS (SELECT *, list_sort(list_transform(chunks, lambda c, i: {{'neg': {d(0)} - scores[i],
+               'idx': CAST(i - 1 AS BIGINT), 'tokens': {tokens('c')}}})) AS ranked FROM {p}3)"""
+    return ctes, f"{p}4"
+
+
+def greedy(ranked: str, budget: str) -> str:
+    return (f"list_sort(list_reduce({ranked}, lambda acc, x: CASE WHEN acc.rem > 0 AND x.tokens <= acc.rem "
+            f"THEN {{'rem': acc.rem - x.tokens, 'picked': list_append(acc.picked, x.idx)}} ELSE acc END, "
+            f"{{'rem': CAST({budget} AS BIGINT), 'picked': []::BIGINT[]}}).picked)")
+
+
+def reassemble(chunks_col: str, picked: str) -> str:
+    return f"array_to_string(list_transform({picked}, lambda i: {chunks_col}[i + 1]), '')"
+
+
+def url_kw(u: str) -> str:
+    scheme = "'^[A-Za-z][A-Za-z0-9+.-]*://'"
+    host = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)"
+    path = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    parts = f"list_transform(list_filter(string_split({path}, '/'), lambda p: length(p) > 1), lambda p: translate(p, '-_', '  '))"
+    return (f"(CASE WHEN NOT regexp_matches({u}, {scheme}) THEN {u} "
+            f"ELSE array_to_string(list_concat({parts}, [regexp_replace({host}, '^(.*?)www\\.', '\\1')]), ' ') END)")
+
+
+def path_kw(p: str) -> str:
+    return (f"array_to_string(list_transform(list_filter(string_split({p}, '/'), "
+            f"lambda x: length(x) > 0 AND NOT starts_with(x, '.')), lambda x: translate(x, '-_.', '   ')), ' ')")
+
+
+def arg_kw(a: str) -> str:
+    v = f"json_extract_string({a}, '$.\"' || k || '\"')"
+    kw = (f"CASE WHEN k IN ('url', 'uri', 'href') THEN {url_kw(v)} "
+          f"WHEN k IN ('path', 'file', 'file_path', 'filepath') THEN {path_kw(v)} "
+          f"WHEN k IN ('query', 'search', 'pattern', 'selector', 'command') THEN {v} "
+          f"WHEN length({v}) < 200 THEN {v} END")
+    return (f"list_filter(list_transform(coalesce(json_keys({a}), []::VARCHAR[]), lambda k: "
+            f"CASE WHEN json_type({a}, '$.\"' || k || '\"') = 'VARCHAR' THEN {kw} END), lambda x: x IS NOT NULL)")
+
+
+def synthetic_query(name: str, own: str, inherited: list[str]) -> str:
+    parts = [f"[translate({name}, '_-', '  ')]", arg_kw(own)] + [f"coalesce({arg_kw(a)}, [])" for a in inherited]
+    return js_trim(f"array_to_string(list_concat({', '.join(parts)}), ' ')")

@@ -31,14 +31,25 @@ def _block(df: DataFrame, result_id, source: str, pos, tool_name: str, args, tex
     )
 
 
-def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result per document: the output of a ``read_document`` call."""
-    d = table(spark, sf_dir, "documents")
-    args = F.to_json(F.struct(
+def document_args(d: DataFrame):
+    """JSON arguments of the ``read_document`` call that returned a document."""
+    return F.to_json(F.struct(
         F.concat(F.lit("corpus/"), d.source, F.lit("/"), d.lang, F.lit("/"), d.doc_id.cast("string"),
                  F.lit(".txt")).alias("path"),
         F.substring_index(F.substring(d.text, 1, 80), ".", 1).alias("query"),
     ))
+
+
+def document_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tool_name, args, text): documents as results of ``read_document`` calls."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lit("read_document").alias("tool_name"), document_args(d).alias("args"), "text")
+
+
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result per document: the output of a ``read_document`` call."""
+    d = table(spark, sf_dir, "documents")
+    args = document_args(d)
     return _block(d, F.concat(F.lit("doc:"), d.doc_id.cast("string")), "documents", F.lit(0),
                   "mcp__corpus__read_document", args, d.text)
 
