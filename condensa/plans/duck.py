@@ -232,3 +232,66 @@ def arg_kw(a: str) -> str:
 def synthetic_query(name: str, own: str, inherited: list[str]) -> str:
     parts = [f"[translate({name}, '_-', '  ')]", arg_kw(own)] + [f"coalesce({arg_kw(a)}, [])" for a in inherited]
     return js_trim(f"array_to_string(list_concat({', '.join(parts)}), ' ')")
+
+
+# JSON jobs -------------------------------------------------------------------
+def let(value: str, var: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {var}: {body})[1]"
+
+
+def jkind(x: str, path: str | None = None) -> str:
+    t = f"json_type({x}, {path})" if path else f"json_type({x})"
+    return (f"(CASE WHEN {t} IS NULL THEN 'missing' WHEN {t} = 'OBJECT' THEN 'object' WHEN {t} = 'ARRAY' THEN 'array' "
+            f"WHEN {t} = 'VARCHAR' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} = 'NULL' THEN 'null' "
+            f"ELSE 'number' END)")
+
+
+def kpath(k: str) -> str:
+    return f"('$.\"' || {k} || '\"')"
+
+
+def homog(a: str) -> str:
+    return (f"(len({a}) > 0 AND list_bool_and(list_transform({a}, lambda e: json_type(e) = 'OBJECT')) AND "
+            f"list_bool_and(list_transform({a}, lambda e: list_sort(json_keys(e)) = list_sort(json_keys({a}[1])))))")
+
+
+def scalar_share(a: str, sch: str) -> str:
+    cnt = (f"list_sum(list_transform({a}[1:{C.TABULAR_SAMPLE_ROWS}], lambda e: "
+           f"len(list_filter({sch}, lambda k: {jkind('e', kpath('k'))} NOT IN ('object', 'array')))))")
+    return f"(CAST({cnt} AS DOUBLE) / (len({a}[1:{C.TABULAR_SAMPLE_ROWS}]) * len({sch})))"
+
+
+def jcell(e: str, k: str) -> str:
+    v = f"json_extract_string({e}, {kpath(k)})"
+    kd = jkind(e, kpath(k))
+    return (f"(CASE WHEN {kd} IN ('null', 'missing') THEN '' WHEN {kd} IN ('object', 'array') THEN "
+            f"CASE WHEN length({v}) > {C.CELL_MAX_CHARS} THEN substr({v}, 1, {C.CELL_CUT_CHARS}) || '...' ELSE {v} END "
+            f"ELSE replace(replace({v}, '|', '\\|'), chr(10), ' ') END)")
+
+
+def jtable(t: str) -> str:
+    row = f"'| ' || array_to_string(list_transform(_sch, lambda k: {jcell('e', 'k')}), ' | ') || ' |'"
+    render = (f"concat_ws(chr(10), '| ' || array_to_string(_sch, ' | ') || ' |', "
+              f"'| ' || array_to_string(list_transform(_sch, lambda k: '---'), ' | ') || ' |', "
+              f"array_to_string(list_transform(_a[1:{C.TABLE_MAX_ROWS}], lambda e: {row}), chr(10)), "
+              f"CASE WHEN len(_a) > {C.TABLE_MAX_ROWS} THEN '| ... ' || CAST(len(_a) - {C.TABLE_MAX_ROWS} AS VARCHAR) "
+              f"|| ' more rows (' || CAST(len(_a) AS VARCHAR) || ' total) | ' || "
+              f"array_to_string(list_transform(_sch[2:], lambda k: ''), ' | ') || ' |' END)")
+    tab = (f"(len(_sch) <= {C.TABLE_MAX_COLS} AND len(_a) >= 2 AND "
+           f"{scalar_share('_a', '_sch')} >= {C.TABULAR_MIN_SCALAR_SHARE})")
+    inner = let("json_keys(_a[1])", "_sch", f"CASE WHEN {tab} THEN {render} END")
+    return let(f"CASE WHEN json_type({t}) = 'ARRAY' THEN json_extract({t}, '$[*]') END", "_a",
+               f"CASE WHEN coalesce({homog('_a')}, false) THEN {inner} END")
+
+
+def jrender(t: str) -> str:
+    hits = (f"list_filter(list_transform(json_keys({t}), lambda k: {{'k': k, 't': CASE WHEN "
+            f"{jkind(t, kpath('k'))} = 'array' AND json_array_length({t}, {kpath('k')}) >= 2 "
+            f"THEN {jtable(f'json_extract({t}, {kpath(chr(107))})')} END}}), lambda x: x.t IS NOT NULL)")
+    meta = (f"array_to_string(list_transform(list_filter(json_keys({t}), lambda k: k <> _h[1].k AND "
+            f"{jkind(t, kpath('k'))} NOT IN ('object', 'array')), lambda k: k || ': ' || "
+            f"coalesce(json_extract_string({t}, {kpath('k')}), 'null')), ' | ')")
+    obj = let(hits, "_h", f"CASE WHEN len(_h) = 0 THEN NULL ELSE " +
+              let(meta, "_meta", "CASE WHEN _meta = '' THEN _h[1].t ELSE _meta || chr(10) || chr(10) || _h[1].t END")
+              + " END")
+    return f"(CASE json_type({t}) WHEN 'ARRAY' THEN {jtable(t)} WHEN 'OBJECT' THEN {obj} END)"
