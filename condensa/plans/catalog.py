@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_blocks, q_json, q_text  # noqa: F401
+from . import q_blocks, q_json, q_snapshot, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

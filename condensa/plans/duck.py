@@ -295,3 +295,52 @@ def jrender(t: str) -> str:
               let(meta, "_meta", "CASE WHEN _meta = '' THEN _h[1].t ELSE _meta || chr(10) || chr(10) || _h[1].t END")
               + " END")
     return f"(CASE json_type({t}) WHEN 'ARRAY' THEN {jtable(t)} WHEN 'OBJECT' THEN {obj} END)"
+
+
+# Snapshot jobs -----------------------------------------------------------------
+def snap_parse(l: str) -> str:
+    attr_re = r"\[(" + "|".join(C.SNAPSHOT_ATTRS) + r")\]"
+    c = f"regexp_extract({l}, {s(r'^\s*-\s+(.+)$')}, 1)"
+    ac = js_trim(f"regexp_replace(regexp_extract(_c, {s(r':\s+(.+?)\s*$')}, 1), {s(r'\[[\w=]+\]')}, '', 'g')")
+    return let(c, "_c", (
+        f"{{'line': {l}, 'blank': {js_trim(l)} = '', "
+        f"'node': regexp_matches({l}, {s(r'^\s*-\s+.+$')}) AND regexp_matches(_c, {s(r'^/?[\w-]+')}), "
+        f"'indent': length(replace(regexp_extract({l}, {s(r'^(\s*)-\s+.+$')}, 1), chr(9), '  ')), "
+        f"'role': regexp_extract(_c, {s(r'^(/?[\w-]+)')}, 1), "
+        f"'name': coalesce(nullif(regexp_extract(_c, {s(r'^[\w-]+\s+\"((?:[^\"\\]|\\.)*)\"')}, 1), ''), "
+        f"regexp_extract(_c, {s(r"^[\w-]+\s+'((?:[^'\\]|\\.)*)'")}, 1)), "
+        f"'ref': regexp_extract(_c, {s(r'\[ref=(\w+)\]')}, 1), "
+        f"'level': coalesce(CAST(nullif(regexp_extract(_c, {s(r'\[level=(\d+)\]')}, 1), '') AS INTEGER), 0), "
+        f"'attrs': regexp_extract_all(_c, {s(attr_re)}, 1), "
+        f"'inline': " + let(ac, "_ac", f"CASE WHEN _ac <> '' AND NOT regexp_matches(_ac, {s(r'^[\s\[\]]*$')}) THEN _ac ELSE '' END") + "}"))
+
+
+def snap_fold(p: str) -> str:
+    step = (f"CASE WHEN {p}[j + 1].blank THEN {{'st': s.st, 'anc': list_append(s.anc, s.st), 'pairs': s.pairs}} ELSE "
+            + let(f"CASE WHEN {p}[j + 1].node THEN list_filter(s.st, lambda x: {p}[x + 1].indent < {p}[j + 1].indent) "
+                  f"ELSE []::BIGINT[] END", "_keep",
+                  f"{{'st': CASE WHEN {p}[j + 1].node THEN list_append(_keep, j) ELSE _keep END, "
+                  f"'anc': list_append(s.anc, _keep), "
+                  f"'pairs': list_concat(s.pairs, list_transform(list_filter(s.st, lambda x: NOT list_contains(_keep, x)), "
+                  f"lambda x: {{'i': x, 'e': j}}))}}") + " END")
+    init = "{'st': []::BIGINT[], 'anc': []::BIGINT[][], 'pairs': []::STRUCT(i BIGINT, e BIGINT)[]}"
+    return f"list_reduce(range(len({p})), lambda s, j: {step}, {init})"
+
+
+def snap_line_ctes(src: str, id_col: str, text_col: str) -> str:
+    consumers = arr(C.FOOTER_ROLES + ["heading", "table", "strong", "paragraph"] + C.INTERACTIVE_ROLES)
+    footers = arr(C.FOOTER_ROLES)
+    return f"""
+sb AS (SELECT {id_col} AS block_id, list_transform(string_split({text_col}, chr(10)), lambda l: {snap_parse('l')}) AS P FROM {src}),
+sf AS (SELECT block_id, P, {snap_fold('P')} AS s FROM sb),
+sl AS (SELECT block_id, P, s.anc AS anc,
+              list_transform(range(len(P)), lambda i: coalesce(list_filter(s.pairs, lambda x: x.i = i)[1].e, len(P))) AS ends
+       FROM sf),
+lines AS (SELECT block_id, unnest(range(len(P))) AS line_no, unnest(P) AS x, unnest(anc) AS a, unnest(ends) AS e, P FROM sl),
+line_table AS (SELECT block_id, CAST(line_no AS INTEGER) AS line_no, x.line AS line, x.blank AS blank, x.node AS node,
+       CAST(x.indent AS INTEGER) AS indent, x.role AS role, x.name AS name, x.ref AS ref, x.level AS level,
+       array_to_string(x.attrs, ',') AS attrs, x.inline AS inline_text,
+       CAST(coalesce(a[-1], -1) AS INTEGER) AS parent, CAST(len(a) AS INTEGER) AS depth, CAST(e AS INTEGER) AS subtree_end,
+       coalesce(list_bool_or(list_transform(a, lambda y: P[y + 1].node AND list_contains({consumers}, P[y + 1].role))), false) AS hidden,
+       coalesce(list_bool_or(list_transform(a, lambda y: P[y + 1].node AND list_contains({footers}, P[y + 1].role))), false) AS under_footer
+FROM lines)"""
