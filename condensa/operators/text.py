@@ -216,4 +216,5 @@ def reduce_long_text(df: DataFrame, text_col: str, query_terms_col: str, cfg: Co
     df = df.withColumn("final_middle_tokens", F.expr(_tok("compressed_middle")))
     out = (f"IF(middle = '' OR total_tokens <= target_tokens, {text_col}, "
            f"concat(head, {marker_expr('middle_tokens', 'final_middle_tokens')}, compressed_middle, tail))")
-    return df.withColumn(out_col, F.expr(out)).drop("_budget1", "_bm25_1", "_mid", "_after1")
+    return (df.withColumn(out_col, F.expr(out)).withColumn("first_pass_tokens", F.col("_after1"))
+              .drop("_budget1", "_bm25_1", "_mid", "_after1"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..config import FIXTURE_CONFIG as CFG
 from ..functions import exprs as E
 from ..functions import keywords as K
@@ -186,7 +187,7 @@ def truncate_budget(spark, sf_dir):
 
 
 # C2 ---------------------------------------------------------------------------
-def _duck_reduce_ctes(src: str, summaries: str | None = None) -> str:
+def _duck_reduce_ctes(src: str, summaries: str | None = None, first_only: bool = False) -> str:
     """CTEs from a relation with (doc_id, text, q[, summary]) to ``red`` with ``reduced``."""
     bm1, last1 = D.bm25_ctes("r1", p="_a")
     budget1 = "middle_target * 2" if summaries else "middle_target"
@@ -199,6 +200,8 @@ r2 AS (SELECT * EXCLUDE (ct, dfs, avgdl, scores),
               {D.reassemble('chunks', D.greedy('ranked', budget1))} AS bm1 FROM {last1}),
 r3 AS (SELECT *, CASE WHEN middle_tokens > middle_target * 3 THEN bm1 ELSE middle END AS mid FROM r2),
 r4 AS (SELECT *, {D.tokens('mid')} AS after1 FROM r3)"""
+    if first_only:
+        return out
     if summaries:
         bm2, last2 = D.bm25_ctes("r5", p="_b")
         out += f""",
@@ -259,3 +262,62 @@ def bm25_corpus_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return BM.search(docs, "doc_id", "text", bench, "item_id", "text", top_k=10)
+
+
+# T5 second pass + J6 ----------------------------------------------------------------------
+def _summaries(spark, sf_dir):
+    """External summaries stand-in: documents with a quality label of 1 have one."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").filter("quality = 1")
+    return d.join(lab, "doc_id", "left_semi").select(
+        "doc_id", F.concat(F.lit("Summary of document "), F.col("doc_id").cast("string"), F.lit(": "),
+                           F.substring("text", 1, 100)).alias("summary"))
+
+
+DUCK_SUMMARIES = """(SELECT doc_id, 'Summary of document ' || CAST(doc_id AS VARCHAR) || ': ' || substr(text, 1, 100) AS summary
+FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
+
+
+def _second_pass_input(spark, sf_dir):
+    d = FX.document_calls(spark, sf_dir)
+    d = d.filter(F.expr(f"{E.token_estimate('text')} > {CFG.text_threshold}"))
+    return _doc_query_terms(spread(d, "doc_id"))
+
+
+@query("second_pass_candidates", oracle=f"""
+WITH d AS (SELECT *, {D.synthetic_query('tool_name', 'args', ['args'])} AS query FROM {DOC_CALLS} x
+           WHERE {D.tokens('text')} > {CFG.text_threshold}),
+dq AS (SELECT doc_id, text, {D.tokenize('query')} AS q FROM d),
+{_duck_reduce_ctes('dq', summaries='s', first_only=True)}
+SELECT doc_id, middle_tokens, middle_target, after1 AS after_first_pass,
+       length(replace({D.s(C.DEFAULT_COMPRESSION_PROMPT)}, '{{TARGET}}', {D.fmt_int('middle_target')})) AS prompt_chars
+FROM r4 WHERE middle <> '' AND after1 > middle_target AND after1 >= {C.MIN_SECOND_PASS_INPUT}""")
+def second_pass_candidates(spark, sf_dir):
+    """T5: middles still over budget after the first BM25 pass (to twice the budget) and
+    large enough for an external summary; the prompt carries the target."""
+    d = _second_pass_input(spark, sf_dir)
+    d = T.with_budget(T.with_head_middle_tail(d, "text", CFG.head_tokens, CFG.tail_tokens), "text", CFG)
+    d = d.withColumn("_b2", F.expr("middle_target * 2"))
+    d = T.bm25_select(d, "middle", "q", "_b2", "_bm1", TGT, OVL, when="middle_tokens > middle_target * 3")
+    d = d.withColumn("after_first_pass", F.expr(f"{E.token_estimate('IF(middle_tokens > middle_target * 3, _bm1, middle)')}"))
+    prompt = F.expr(f"replace({E.sql_str(C.DEFAULT_COMPRESSION_PROMPT)}, '{{TARGET}}', {E.fmt_int('middle_target')})")
+    return (d.filter(F.expr(f"middle <> '' AND after_first_pass > middle_target AND after_first_pass >= {C.MIN_SECOND_PASS_INPUT}"))
+            .select("doc_id", "middle_tokens", "middle_target", "after_first_pass", F.length(prompt).alias("prompt_chars")))
+
+
+@query("summary_fallback", oracle=f"""
+WITH d AS (SELECT *, {D.synthetic_query('tool_name', 'args', ['args'])} AS query FROM {DOC_CALLS} x
+           WHERE {D.tokens('text')} > {CFG.text_threshold}),
+dq AS (SELECT d.doc_id, d.text, {D.tokenize('d.query')} AS q, s.summary FROM d LEFT JOIN {DUCK_SUMMARIES} s ON s.doc_id = d.doc_id),
+{_duck_reduce_ctes('dq', summaries='s')}
+SELECT doc_id, (summary IS NOT NULL AND after1 > middle_target AND after1 >= {C.MIN_SECOND_PASS_INPUT}) AS used_summary,
+       {D.tokens('reduced')} AS after, md5(reduced) AS reduced_md5
+FROM red""")
+def summary_fallback(spark, sf_dir):
+    """Where a summary exists for a second-pass candidate it replaces the middle;
+    elsewhere BM25 runs again at the budget."""
+    d = _second_pass_input(spark, sf_dir).join(_summaries(spark, sf_dir), "doc_id", "left")
+    r = T.reduce_long_text(d, "text", "q", CFG, summaries_col="summary")
+    used = F.expr(f"summary IS NOT NULL AND first_pass_tokens > middle_target AND first_pass_tokens >= {C.MIN_SECOND_PASS_INPUT}")
+    return r.select("doc_id", used.alias("used_summary"), F.expr(E.token_estimate("reduced")).alias("after"),
+                    F.md5("reduced").alias("reduced_md5"))
