@@ -81,7 +81,7 @@ def reduce_blocks(routed: DataFrame, cfg: Config, ocr_text: DataFrame | None = N
         E.tokenize(K.synthetic_query("short_name", "args", ["args"])))))
     nat = T.reduce_long_text(nat, "_trunc_in", "_q", cfg, out_col="_trunc_out")
     nat = nat.drop("head", "middle", "tail", "total_tokens", "target_tokens", "middle_tokens", "middle_target",
-                   "compressed_middle", "final_middle_tokens")
+                   "compressed_middle", "final_middle_tokens", "first_pass_tokens")
     nat = nat.withColumn("_dom_out", F.when(run & (eff == "dom-cleanup") & is_text,
                                             F.expr(SN.outline_expr("text"))))
     new_text = F.coalesce(F.col("_trunc_out"), F.col("_dom_out"), F.col("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_blocks, q_json, q_normalise, q_report, q_results, q_session, q_snapshot, q_text  # noqa: F401
+from . import q_blocks, q_json, q_normalise, q_report, q_results, q_session, q_snapshot, q_stream, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
