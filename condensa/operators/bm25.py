@@ -23,7 +23,8 @@ from ..functions import exprs as E
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, dl, term) with one row per token occurrence; dl = tokens in the document."""
     return (docs.select(F.col(id_col).alias("doc_id"), F.expr(E.tokenize(text_col)).alias("_terms"))
-            .select("doc_id", F.size("_terms").alias("dl"), F.explode("_terms").alias("term")))
+            .select("doc_id", F.size("_terms").alias("dl"), F.explode_outer("_terms").alias("term"))
+            .filter(F.col("term").isNotNull()))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
@@ -34,7 +35,8 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
 
 def query_terms(queries: DataFrame, qid_col: str, text_col: str) -> DataFrame:
     """(query_id, term, qtf): repeated query terms count repeatedly."""
-    return (queries.select(F.col(qid_col).alias("query_id"), F.explode(F.expr(E.tokenize(text_col))).alias("term"))
+    return (queries.select(F.col(qid_col).alias("query_id"), F.explode_outer(F.expr(E.tokenize(text_col))).alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 

@@ -46,7 +46,8 @@ def normalise(df: DataFrame, resp_col: str) -> DataFrame:
         f"ELSE NULL END")
     _ = single
     out = df.withColumn("_blocks", F.expr(blocks))
-    b = out.select("*", F.posexplode("_blocks").alias("pos", "_b")).drop("_blocks")
+    b = (out.select("*", F.posexplode_outer("_blocks").alias("pos", "_b")).drop("_blocks")
+         .filter(F.col("pos").isNotNull()))
     # S3: an image block without data takes source.data and source.media_type.
     wrapped = F.expr("_b.type = 'image' AND coalesce(_b.data, '') = '' AND _b.source.data IS NOT NULL")
     return (b.withColumn("type", F.col("_b.type"))

@@ -279,7 +279,8 @@ def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         f"'hidden', {hidden('_p', '_tf.anc', 'i')}, "
         "'under_footer', exists(_tf.anc[i], y -> _p[y].node AND array_contains("
         f"{FOOTERS}, _p[y].role))))")))
-    t = df.select(F.col(id_col).alias("block_id"), F.explode(F.expr(arrays)).alias("_l"))
+    t = (df.select(F.col(id_col).alias("block_id"), F.explode_outer(F.expr(arrays)).alias("_l"))
+         .filter(F.col("_l").isNotNull()))
     return t.select(
         "block_id", F.col("_l.i").alias("line_no"), F.col("_l.x.line").alias("line"),
         F.col("_l.x.blank").alias("blank"), F.col("_l.x.node").alias("node"),

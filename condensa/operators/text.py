@@ -67,7 +67,8 @@ def with_chunks(df: DataFrame, text_col: str, out_col: str = "chunks",
 
 def explode_chunks(df: DataFrame, key_cols: list[str], chunks_col: str = "chunks") -> DataFrame:
     """Chunk table ``(keys..., chunk_index, text, tokens)``."""
-    return (df.select(*key_cols, F.posexplode(chunks_col).alias("chunk_index", "text"))
+    return (df.select(*key_cols, F.posexplode_outer(chunks_col).alias("chunk_index", "text"))
+            .filter(F.col("chunk_index").isNotNull())
             .withColumn("tokens", F.expr(_tok("text"))))
 
 
@@ -81,17 +82,20 @@ def scores_expr(chunks: str, query_terms: str, k1: float = C.BM25_K1, b: float =
     """
     body = (
         f"transform(_ts, t -> aggregate("
-        f"transform(_q, (x, j) -> named_struct('tf', size(filter(t, w -> w = x)), 'df', _st.dfs[j])), 0.0D, "
-        f"(acc, y) -> acc + IF(y.tf = 0, 0.0D, "
+        f"transform(_qd, (x, j) -> named_struct('tf', size(filter(t, w -> w = x)), 'df', _st.dfs[j], "
+        f"'qtf', _st.qtf[j])), 0.0D, "
+        f"(acc, y) -> acc + IF(y.tf = 0, 0.0D, y.qtf * "
         f"ln((_st.n - y.df + 0.5D) / (y.df + 0.5D) + 1.0D) * "
         f"(y.tf * {k1 + 1}D) / (y.tf + {k1}D * (1.0D - {b}D + {b}D * coalesce(try_divide(size(t), _st.avgdl), 0.0D))))))"
     )
     stats = (f"named_struct('n', size(_ts), "
              f"'avgdl', try_divide(CAST(aggregate(_ts, 0L, (a, t) -> a + size(t)) AS DOUBLE), size(_ts)), "
-             f"'dfs', transform(_q, x -> size(filter(_ts, t -> array_contains(t, x)))))")
+             f"'dfs', transform(_qd, x -> size(filter(_ts, t -> array_contains(t, x)))), "
+             f"'qtf', transform(_qd, x -> size(filter(_q, y -> y = x))))")
     return E.let(f"coalesce({query_terms}, CAST(array() AS ARRAY<STRING>))", "_q",
-                 E.let(f"transform({chunks}, c -> {E.tokenize('c')})", "_ts",
-                       E.let(stats, "_st", body)))
+                 E.let("array_distinct(_q)", "_qd",
+                       E.let(f"transform({chunks}, c -> {E.tokenize('c')})", "_ts",
+                             E.let(stats, "_st", body))))
 
 
 def with_chunk_scores(df: DataFrame, chunks_col: str, query_terms_col: str, out_col: str = "scores",
@@ -124,6 +128,13 @@ def reassemble_expr(chunks_col: str, picked: str) -> str:
     return E.let(chunks_col, "_ch", f"array_join(transform({picked}, i -> _ch[i]), '')")
 
 
+def ranked_chunks_expr(text: str, query_terms: str, target: int, overlap: int) -> str:
+    """STRUCT(chunks, ranked) of one text in one expression (each piece computed once)."""
+    return E.let(chunk_expr(text, target, overlap), "_chs",
+                 E.let(scores_expr("_chs", query_terms), "_scs",
+                       f"named_struct('chunks', _chs, 'ranked', {ranked_expr('_chs', '_scs')})"))
+
+
 def bm25_select_expr(text: str, query_terms: str, budget: str, target: int, overlap: int) -> str:
     """One expression: chunk, score, rank, pick within budget, reassemble."""
     return E.let(chunk_expr(text, target, overlap), "_chs",

@@ -181,15 +181,16 @@ def bm25_ctes(prev: str, k1: float = C.BM25_K1, b: float = C.BM25_B, p: str = "_
     Returns (cte_text, last_cte_name).
     """
     d = lambda x: f"CAST({x} AS DOUBLE)"
-    score = (f"list_transform(ct, lambda t: list_reduce(list_transform(q, lambda x, j: "
-             f"{{'tf': len(list_filter(t, lambda w: w = x)), 'df': dfs[j]}}), lambda acc, y: acc + "
-             f"CASE WHEN y.tf = 0 THEN {d(0)} ELSE ln((len(ct) - y.df + {d(0.5)}) / (y.df + {d(0.5)}) + {d(1)}) * "
+    score = (f"list_transform(ct, lambda t: list_reduce(list_transform(qd, lambda x, j: "
+             f"{{'tf': len(list_filter(t, lambda w: w = x)), 'df': dfs[j], 'qtf': qtf[j]}}), lambda acc, y: acc + "
+             f"CASE WHEN y.tf = 0 THEN {d(0)} ELSE y.qtf * ln((len(ct) - y.df + {d(0.5)}) / (y.df + {d(0.5)}) + {d(1)}) * "
              f"(y.tf * {d(k1 + 1)}) / (y.tf + {d(k1)} * ({d(1)} - {d(b)} + {d(b)} * (len(t) / avgdl))) END, {d(0)}))")
     ctes = f"""
-{p}1 AS (SELECT *, list_transform(chunks, lambda c: {tokenize('c')}) AS ct FROM {prev}),
-{p}2 AS (SELECT *, list_transform(q, lambda x: len(list_filter(ct, lambda t: list_contains(t, x)))) AS dfs,
+{p}1 AS (SELECT *, list_transform(chunks, lambda c: {tokenize('c')}) AS ct, list_filter(q, lambda x, i: list_position(q, x) = i) AS qd FROM {prev}),
+{p}2 AS (SELECT *, list_transform(qd, lambda x: len(list_filter(ct, lambda t: list_contains(t, x)))) AS dfs,
+               list_transform(qd, lambda x: len(list_filter(q, lambda y: y = x))) AS qtf,
                CAST(list_sum(list_transform(ct, lambda t: len(t))) AS DOUBLE) / len(ct) AS avgdl FROM {p}1),
-{p}3 AS (SELECT *, {score} AS scores FROM {p}2),
+{p}3 AS (SELECT * EXCLUDE (qd, qtf), {score} AS scores FROM {p}2),
 {p}4 AS (SELECT *, list_sort(list_transform(chunks, lambda c, i: {{'neg': {d(0)} - scores[i],
                'idx': CAST(i - 1 AS BIGINT), 'tokens': {tokens('c')}}})) AS ranked FROM {p}3)"""
     return ctes, f"{p}4"

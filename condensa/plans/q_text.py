@@ -91,9 +91,8 @@ def chunk_text(spark, sf_dir):
 def _ranked_docs(spark, sf_dir):
     d = spread(FX.document_calls(spark, sf_dir), "doc_id")
     d = _doc_query_terms(d)
-    d = T.with_chunks(d, "text", "chunks", TGT, OVL)
-    d = T.with_chunk_scores(d, "chunks", "q", "scores")
-    return d.withColumn("ranked", F.expr(T.ranked_expr("chunks", "scores")))
+    d = d.withColumn("_r", F.expr(T.ranked_chunks_expr("text", "q", TGT, OVL)))
+    return d.select("*", F.col("_r.chunks").alias("chunks"), F.col("_r.ranked").alias("ranked")).drop("_r")
 
 
 _BM25_CTES, _BM25_LAST = D.bm25_ctes("c")
@@ -106,7 +105,9 @@ SELECT doc_id, CAST(x.idx AS INTEGER) AS chunk_index, round(0.0 - x.neg, 6) AS s
        CAST(r + 1 AS INTEGER) AS rank FROM u""")
 def bm25_rank_chunks(spark, sf_dir):
     d = _ranked_docs(spark, sf_dir)
-    u = d.select("doc_id", F.posexplode("ranked").alias("r", "x"))
+    # The outer form: an inner explode makes Spark infer a size(...) > 0 filter and push it
+    # below the shuffle, which would evaluate the whole ranking there a second time.
+    u = (d.select("doc_id", F.posexplode_outer("ranked").alias("r", "x")).filter(F.col("r").isNotNull()))
     return u.select("doc_id", F.col("x.idx").alias("chunk_index"), F.round(-F.col("x.neg"), 6).alias("score"),
                     (F.col("r") + 1).alias("rank"))
 
