@@ -23,6 +23,7 @@ from . import jsonops as J
 from . import routing as R
 from . import snapshot as SN
 from . import text as T
+from ..session import ensure_checkpoint_dir
 
 SUMMARY_TAG = "condensed"
 
@@ -173,9 +174,18 @@ def result_summary(reduced: DataFrame, cfg: Config) -> DataFrame:
                           .otherwise(F.col("total_before"))))
 
 
-def reduce_results(blocks: DataFrame, cfg: Config, ocr_text: DataFrame | None = None):
-    """R1 end to end. Returns (per-result summary, reduced blocks)."""
+def reduce_results(blocks: DataFrame, cfg: Config, ocr_text: DataFrame | None = None,
+                   materialize: bool = True):
+    """R1 end to end. Returns (per-result summary, reduced blocks).
+
+    The routed blocks feed three reducer branches and the statistics; with
+    ``materialize`` they are written once to the cluster's checkpoint folder
+    (``checkpoint()``, lineage cut) instead of being derived again for every branch.
+    """
     routed = R.route(B.annotate(blocks, cfg), cfg)
+    if materialize:
+        ensure_checkpoint_dir(routed.sparkSession)
+        routed = routed.checkpoint(eager=True)
     reduced = reduce_blocks(routed, cfg, ocr_text)
     return result_summary(reduced, cfg), reduced
 

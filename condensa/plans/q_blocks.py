@@ -146,3 +146,43 @@ def legacy_config_threshold(spark, sf_dir):
     docs = e.select("event_id", F.expr(_CONFIG_DOCS_SPARK).alias("doc"),
                     F.when(e.user_id % 7 == 0, F.lit(50000).cast("bigint")).alias("flag_threshold"))
     return resolve_threshold(docs, "doc", "flag_threshold").select("event_id", "text_threshold", "origin")
+
+
+# S1 ---------------------------------------------------------------------------
+_HOOK_LINES_SPARK = """CASE WHEN event_id % 70 = 0 THEN '   '
+WHEN event_id % 50 = 0 THEN concat('{"session_id": "s', CAST(user_id AS STRING), '", "tool_name": ')
+ELSE concat('{"session_id": "s', CAST(user_id AS STRING), '", "cwd": "/w", "hook_event_name": "PostToolUse", ',
+            '"tool_name": "mcp__srv__', event_type, '", "tool_input": ', props, ', "tool_response": "ok"}') END"""
+_HOOK_LINES_DUCK = _HOOK_LINES_SPARK.replace("CAST(user_id AS STRING)", "CAST(user_id AS VARCHAR)").replace(
+    "concat(", "concat(")
+
+
+@query("tool_call_source", oracle=f"""
+WITH l AS (SELECT event_id, {_HOOK_LINES_DUCK} AS line FROM events)
+SELECT CASE WHEN trim(line) = '' THEN 'empty' WHEN NOT json_valid(line) THEN 'corrupt' ELSE 'ok' END AS status,
+       CASE WHEN json_valid(line) AND trim(line) <> '' THEN json_extract_string(line, '$.tool_name') END AS tool_name,
+       count(*) AS n
+FROM l GROUP BY ALL""")
+def tool_call_source(spark, sf_dir):
+    from ..sources.toolcalls import parse_hook_lines
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_HOOK_LINES_SPARK).alias("line"))
+    p = parse_hook_lines(e)
+    return p.groupBy("status", F.when(F.col("status") == "ok", F.col("tool_name")).alias("tool_name")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+# P11 --------------------------------------------------------------------------
+@query("dry_run_plan", oracle=f"""
+WITH a AS (SELECT * FROM {D.annotated_blocks(D.TEXT_BLOCKS, THR)} x),
+f AS (SELECT result_id, bool_or(CASE WHEN type = 'image' THEN true ELSE content_type <> 'small-text' END) AS compressible
+      FROM a GROUP BY result_id),
+r AS (SELECT a.*, f.compressible, {D.short_name('tool_name')} AS short_name FROM a JOIN f USING (result_id))
+SELECT result_id, pos, before, content_type, compressible, {D.rule_case('short_name', C.DEFAULT_RULES)} AS rule_strategy,
+       CASE WHEN NOT compressible THEN 'skip' WHEN {D.rule_case('short_name', C.DEFAULT_RULES)} = 'auto'
+            THEN {D.strategy_for('content_type')} ELSE {D.rule_case('short_name', C.DEFAULT_RULES)} END AS would_apply
+FROM r""")
+def dry_run_plan(spark, sf_dir):
+    """The decisions a dry run reports (sizes, types, rules, strategies); nothing is reduced."""
+    r = R.route(B.annotate(FX.text_blocks(spark, sf_dir), FIXTURE_CONFIG), FIXTURE_CONFIG)
+    return r.select("result_id", "pos", "before", "content_type", "compressible", "rule_strategy",
+                    F.col("effective_strategy").alias("would_apply"))
