@@ -345,3 +345,37 @@ line_table AS (SELECT block_id, CAST(line_no AS INTEGER) AS line_no, x.line AS l
        coalesce(list_bool_or(list_transform(a, lambda y: P[y + 1].node AND list_contains({consumers}, P[y + 1].role))), false) AS hidden,
        coalesce(list_bool_or(list_transform(a, lambda y: P[y + 1].node AND list_contains({footers}, P[y + 1].role))), false) AS under_footer
 FROM lines)"""
+
+
+def snap_cleanup(x: str) -> str:
+    """DuckDB twin of the line cleanup profile (D10); NULL when not shorter."""
+    footer = r"^[\t ]*- contentinfo\b|^[\t ]*- heading \"Footer\"|^[\t ]*- navigation \"Footer\""
+    inter = arr(C.INTERACTIVE_ROLES)
+    skip = (f"list_reduce(range(len(_ls)), lambda s, i: CASE WHEN s.u >= 0 AND _in[i + 1] > s.u "
+            f"THEN {{'u': s.u, 'f': list_append(s.f, true)}} "
+            f"WHEN regexp_matches(_ls[i + 1], {s(footer)}) THEN {{'u': _in[i + 1], 'f': list_append(s.f, true)}} "
+            f"ELSE {{'u': -1, 'f': list_append(s.f, false)}} END, {{'u': -1, 'f': []::BOOLEAN[]}}).f")
+    c1 = f"regexp_replace(_ls[i + 1], {s(r'\s*\[cursor=pointer\]')}, '', 'g')"
+    c2 = (f"CASE WHEN list_contains({inter}, regexp_extract(_c1, {s(r'^[\t ]*-\s+(\w+)')}, 1)) "
+          f"AND regexp_matches(_c1, {s(r'^[\t ]*-\s+\w+')}) THEN _c1 "
+          f"ELSE regexp_replace(_c1, {s(r'\s*\[ref=\w+\]')}, '', 'g') END")
+    c3 = f"regexp_replace(_c2, {s(r'\s*role=\"(?:generic|none)\"')}, '', 'g')"
+    c5 = (f"regexp_replace(regexp_replace(_c3, {s(r"^([\t ]*-\s+)'row \".*?\"(\s*\[ref=\w+\])?'")}, '\\1row\\2'), "
+          f"{s(r'^([\t ]*-\s+)row \".*?\"(\s*\[ref=\w+\])?:')}, '\\1row\\2:')")
+    cnt = ("list_reduce(_in[i + 2:], lambda s, v: CASE WHEN s.stop OR s.n > 1 THEN s "
+           "WHEN v <= _in[i + 1] THEN {'n': s.n, 'stop': true} "
+           "ELSE {'n': s.n + CASE WHEN v = _in[i + 1] + 2 THEN 1 ELSE 0 END, 'stop': false} END, "
+           "{'n': 0, 'stop': false}).n")
+    wrapper = (f"(regexp_matches(_c5, {s(r'^([\t ]*)-\s+generic\s*:?\s*$')}) AND i + 1 < len(_ls) "
+               f"AND _in[i + 2] > _in[i + 1] AND {cnt} <= 1)")
+    c7 = f"regexp_replace(_c5, {s(r'^([\t ]*-\s+)generic(?:\s*\[ref=\w+\])?\s*:\s*(.+)')}, '\\1\\2')"
+    c8 = f"regexp_replace(_c7, {s(r'^([\t ]*)-\s+text:\s*')}, '\\1  ')"
+    per = let(c1, "_c1", let(c2, "_c2", let(c3, "_c3", (
+        f"CASE WHEN regexp_matches(_c3, {s(r'^[\t ]*-\s+img\s*$')}) THEN NULL ELSE " + let(c5, "_c5", (
+            f"CASE WHEN {wrapper} THEN NULL ELSE " + let(c7, "_c7", let(
+                c8, "_c8", f"CASE WHEN {js_trim('_c8')} = '' THEN NULL ELSE _c8 END")) + " END")) + " END"))))
+    body = f"list_filter(list_transform(range(len(_ls)), lambda i: CASE WHEN _sk[i + 1] THEN NULL ELSE {per} END), lambda v: v IS NOT NULL)"
+    out = f"regexp_replace(array_to_string({body}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    ind = "list_transform(_ls, lambda l: length(replace(regexp_extract(l, '^([\\t ]*)', 1), chr(9), '  ')))"
+    return let(x, "_x", let(f"string_split(_x, chr(10))", "_ls", let(ind, "_in", let(skip, "_sk", let(
+        out, "_o", "CASE WHEN length(_o) >= length(_x) THEN NULL ELSE _o END")))))

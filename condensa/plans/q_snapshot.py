@@ -78,10 +78,19 @@ def snapshot_table(spark, sf_dir):
     return t.select("region_id", F.col("outline").alias("markdown"))
 
 
-@query("snapshot_cleanup")
+@query("snapshot_cleanup", oracle=f"""
+WITH src AS (SELECT 'page:' || CAST(page_id AS VARCHAR) AS block_id, text FROM {DUCK_SNAPSHOTS} s
+             UNION ALL SELECT 'table:' || CAST(region_id AS VARCHAR), text FROM {DUCK_TABLE_SNAPSHOTS} t),
+c AS (SELECT block_id, text, {D.snap_cleanup('text')} AS cleaned FROM src)
+SELECT block_id, CAST(length(text) AS INTEGER) AS before_chars, CAST(length(cleaned) AS INTEGER) AS after_chars,
+       md5(cleaned) AS cleaned_md5 FROM c""")
 def snapshot_cleanup(spark, sf_dir):
-    """The line cleanup profile over every page snapshot."""
-    s = spread(snapshot_blocks(spark, sf_dir), "page_id")
+    """The line cleanup profile over every page snapshot and snapshot table."""
+    pages = snapshot_blocks(spark, sf_dir).select(
+        F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("block_id"), "text")
+    tables = table_snapshots(spark, sf_dir).select(
+        F.concat(F.lit("table:"), F.col("region_id").cast("string")).alias("block_id"), "text")
+    s = spread(pages.unionByName(tables), "block_id")
     s = s.withColumn("cleaned", F.expr(SN.cleanup_expr("text")))
-    return s.select("page_id", F.length("text").alias("before_chars"), F.length("cleaned").alias("after_chars"),
+    return s.select("block_id", F.length("text").alias("before_chars"), F.length("cleaned").alias("after_chars"),
                     F.md5("cleaned").alias("cleaned_md5"))
