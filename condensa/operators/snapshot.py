@@ -259,10 +259,12 @@ def outline_expr(text: str) -> str:
     fence = "```yaml\n"
     start = f"(locate({S(fence)}, _x) - 1)"
     end = f"IF(locate({S('```' + chr(10))}, reverse(_x)) = 0, -1, length(_x) - locate({S('```' + chr(10))}, reverse(_x)) - 3)"
-    conv = E.let(start, "_s", E.let(end, "_e", (
-        f"IF(_s = -1 OR _e = -1 OR _e <= _s, {convert_tree('_x')}, "
-        + E.js_trim(f"concat(substring(_x, 1, _s), {convert_tree(f'substring(_x, _s + {len(fence) + 1}, _e - _s - {len(fence)})')}, "
-                    f"substring(_x, _e + 5))") + ")")))
+    fenced = "NOT (_s = -1 OR _e = -1 OR _e <= _s)"
+    # The tree text is cut out first so the conversion appears once in the expression.
+    conv = E.let(start, "_s", E.let(end, "_e", E.let(
+        f"IF({fenced}, substring(_x, _s + {len(fence) + 1}, _e - _s - {len(fence)}), _x)", "_tree",
+        E.let(convert_tree("_tree"), "_cv",
+              f"IF({fenced}, " + E.js_trim("concat(substring(_x, 1, _s), _cv, substring(_x, _e + 5))") + ", _cv)"))))
     cleaned = E.js_trim(f"regexp_replace({conv}, '\\n{{3,}}', '\\n\\n')")
     return E.let(text, "_x", E.let(cleaned, "_o", "IF(length(_o) >= length(_x), NULL, _o)"))
 

@@ -379,3 +379,181 @@ def snap_cleanup(x: str) -> str:
     ind = "list_transform(_ls, lambda l: length(replace(regexp_extract(l, '^([\\t ]*)', 1), chr(9), '  ')))"
     return let(x, "_x", let(f"string_split(_x, chr(10))", "_ls", let(ind, "_in", let(skip, "_sk", let(
         out, "_o", "CASE WHEN length(_o) >= length(_x) THEN NULL ELSE _o END")))))
+
+
+# Snapshot outline twin (D3, D5-D9): mirrors condensa.operators.snapshot line by line.
+# Line numbers are 0-based in both engines; every list access adds 1.
+_EMPTY = "[]::VARCHAR[]"
+
+
+def _o_range(i: str) -> str:
+    return f"CASE WHEN _en[{i} + 1] > {i} + 1 THEN generate_series({i} + 1, _en[{i} + 1] - 1) ELSE []::BIGINT[] END"
+
+
+def _o_ni(j: str) -> str:
+    return f"CASE WHEN _p[{j} + 1].name <> '' THEN _p[{j} + 1].name ELSE _p[{j} + 1].inline END"
+
+
+def _o_nz(x: str) -> str:
+    return f"CASE WHEN {x} <> '' THEN [{x}] ELSE {_EMPTY} END"
+
+
+def _o_meta(i: str, prefix: str) -> str:
+    hit = f"list_filter({_o_range(i)}, lambda k: starts_with({js_trim('_p[k + 1].line')}, {s(prefix)}))"
+    val = js_trim(f"substr({js_trim('_p[_h[1] + 1].line')}, {len(prefix) + 1})")
+    return let(hit, "_h", f"CASE WHEN len(_h) = 0 THEN '' ELSE regexp_replace({val}, '^\"(.*)\"$', '\\1') END")
+
+
+def _o_flat(k: str) -> str:
+    return (f"array_to_string(list_transform(list_filter({_o_range(k)}, lambda m: _p[m + 1].node "
+            f"AND NOT starts_with(_p[m + 1].role, '/') AND {_o_ni('m')} <> ''), lambda m: {_o_ni('m')}), ' ')")
+
+
+def _o_collect(i: str) -> str:
+    top = (f"list_filter({_o_range(i)}, lambda j: _p[j + 1].node AND len(list_filter(list_filter(_an[j + 1], "
+           f"lambda x: x > {i}), lambda x: NOT (_p[x + 1].role IN ('text', 'img') OR starts_with(_p[x + 1].role, '/')))) = 0)")
+    transparent = arr(C.TRANSPARENT_ROLES)
+    part = (
+        f"CASE WHEN starts_with(_p[j + 1].role, '/') THEN '' "
+        f"WHEN _p[j + 1].role = 'text' THEN {_o_ni('j')} "
+        f"WHEN _p[j + 1].role = 'img' THEN CASE WHEN _p[j + 1].name = '' THEN '' ELSE '![' || _p[j + 1].name || ']' END "
+        f"WHEN _p[j + 1].role = 'strong' THEN " + let(
+            f"CASE WHEN {_o_ni('j')} <> '' THEN {_o_ni('j')} ELSE {_o_flat('j')} END", "_t",
+            "CASE WHEN _t <> '' THEN '**' || _t || '**' ELSE '' END") + " "
+        f"WHEN _p[j + 1].role = 'link' THEN " + let(
+            f"CASE WHEN _p[j + 1].name <> '' THEN _p[j + 1].name ELSE {_o_flat('j')} END", "_t",
+            let(_o_meta("j", "- /url:"), "_u",
+                "'[' || _t || ']' || CASE WHEN _u <> '' THEN '(' || _u || ')' ELSE '' END || "
+                "CASE WHEN _p[j + 1].ref <> '' THEN ' [' || _p[j + 1].ref || ']' ELSE '' END")) + " "
+        f"WHEN list_contains({transparent}, _p[j + 1].role) THEN "
+        f"CASE WHEN {_o_ni('j')} <> '' THEN {_o_ni('j')} ELSE {_o_flat('j')} END "
+        f"ELSE {_o_ni('j')} END")
+    joined = f"array_to_string(list_filter(list_transform({top}, lambda j: {part}), lambda x: x <> ''), ' ')"
+    return js_trim(f"regexp_replace({joined}, {s(r'\s+')}, ' ', 'g')")
+
+
+def _o_attrs(i: str) -> str:
+    return f"CASE WHEN len(_p[{i} + 1].attrs) > 0 THEN ' (' || array_to_string(_p[{i} + 1].attrs, ', ') || ')' ELSE '' END"
+
+
+def _o_refp(i: str) -> str:
+    return f"CASE WHEN _p[{i} + 1].ref <> '' THEN '[' || _p[{i} + 1].ref || '] ' ELSE '' END"
+
+
+def _o_parent(j: str) -> str:
+    return f"coalesce(_an[{j} + 1][-1], -1)"
+
+
+def _o_cell(x: str) -> str:
+    header = f"CASE WHEN _p[{x} + 1].name <> '' THEN _p[{x} + 1].name ELSE _ci[{x} + 1] END"
+    fold = (f"list_reduce({_o_range(x)}, lambda s, k: CASE WHEN _p[k + 1].node AND _p[k + 1].role = 'link' THEN "
+            f"{{'t': CASE WHEN _p[k + 1].name <> '' THEN _p[k + 1].name ELSE s.t END, 'r': _p[k + 1].ref}} "
+            f"WHEN _p[k + 1].node AND _p[k + 1].role = 'button' THEN {{'t': s.t, 'r': _p[k + 1].ref}} ELSE s END, "
+            f"{{'t': CASE WHEN {_o_ni(x)} <> '' THEN {_o_ni(x)} ELSE '' END, 'r': ''}})")
+    fin = let(fold, "_cs", "CASE WHEN _cs.r <> '' THEN _cs.t || ' [' || _cs.r || ']' ELSE _cs.t END")
+    return f"CASE WHEN _p[{x} + 1].role = 'columnheader' THEN {header} ELSE {fin} END"
+
+
+def _o_rows(c: str) -> str:
+    rows = (f"list_filter(list_transform(list_filter({_o_range(c)}, lambda r: _p[r + 1].node AND _p[r + 1].role = 'row' "
+            f"AND {_o_parent('r')} = {c}), lambda r: " + let(
+                f"list_filter({_o_range('r')}, lambda x: _p[x + 1].node AND _p[x + 1].role IN ('cell', 'columnheader') "
+                f"AND {_o_parent('x')} = r)", "_cx",
+                f"{{'cells': list_transform(_cx, lambda x: {_o_cell('x')}), "
+                f"'hdr': len(list_filter(_cx, lambda x: _p[x + 1].role = 'columnheader')) > 0}}") + "), lambda z: len(z.cells) > 0)")
+    body = let("list_max(list_transform(_rows, lambda z: len(z.cells)))", "_w",
+               "flatten(list_transform(_rows, lambda z, ri: " + let(
+                   "list_concat(z.cells, list_transform(range(_w - len(z.cells)), lambda q: ''))", "_pc",
+                   "CASE WHEN z.hdr OR (ri = 1 AND len(_rows) > 1) THEN "
+                   "['| ' || array_to_string(_pc, ' | ') || ' |', "
+                   "'| ' || array_to_string(list_transform(_pc, lambda q: '---'), ' | ') || ' |'] "
+                   "ELSE ['| ' || array_to_string(_pc, ' | ') || ' |'] END") + "))")
+    return let(rows, "_rows", f"CASE WHEN len(_rows) = 0 THEN {_EMPTY} ELSE {body} END")
+
+
+def _o_table(t: str) -> str:
+    groups = f"list_filter({_o_range(t)}, lambda g: _p[g + 1].node AND _p[g + 1].role = 'rowgroup' AND {_o_parent('g')} = {t})"
+    return f"list_concat(flatten(list_transform({groups}, lambda g: {_o_rows('g')})), {_o_rows(t)})"
+
+
+def _o_emission(i: str) -> str:
+    r = f"_p[{i} + 1].role"
+    nm = f"_p[{i} + 1].name"
+    inl = f"_p[{i} + 1].inline"
+    ni = _o_ni(i)
+    ci = f"_ci[{i} + 1]"
+    footers = arr(C.FOOTER_ROLES)
+    inter = arr(C.INTERACTIVE_ROLES)
+    sections = arr(C.SECTION_ROLES)
+    transparent = arr(C.TRANSPARENT_ROLES)
+    return (
+        f"CASE WHEN _p[{i} + 1].blank THEN {_EMPTY} "
+        f"WHEN NOT _p[{i} + 1].node THEN {_o_nz(js_trim(f'_p[{i} + 1].line'))} "
+        f"WHEN list_contains({footers}, {r}) OR starts_with({r}, '/') THEN {_EMPTY} "
+        f"WHEN {r} = 'text' THEN {_o_nz(ni)} "
+        f"WHEN {r} = 'heading' THEN [repeat('#', least(CASE WHEN _p[{i} + 1].level = 0 THEN 1 ELSE _p[{i} + 1].level END, 6)) "
+        f"|| ' ' || CASE WHEN {nm} <> '' THEN {nm} WHEN _en[{i} + 1] > {i} + 1 THEN {ci} ELSE '' END] "
+        f"WHEN {r} = 'link' THEN ['[' || CASE WHEN {nm} <> '' THEN {nm} ELSE {ci} END || ']' || "
+        f"CASE WHEN _url[{i} + 1] <> '' THEN '(' || _url[{i} + 1] || ')' ELSE '' END || "
+        f"CASE WHEN _p[{i} + 1].ref <> '' THEN ' [' || _p[{i} + 1].ref || ']' ELSE '' END] "
+        f"WHEN {r} = 'button' THEN [{_o_refp(i)} || 'button \"' || CASE WHEN {nm} <> '' THEN {nm} ELSE {ci} END || '\"' "
+        f"|| {_o_attrs(i)}] "
+        f"WHEN list_contains({inter}, {r}) THEN [{_o_refp(i)} || {r} || ' \"' || {nm} || '\"' || "
+        f"CASE WHEN _ph[{i} + 1] <> '' THEN ' — \"' || _ph[{i} + 1] || '\"' ELSE '' END || {_o_attrs(i)}] "
+        f"WHEN {r} = 'strong' THEN ['**' || CASE WHEN {ni} <> '' THEN {ni} ELSE {ci} END || '**'] "
+        f"WHEN {r} = 'paragraph' THEN {_o_nz(f'(CASE WHEN {ni} <> {chr(39)}{chr(39)} THEN {ni} ELSE {ci} END)')} "
+        f"WHEN {r} = 'img' THEN CASE WHEN {nm} <> '' THEN ['![' || {nm} || ']'] ELSE {_EMPTY} END "
+        f"WHEN {r} = 'table' THEN {_o_table(i)} "
+        f"WHEN {r} IN ('list', 'listitem', 'tablist') THEN {_EMPTY} "
+        f"WHEN list_contains({sections}, {r}) THEN CASE WHEN {nm} <> '' THEN ['', '**' || {nm} || ':**'] ELSE {_EMPTY} END "
+        f"WHEN list_contains({transparent}, {r}) THEN {_o_nz(f'(CASE WHEN {inl} <> {chr(39)}{chr(39)} THEN {inl} ELSE {nm} END)')} "
+        f"ELSE {_o_nz(ni)} END")
+
+
+def _o_gather() -> str:
+    render = f"CASE WHEN len(_b) > 0 THEN ['- ' || array_to_string(_b, ' ')] ELSE {_EMPTY} END"
+    close = ("list_reduce(list_reverse(list_filter(s.st, lambda x: x.e <= j)), lambda c, x: "
+             + let("list_concat(x.b, c)", "_b", render) + f", {_EMPTY})")
+    add = ("CASE WHEN len(_keep) = 0 THEN {'out': list_concat(s.out, _add), 'st': _keep} "
+           "ELSE {'out': s.out, 'st': list_concat(_keep[1:len(_keep) - 1], "
+           "[{'e': _keep[-1].e, 'b': list_concat(_keep[-1].b, _add)}])} END")
+    step = let(close, "_closed", let(
+        "list_filter(s.st, lambda x: x.e > j)", "_keep", let(
+            f"CASE WHEN j < len(_p) THEN CASE WHEN _hd[j + 1] OR (_p[j + 1].node AND _p[j + 1].role = 'listitem') "
+            f"THEN {_EMPTY} ELSE _em[j + 1] END ELSE {_EMPTY} END", "_ej", let(
+                "list_concat(_closed, _ej)", "_add", let(
+                    add, "_s1",
+                    "CASE WHEN j < len(_p) AND NOT _hd[j + 1] AND _p[j + 1].node AND _p[j + 1].role = 'listitem' "
+                    "THEN {'out': _s1.out, 'st': list_concat(_s1.st, [{'e': _en[j + 1], 'b': []::VARCHAR[]}])} "
+                    "ELSE _s1 END")))))
+    init = "{'out': []::VARCHAR[], 'st': []::STRUCT(e BIGINT, b VARCHAR[])[]}"
+    return f"list_reduce(generate_series(0, len(_p)), lambda s, j: {step}, {init}).out"
+
+
+def _o_convert(text: str) -> str:
+    consumers = arr(C.FOOTER_ROLES + ["heading", "table", "strong", "paragraph"] + C.INTERACTIVE_ROLES)
+    parsed = f"list_transform(string_split({text}, chr(10)), lambda l: {snap_parse('l')})"
+    ends = "list_transform(range(len(_p)), lambda i: coalesce(list_filter(_tf.pairs, lambda x: x.i = i)[1].e, len(_p)))"
+    hidden = (f"list_transform(range(len(_p)), lambda i: len(list_filter(_an[i + 1], lambda x: _p[x + 1].node "
+              f"AND list_contains({consumers}, _p[x + 1].role))) > 0)")
+    em = f"list_transform(range(len(_p)), lambda i: CASE WHEN _hd[i + 1] THEN {_EMPTY} ELSE {_o_emission('i')} END)"
+    ci = f"list_transform(range(len(_p)), lambda i: {_o_collect('i')})"
+    url = f"list_transform(range(len(_p)), lambda i: {_o_meta('i', '- /url:')})"
+    ph = f"list_transform(range(len(_p)), lambda i: {_o_meta('i', '- /placeholder:')})"
+    return let(parsed, "_p", let(snap_fold("_p"), "_tf", let(
+        "_tf.anc", "_an", let(ends, "_en", let(hidden, "_hd", let(ci, "_ci", let(url, "_url", let(ph, "_ph", let(
+            em, "_em", f"array_to_string({_o_gather()}, chr(10))")))))))))
+
+
+def snap_outline_ctes(src: str, id_col: str, text_col: str) -> str:
+    """CTE form of the outline twin (DuckDB binds nested lambda lets slowly at this size)."""
+    fence = "```yaml" + "\n"
+    return f"""
+o0 AS (SELECT {id_col} AS block_id, {text_col} AS _x, strpos({text_col}, '```yaml' || chr(10)) - 1 AS _s,
+              CASE WHEN strpos(reverse({text_col}), '```' || chr(10)) = 0 THEN -1
+                   ELSE length({text_col}) - strpos(reverse({text_col}), '```' || chr(10)) - 3 END AS _e FROM {src}),
+o1 AS (SELECT *, NOT (_s = -1 OR _e = -1 OR _e <= _s) AS _f FROM o0),
+o2 AS (SELECT *, CASE WHEN _f THEN substr(_x, _s + {len(fence) + 1}, _e - _s - {len(fence)}) ELSE _x END AS _tree FROM o1),
+o3 AS (SELECT *, {_o_convert('_tree')} AS _cv FROM o2),
+o4 AS (SELECT *, {js_trim("regexp_replace(CASE WHEN _f THEN " + js_trim("substr(_x, 1, _s) || _cv || substr(_x, _e + 5)") + " ELSE _cv END, '\\n{3,}', chr(10) || chr(10), 'g')")} AS _o FROM o3),
+outline AS (SELECT block_id, _x AS text, CASE WHEN length(_o) >= length(_x) THEN NULL ELSE _o END AS outline FROM o4)"""

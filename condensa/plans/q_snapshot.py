@@ -63,7 +63,10 @@ def snapshot_interactive(spark, sf_dir):
                                  F.countDistinct("block_id").alias("n_blocks")))
 
 
-@query("snapshot_outline")
+@query("snapshot_outline", oracle=f"""
+WITH {D.snap_outline_ctes(DUCK_SNAPSHOTS, "page_id", "text").lstrip()}
+SELECT block_id AS page_id, CAST(length(text) AS INTEGER) AS before_chars, CAST(length(outline) AS INTEGER) AS after_chars,
+       md5(outline) AS outline_md5 FROM outline""")
 def snapshot_outline(spark, sf_dir):
     """D3 + D5-D9: Markdown outline of every page snapshot (NULL when not shorter)."""
     s = SN.with_outline(spread(snapshot_blocks(spark, sf_dir), "page_id"), "text")
@@ -71,7 +74,9 @@ def snapshot_outline(spark, sf_dir):
                     F.md5("outline").alias("outline_md5"))
 
 
-@query("snapshot_table")
+@query("snapshot_table", oracle=f"""
+WITH {D.snap_outline_ctes(DUCK_TABLE_SNAPSHOTS, "region_id", "text").lstrip()}
+SELECT block_id AS region_id, outline AS markdown FROM outline""")
 def snapshot_table(spark, sf_dir):
     """D7 + A12: tables of nations per region rendered to Markdown."""
     t = SN.with_outline(table_snapshots(spark, sf_dir), "text")
