@@ -35,5 +35,7 @@ def call_history(calls: DataFrame, session_col: str = "session") -> DataFrame:
     State per session holds at most 10 calls; within a micro-batch calls are applied in
     seq order.
     """
+    from ..shipping import ship
+    ship(calls.sparkSession)
     return (calls.groupBy(session_col)
             .applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
