@@ -23,9 +23,6 @@ def normalise(df: DataFrame, resp_col: str) -> DataFrame:
     kind = f"schema_of_variant({v})"
     first_is_block = (f"startswith({kind}, 'ARRAY') AND "
                       f"array_contains(json_object_keys(get_json_object({resp_col}, '$[0]')), 'type')")
-    single = ("named_struct('type', 'text', 'text', CAST(NULL AS STRING), 'data', CAST(NULL AS STRING), "
-              "'mimeType', CAST(NULL AS STRING), 'source', CAST(NULL AS STRUCT<data: STRING, media_type: STRING>))")
-
     def text_block(t: str) -> str:
         return (f"array(named_struct('type', 'text', 'text', {t}, 'data', CAST(NULL AS STRING), "
                 f"'mimeType', CAST(NULL AS STRING), 'source', CAST(NULL AS STRUCT<data: STRING, media_type: STRING>)))")
@@ -44,7 +41,6 @@ def normalise(df: DataFrame, resp_col: str) -> DataFrame:
         f"  ELSE {text_block(compact_obj)} END "
         f"WHEN {kind} = 'STRING' THEN {text_block(f'variant_get({v}, {chr(39)}${chr(39)}, {chr(39)}string{chr(39)})')} "
         f"ELSE NULL END")
-    _ = single
     out = df.withColumn("_blocks", F.expr(blocks))
     b = (out.select("*", F.posexplode_outer("_blocks").alias("pos", "_b")).drop("_blocks")
          .filter(F.col("pos").isNotNull()))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import exprs as E
 
 EVENT_COLUMNS = ["ts", "tool", "strategy", "before", "after", "reduction", "duration_ms", "content_type",
                  "action", "tool_input"]

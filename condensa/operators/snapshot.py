@@ -20,7 +20,6 @@ from .. import config as C
 from ..functions import exprs as E
 
 S = E.sql_str
-WS = C.JS_WS
 
 INTERACTIVE = E.sql_array(C.INTERACTIVE_ROLES)
 TRANSPARENT = E.sql_array(C.TRANSPARENT_ROLES)
@@ -29,8 +28,6 @@ FOOTERS = E.sql_array(C.FOOTER_ROLES)
 ATTR_RE = r"\[(" + "|".join(C.SNAPSHOT_ATTRS) + r")\]"
 # Roles that swallow their subtree in the outline.
 MAIN_CONSUMERS = E.sql_array(C.FOOTER_ROLES + ["heading", "table", "strong", "paragraph"] + C.INTERACTIVE_ROLES)
-PARSED_TYPE = ("STRUCT<line: STRING, blank: BOOLEAN, node: BOOLEAN, indent: INT, role: STRING, name: STRING, "
-               "ref: STRING, level: INT, attrs: ARRAY<STRING>, inline: STRING>")
 
 
 # D1 ------------------------------------------------------------------------------------

@@ -9,7 +9,6 @@ from ..sources import fixtures as FX
 from ..sources.tables import table
 from . import duck as D
 from .registry import query
-from .q_session import DUCK_CALLS, conversation_calls
 
 # Event log derived from ``events``: integer arithmetic on the event id.
 _EVENTS_SQL = """
@@ -28,8 +27,25 @@ FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'no-change' WHEN event_id % 3 =
 
 
 def event_log_table(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("_condensa_events")
-    return spark.sql(_EVENTS_SQL.replace("FROM events", "FROM _condensa_events"))
+    """The event log derived from ``events`` (same arithmetic as ``_EVENTS_SQL``)."""
+    e = table(spark, sf_dir, "events")
+    empty = "event_id % 3 = 2 AND event_id % 11 = 0"
+    e = (e.withColumn("action", F.expr(f"CASE WHEN event_id % 3 = 0 THEN 'no-change' WHEN {empty} "
+                                       "THEN 'empty-response' ELSE 'compressed' END"))
+          .withColumn("before", F.expr(f"CASE WHEN {empty} THEN 0 ELSE (event_id % 97 + 1) * 37 END")))
+    done = F.col("action") == "compressed"
+    strategy = F.expr("CASE event_type WHEN 'view' THEN 'dom-cleanup' WHEN 'click' THEN 'json-collapse' "
+                      "WHEN 'purchase' THEN 'truncate' WHEN 'signup' THEN 'ocr' ELSE 'auto' END")
+    ctype = F.expr("CASE event_type WHEN 'view' THEN 'dom-snapshot' WHEN 'click' THEN 'large-json' "
+                   "WHEN 'purchase' THEN 'large-text' WHEN 'signup' THEN 'image' ELSE 'small-text' END")
+    return e.select(
+        "event_id", F.col("event_type").alias("tool"), "action",
+        F.when(done, strategy).otherwise(F.lit("skip")).alias("strategy"), "before",
+        F.when(done, F.expr("CAST(floor(before * (event_id % 9 + 1) / 10) AS BIGINT)")).otherwise(F.col("before"))
+        .alias("after"),
+        F.when(done, F.col("event_id") % 250).otherwise(F.lit(0)).alias("duration_ms"),
+        F.when(done, ctype).alias("content_type"),
+        F.when(F.col("event_id") % 101 == 0, F.lit(1)).otherwise(F.lit(0)).alias("errors"))
 
 
 @query("savings_report", oracle=f"""

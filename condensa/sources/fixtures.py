@@ -3,7 +3,7 @@
 The driver tables hold plain prose, raw web pages, chat turns and event rows. The
 engine works on tool results (blocks of text, JSON, page snapshots and images), so each
 builder here derives such results from a table with built-in functions only. Every
-derivation is deterministic and has a line-for-line twin in ``plans.oracle`` so that
+derivation is deterministic and has a line-for-line twin in ``plans.duck`` so that
 DuckDB sees identical input.
 """
 
