@@ -209,10 +209,13 @@ def final_blocks(reduced: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def nest(blocks: DataFrame) -> DataFrame:
-    """One row per result with its blocks in order, as JSON text."""
-    return (blocks.groupBy("result_id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "type", "text", "data", "mime_type"))).alias("_b"))
-            .select("result_id", F.to_json(F.expr(
-                "transform(_b, b -> named_struct('type', b.type, 'text', b.text, 'data', b.data, "
-                "'mimeType', b.mime_type))")).alias("content")))
+    """The output blocks of every result as JSON, in (result, position) order.
+
+    Rows are range-partitioned on (result_id, pos) and sorted within partitions, so the
+    output files list each result's blocks in order while a result with very many
+    blocks is split across tasks instead of being gathered into one row.
+    """
+    block = F.to_json(F.struct(F.col("type"), F.col("text"), F.col("data"), F.col("mime_type").alias("mimeType")))
+    return (blocks.select("result_id", "pos", block.alias("block"))
+            .repartitionByRange("result_id", "pos").sortWithinPartitions("result_id", "pos"))
 

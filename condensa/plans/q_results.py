@@ -134,7 +134,14 @@ def summary_line(spark, sf_dir):
 
 @query("result_output")
 def result_output(spark, sf_dir):
-    """Final blocks re-nested per result (summary block first), as JSON text."""
+    """Final blocks in result order (summary block first); per result the block
+    count, JSON size and a position-aware hash (partial aggregation)."""
     summary, reduced = _reduced(spark, sf_dir)
+    # The reduced blocks feed the summary and the output; write them once (lineage cut)
+    # rather than reducing every block again for each use and for the range sampling.
+    reduced = reduced.checkpoint(eager=True)
+    summary = RS.result_summary(reduced, CFG)
     nested = RS.nest(RS.final_blocks(reduced, summary))
-    return nested.select("result_id", F.length("content").alias("content_chars"), F.md5("content").alias("content_md5"))
+    return nested.groupBy("result_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("block")).alias("content_chars"),
+        F.expr("sum(pmod(xxhash64(pos, block), 1000000007))").alias("content_hash"), F.min("pos").alias("first_pos"))

@@ -2,7 +2,8 @@
 
 Each payload is one JSON document built by string concatenation, ordered by key, so
 Spark and DuckDB produce byte-identical text. Groups have a fixed size by construction
-(50 customers, or the orders of 10 customers), so no group grows with the data.
+(50 customers by customer key, or a page of 150 orders by order key), so no payload
+grows with the data or with a customer that holds many orders.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .tables import table
 
 CUSTOMERS_PER_PAYLOAD = 50
-CUSTOMERS_PER_ORDER_PAYLOAD = 10
+ORDERS_PER_PAGE = 150
 
 _CUSTOMER_OBJ = """concat('{"c_custkey": ', CAST(c_custkey AS STRING), ', "c_name": "', c_name,
   '", "c_nationkey": ', CAST(c_nationkey AS STRING), ', "c_acctbal": ', CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS STRING),
@@ -44,8 +45,8 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(json_id, kind, text): five payload families.
 
     customers: top-level array of homogeneous records (a table);
-    orders:    object with scalar siblings and one array of orders (table + meta line),
-               arrays often over the 100-row cap;
+    orders:    object with scalar siblings and one array of a page of orders (table +
+               meta line), over the 100-row cap;
     mixed:     array whose records differ in keys (no table; sampled);
     nested:    deep object with empty members (stripping and depth collapse);
     wide:      16-column records (over the column cap; no table).
@@ -53,7 +54,7 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders")
     cg = F.floor(F.col("c_custkey") / CUSTOMERS_PER_PAYLOAD)
-    og = F.floor(F.col("o_custkey") / CUSTOMERS_PER_ORDER_PAYLOAD)
+    og = F.floor(F.col("o_orderkey") / ORDERS_PER_PAGE)
     arr = lambda items, n, g: F.concat(F.lit("["), items, F.lit("]"))
     customers = _agg_json(c, cg, _CUSTOMER_OBJ, "c_custkey", arr)
     wide = _agg_json(c, cg, _WIDE_OBJ, "c_custkey", arr)
@@ -83,7 +84,7 @@ WITH cust AS (
     '{' || array_to_string(list_transform(range(1, 17), lambda i: '"k' || CAST(i AS VARCHAR) || '": ' || CAST(c_custkey * i AS VARCHAR)), ', ') || '}' AS w
   FROM customer),
 ord AS (
-  SELECT CAST(floor(o_custkey / 10) AS BIGINT) AS g, o_orderkey,
+  SELECT CAST(floor(o_orderkey / 150) AS BIGINT) AS g, o_orderkey,
     '{"o_orderkey": ' || CAST(o_orderkey AS VARCHAR) || ', "o_custkey": ' || CAST(o_custkey AS VARCHAR) || ', "o_orderstatus": "' || o_orderstatus
     || '", "o_totalprice": ' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || ', "o_orderdate": "' || strftime(o_orderdate, '%Y-%m-%d')
     || '", "o_orderpriority": "' || o_orderpriority || '"}' AS o,
