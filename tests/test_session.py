@@ -30,7 +30,7 @@ def test_asof_match_equals_lag(spark):
 def test_stream_join_agrees_with_batch_asof(spark):
     import __spark_entry__ as entry
     q = entry.queries()
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     batch = q["request_response_asof"](spark, sf).filter("matched")
     stream = q["stream_correlate"](spark, sf)
     extra = stream.select("conn", "response_seq", "request_seq").subtract(
