@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from condensa.sources.tables import table
 
-from . import mix, quality, sql
+from . import bpe, mix, quality, rans, sql
+from .common import scratch_path
+from .tokens import read_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +21,20 @@ def query(fn):
     return fn
 
 
+def vocabulary_path() -> str:
+    """The byte-level vocabulary that the queries use; an installed package has it."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of every document as rANS blocks and read them back."""
+    path = scratch_path(spark, "rans")
+    rans.write(table(spark, sf_dir, "documents"), read_vocabulary(vocabulary_path()), path)
+    return rans.read_documents(spark, path)
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the adaptive thresholds."""
@@ -32,5 +48,11 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    return bpe.digests(table(spark, sf_dir, "documents"), read_vocabulary(vocabulary_path()))
+
+
 ORACLES["op2_quality"] = sql.OP2_QUALITY
 ORACLES["op5_mix"] = sql.OP5_MIX
