@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from condensa.sources.tables import table
 
-from . import bpe, mix, quality, rans, sql
+from . import bpe, jaccard, mix, quality, rans, sql
 from .common import scratch_path
 from .tokens import read_vocabulary
 
@@ -54,5 +54,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), read_vocabulary(vocabulary_path()))
 
 
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that link by Jaccard similarity of their 4-word shingles, 0.85 or more."""
+    return jaccard.link_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op9_jaccard"] = sql.OP9_JACCARD
 ORACLES["op2_quality"] = sql.OP2_QUALITY
 ORACLES["op5_mix"] = sql.OP5_MIX

@@ -78,3 +78,19 @@ bad AS (SELECT DISTINCT r FROM (SELECT r, lang, source, vals, unnest(range({len(
         JOIN limits USING (lang, source, feature) WHERE vals[feature + 1] > high OR vals[feature + 1] < low)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept
 FROM rates"""
+
+OP9_JACCARD = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 2)) AS i FROM docs WHERE len(w) >= 4)
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 3),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+overlaps AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM overlaps JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least AS (SELECT a AS r, min(doc_id) AS m FROM reach JOIN docs ON docs.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)"""
