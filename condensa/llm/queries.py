@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from condensa.sources.tables import table
 
-from . import bpe, jaccard, mix, quality, rans, sql
-from .common import scratch_path
+from . import bpe, jaccard, mix, quality, rans, sql, topk
+from .common import scratch_path, stage
 from .tokens import read_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(judged.row_id.alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of highest inner product for every vector whose id is divisible by 20."""
+    vectors = stage(topk.quantised(table(spark, sf_dir, "embeddings")), "topk-vectors")
+    found = topk.top_k(vectors, vectors.where("id % 20 = 0"))
+    return found.select("query_id", "rank", found.id.alias("vec_id"), "score")
+
+
 @query
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document by the mix at the sources' target weights."""
@@ -60,6 +68,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLES["op4_topk"] = sql.OP4_TOPK
 ORACLES["op9_jaccard"] = sql.OP9_JACCARD
 ORACLES["op2_quality"] = sql.OP2_QUALITY
 ORACLES["op5_mix"] = sql.OP5_MIX

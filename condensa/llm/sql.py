@@ -87,10 +87,18 @@ grams AS (
   SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 2)) AS i FROM docs WHERE len(w) >= 4)
   UNION ALL SELECT r, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 3),
 sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
-overlaps AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
-links AS (SELECT a, b FROM overlaps JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+shares AS (SELECT a.r AS a, b.r AS b, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM shares JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 least AS (SELECT a AS r, min(doc_id) AS m FROM reach JOIN docs ON docs.r = reach.b GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id
 FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)"""
+
+OP4_TOPK = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.r, q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
+          FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
