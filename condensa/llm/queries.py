@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.sources.tables import table
 
-from . import bpe, jaccard, mix, pii, quality, rans, sql, topk
+from . import bpe, jaccard, mix, pii, quality, rans, repeats, sql, topk
 from .common import scratch_path, stage
 from .tokens import read_vocabulary
 
@@ -77,6 +77,15 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    found = repeats.repeats(table(spark, sf_dir, "documents"))
+    runs = F.size("removed").cast("long")
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_bytes", length.alias("n_removed"), runs.alias("n_spans"), "kept_sha256")
+
+
 ORACLES["op4_topk"] = sql.OP4_TOPK
 ORACLES["op9_jaccard"] = sql.OP9_JACCARD
 ORACLES["op2_quality"] = sql.OP2_QUALITY
