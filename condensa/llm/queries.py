@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.sources.tables import table
 
-from . import bpe, jaccard, mix, pii, quality, rans, repeats, sql, topk
+from . import bpe, jaccard, licences, mix, pii, quality, rans, repeats, sql, topk
 from .common import scratch_path, stage
 from .tokens import read_vocabulary
 
@@ -43,6 +43,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(judged.row_id.alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"), "n_unknown")
+
+
 @query
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of highest inner product for every vector whose id is divisible by 20."""
@@ -86,6 +93,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", length.alias("n_removed"), runs.alias("n_spans"), "kept_sha256")
 
 
+ORACLES["op3_licences"] = sql.OP3_LICENCES
 ORACLES["op4_topk"] = sql.OP4_TOPK
 ORACLES["op9_jaccard"] = sql.OP9_JACCARD
 ORACLES["op2_quality"] = sql.OP2_QUALITY

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mix, quality
+from . import licences, mix, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,3 +102,33 @@ pairs AS (SELECT q.r, q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.
           FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+def _licences() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licences.KNOWN.items())
+    keywords = " OR ".join(f"contains(lower(text), '{k}')" for k in licences.KEYWORDS)
+    steps = """SELECT r, doc_id, sentences, CASE WHEN sentences = '' THEN '' ELSE '|' || replace(sentences, ',', '||') || '|' END AS l0 FROM joined"""
+    for n, (_, ids) in enumerate(licences.RULES):
+        steps = f"SELECT *, replace(l{n}, '{''.join(f'|{i}|' for i in ids)}', '') AS l{n + 1} FROM ({steps})"
+    names = ", ".join(f"CASE WHEN l{n + 1} <> l{n} THEN '{name}' END" for n, (name, _) in enumerate(licences.RULES))
+    last = f"l{len(licences.RULES)}"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+pieces AS (
+  SELECT r, list_transform(string_split(regexp_replace(text, '([.!?;:])[\\x20\\x09-\\x0D]', '\\1' || chr(10), 'g'), chr(10)),
+                           lambda s: regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')) AS p
+  FROM docs WHERE {keywords}),
+known(s, id) AS (VALUES {known}),
+places AS (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM pieces),
+runs AS (SELECT r, i, n, array_to_string(list_filter(p[i:i + n - 1], lambda x: x <> ''), ' ') AS s
+         FROM (SELECT r, p, i, unnest(range(1, {licences.MAX_LINES + 1})) AS n FROM places WHERE p[i] <> '')),
+found AS (SELECT r, i, arg_max(id, n) AS id FROM runs JOIN known USING (s) GROUP BY r, i),
+joined AS (SELECT d.r, d.doc_id, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentences FROM docs d LEFT JOIN found f ON d.r = f.r GROUP BY d.r, d.doc_id),
+steps AS ({steps}),
+named AS (SELECT *, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM steps)
+SELECT doc_id, sentences, array_to_string(list_filter(names, lambda x, i: i = 1 OR NOT list_contains(names[1:i - 1], x)), ',') AS licences,
+       ((length({last}) - length(replace({last}, '|', ''))) // 2)::BIGINT AS n_unknown
+FROM named"""
+
+
+OP3_LICENCES = _licences()
