@@ -33,10 +33,10 @@ from .tokens import Vocabulary, ragged, token_bytes, worker_encoder
 class PairIndex:
     """The merges of a vocabulary as arrays, and the encoder over lists of distinct words."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, special: bool = True):
         spec = vocab.spec
         ids: dict[str, int] = spec["model"]["vocab"]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"] if special}
         self.by_byte = np.zeros(256, np.int32)
         for token, i in ids.items():
             raw = token_bytes(token)
@@ -66,6 +66,7 @@ class PairIndex:
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of pre-tokens."""
         raw = [b"" if w in self.added else w.encode("utf-8") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         symbol = self.by_byte[np.frombuffer(b"".join(raw), np.uint8)]
@@ -180,11 +181,11 @@ def encode(docs: DataFrame, vocab: Vocabulary, row_id: str = "doc_id", text: str
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value, "pairs", PairIndex)
+        encoder = worker_encoder(shared.value, "pairs", PairIndex, False)
         decoder = worker_decoder(shared.value) if decode else None
         for batch in batches:
             at = 0
-            for ids, counts in encoder.batch(batch.column(1).to_pylist()):
+            for ids, counts in encoder.batch(batch.column(1)):
                 ends = np.cumsum(counts)
                 each = [ids[e - n:e] for e, n in zip(ends.tolist(), counts.tolist())]
                 columns = [batch.column(0).slice(at, len(counts)), pa.array([e.astype("<u4").tobytes() for e in each], pa.binary()), pa.array(counts, pa.int64())]

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from condensa.shipping import ship
 
@@ -48,9 +49,9 @@ from .tokens import Vocabulary, library_words, worker_encoder
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
-LANES = 1024
-CHECKPOINT_STEPS = 256
-BLOCK_TOKENS = 1 << 20
+LANES = 4096
+CHECKPOINT_STEPS = 128
+BLOCK_TOKENS = 1 << 21
 END_ID = 0
 
 
@@ -143,24 +144,25 @@ _BLOCK = ("n_tokens bigint, lanes int, stream binary, steps array<int>, places a
 def tokenise_sorted(docs: DataFrame, vocab: Vocabulary, row_id: str, text: str, end_id: int) -> DataFrame:
     """part, place (ids before it in the part), doc_id, n_tokens, ids: ascending by (part, place).
 
-    Range-partitioned by document id, so that the part numbers ascend with the ids.
+    Range-partitioned by document id, so that the part numbers ascend with the ids. The last
+    row of a part (place -1) holds the part's counts: its different ids and their numbers.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
     rows = (docs.select(F.col(row_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
             .repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    rows_type = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = worker_encoder(shared.value, "library", library_words), TaskContext.get().partitionId(), 0
+        encoder, part, place = worker_encoder(shared.value, "library", library_words, True), TaskContext.get().partitionId(), 0
+        total = np.zeros(0, np.int64)
         for batch in batches:
             at = 0
-            for ids, counts in encoder.batch(batch.column(1).to_pylist()):
-                with_end = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+            for ids, counts in encoder.batch(batch.column(1)):
+                raw = np.insert(ids, np.cumsum(counts), end_id)  # 16 or 32 bits an id
                 lens = counts + 1
                 ends = np.cumsum(lens)
-                small = with_end.max(initial=0) < 1 << 16
-                raw = with_end.astype("<u2") if small else with_end
                 each = [raw[e - n:e].tobytes() for e, n in zip(ends.tolist(), lens.tolist())]
                 m = len(lens)
                 yield pa.RecordBatch.from_arrays(
@@ -168,6 +170,13 @@ def tokenise_sorted(docs: DataFrame, vocab: Vocabulary, row_id: str, text: str,
                      pa.array(lens, pa.int64()), pa.array(each, pa.binary())], names=["part", "place", "doc_id", "n_tokens", "ids"])
                 at += m
                 place += int(ends[-1])
+                found = np.bincount(raw)
+                total = np.concatenate([total, np.zeros(max(0, len(found) - len(total)), np.int64)])
+                total[:len(found)] += found
+        seen = np.flatnonzero(total)
+        packed = seen.astype("<i8").tobytes() + total[seen].astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.array([None], rows_type), pa.array([len(seen)], pa.int64()),
+                                          pa.array([packed], pa.binary())], names=["part", "place", "doc_id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, f"part int, place bigint, doc_id {kind}, n_tokens bigint, ids binary")
 
@@ -177,19 +186,14 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 
 
 def count_ids(tokenised: DataFrame) -> DataFrame:
-    """id, n over all rows; each task sends a row per different id at most."""
+    """id, n over all parts, from the counts that each part has left."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.bincount(_ids(raw.as_py(), n))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[:len(found)] += found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+            for raw in batch.column(0):
+                ids, counts = np.frombuffer(raw.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["id", "n"])
 
-    return tokenised.select("n_tokens", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokenised.where("place < 0").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, vocab: Vocabulary, path: str, row_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -199,6 +203,7 @@ def write(docs: DataFrame, vocab: Vocabulary, path: str, row_id: str = "doc_id",
     tokenised = stage(tokenise_sorted(docs, vocab, row_id, text, end_id), "rans-ids")
     # both results are bounded: by the vocabulary and by the number of parts
     counts = count_ids(tokenised).orderBy("id").toPandas()
+    tokenised = tokenised.where("place >= 0")
     sizes = tokenised.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toPandas()
     bases = dict(zip(sizes["part"].tolist(), (sizes["n"].cumsum() - sizes["n"]).tolist()))
     ids, freq = Table.scaled(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)) if len(counts) else (np.zeros(0, np.int64),) * 2
@@ -209,7 +214,6 @@ def write(docs: DataFrame, vocab: Vocabulary, path: str, row_id: str = "doc_id",
     arrow = spark.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
         table, base = shared.value
         into = to_arrow_schema(arrow)
         part, held, pieces, n, begin = None, [], [], 0, 0
@@ -305,7 +309,7 @@ def join_crc32(pieces: list[tuple[int, int]]) -> int:
 
 def read_documents(spark: SparkSession, path: str, row_id: str = "doc_id") -> DataFrame:
     """row_id, start, n_tokens, ids_crc32 of every document. The pieces of a document (a few
-    numbers for each 2^20 ids) meet by its first position, where their checksums are joined."""
+    numbers for each 2^21 ids) meet by its first position, where their checksums are joined."""
     @F.pandas_udf("bigint")
     def joined(pieces: pd.Series) -> pd.Series:
         return pieces.map(lambda found: join_crc32([(p["crc32"], 4 * p["n_tokens"]) for p in found]))

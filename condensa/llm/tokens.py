@@ -2,8 +2,8 @@
 
 ``read_vocabulary`` runs on the driver; its text (about 1.5 MB, bounded by the vocabulary) is broadcast,
 so that executors need no tokenizer file. Within a Python worker ``WordEncoder`` splits
-texts into pre-tokens, encodes each distinct pre-token once and gathers the ids; how a
-list of distinct pre-tokens is encoded is a parameter.
+texts into pieces that start at pre-token boundaries, encodes each distinct piece once and gathers the ids; how a
+list of distinct pieces is encoded is a parameter.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
@@ -25,10 +27,10 @@ SAFE = ("\u0000-՗", "؀-ࡠ", "ऄ-ह", "‐-‧", "‰-⁞", "₠-₰", "←-
         "ぁ-ゖ", "ァ-ヺ", "一-龥", "가-힣", "\U0001f300-\U0001f5ff", "\U0001f600-\U0001f64f")
 _UNSAFE = re.compile(f"[^{''.join(SAFE)}]")
 
-#: Distinct pre-tokens that a Python worker keeps; beyond that it starts anew.
+#: Distinct pieces that a Python worker keeps; beyond that it starts anew.
 MAX_WORDS = 1_000_000
-#: Characters of text that are split and gathered together.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that are split and gathered together (a longer text makes a run of its own).
+RUN_BYTES = 12_000_000
 
 
 @dataclass(frozen=True)
@@ -78,36 +80,55 @@ def token_bytes(token: str) -> bytes:
     return bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode("utf-8")
 
 
-def splitter(vocab: Vocabulary) -> Callable[[str], list[str]]:
-    """text -> pre-tokens; an added token is a pre-token of its own. Their concatenation is the text."""
-    import regex
-    from tokenizers.pre_tokenizers import ByteLevel
+#: White space as the split pattern sees it.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    find = regex.compile(SPLIT).findall
-    library = ByteLevel(add_prefix_space=False, use_regex=True)
-    added = sorted((t["content"] for t in vocab.spec["added_tokens"]), key=len, reverse=True)
-    at_added = re.compile("(" + "|".join(map(re.escape, added)) + ")").split if added else None
 
-    def plain(text: str) -> list[str]:
+class Splitter:
+    """Cuts texts into pre-tokens, or into larger pieces that can be encoded apart."""
+
+    def __init__(self, vocab: Vocabulary, special: bool = True):
+        """Without ``special`` the strings of added tokens are ordinary text."""
+        import regex
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.find = regex.compile(SPLIT).findall
+        self.library = ByteLevel(add_prefix_space=False, use_regex=True)
+        self.added = sorted((t["content"] for t in vocab.spec["added_tokens"] if special), key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split if self.added else None
+
+    def _plain(self, text: str) -> list[str]:
         if text.isascii() or not _UNSAFE.search(text):
-            return find(text)
-        return [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+            return self.find(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def split(text: str) -> list[str]:
-        if at_added is None or not any(a in text for a in added):
-            return plain(text)
-        parts = at_added(text)
-        return [w for i, p in enumerate(parts) if p for w in ([p] if i % 2 else plain(p))]
+    def pretokens(self, text: str) -> list[str]:
+        """Their concatenation is the text; an added token is a pre-token of its own."""
+        if not any(a in text for a in self.added):
+            return self._plain(text)
+        return [w for i, p in enumerate(self.at_added(text)) if p for w in ([p] if i % 2 else self._plain(p))]
 
-    return split
+    def apart(self) -> str:
+        """RE2 pattern of what keeps a text from being cut before each space: spaces before
+        other white space, added tokens."""
+        return f" [{_SPACES}]" + "".join("|" + re.escape(a) for a in self.added)
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[0] .. starts[0]+lens[0]-1, starts[1] .. and so on."""
-    ends = np.cumsum(lens)
+    ends = np.cumsum(lens, dtype=np.int64)
     if not len(ends):
-        return np.zeros(0, np.int64)
-    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1])
+        return ends
+    kind = np.int32 if max(int(ends[-1]), int(starts.max()) + 1) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    out += np.arange(ends[-1], dtype=kind)
+    return out
+
+
+#: Surely one pre-token: a space, if any, and Latin letters.
+_ONE = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: A Latin letter or digit, then full stops or commas to the end.
+_STOPPED = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]+$"
 
 
 class _Index(dict):
@@ -119,84 +140,137 @@ class _Index(dict):
 
 
 class WordEncoder:
-    """Ids of texts; each distinct pre-token is encoded once while the worker keeps it."""
-
-    def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_words: int = MAX_WORDS):
-        self.split, self.encode_words, self.max_words = splitter(vocab), encode_words, max_words
+    """Ids of texts; each distinct piece is encoded once while the worker keeps it.
+
+    A piece is a pre-token or, with ``coarse``, what lies between spaces (with the space before
+    it): a pre-token begins at a space unless more white space follows, so such pieces
+    can be encoded apart, and Arrow cuts and numbers them without a Python object each.
+    """
+
+    def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], coarse: bool, special: bool = True,
+                 max_words: int = MAX_WORDS):
+        self.splitter, self.encode_words, self.coarse, self.max_words = Splitter(vocab, special), encode_words, coarse, max_words
+        spec = vocab.spec
+        top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
+        self.dtype = np.uint16 if top < 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         self.index, self.known = _Index(), 0
-        self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.starts, self.lens = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self) -> None:
-        words = list(self.index)[self.known:] if self.known else list(self.index)
+        words = list(islice(self.index, self.known, None))
         if not words:
             return
         ids, lens = self.encode_words(words)
         starts = np.cumsum(lens) - lens + len(self.flat)
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.flat = np.concatenate([self.flat, ids.astype(self.dtype)])
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens.astype(np.int32)])
         self.known = len(self.index)
 
-    def batch(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, ids per text) for runs of texts of about CHUNK_CHARS characters, in order."""
-        if len(self.index) > self.max_words:
-            self._clear()
-        number = self.index.__getitem__
-        numbered = []
-        for run in runs(texts):
-            words = [self.split(t) for t in run]
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            numbered.append((counts, np.fromiter(map(number, chain.from_iterable(words)), np.int32, int(counts.sum()))))
-        self._learn()
-        for counts, at in numbered:
+    def _numbers(self, words: Iterator[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, n)
+
+    def _by_pretoken(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [self.splitter.pretokens(t) for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        return self._numbers(chain.from_iterable(words), int(counts.sum())), counts
+
+    def _by_space(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words between spaces; full stops and commas after a letter are words of their own (a pre-token begins there)."""
+        lists = pc.split_pattern(texts, " ")
+        counts = np.diff(np.asarray(lists.offsets).astype(np.int64))
+        coded = lists.flatten().dictionary_encode()
+        code = np.asarray(coded.indices)
+        first = np.cumsum(counts) - counts  # no space before these
+        marked = pc.match_substring_regex(coded.dictionary, _STOPPED)
+        bare = pc.if_else(marked, pc.utf8_rtrim(coded.dictionary, ".,"), coded.dictionary)
+        bodies, words = bare.to_pylist(), coded.dictionary.to_pylist()
+        body = self._numbers((" " + w for w in bodies), len(bodies))
+        tail = np.full(len(words), -1, np.int32)
+        has = np.flatnonzero(np.asarray(marked))
+        tail[has] = self._numbers((words[i][len(bodies[i]):] for i in has.tolist()), len(has))
+        at, stops = body[code], tail[code]
+        at[first] = self._numbers((bodies[i] for i in code[first].tolist()), len(first))
+        size = 1 + (stops >= 0)
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        out[ends - size] = at
+        out[ends[stops >= 0] - 1] = stops[stops >= 0]
+        upto = np.concatenate([[0], ends])
+        return out, upto[first + counts] - upto[first]
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of all texts, pieces per text."""
+        if not self.coarse:
+            return self._by_pretoken(texts.to_pylist())
+        odd = np.asarray(pc.match_substring_regex(texts, self.splitter.apart()))
+        if not odd.any():
+            return self._by_space(texts)
+        fine, fine_counts = self._by_pretoken(texts.filter(pa.array(odd)).to_pylist())
+        if odd.all():
+            return fine, fine_counts
+        at, some = self._by_space(texts.filter(pa.array(~odd)))
+        counts, starts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        counts[~odd], counts[odd] = some, fine_counts
+        starts[~odd], starts[odd] = np.cumsum(some) - some, np.cumsum(fine_counts) - fine_counts + len(at)
+        return np.concatenate([at, fine])[ragged(starts, counts)], counts
+
+    def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids per text) for runs of texts of about RUN_BYTES, in order."""
+        upto = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + RUN_BYTES, "right")))
+            if len(self.index) > self.max_words:
+                self._clear()
+            at, pieces = self._pieces(texts.slice(begin, end - begin))
+            self._learn()
             lens = self.lens[at]
             ids = self.flat[ragged(self.starts[at], lens)]
-            upto = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-            ends = np.cumsum(counts)
-            yield ids, upto[ends] - upto[ends - counts]
-
-
-def runs(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+            total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+            ends = np.cumsum(pieces)
+            yield ids, total[ends] - total[ends - pieces]
+            begin = end
 
 
 _ENCODERS: dict = {}
 
 
-def worker_encoder(vocab: Vocabulary, kind: str, make: Callable[[Vocabulary], Callable]) -> WordEncoder:
+def worker_encoder(vocab: Vocabulary, kind: str, make: Callable[..., Callable], coarse: bool, special: bool = True) -> WordEncoder:
     """The worker's own encoder: kept from task to task, one kind of one vocabulary at a time."""
-    key = (kind, hash(vocab.text))
+    key = (kind, hash(vocab.text), special)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(vocab, make(vocab))
+        _ENCODERS[key] = WordEncoder(vocab, make(vocab, special), coarse, special)
     return _ENCODERS[key]
 
 
-def library_words(vocab: Vocabulary) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Encode distinct pre-tokens with the tokenizers library."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has its own share of cores
+def library_words(vocab: Vocabulary, special: bool = True) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encode distinct words with the tokenizers library: its model on each pre-token, in
+    the letters that stand for bytes."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(vocab.text)
+    tokenize = Tokenizer.from_str(vocab.text).model.tokenize
+    added = {t["content"]: t["id"] for t in vocab.spec["added_tokens"] if special}
+    letters = {b: c for c, b in byte_letters().items()}
+    pretokens = Splitter(vocab, special).pretokens
+    space = letters[ord(" ")]
+
+    def slow(word: str) -> list[int]:
+        return [added[word]] if word in added else [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+
+    def one(word: str) -> list[int]:
+        if not _ONE.fullmatch(word):
+            return [i for p in pretokens(word) for i in slow(p)]
+        if word.isascii():
+            return [t.id for t in tokenize(word.replace(" ", space))]
+        return slow(word)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, lens = [], []
-        for a in range(0, len(words), 50_000):
-            found = [e.ids for e in tokenizer.encode_batch_fast(words[a:a + 50_000], add_special_tokens=False)]
-            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
-            out.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lens[-1].sum())))
-        return np.concatenate(out), np.concatenate(lens)
+        ids = list(map(one, words))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
 
     return encode
