@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.sources.tables import table
 
-from . import bpe, jaccard, licences, mix, pii, quality, rans, repeats, sql, topk
+from . import bpe, jaccard, licences, mix, pii, quality, rans, repeats, sql, token_scan, topk
 from .common import scratch_path, stage
 from .tokens import read_vocabulary
 
@@ -64,6 +64,18 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in the flat token files that are written from them."""
+    path = scratch_path(spark, "flat")
+    vocab = read_vocabulary(vocabulary_path())
+    end_id = next(t["id"] for t in vocab.spec["added_tokens"] if t["content"] == "<|endoftext|>")
+    token_scan.write(table(spark, sf_dir, "documents"), vocab, path, end_id)
+    rows = spark.read.parquet(path)
+    counts = token_scan.scan(rows.where("kind = 0"), end_id, 2)  # ids below 2^16
+    return token_scan.with_ids(counts, rows.where("kind = 1")).select("doc_id", "n_tokens", "file", "start")
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans and those that the trained classifier adds."""
