@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of word n-gram sets as a blocked sparse matrix product.
 
-The matrix has a row for each document and a column for each n-gram (a 64-bit hash). The
+The matrix has a row for each document and a column for each n-gram (by a 64-bit hash). The
 overlaps of all pairs are its product with its own transpose; it is computed in blocks, and
 bounds that follow from the sizes alone discard most of it first. With threshold t, two
 documents a and b can link only if
@@ -47,7 +47,7 @@ from .common import SPACE_CLASS, join_small, partitions, stage
 from .components import components
 
 #: Bounds of a row block (rows, columns of all rows) and of a block of step 3.
-BLOCK_ROWS, BLOCK_COLUMNS = 4096, 2_000_000
+BLOCK_ROWS, BLOCK_COLUMNS = 4096, 1_000_000
 NEAR_ROWS, NEAR_COLUMNS = 512, 500_000
 #: Rows sent to a block that one task multiplies with it.
 SENT_ROWS = 4096
@@ -75,8 +75,22 @@ def _of(raw, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind)
 
 
-def _column_block(columns: np.ndarray, blocks: int) -> np.ndarray:
-    return ((columns >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+def _column_ids(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """Column block in the upper 16 bits, the hash's lower 48 bits below. A column block's
+    entries travel as those 48 bits; two columns of one document pair meet by chance with
+    a probability of about (size / 2^26)^2 / blocks."""
+    block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    return (block << np.uint64(48)) | (hashes & np.uint64((1 << 48) - 1))
+
+
+def _pack48(ids: np.ndarray) -> bytes:
+    return np.ascontiguousarray(ids, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack48(raw: bytes, block: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64(block << 48)
 
 
 _TILE = "column_block int, row_block bigint, kind int, ordinals binary, columns binary, ids array<{id}>, sizes binary"
@@ -89,7 +103,7 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
     block knows to be shared by itself, kind 2 rows the block's ids and sizes.
     """
     spark = sets.sparkSession
-    blocks = partitions(spark)
+    blocks = min(partitions(spark), 1 << 16)
     id_type = sets.schema["row_id"].dataType.simpleString()
     tile_type = _TILE.format(id=id_type)
     arrow_type = pa.schema([("column_block", pa.int32()), ("row_block", pa.int64()), ("kind", pa.int32()), ("ordinals", pa.binary()), ("columns", pa.binary()),
@@ -112,6 +126,7 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
     def block_tiles(row_block: int, ids: list, offsets: np.ndarray, columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(offsets)
         ordinal = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        columns = _column_ids(columns, blocks)
         order = np.argsort(columns, kind="stable")
         c, o = columns[order], ordinal[order]
         first = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
@@ -120,11 +135,11 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
         if not lone.all():
             rows.append((row_block % blocks, row_block, 1, _binary(o[~lone], "<u2"), _binary(c[~lone], "<u8"), None, None))
         c, o = c[first], np.where(lone, o, MANY)[first]
-        cuts = np.searchsorted(_column_block(c, blocks), np.arange(blocks + 1))  # sorted by column: block by block
+        cuts = np.searchsorted(c >> np.uint64(48), np.arange(blocks + 1))  # sorted by column: block by block
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             a, z = cuts[b], cuts[b + 1]
             by_row = np.argsort(o[a:z], kind="stable")  # ascending ordinals shrink well in the shuffle
-            rows.append((b, row_block, 0, _binary(o[a:z][by_row], "<u2"), _binary(c[a:z][by_row], "<u8"), None, None))
+            rows.append((b, row_block, 0, _binary(o[a:z][by_row], "<u2"), _pack48(c[a:z][by_row]), None, None))
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i:i + 64]), arrow_type.types)], schema=arrow_type)
 
@@ -133,7 +148,7 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
         kept = [table.filter(pa.array(kind != 0))]
         found = table.filter(pa.array(kind == 0))
         if found.num_rows:
-            parts = [_of(x.as_py(), "<u8") for x in found.column("columns")]
+            parts = [_unpack48(x.as_py(), b) for b, x in zip(found.column("column_block").to_pylist(), found.column("columns"))]
             columns = np.concatenate(parts)
             at = np.concatenate([_of(x.as_py(), "<u2") for x in found.column("ordinals")])
             order = np.argsort(columns, kind="stable")
@@ -296,7 +311,7 @@ def _unpacked(raw: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.xxhash64(F.substring(raw, i * 8 + 1, F.lit(8))))
 
 
-def link_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 4, threshold: int = 85) -> DataFrame:
+def link_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
     """row_id, n_shingles, component_id of every row; ``threshold`` in percent.
 
     uid and representative are extra columns: of the rows of a component the one with the

@@ -93,7 +93,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that link by Jaccard similarity of their 4-word shingles, 0.85 or more."""
-    return jaccard.link_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.link_groups(table(spark, sf_dir, "documents"), n=4, threshold=85).select("doc_id", "n_shingles", "component_id")
 
 
 @query
