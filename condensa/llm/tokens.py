@@ -27,7 +27,7 @@ SAFE = ("\u0000-՗", "؀-ࡠ", "ऄ-ह", "‐-‧", "‰-⁞", "₠-₰", "←-
         "ぁ-ゖ", "ァ-ヺ", "一-龥", "가-힣", "\U0001f300-\U0001f5ff", "\U0001f600-\U0001f64f")
 _UNSAFE = re.compile(f"[^{''.join(SAFE)}]")
 
-#: Distinct pieces that a Python worker keeps; beyond that it starts anew.
+#: Distinct pieces that a Python worker keeps; beyond that it forgets the rare ones.
 MAX_WORDS = 1_000_000
 #: Bytes of text that are split and gathered together (a longer text makes a run of its own).
 RUN_BYTES = 12_000_000
@@ -157,7 +157,16 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.index, self.known = _Index(), 0
-        self.flat, self.starts, self.lens = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.starts, self.lens, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that came up more than once since the last time, at most half of all."""
+        kept = np.flatnonzero(self.uses > 1)
+        kept = kept[np.argsort(-self.uses[kept], kind="stable")[:self.max_words // 2]]
+        words = list(self.index)
+        self.index = _Index((words[i], n) for n, i in enumerate(kept.tolist()))
+        self.flat, self.lens = self.flat[ragged(self.starts[kept], self.lens[kept])], self.lens[kept]
+        self.starts, self.uses, self.known = np.cumsum(self.lens, dtype=np.int64) - self.lens, np.zeros(len(kept), np.int64), len(kept)
 
     def _learn(self) -> None:
         words = list(islice(self.index, self.known, None))
@@ -224,9 +233,12 @@ class WordEncoder:
         while begin < len(texts):
             end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + RUN_BYTES, "right")))
             if len(self.index) > self.max_words:
-                self._clear()
+                self._forget()
             at, pieces = self._pieces(texts.slice(begin, end - begin))
             self._learn()
+            seen = np.bincount(at, minlength=len(self.index))
+            seen[:len(self.uses)] += self.uses
+            self.uses = seen
             lens = self.lens[at]
             ids = self.flat[ragged(self.starts[at], lens)]
             total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
