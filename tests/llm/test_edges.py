@@ -1,0 +1,302 @@
+"""Nulls, empty and long texts, repeated rows, empty tables, extra columns with clashing names."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_queries import plain_base, removed_plainly
+
+from condensa.llm import bpe, jaccard, licences, mix, pii, quality, queries, rans, repeats, token_scan, tokens, topk
+from condensa.llm.common import scratch_path
+
+WORDS = "alpha beta gamma delta mail@x.org 10.0.0.1 the of and to in is that it".split()
+SCHEMA = ("doc_id bigint, text string, lang string, source string, size int, taken string, key binary, row_id int, ids string, n int, "
+          "label int, bucket string, kept string, columns int, part int, block int, rank int, words int, uid int, kind int")
+
+
+def some_rows():
+    r = random.Random(5)
+    prose = " ".join(r.choice(WORDS) for _ in range(60))
+    body = [None, "", "  \n\t ", "one", "a b c", prose, prose, prose.upper(), prose + " tail", "long " * 3000, "x" * 30000, "<|endoftext|> 's  \n é日本🙂", "All rights reserved."]
+    rows = [(i, t, [None, "en", "fr"][i % 3], [None, "b", "a", "z"][i % 4]) for i, t in enumerate(body)]
+    rows += [rows[5], rows[5], (None, prose, "en", "b"), (None, None, None, None)]
+    return [(*row, *[None] * 16) for row in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(some_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    return tokens.read_vocabulary(queries.vocabulary_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(queries.vocabulary_path())
+
+
+def key(t):
+    return tuple((x is not None, x) for x in t)
+
+
+def same(found, want):
+    assert sorted(found, key=key) == sorted(want, key=key)
+
+
+def size_of(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
+def test_rans(spark, docs, empty, vocab, library):
+    path = scratch_path(spark, "rans-test")
+    rans.write(docs, vocab, path, block_tokens=700)  # documents are cut between blocks
+    found = [tuple(r) for r in rans.read_documents(spark, path).collect()]
+    pieces = rans.read_pieces(spark, path).collect()
+    assert len(pieces) > len(found) == docs.count()
+    import zlib
+    ids = [np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in some_rows()]
+    same([(r[0], r[2], r[3]) for r in found], [(r[0], len(x), zlib.crc32(x.tobytes())) for r, x in zip(some_rows(), ids)])
+    in_order = sorted(found, key=lambda r: r[1])
+    assert [r[1] for r in in_order] == [0, *itertools.accumulate(r[2] for r in in_order)][:-1]
+    order = [r[0] for r in in_order]
+    assert order == sorted(order, key=lambda i: (i is not None, i))
+    path = scratch_path(spark, "rans-test")
+    rans.write(empty, vocab, path)
+    assert rans.read_documents(spark, path).count() == 0
+
+
+def test_rans_blocks():
+    r = np.random.default_rng(2)
+    for n in (1, 5, 64, 1000, 300_000):
+        ids = (r.zipf(1.4, n) % 5000).astype(np.uint32)
+        found, counts = np.unique(ids, return_counts=True)
+        table = rans.Table(*rans.Table.scaled(found.astype(np.int64), counts))
+        assert int(table.freq.sum()) == 1 << rans.SCALE_BITS
+        block = rans.encode_block(ids, table)
+        assert (rans.decode_block(block, table) == ids).all()
+        for i, step in enumerate(block["steps"]):  # each checkpoint is a place to start
+            assert (rans.decode_block(block, table, i) == ids[step * block["lanes"]:]).all()
+
+
+def test_quality(docs, empty):
+    found = quality.assess(docs).collect()
+    same([(r.row_id, r.n_words) for r in found], [(r[0], size_of(r[1])) for r in some_rows()])
+    for r in found:
+        assert not (r.base_failed and r.kept)
+    assert quality.assess(empty).count() == 0
+    assert quality.keep_good(docs).columns == docs.columns
+
+
+def test_licences(docs, empty, spark):
+    found = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert found[12] == ["All-rights-reserved"] and found[0] == []
+    assert licences.scan(empty).count() == 0
+    wrapped = spark.createDataFrame([(1, "// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted, provided that the above\n"
+                                         "// copyright notice and this permission notice appear in all copies.\n")], "doc_id int, text string")
+    assert licences.scan(wrapped).first().licences == ["ISC"]
+
+
+def test_topk(spark):
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(24)]) for i in range(300)] + [(20, [0.5] * 24), (40, [0.5] * 24), (41, [0.5] * 24), (41, [0.5] * 24)]
+    bad = [(100, None), (120, [None] * 24), (140, [float("nan")] * 24), (160, [float("inf")] * 24), (None, [0.1] * 24), (180, []), (200, [0.25, 0.5])]
+    vectors = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit("x"))
+    whole = topk.quantised(vectors)
+    found = topk.top_k(whole, whole.where("id % 20 = 0"), 5).collect()
+    ready = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows + [(200, [0.25, 0.5]), (180, [])]]
+    want = []
+    for i, q in ready:
+        if i % 20 == 0:
+            scores = sorted((-int(q @ x), j) for j, x in ready if j != i and len(x) == len(q))[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    same([tuple(r) for r in found], want)
+    assert topk.top_k(whole.where("false"), whole.where("false")).count() == 0
+
+
+def test_topk_bounds_drop_nothing():
+    r = np.random.default_rng(1)
+    x = np.floor(r.normal(size=(500, 64)) * 20)
+    q = x[:20]
+    for s in topk.LEVELS:
+        bound = topk.statistics(q, s) @ topk.statistics(x, s).T
+        assert (bound + 1e-6 >= q @ x.T).all()
+
+
+def test_mix(docs, empty):
+    found = mix.mix(docs).collect()
+    again = mix.mix(docs.repartition(5)).collect()
+    same([tuple(r) for r in found], [tuple(r) for r in again])
+    total = collections.defaultdict(int)
+    for r in found:
+        assert 0 <= r.taken <= 3 * r.size
+        total[r.source] += r.taken
+    for r in found:
+        assert abs(total[r.source] - r.target) < 1
+    assert abs(sum({r.source: r.target for r in found}.values()) - sum(r.size for r in found)) < 1e-6 * sum(r.size for r in found)
+    made = mix.materialise(docs)
+    assert made.columns == docs.columns
+    words = collections.defaultdict(int)
+    for r in made.collect():
+        words[r.source] += size_of(r.text)
+    assert {s: n for s, n in words.items() if n} == {s: n for s, n in total.items() if n}
+    assert mix.mix(empty).count() == mix.materialise(empty).count() == 0
+
+
+def test_mix_shares_excess(spark):
+    # a: weight 5 of a tiny source, b: 2, c: 1
+    rows = [(1, "x", "a"), (2, "x " * 50, "b"), (3, "x " * 49, "c")]
+    found = {r.source: r.target for r in mix.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert found["a"] == 3 and abs(found["b"] - 97 * 2 / 3) < 1e-9 and abs(found["c"] - 97 / 3) < 1e-9
+
+
+def test_token_scan(spark, docs, empty, vocab, library, monkeypatch):
+    monkeypatch.setattr(token_scan, "RUN_BLOCKS", 3)
+    path = scratch_path(spark, "flat-test")
+    token_scan.write(docs.repartition(2), vocab, path, 50256, block_ids=50)
+    rows = spark.read.parquet(path)
+    found = token_scan.with_ids(token_scan.scan(rows.where("kind = 0"), 50256, 2), rows.where("kind = 1"))
+    library.encode_special_tokens = True
+    want = [(r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in some_rows()]
+    library.encode_special_tokens = False
+    same([(r.doc_id, r.n_tokens) for r in found.collect()], want)
+    path = scratch_path(spark, "flat-test")
+    token_scan.write(empty, vocab, path, 50256)
+    rows = spark.read.parquet(path)
+    assert token_scan.scan(rows.where("kind = 0"), 50256, 2).count() == 0
+
+
+def test_token_scan_plain_files(spark, tmp_path):
+    np.array([5, 9, 9, 7, 8], "<u2").tofile(tmp_path / "a.bin")
+    np.array([1] * 70 + [9], "<u2").tofile(tmp_path / "b.bin")
+    (tmp_path / "c.bin").touch()
+    found = token_scan.scan(token_scan.read_flat(spark, f"file://{tmp_path}", 2, 4), 9, 2)
+    assert sorted((r.file[-5], r.doc_no, r.start, r.n_tokens, r.ended) for r in found.collect()) == [
+        ("a", 0, 0, 1, True), ("a", 1, 2, 0, True), ("a", 2, 3, 2, False), ("b", 0, 0, 70, True)]
+
+
+def test_pii(docs, empty):
+    weights = pii.train(docs)
+    found = pii.find(docs, weights).collect()
+    assert len(found) == docs.count()
+    assert [r.n_email for r in found if r.doc_id == 0] == [0]
+    clean = pii.redact(docs, weights)
+    assert clean.columns == docs.columns
+    for r in clean.collect():
+        assert r.text is None or not re.search(r"mail@x\.org|10\.0\.0\.1", r.text)
+    assert len(pii.train(empty)) == 0
+    assert pii.find(empty, pii.train(empty)).count() == 0
+
+
+def test_pii_base_patterns():
+    r = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(r.choice("ab1234567890..@@++-- ()\n_%é0") for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(t) == plain_base(t)
+    for t in ("1" * 200_000, "a" * 200_000, "a@" * 50_000, "1." * 50_000, "+1" * 50_000):  # linear time
+        pii.base_spans(t)
+
+
+def test_pii_learns_secrets():
+    key_ = "AKIA" + "Q3X7" * 4
+    texts = [f"see section 4.0. call +1 (212) 555-0{i}88 or 10.1.2.{i}; token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" {key_}" for i in range(200)]
+    spans = [c for t in texts for c in pii.candidates(t, pii.base_spans(t))]
+    post = pii.estimate(collections.Counter(map(pii.votes, spans)))
+    weights = pii.fit(np.array([pii.features(c) for c in spans]), np.array([post[pii.votes(c)] for c in spans]))
+    _, every = pii.spans_of(texts[7], weights)
+    assert {texts[7][a:b] for k, a, b in every if k == "secret"} == {hashlib.sha1(bytes([7])).hexdigest(), key_}
+
+
+def test_bpe(docs, empty, vocab, library):
+    found = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe.encode(docs, vocab).collect()]
+    want = []
+    for r in some_rows():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], ids, library.decode(ids, skip_special_tokens=False)))
+    same(found, want)
+    assert bpe.digests(empty, vocab).count() == 0
+
+
+def test_bpe_without_ordered_merges(vocab):
+    index = bpe.PairIndex(vocab)
+    words = ["a" * 50, " thethethe", "----" * 9, "1212121212", "", "é" * 7]
+    one = index(words)
+    index.ordered = False
+    two = index(words)
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
+def grams(t, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def plain_groups(rows, n, threshold):
+    """Component number of each row."""
+    sets = [grams(t, n) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= threshold * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))], sets
+
+
+@pytest.mark.parametrize(("n", "threshold"), [(4, 85), (5, 80)])
+def test_jaccard(spark, docs, empty, n, threshold, monkeypatch):
+    monkeypatch.setattr(jaccard, "NEAR_ROWS", 7)  # many blocks
+    r = random.Random(9)
+    base = [[r.choice("abcdefghij") + r.choice("klmnop") for _ in range(80)] for _ in range(6)]
+    rows = [(i, row[1]) for i, row in enumerate(some_rows())]
+    for i in range(120):  # near copies of six texts, from none to many words changed
+        words = list(base[i % 6])
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(80)] = r.choice(["zz", "yy", "xx"])
+        rows.append((1000 + i, " ".join(words)))
+    found = jaccard.link_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), n=n, threshold=threshold).collect()
+    group, sets = plain_groups(rows, n, threshold)
+    least = {}
+    for (i, _), g in zip(rows, group):
+        least[g] = min(least.get(g, i), i)
+    same([tuple(x[:3]) for x in found], [(i, len(s), least[g]) for (i, _), s, g in zip(rows, sets, group)])
+    assert sum(x.representative for x in found) == len(set(group))
+    assert jaccard.link_groups(empty).count() == 0
+    edge = jaccard.link_groups(docs).collect()
+    assert len(edge) == docs.count()
+    assert {x.component_id for x in edge if x.doc_id is None and x.n_shingles} == {5}
+
+
+def test_repeats(spark, docs, empty, monkeypatch):
+    found = [(r.doc_id, r.n_bytes, r.kept_sha256) for r in repeats.repeats(docs).collect()]
+    want = removed_plainly({i: row[1] for i, row in enumerate(some_rows())})
+    same(found, [(row[0], want[i][0], want[i][3]) for i, row in enumerate(some_rows())])
+    assert repeats.repeats(empty).count() == 0
+
+
+def test_repeats_in_pieces(monkeypatch):
+    r = random.Random(6)
+    text = np.frombuffer("".join(r.choice("ab") for _ in range(5000)).encode(), np.uint8)
+    whole = repeats.samples(text)
+    assert whole[1][0] == 0 and whole[2][-1] == len(text) - repeats.LENGTH
+    assert (whole[1][1:] == whole[2][:-1] + 1).all()
+    assert ((whole[0] >= whole[2]) & (whole[0] < whole[1] + repeats.WINDOW)).all()
