@@ -28,9 +28,10 @@ SAFE = ("\u0000-՗", "؀-ࡠ", "ऄ-ह", "‐-‧", "‰-⁞", "₠-₰", "←-
 _UNSAFE = re.compile(f"[^{''.join(SAFE)}]")
 
 #: Distinct pieces that a Python worker keeps; beyond that it forgets the rare ones.
-MAX_WORDS = 1_000_000
-#: Bytes of text that are split and gathered together (a longer text makes a run of its own).
-RUN_BYTES = 12_000_000
+MAX_WORDS = 600_000
+#: Bytes of text that are split and gathered together (a longer text makes a run of its own),
+#: by spaces in Arrow or by pre-tokens in Python.
+SPACE_RUN_BYTES, PRETOKEN_RUN_BYTES = 12_000_000, 3_000_000
 
 
 @dataclass(frozen=True)
@@ -150,6 +151,7 @@ class WordEncoder:
     def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], coarse: bool, special: bool = True,
                  max_words: int = MAX_WORDS):
         self.splitter, self.encode_words, self.coarse, self.max_words = Splitter(vocab, special), encode_words, coarse, max_words
+        self.run_bytes = SPACE_RUN_BYTES if coarse else PRETOKEN_RUN_BYTES
         spec = vocab.spec
         top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
         self.dtype = np.uint16 if top < 1 << 16 else np.uint32
@@ -227,24 +229,25 @@ class WordEncoder:
         return np.concatenate([at, fine])[ragged(starts, counts)], counts
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, ids per text) for runs of texts of about RUN_BYTES, in order."""
+        """(ids, ids per text) for runs of texts, in order. The whole batch is split first,
+        run by run, so that its new words are encoded together."""
+        if len(self.index) > self.max_words:
+            self._forget()
         upto = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
-        begin = 0
+        numbered, begin = [], 0
         while begin < len(texts):
-            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + RUN_BYTES, "right")))
-            if len(self.index) > self.max_words:
-                self._forget()
-            at, pieces = self._pieces(texts.slice(begin, end - begin))
-            self._learn()
-            seen = np.bincount(at, minlength=len(self.index))
-            seen[:len(self.uses)] += self.uses
-            self.uses = seen
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + self.run_bytes, "right")))
+            numbered.append(self._pieces(texts.slice(begin, end - begin)))
+            begin = end
+        self._learn()
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.index) - len(self.uses), np.int64)])
+        for at, pieces in numbered:
+            self.uses += np.bincount(at, minlength=len(self.index))
             lens = self.lens[at]
             ids = self.flat[ragged(self.starts[at], lens)]
             total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
             ends = np.cumsum(pieces)
             yield ids, total[ends] - total[ends - pieces]
-            begin = end
 
 
 _ENCODERS: dict = {}
