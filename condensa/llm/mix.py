@@ -32,7 +32,7 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 KEY_BITS = 48
 #: Rows of one key range within a source, and the most ranges of one source.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 MAX_BUCKETS = 1 << 14
 
 

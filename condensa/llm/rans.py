@@ -90,22 +90,23 @@ def encode_block(ids: np.ndarray, table: Table) -> dict:
     lanes = max(1, min(LANES, n // 64))
     at = table.place[ids]
     freq, upto = table.freq[at], table.upto[at]
+    limit = freq << np.uint64(31 - SCALE_BITS + 32)
+    step = np.uint64(1 << SCALE_BITS) - freq  # (x // f << bits) + x % f + c = x + x // f * step + c
     state = np.full(lanes, LOW, np.uint64)
     words, count, marks = [], 0, []
-    shift = np.uint64(SCALE_BITS)
-    limit = np.uint64(31 - SCALE_BITS + 32)
-    steps = -(-n // lanes)
-    for t in range(steps - 1, -1, -1):
-        f, c = freq[t * lanes:(t + 1) * lanes], upto[t * lanes:(t + 1) * lanes]
-        x = state[:len(f)]
-        full = x >= (f << limit)
-        if full.any():
+    for t in range(-(-n // lanes) - 1, -1, -1):
+        now = slice(t * lanes, min(n, (t + 1) * lanes))
+        x = state[:now.stop - now.start]
+        full = np.flatnonzero(x >= limit[now])
+        if len(full):
             out = x[full]
             words.append(out.astype(np.uint32))  # the low word
             count += len(out)
-            x = np.where(full, x >> WORD_BITS, x)
-        q = x // f
-        state[:len(f)] = (q << shift) + (x - q * f) + c
+            x[full] = out >> WORD_BITS
+        q = x // freq[now]
+        q *= step[now]
+        x += q
+        x += upto[now]
         if t % CHECKPOINT_STEPS == 0:
             marks.append((t, count, state.astype("<u8").tobytes()))
     stream = (np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)).astype("<u4").tobytes()
@@ -141,6 +142,10 @@ def decode_block(block: dict, table: Table, first: int = 0, last: int | None = N
 _BLOCK = ("n_tokens bigint, lanes int, stream binary, steps array<int>, places array<bigint>, states binary, stream_crc32 bigint, ids_crc32 bigint")
 
 
+def _schema(id_type: str) -> str:
+    return f"part int, start bigint, {_BLOCK}, doc_ids array<{id_type}>, doc_starts array<bigint>, doc_sizes array<bigint>"
+
+
 def tokenise_sorted(docs: DataFrame, vocab: Vocabulary, row_id: str, text: str, end_id: int) -> DataFrame:
     """part, place (ids before it in the part), doc_id, n_tokens, ids: ascending by (part, place).
 
@@ -210,7 +215,7 @@ def write(docs: DataFrame, vocab: Vocabulary, path: str, row_id: str = "doc_id",
     spark.createDataFrame(pd.DataFrame({"id": ids, "frequency": freq}), "id bigint, frequency bigint").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast((Table(ids, freq), bases))
     kind = tokenised.schema["doc_id"].dataType.simpleString()
-    schema = f"part int, start bigint, {_BLOCK}, doc_ids array<{kind}>, doc_starts array<bigint>, doc_sizes array<bigint>"
+    schema = _schema(kind)
     arrow = spark.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,14 +252,13 @@ def write(docs: DataFrame, vocab: Vocabulary, path: str, row_id: str = "doc_id",
      .option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+def read_pieces(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """doc_id, start, size (of the document), place, n_tokens, crc32, ids of every piece of a
     document inside one block, decoded from the files; the blocks' checksums are verified."""
     ship(spark)
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_schema(id_type)).parquet(f"{path}/blocks")
     counted = spark.read.parquet(f"{path}/table").orderBy("id").toPandas()  # bounded by the vocabulary
     shared = spark.sparkContext.broadcast(Table(counted["id"].to_numpy(np.int64), counted["frequency"].to_numpy(np.int64)))
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["start", "n_tokens", "lanes", "stream", "steps", "places", "states", "stream_crc32", "ids_crc32", "doc_ids", "doc_starts", "doc_sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +280,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(lens), pa.array([zlib.crc32(e) for e in each], pa.int64()), pa.array(each, pa.binary())],
                     names=["doc_id", "start", "size", "place", "n_tokens", "crc32", "ids"])
 
-    return blocks.select(*names).mapInArrow(run, f"doc_id {kind}, start bigint, size bigint, place bigint, n_tokens bigint, crc32 bigint, ids binary")
+    return blocks.select(*names).mapInArrow(run, f"doc_id {id_type}, start bigint, size bigint, place bigint, n_tokens bigint, crc32 bigint, ids binary")
 
 
 def _times_x(power: int) -> int:
@@ -307,12 +311,12 @@ def join_crc32(pieces: list[tuple[int, int]]) -> int:
     return crc
 
 
-def read_documents(spark: SparkSession, path: str, row_id: str = "doc_id") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, row_id: str = "doc_id", id_type: str = "bigint") -> DataFrame:
     """row_id, start, n_tokens, ids_crc32 of every document. The pieces of a document (a few
     numbers for each 2^21 ids) meet by its first position, where their checksums are joined."""
     @F.pandas_udf("bigint")
     def joined(pieces: pd.Series) -> pd.Series:
         return pieces.map(lambda found: join_crc32([(p["crc32"], 4 * p["n_tokens"]) for p in found]))
 
-    pieces = read_pieces(spark, path).groupBy("doc_id", "start", "size").agg(F.sort_array(F.collect_list(F.struct("place", "n_tokens", "crc32"))).alias("pieces"))
+    pieces = read_pieces(spark, path, id_type).groupBy("doc_id", "start", "size").agg(F.sort_array(F.collect_list(F.struct("place", "n_tokens", "crc32"))).alias("pieces"))
     return pieces.select(F.col("doc_id").alias(row_id), "start", F.col("size").alias("n_tokens"), joined("pieces").alias("ids_crc32"))

@@ -59,6 +59,9 @@ TRIPLE = LENGTH - WINDOW + 1
 SCAN_BYTES = 1 << 20
 BLOCK_BYTES, BLOCK_ROWS = 12_000_000, 4096
 
+#: Bytes of a name that travel: a chance match in the first sort only keeps a suffix a little longer.
+FILTER_BYTES, NAME_BYTES = 5, 7
+
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -144,13 +147,20 @@ def _names_of(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = ("column_block int, row_block bigint, kind int, names binary, flags binary, ids array<{id}>, texts array<binary>, places binary, "
+_ROWS = ("column_block int, row_block bigint, kind int, names binary, flags binary, ids array<{id}>, lens binary, texts binary, places binary, "
          "removed array<array<struct<start:bigint,end:bigint>>>, sizes array<bigint>, digests array<string>")
 TILE, REPORT, HOME, DONE = range(4)
 
 
-def _block_of(names: np.ndarray, blocks: int) -> np.ndarray:
-    return ((names >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+def _packed(texts: list[bytes]) -> dict:
+    """The texts of a row block as columns of its home row."""
+    return {"lens": np.array([len(t) for t in texts], np.int64).tobytes(), "texts": pa.compress(b"".join(texts), codec="zstd", asbytes=True)}
+
+
+def _unpacked(lens: bytes, texts: bytes) -> list[bytes]:
+    sizes = np.frombuffer(lens, np.int64)
+    raw = pa.decompress(texts, int(sizes.sum()), codec="zstd", asbytes=True)
+    return [raw[e - n:e] for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
 
 
 class _Pass:
@@ -163,46 +173,71 @@ class _Pass:
     def row(self, row_block: int, kind: int, **more) -> dict:
         return {"column_block": row_block % self.blocks, "row_block": row_block, "kind": kind, **more}
 
-    def tiles(self, row_block: int, names: np.ndarray) -> Iterator[dict]:
-        """Distinct sorted names, cut by value."""
-        cuts = np.searchsorted(_block_of(names, self.blocks), np.arange(self.blocks + 1))
+    def cut(self, names: np.ndarray, width: int) -> np.ndarray:
+        """Names as they travel: the column block is the remainder by the number of blocks, and ``width``
+        bytes of the quotient go along. 7 bytes lose nothing from 256 blocks on, and 8 - log2(blocks) bits below."""
+        n = np.uint64(self.blocks)
+        return (names // n & np.uint64((1 << 8 * width) - 1)) * n + names % n
+
+    def tiles(self, row_block: int, names: np.ndarray, width: int) -> Iterator[dict]:
+        """Distinct sorted names, cut into column blocks."""
+        block = (names % np.uint64(self.blocks)).astype(np.uint16 if self.blocks < 1 << 16 else np.int64)
+        order = np.argsort(block, kind="stable")
+        quotient = (names // np.uint64(self.blocks))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        cuts = np.searchsorted(block[order], np.arange(self.blocks + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            yield {"column_block": b, "row_block": row_block, "kind": TILE, "names": names[cuts[b]:cuts[b + 1]].tobytes()}
+            yield {"column_block": b, "row_block": row_block, "kind": TILE, "names": quotient[cuts[b]:cuts[b + 1]].tobytes()}
 
     def table(self, rows: list[dict]) -> pa.Table:
         return pa.Table.from_pylist(rows, schema=self.schema)
 
-    def compare(self, table: pa.Table) -> pa.Table:
+    def compare(self, table: pa.Table, width: int) -> pa.Table:
         """Sort the names of a column block and report equal neighbours; flags mark the one
         row block that stands for all that have the name."""
         kind = np.asarray(table.column("kind"))
         out = [table.filter(pa.array(kind != TILE)).cast(self.schema)]
         tiles = table.filter(pa.array(kind == TILE))
         if tiles.num_rows:
-            parts = [np.frombuffer(x.as_py(), np.uint64) for x in tiles.column("names")]
-            names = np.concatenate(parts)
+            raw = [x.as_py() for x in tiles.column("names")]
+            sizes = [len(x) // width for x in raw]
+            names = _wide(b"".join(raw), width)
             order = np.argsort(names, kind="stable")
             new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
             shared, first = np.empty(len(names), bool), np.empty(len(names), bool)
             shared[order] = ~(new & np.concatenate([new[1:], [True]]))
             first[order] = new
-            ends = np.cumsum([len(p) for p in parts])
-            rows = [{"column_block": 0, "row_block": r, "kind": REPORT, "names": p[shared[e - len(p):e]].tobytes(), "flags": first[e - len(p):e][shared[e - len(p):e]].tobytes()}
-                    for r, p, e in zip(tiles.column("row_block").to_pylist(), parts, ends.tolist()) if shared[e - len(p):e].any()]
+            rows, end = [], 0
+            for block, row_block, n in zip(tiles.column("column_block").to_pylist(), tiles.column("row_block").to_pylist(), sizes):
+                mine = slice(end, end + n)
+                end += n
+                some = shared[mine]
+                if some.any():
+                    rows.append({"column_block": block, "row_block": row_block, "kind": REPORT, "names": _narrow(names[mine][some], width), "flags": first[mine][some].tobytes()})
             if rows:
                 out.append(self.table(rows))
         return pa.concat_tables(out)
 
-    @staticmethod
-    def reported(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def reported(self, table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted names that other row blocks have, and whether this one stands for them."""
-        rows = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == REPORT]
-        names = np.concatenate([np.frombuffer(table.column("names")[i].as_py(), np.uint64) for i in rows] or [np.zeros(0, np.uint64)])
-        first = np.concatenate([np.frombuffer(table.column("flags")[i].as_py(), bool) for i in rows] or [np.zeros(0, bool)])
+        n = np.uint64(self.blocks)
+        found = [(b, x.as_py(), f.as_py()) for k, b, x, f in zip(table.column("kind").to_pylist(), table.column("column_block").to_pylist(), table.column("names"), table.column("flags"))
+                 if k == REPORT]
+        names = np.concatenate([_wide(x, width) * n + np.uint64(b) for b, x, _ in found] or [np.zeros(0, np.uint64)])
+        first = np.concatenate([np.frombuffer(f, bool) for _, _, f in found] or [np.zeros(0, bool)])
         order = np.argsort(names)
         return names[order], first[order]
 
 
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
 def _member(names: np.ndarray, sorted_names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which names are among the sorted ones, and where."""
     if not len(sorted_names):
@@ -258,9 +293,9 @@ def repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
 
         def block() -> Iterator[pa.RecordBatch]:
             row_block = (part << 32) + number
-            names = [samples(np.frombuffer(t, np.uint8))[3] for _, t in held]
-            tiles = step.tiles(row_block, np.unique(np.concatenate(names)))
-            yield from step.table([step.row(row_block, HOME, ids=[i for i, _ in held], texts=[t for _, t in held]), *tiles]).to_batches()
+            names = np.concatenate([samples(np.frombuffer(t, np.uint8))[3] for _, t in held])
+            tiles = step.tiles(row_block, np.unique(step.cut(names, FILTER_BYTES)), FILTER_BYTES)
+            yield from step.table([step.row(row_block, HOME, ids=[i for i, _ in held], **_packed([t for _, t in held])), *tiles]).to_batches()
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -274,14 +309,14 @@ def repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
 
     def home(table: pa.Table) -> tuple[int, list, list[bytes], bytes | None]:
         at = table.column("kind").to_pylist().index(HOME)
-        return table.column("row_block")[at].as_py(), table.column("ids")[at].as_py(), table.column("texts")[at].as_py(), table.column("places")[at].as_py()
+        return table.column("row_block")[at].as_py(), table.column("ids")[at].as_py(), _unpacked(table.column("lens")[at].as_py(), table.column("texts")[at].as_py()), table.column("places")[at].as_py()
 
     def after_triples(table: pa.Table) -> pa.Table:
         """Keep sampled suffixes whose triple occurs elsewhere; send the names of all that they span."""
         row_block, ids, texts, _ = home(table)
-        known, _ = step.reported(table)
+        known, _ = step.reported(table, FILTER_BYTES)
         found = [samples(np.frombuffer(t, np.uint8)) for t in texts]
-        names = np.concatenate([f[3] for f in found])
+        names = step.cut(np.concatenate([f[3] for f in found]), FILTER_BYTES)
         keep = _member(names, known)[0] | _repeated_here(names)[0]
         open_ids, open_texts, places, done = [], [], [], ([], [])
         ends = np.cumsum([len(f[3]) for f in found])
@@ -297,8 +332,8 @@ def repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
         out = [step.row(row_block, DONE, **_finished(*done, [np.zeros(0, np.int64)] * len(done[0])))] if done[0] else []
         if open_ids:
             place = np.concatenate(places, axis=1)
-            out.append(step.row(row_block, HOME, ids=open_ids, texts=open_texts, places=place.tobytes()))
-            out += step.tiles(row_block, np.unique(spans(open_texts, place)))
+            out.append(step.row(row_block, HOME, ids=open_ids, places=place.tobytes(), **_packed(open_texts)))
+            out += step.tiles(row_block, np.unique(spans(open_texts, place)), NAME_BYTES)
         return step.table(out)
 
     def spans(texts: list[bytes], place: np.ndarray) -> np.ndarray:
@@ -308,21 +343,21 @@ def repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
             a, z = np.searchsorted(place[0], [i, i + 1])
             first, last = place[1, a:z], place[2, a:z]
             out[a:z] = mixed(_names_of(np.frombuffer(t, np.uint8), first, last - first + LENGTH) + (last - first).astype(np.uint64))
-        return out
+        return step.cut(out, NAME_BYTES)
 
     def after_spans(table: pa.Table) -> pa.Table:
         """Equal spans are repeated; one of each and the rest send the names of their strings."""
         row_block, ids, texts, raw = home(table)
         place = np.frombuffer(raw, np.int64).reshape(3, -1)
-        known, chosen = step.reported(table)
+        known, chosen = step.reported(table, NAME_BYTES)
         names = spans(texts, place)
         there, at = _member(names, known)
         here, first = _repeated_here(names)
         resolved = there | here
         stands = first & np.where(there, chosen[at] if len(chosen) else False, True)
         state = np.concatenate([place, [resolved.astype(np.int64), (stands | ~resolved).astype(np.int64)]])
-        out = [step.row(row_block, HOME, ids=ids, texts=texts, places=state.tobytes())]
-        out += step.tiles(row_block, np.unique(np.concatenate([n for _, n, _ in strings(texts, state)])))
+        out = [step.row(row_block, HOME, ids=ids, places=state.tobytes(), **_packed(texts))]
+        out += step.tiles(row_block, np.unique(np.concatenate([n for _, n, _ in strings(texts, state)])), NAME_BYTES)
         return step.table(out)
 
     def strings(texts: list[bytes], state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -331,12 +366,13 @@ def repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
             a, z = np.searchsorted(state[0], [i, i + 1])
             _, first, last, resolved, sent = state[:, a:z]
             start = _starts(first[sent == 1], last[sent == 1])
-            yield start, _names_of(np.frombuffer(t, np.uint8), start, np.full(len(start), LENGTH)), _starts(first[resolved == 1], last[resolved == 1])
+            names = _names_of(np.frombuffer(t, np.uint8), start, np.full(len(start), LENGTH))
+            yield start, step.cut(names, NAME_BYTES), _starts(first[resolved == 1], last[resolved == 1])
 
     def after_strings(table: pa.Table) -> pa.Table:
         row_block, ids, texts, raw = home(table)
         state = np.frombuffer(raw, np.int64).reshape(5, -1)
-        known, _ = step.reported(table)
+        known, _ = step.reported(table, NAME_BYTES)
         found = list(strings(texts, state))
         names = np.concatenate([n for _, n, _ in found])
         repeated = _member(names, known)[0] | _repeated_here(names)[0]
@@ -346,11 +382,11 @@ def repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
             marks.append(np.union1d(start[repeated[e - len(n):e]], resolved))
         return step.table([step.row(row_block, DONE, **_finished(ids, texts, marks))])
 
-    def sort_by_names(tiled: DataFrame, after) -> DataFrame:
-        return tiled.groupBy("column_block").applyInArrow(lambda table: step.compare(table), step.ddl).groupBy("row_block").applyInArrow(after, step.ddl)
+    def sort_by_names(tiled: DataFrame, after, width: int) -> DataFrame:
+        return tiled.groupBy("column_block").applyInArrow(lambda table: step.compare(table, width), step.ddl).groupBy("row_block").applyInArrow(after, step.ddl)
 
-    first = stage(sort_by_names(rows.mapInArrow(sample, step.ddl), after_triples), "repeats-triples")
-    rest = sort_by_names(sort_by_names(first.where(F.col("kind") != DONE), after_spans), after_strings)
+    first = stage(sort_by_names(rows.mapInArrow(sample, step.ddl), after_triples, FILTER_BYTES), "repeats-triples")
+    rest = sort_by_names(sort_by_names(first.where(F.col("kind") != DONE), after_spans, NAME_BYTES), after_strings, NAME_BYTES)
     done = first.where(F.col("kind") == DONE).union(rest)
     flat = done.select(F.explode(F.arrays_zip("ids", "sizes", "removed", "digests")).alias("d"))
     return flat.select(F.col("d.ids").alias(row_id), F.col("d.sizes").alias("n_bytes"), F.col("d.removed").alias("removed"), F.col("d.digests").alias("kept_sha256"))

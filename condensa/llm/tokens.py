@@ -27,8 +27,8 @@ SAFE = ("\u0000-՗", "؀-ࡠ", "ऄ-ह", "‐-‧", "‰-⁞", "₠-₰", "←-
         "ぁ-ゖ", "ァ-ヺ", "一-龥", "가-힣", "\U0001f300-\U0001f5ff", "\U0001f600-\U0001f64f")
 _UNSAFE = re.compile(f"[^{''.join(SAFE)}]")
 
-#: Distinct pieces that a Python worker keeps; beyond that it forgets the rare ones.
-MAX_WORDS = 600_000
+#: Distinct pieces that a Python worker keeps, cut by spaces or by pre-tokens; beyond that it forgets the rare ones.
+SPACE_WORDS, PRETOKEN_WORDS = 1_000_000, 400_000
 #: Bytes of text that are split and gathered together (a longer text makes a run of its own),
 #: by spaces in Arrow or by pre-tokens in Python.
 SPACE_RUN_BYTES, PRETOKEN_RUN_BYTES = 12_000_000, 3_000_000
@@ -149,8 +149,9 @@ class WordEncoder:
     """
 
     def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], coarse: bool, special: bool = True,
-                 max_words: int = MAX_WORDS):
-        self.splitter, self.encode_words, self.coarse, self.max_words = Splitter(vocab, special), encode_words, coarse, max_words
+                 max_words: int | None = None):
+        self.splitter, self.encode_words, self.coarse = Splitter(vocab, special), encode_words, coarse
+        self.max_words = max_words or (SPACE_WORDS if coarse else PRETOKEN_WORDS)
         self.run_bytes = SPACE_RUN_BYTES if coarse else PRETOKEN_RUN_BYTES
         spec = vocab.spec
         top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)

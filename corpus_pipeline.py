@@ -22,24 +22,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key that is unique by row and sorts by document id (null last): the id,
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a column ``key`` that is unique by row and sorts by document id (null last): the id,
     then the row's place in its file."""
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:  # not a table that was read
         docs = stage(docs, "pipeline-docs")
     ident = F.coalesce(F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit("~"))
-    return docs.withColumn("row_key", F.concat_ws("|", ident, F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")))
+    return docs.withColumn(key, F.concat_ws("|", ident, F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link (5-word shingles, similarity 0.8 or more), keep the one
     with the least document id. Documents without words are groups of their own."""
-    keyed = _keyed(docs)
-    groups = jaccard.link_groups(keyed, "row_key")
-    dropped = groups.where(~F.col("representative")).select("row_key")
-    return keyed.join(dropped, "row_key", "left_anti").select(*docs.columns)
+    key = "row_key_" + "_".join(docs.columns)  # no column has this name
+    keyed = _keyed(docs, key)
+    dropped = jaccard.link_groups(keyed, key).where(~F.col("representative")).select(key)
+    return keyed.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
