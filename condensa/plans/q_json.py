@@ -109,12 +109,13 @@ def _duck_shred() -> str:
          {D.jkind('e')}, e
   FROM (SELECT json_id, path, unnest(json_extract(value, '$[*]')) AS e, unnest(range(CAST(json_array_length(value) AS BIGINT))) AS i
         FROM {src} WHERE json_type(value) = 'ARRAY')"""
+    ctes, depths = [f"l0 AS (SELECT json_id, '$' AS path, text AS value FROM {P} x)"], range(1, C.JSON_MAX_DEPTH + 1)
+    for d in depths:
+        ctes.append(f"n{d} AS ({level(f'l{d - 1}', d)})")
+        ctes.append(f"l{d} AS (SELECT json_id, path, v AS value FROM n{d} WHERE kind IN ('object', 'array'))")
+    ctes.append("n AS (" + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in depths) + ")")
     return f"""
-WITH l0 AS (SELECT json_id, '$' AS path, text AS value FROM {P} x),
-n1 AS ({level('l0', 1)}),
-l1 AS (SELECT json_id, path, v AS value FROM n1 WHERE kind IN ('object', 'array')),
-n2 AS ({level('l1', 2)}),
-n AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2)
+WITH {", ".join(ctes)}
 SELECT json_id, path, depth, parent, key, pos, kind,
        CASE WHEN kind NOT IN ('object', 'array') THEN json_extract_string(v, '$') END AS scalar,
        CAST(CASE kind WHEN 'object' THEN len(json_keys(v)) WHEN 'array' THEN json_array_length(v) ELSE 0 END AS INTEGER) AS n_children
@@ -123,7 +124,7 @@ FROM n"""
 
 @query("json_shred", oracle=_duck_shred())
 def json_shred(spark, sf_dir):
-    return J.shred(json_payloads(spark, sf_dir), "json_id", "text", levels=2)
+    return J.shred(json_payloads(spark, sf_dir), "json_id", "text")
 
 
 @query("json_shape_profile", oracle=f"""
@@ -132,15 +133,24 @@ SELECT split_part(json_id, ':', 1) AS payload_kind, depth, kind, count(*) AS n_n
        sum(n_children) AS n_children, count(DISTINCT json_id) AS n_payloads
 FROM s GROUP BY ALL""")
 def json_shape_profile(spark, sf_dir):
-    s = J.shred(json_payloads(spark, sf_dir), "json_id", "text", levels=2)
+    s = J.shred(json_payloads(spark, sf_dir), "json_id", "text")
     return (s.groupBy(F.split("json_id", ":")[0].alias("payload_kind"), "depth", "kind")
             .agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n_children").alias("n_children"),
                  F.countDistinct("json_id").alias("n_payloads")))
 
 
-@query("json_reduced_text")
+@query("json_reduced_text", oracle=f"""
+WITH p AS MATERIALIZED (SELECT json_id, text, {D.tokens('text')} AS before,
+             CASE WHEN {D.tokens('text')} > {C.JSON_MIN_TOKENS} AND {D.json_looking('text')} AND json_valid(text) THEN {D.jrender('text')} END AS tbl FROM {P} x),
+t AS MATERIALIZED (SELECT *, CASE WHEN tbl IS NOT NULL AND {D.tokens('tbl')} < before THEN
+        '[JSON → table — ' || {D.fmt_int('before')} || ' tokens → ' || {D.fmt_int(D.tokens('tbl'))} || ']' || chr(10) || tbl END AS t1 FROM p),
+c AS MATERIALIZED (SELECT *, CASE WHEN t1 IS NULL AND before > {C.JSON_MIN_TOKENS} AND {D.json_looking('text')} AND json_valid(text)
+                     THEN {D.jprinted('text::JSON', 0)} END AS body FROM t),
+r AS (SELECT json_id, before, coalesce(t1, CASE WHEN {D.tokens('body')} < before THEN
+        '[JSON collapsed — original had ' || {D.fmt_int('before')} || ' tokens]' || chr(10) || body END, text) AS reduced FROM c)
+SELECT json_id, before, {D.tokens('reduced')} AS after, md5(reduced) AS reduced_md5 FROM r""")
 def json_reduced_text(spark, sf_dir):
-    """K7 → K5 → K4 end to end (the collapse path is a per-row helper; rows-only check)."""
+    """K7 → K5 → K4 end to end."""
     p = J.reduce_json(json_payloads(spark, sf_dir), "text")
     return p.select("json_id", F.expr(E.token_estimate("text")).alias("before"),
                     F.expr(E.token_estimate("reduced")).alias("after"), F.md5("reduced").alias("reduced_md5"))

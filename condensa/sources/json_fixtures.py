@@ -17,14 +17,14 @@ CUSTOMERS_PER_PAYLOAD = 50
 ORDERS_PER_PAGE = 150
 
 _CUSTOMER_OBJ = """concat('{"c_custkey": ', CAST(c_custkey AS STRING), ', "c_name": "', c_name,
-  '", "c_nationkey": ', CAST(c_nationkey AS STRING), ', "c_acctbal": ', CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS STRING),
+  '", "c_nationkey": ', CAST(c_nationkey AS STRING), ', "c_acctbal": ', CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS STRING),
   ', "c_mktsegment": "', c_mktsegment, '", "note": ', IF(c_custkey % 5 = 0, 'null', '"vip | gold"'), '}')"""
 
 _WIDE_OBJ = """concat('{', array_join(transform(sequence(1, 16), i -> concat('"k', CAST(i AS STRING), '": ',
   CAST(c_custkey * i AS STRING))), ', '), '}')"""
 
 _ORDER_OBJ = """concat('{"o_orderkey": ', CAST(o_orderkey AS STRING), ', "o_custkey": ', CAST(o_custkey AS STRING),
-  ', "o_orderstatus": "', o_orderstatus, '", "o_totalprice": ', CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING),
+  ', "o_orderstatus": "', o_orderstatus, '", "o_totalprice": ', CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS STRING),
   ', "o_orderdate": "', date_format(o_orderdate, 'yyyy-MM-dd'), '", "o_orderpriority": "', o_orderpriority, '"}')"""
 
 _MIXED_OBJ = """IF(o_orderkey % 2 = 0,
@@ -79,14 +79,14 @@ DUCK_JSON_PAYLOADS = """(
 WITH cust AS (
   SELECT CAST(floor(c_custkey / 50) AS BIGINT) AS g, c_custkey,
     '{"c_custkey": ' || CAST(c_custkey AS VARCHAR) || ', "c_name": "' || c_name || '", "c_nationkey": ' || CAST(c_nationkey AS VARCHAR)
-    || ', "c_acctbal": ' || CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) || ', "c_mktsegment": "' || c_mktsegment
+    || ', "c_acctbal": ' || CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS VARCHAR) || ', "c_mktsegment": "' || c_mktsegment
     || '", "note": ' || CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE '"vip | gold"' END || '}' AS o,
     '{' || array_to_string(list_transform(range(1, 17), lambda i: '"k' || CAST(i AS VARCHAR) || '": ' || CAST(c_custkey * i AS VARCHAR)), ', ') || '}' AS w
   FROM customer),
 ord AS (
   SELECT CAST(floor(o_orderkey / 150) AS BIGINT) AS g, o_orderkey,
     '{"o_orderkey": ' || CAST(o_orderkey AS VARCHAR) || ', "o_custkey": ' || CAST(o_custkey AS VARCHAR) || ', "o_orderstatus": "' || o_orderstatus
-    || '", "o_totalprice": ' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || ', "o_orderdate": "' || strftime(o_orderdate, '%Y-%m-%d')
+    || '", "o_totalprice": ' || CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) || ', "o_orderdate": "' || strftime(o_orderdate, '%Y-%m-%d')
     || '", "o_orderpriority": "' || o_orderpriority || '"}' AS o,
     CASE WHEN o_orderkey % 2 = 0 THEN '{"o_orderkey": ' || CAST(o_orderkey AS VARCHAR) || ', "o_orderstatus": "' || o_orderstatus || '"}'
          ELSE '{"o_orderkey": ' || CAST(o_orderkey AS VARCHAR) || ', "o_orderstatus": "' || o_orderstatus || '", "o_orderpriority": "' || o_orderpriority || '"}' END AS m
