@@ -124,6 +124,8 @@ class Config:
     text_threshold: int = DEFAULT_TEXT_THRESHOLD
     compression_prompt: str = DEFAULT_COMPRESSION_PROMPT
     dry_run: bool = False
+    # Reduce results of tools of connected servers only; results of built-in tools stay as they are.
+    server_tools_only: bool = True
     rules: tuple = field(default=DEFAULT_RULES)
     # Reduction sizes; defaults are the reference constants, fixtures pass smaller ones.
     head_tokens: int = HEAD_TOKENS

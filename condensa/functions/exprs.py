@@ -144,10 +144,10 @@ def meaningful_chars(text: str) -> str:
 # X1 ---------------------------------------------------------------------------
 def tokenize(text: str) -> str:
     """Lower-case, non-word characters to space, split on whitespace, drop short and stop words."""
-    stop = sql_array(C.STOP_WORDS)
+    stop = ", ".join(sql_str(w) for w in C.STOP_WORDS)  # a literal list is tested by hash
     return (
         f"filter(split(regexp_replace(lower(coalesce({text}, '')), '[^\\\\w\\\\s-]', ' '), '\\\\s+'), "
-        f"w -> length(w) > 1 AND NOT array_contains({stop}, w))"
+        f"w -> length(w) > 1 AND w NOT IN ({stop}))"
     )
 
 

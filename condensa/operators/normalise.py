@@ -9,15 +9,20 @@ BLOCK_SCHEMA = ("array<struct<type: string, text: string, data: string, mimeType
                 "source: struct<data: string, media_type: string>>>")
 
 
-def normalise(df: DataFrame, resp_col: str) -> DataFrame:
-    """Explode a JSON tool response into blocks.
-
-    null / empty array / non-string scalars → no blocks (an empty response); an array
-    whose first element is an object with a ``type`` key → its blocks; any other array →
-    one text block of its compact JSON; an object with a ``content`` array → those
-    blocks; an object with a string ``type`` → that block; any other object → one text
-    block of its JSON; a string → one text block. Adds ``pos`` and the block columns; rows
-    with no blocks are dropped (see ``empty_responses``).
+def compact(text: str) -> str:
+    """JSON text without the white space outside its strings; key order and numbers as they are."""
+    return f"regexp_replace({text}, '(\"[^\"\\\\\\\\]*+(?:\\\\\\\\.[^\"\\\\\\\\]*+)*+\")|\\\\s+', '$1')"
+
+
+def with_blocks(df: DataFrame, resp_col: str) -> DataFrame:
+    """Add ``blocks``: the blocks of a JSON tool response; NULL for an empty response.
+
+    null, an empty string, an empty array and other scalars → NULL; an array whose first element is an
+    object with a ``type`` key → its blocks; any other array → one text block of its compact
+    JSON; an object with a ``content`` array → those blocks (none, if it is empty: not an empty
+    response); an object with a string ``type`` → that block; any other object → one text
+    block of its JSON; a string → one text block. An image block without data takes
+    source.data and source.media_type (S3).
     """
     v = f"try_parse_json({resp_col})"
     kind = f"schema_of_variant({v})"
@@ -26,25 +31,25 @@ def normalise(df: DataFrame, resp_col: str) -> DataFrame:
     def text_block(t: str) -> str:
         return (f"array(named_struct('type', 'text', 'text', {t}, 'data', CAST(NULL AS STRING), "
                 f"'mimeType', CAST(NULL AS STRING), 'source', CAST(NULL AS STRUCT<data: STRING, media_type: STRING>)))")
-    compact_arr = f"to_json(from_json({resp_col}, 'array<variant>'))"
-    compact_obj = f"to_json(from_json({resp_col}, 'map<string,variant>'))"
+    string = f"variant_get({v}, '$', 'string')"
     blocks = (
         f"CASE WHEN {v} IS NULL OR {kind} = 'VOID' THEN NULL "
         f"WHEN startswith({kind}, 'ARRAY') THEN CASE WHEN size(from_json({resp_col}, 'array<string>')) = 0 THEN NULL "
         f"  WHEN coalesce({first_is_block}, false) THEN from_json({resp_col}, '{BLOCK_SCHEMA}') "
-        f"  ELSE {text_block(compact_arr)} END "
+        f"  ELSE {text_block(compact(resp_col))} END "
         f"WHEN startswith({kind}, 'OBJECT') THEN CASE "
         f"  WHEN startswith(schema_of_variant(variant_get({v}, '$.content')), 'ARRAY') "
         f"    THEN from_json(get_json_object({resp_col}, '$.content'), '{BLOCK_SCHEMA}') "
         f"  WHEN schema_of_variant(variant_get({v}, '$.type')) = 'STRING' "
         f"    THEN array(from_json({resp_col}, '{BLOCK_SCHEMA[6:-1]}')) "
-        f"  ELSE {text_block(compact_obj)} END "
-        f"WHEN {kind} = 'STRING' THEN {text_block(f'variant_get({v}, {chr(39)}${chr(39)}, {chr(39)}string{chr(39)})')} "
-        f"ELSE NULL END")
-    out = df.withColumn("_blocks", F.expr(blocks))
-    b = (out.select("*", F.posexplode_outer("_blocks").alias("pos", "_b")).drop("_blocks")
-         .filter(F.col("pos").isNotNull()))
-    # S3: an image block without data takes source.data and source.media_type.
+        f"  ELSE {text_block(compact(resp_col))} END "
+        f"WHEN {kind} = 'STRING' AND {string} <> '' THEN {text_block(string)} ELSE NULL END")
+    return df.withColumn("blocks", F.expr(blocks))
+
+
+def normalise(df: DataFrame, resp_col: str) -> DataFrame:
+    """One row per block of ``with_blocks``: adds ``pos`` and the block columns. Rows without blocks give none."""
+    b = with_blocks(df, resp_col).select("*", F.posexplode("blocks").alias("pos", "_b")).drop("blocks")
     wrapped = F.expr("_b.type = 'image' AND coalesce(_b.data, '') = '' AND _b.source.data IS NOT NULL")
     return (b.withColumn("type", F.col("_b.type"))
              .withColumn("text", F.col("_b.text"))
@@ -55,6 +60,5 @@ def normalise(df: DataFrame, resp_col: str) -> DataFrame:
 
 
 def empty_responses(df: DataFrame, resp_col: str) -> DataFrame:
-    """Rows whose response normalises to no blocks (logged as 'empty-response')."""
-    ids = normalise(df, resp_col).select(*[c for c in df.columns if c != resp_col]).distinct()
-    return df.drop(resp_col).join(ids, [c for c in df.columns if c != resp_col], "left_anti")
+    """Rows with an empty response (logged as 'empty-response'), without a join."""
+    return with_blocks(df, resp_col).where(F.col("blocks").isNull()).drop("blocks", resp_col)

@@ -55,11 +55,11 @@ def write_events(events: DataFrame, path: str, fmt: str = "parquet") -> None:
 def previews(blocks: DataFrame, id_col: str = "result_id") -> DataFrame:
     """First 300 characters of each text block, joined by a separator line, cut at 500.
 
-    Only the first blocks of a result can reach 500 characters (each adds at least the
-    5-character separator), so a per-result group limit keeps at most 101 rows per
-    result before the shuffle.
+    Each block after the first adds at least the 5-character separator, so 102 blocks are over
+    500 characters whatever they hold, and what follows is cut anyway: a per-result group
+    limit keeps that many rows of a result before the shuffle.
     """
-    cap = C.PREVIEW_MAX_CHARS // len(C.PREVIEW_SEPARATOR) + 1
+    cap = C.PREVIEW_MAX_CHARS // len(C.PREVIEW_SEPARATOR) + 2
     t = blocks.filter(F.col("type") == "text")
     w = Window.partitionBy(id_col).orderBy("pos")
     t = t.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)

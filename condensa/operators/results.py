@@ -174,7 +174,7 @@ def result_summary(reduced: DataFrame, cfg: Config) -> DataFrame:
 
 
 def reduce_results(blocks: DataFrame, cfg: Config, ocr_text: DataFrame | None = None,
-                   materialize: bool = True):
+                   materialize: bool = False):
     """R1 end to end. Returns (per-result summary, reduced blocks).
 
     The routed blocks feed three reducer branches and the statistics; with

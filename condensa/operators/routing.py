@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import exprs as E
 
-# A rule list is configuration: it is typed by a person and holds tens of entries.
-# Beyond this size the rule table is not broadcast but joined by a shuffle.
+# A rule list is configuration: it is typed by a person and holds tens of entries. The
+# theta join cannot be shuffled on a key, so a list beyond this size is refused.
 MAX_BROADCAST_RULES = 10_000
 
 
@@ -28,9 +28,9 @@ def match_rules(names: DataFrame, name_col: str, rules) -> DataFrame:
     """
     spark = names.sparkSession
     rules = list(rules)
-    rf = rules_frame(spark, rules)
-    if len(rules) <= MAX_BROADCAST_RULES:
-        rf = F.broadcast(rf)
+    if len(rules) > MAX_BROADCAST_RULES:
+        raise ValueError(f"more than {MAX_BROADCAST_RULES} rules")
+    rf = F.broadcast(rules_frame(spark, rules))
     distinct = names.select(F.col(name_col).alias("_name")).distinct()
     cond = ((F.col("_name") == F.col("rule_tool_name")) |
             (F.col("rule_pattern").isNotNull() & F.expr("_name rlike rule_pattern")))
@@ -69,6 +69,8 @@ def route(annotated: DataFrame, cfg: Config) -> DataFrame:
     """
     flags = result_flags(annotated, cfg)
     df = annotated.join(flags, "result_id", "left")
+    if cfg.server_tools_only:
+        df = df.withColumn("compressible", F.col("compressible") & F.expr(E.is_mcp_tool("tool_name")))
     df = df.withColumn("short_name", F.expr(E.short_tool_name("tool_name")))
     df = with_rule_strategy(df, "short_name", cfg.rules).withColumnRenamed("strategy", "rule_strategy")
     df = df.withColumn("screenshot_tool", F.expr(E.is_screenshot_tool("short_name")))

@@ -3,9 +3,9 @@
 Both are ordered look-backs inside a key (a session, a connection + request id). A key
 may be very hot, so neither puts a whole key into one window partition:
 
-* recent calls: rows are windowed per (session, seq bucket); the last few rows of each
-  bucket are copied into the next bucket as context, so every frame is complete and no
-  partition holds more than one bucket plus the context rows.
+* recent calls: rows are windowed per (session, seq bucket). The last few rows of each bucket
+  are kept as its tail; a bucket's context is taken from the tails of the buckets before
+  it that have rows, however far back they are, so gaps in ``seq`` do no harm.
 * as-of match: the previous event of a key is found inside its (key, seq bucket) first;
   only the first event of a bucket needs the last event of an earlier bucket, taken from
   a per-bucket aggregate (one row per bucket).
@@ -26,16 +26,19 @@ SEQ_BUCKET = 4096
 def recent_calls(calls: DataFrame, session: str, seq: str, value_cols: list[str], n: int = C.RECENT_CALLS,
                  out_col: str = "recent", bucket: int = SEQ_BUCKET) -> DataFrame:
     """Adds ``out_col``: ARRAY<STRUCT<value_cols>> of the last ``n`` calls of the session up
-    to and including this one, oldest first. ``seq`` must number a session's calls 0, 1, 2…
-    """
-    b = F.floor(F.col(seq) / bucket)
-    own = calls.withColumn("_b", b).withColumn("_ctx", F.lit(False))
-    ctx = (calls.filter((F.col(seq) % bucket) >= bucket - (n - 1))
-           .withColumn("_b", b + 1).withColumn("_ctx", F.lit(True)))
-    u = own.unionByName(ctx)
-    w = Window.partitionBy(session, "_b").orderBy(seq).rowsBetween(-(n - 1), 0)
-    return (u.withColumn(out_col, F.collect_list(F.struct(*value_cols)).over(w))
-            .filter(~F.col("_ctx")).drop("_b", "_ctx"))
+    to and including this one, oldest first. ``seq`` orders a session's calls; gaps are allowed."""
+    one = F.struct(*value_cols)
+    own = calls.withColumn("_b", F.floor(F.col(seq) / bucket))
+    in_bucket = Window.partitionBy(session, "_b").orderBy(seq)
+    own = own.withColumn("_own", F.collect_list(one).over(in_bucket.rowsBetween(-(n - 1), 0)))
+    # the list of a bucket's last row is its tail: every bucket here has a row, so n - 1 of them reach n - 1 calls back
+    tails = own.groupBy(session, "_b").agg(F.max_by("_own", seq).alias("_tail"))
+    earlier = Window.partitionBy(session).orderBy("_b").rowsBetween(-(n - 1), -1)
+    context = tails.select(F.col(session), "_b", F.flatten(F.collect_list("_tail").over(earlier)).alias("_ctx"))
+    joined = own.join(context, [session, "_b"])
+    missing = f"({n} - size(_own))"
+    recent = f"IF({missing} <= 0, _own, concat(slice(_ctx, greatest(size(_ctx) - {missing} + 1, 1), {missing}), _own))"
+    return joined.withColumn(out_col, F.expr(recent)).select(*calls.columns, out_col)
 
 
 def session_query(calls: DataFrame, tool_col: str = "tool_name", args_col: str = "args",

@@ -6,9 +6,9 @@ Markdown outline is then a per-line projection over contiguous subtree slices
 (D5-D8) followed by a fold that gathers list items. No shuffle and no join; a block's
 lines never leave the task that read the block.
 
-Documented divergence: inline content of a consumer (heading, link, button, strong,
-paragraph) renders nested inline markup one level deep — a strong or link *inside* the
-collected content contributes its plain text.
+Inline content of a consumer (heading, link, button, strong, paragraph, column header)
+renders nested inline markup to any depth: one fold from the last line to the first
+hands each node the finished texts of its children.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def parse_line(l: str) -> str:
         f"'name', coalesce(nullif(regexp_extract(_c, {S(r'^[\w-]+\s+\"((?:[^\"\\]|\\.)*)\"')}, 1), ''), "
         f"regexp_extract(_c, {S(r"^[\w-]+\s+'((?:[^'\\]|\\.)*)'")}, 1)), "
         f"'ref', regexp_extract(_c, {S(r'\[ref=(\w+)\]')}, 1), "
-        f"'level', coalesce(CAST(nullif(regexp_extract(_c, {S(r'\[level=(\d+)\]')}, 1), '') AS INT), 0), "
+        f"'level', coalesce(try_cast(nullif(regexp_extract(_c, {S(r'\[level=(\d+)\]')}, 1), '') AS INT), 0), "
         f"'attrs', regexp_extract_all(_c, {S(ATTR_RE)}, 1), "
         f"'inline', " + E.let(
             E.js_trim(f"regexp_replace(regexp_extract(_c, {S(r':\s+(.+?)\s*$')}, 1), {S(r'\[[\w=]+\]')}, '')"), "_ac",
@@ -101,33 +101,38 @@ def _meta_value(p: str, i: str, en: str, prefix: str) -> str:
     return E.let(hit, "_h", f"IF(size(_h) = 0, '', regexp_replace({val}, '^\"(.*)\"$', '$1'))")
 
 
-def _flat(p: str, en: str, k: str) -> str:
-    """Plain text of the nodes under k (one level of inline markup)."""
-    return (f"array_join(transform(filter({_range(k, en)}, m -> {p}[m].node AND NOT startswith({p}[m].role, '/') "
-            f"AND {_name_or_inline(p, 'm')} <> ''), m -> {_name_or_inline(p, 'm')}), ' ')")
-
-
-def collect_inline(p: str, a: str, en: str, i: str) -> str:
-    """Inline content of the subtree of line i, whitespace-collapsed."""
-    top = (f"filter({_range(i, en)}, j -> {p}[j].node AND forall(filter({a}[j], x -> x > {i}), "
-           f"x -> {p}[x].role IN ('text', 'img') OR startswith({p}[x].role, '/')))")
-    part = (
-        f"CASE WHEN startswith({p}[j].role, '/') THEN '' "
-        f"WHEN {p}[j].role = 'text' THEN {_name_or_inline(p, 'j')} "
-        f"WHEN {p}[j].role = 'img' THEN IF({p}[j].name = '', '', concat('![', {p}[j].name, ']')) "
-        f"WHEN {p}[j].role = 'strong' THEN " + E.let(
-            f"IF({_name_or_inline(p, 'j')} <> '', {_name_or_inline(p, 'j')}, {_flat(p, en, 'j')})", "_t",
-            "IF(_t <> '', concat('**', _t, '**'), '')") + " "
-        f"WHEN {p}[j].role = 'link' THEN " + E.let(
-            f"IF({p}[j].name <> '', {p}[j].name, {_flat(p, en, 'j')})", "_t",
-            E.let(_meta_value(p, "j", en, "- /url:"), "_u",
-                  f"concat('[', _t, ']', IF(_u <> '', concat('(', _u, ')'), ''), "
-                  f"IF({p}[j].ref <> '', concat(' [', {p}[j].ref, ']'), ''))")) + " "
-        f"WHEN array_contains({TRANSPARENT}, {p}[j].role) THEN "
-        f"IF({_name_or_inline(p, 'j')} <> '', {_name_or_inline(p, 'j')}, {_flat(p, en, 'j')}) "
-        f"ELSE {_name_or_inline(p, 'j')} END")
-    joined = f"array_join(filter(transform({top}, j -> {part}), x -> x <> ''), ' ')"
-    return E.js_trim(f"regexp_replace({joined}, {S(r'\s+')}, ' ')")
+def inline_fold(p: str, en: str) -> str:
+    """MAP<INT, STRING>: the inline content of each line that shows it (D6), markup nested to any depth.
+
+    Lines are taken from the last to the first with a stack of finished nodes, so a
+    node finds the finished texts of its children on top: each text is built once.
+    text, img and attribute lines leave their children to the node above them.
+    """
+    ni = _name_or_inline(p, "j")
+    joined = E.js_trim(f"regexp_replace(array_join(filter(transform(_kids, x -> x.t), x -> x <> ''), ' '), {S(r'\s+')}, ' ')")
+    link = E.let(f"IF({p}[j].name <> '', {p}[j].name, _in)", "_t", E.let(
+        _meta_value(p, "j", en, "- /url:"), "_u",
+        f"concat('[', _t, ']', IF(_u <> '', concat('(', _u, ')'), ''), IF({p}[j].ref <> '', concat(' [', {p}[j].ref, ']'), ''))"))
+    text = (f"CASE WHEN startswith({p}[j].role, '/') THEN '' WHEN {p}[j].role = 'text' THEN {ni} "
+            f"WHEN {p}[j].role = 'img' THEN IF({p}[j].name = '', '', concat('![', {p}[j].name, ']')) "
+            f"WHEN {p}[j].role = 'strong' THEN " + E.let(f"IF({ni} <> '', {ni}, _in)", "_t", "IF(_t <> '', concat('**', _t, '**'), '')") +
+            f" WHEN {p}[j].role = 'link' THEN {link} "
+            f"WHEN array_contains({TRANSPARENT}, {p}[j].role) THEN IF({ni} <> '', {ni}, _in) ELSE {ni} END")
+    flat = f"({p}[j].role IN ('text', 'img') OR startswith({p}[j].role, '/'))"
+    entry = "array(named_struct('i', j, 't', _own))"
+    shown = f"({p}[j].role IN ('heading', 'link', 'button', 'strong', 'paragraph', 'columnheader'))"
+    step = E.let(f"filter(s.st, x -> x.i < {en}[j])", "_kids", E.let(joined, "_in", E.let(
+        text, "_own",
+        f"named_struct('st', IF({flat}, concat({entry}, s.st), concat({entry}, filter(s.st, x -> x.i >= {en}[j]))), "
+        f"'out', IF({shown} AND _in <> '', array_append(s.out, named_struct('i', j, 't', _in)), s.out))")))
+    none = "CAST(array() AS ARRAY<STRUCT<i: INT, t: STRING>>)"
+    return (f"aggregate(sequence(size({p}) - 1, 0, -1), named_struct('st', {none}, 'out', {none}), "
+            f"(s, j) -> IF({p}[j].node, {step}, s), s -> map_from_entries(transform(s.out, x -> struct(x.i, x.t))))")
+
+
+def collect_inline(i: str) -> str:
+    """Inline content under line i, from the map ``_ct`` of ``inline_fold``."""
+    return f"coalesce(try_element_at(_ct, {i}), '')"
 
 
 def _attrs(p: str, i: str) -> str:
@@ -140,7 +145,7 @@ def _ref_prefix(p: str, i: str) -> str:
 
 # D7 ------------------------------------------------------------------------------------
 def _cell_text(p: str, a: str, en: str, x: str) -> str:
-    header = f"IF({p}[{x}].name <> '', {p}[{x}].name, {collect_inline(p, a, en, x)})"
+    header = f"IF({p}[{x}].name <> '', {p}[{x}].name, {collect_inline(x)})"
     fold = (f"aggregate({_range(x, en)}, named_struct('t', IF({_name_or_inline(p, x)} <> '', {_name_or_inline(p, x)}, ''), "
             f"'r', ''), (s, k) -> CASE WHEN {p}[k].node AND {p}[k].role = 'link' THEN "
             f"named_struct('t', IF({p}[k].name <> '', {p}[k].name, s.t), 'r', {p}[k].ref) "
@@ -150,7 +155,7 @@ def _cell_text(p: str, a: str, en: str, x: str) -> str:
 
 
 def _render_rows(p: str, a: str, en: str, c: str) -> str:
-    """Markdown lines of the rows directly under container c."""
+    """Markdown lines of the rows directly under line c."""
     rows = (f"filter(transform(filter({_range(c, en)}, r -> {p}[r].node AND {p}[r].role = 'row' "
             f"AND {_parent(a, 'r')} = {c}), r -> " + E.let(
                 f"filter({_range('r', en)}, x -> {p}[x].node AND {p}[x].role IN ('cell', 'columnheader') "
@@ -168,9 +173,12 @@ def _render_rows(p: str, a: str, en: str, c: str) -> str:
 
 
 def render_table(p: str, a: str, en: str, t: str) -> str:
-    groups = (f"filter({_range(t, en)}, g -> {p}[g].node AND {p}[g].role = 'rowgroup' AND {_parent(a, 'g')} = {t})")
-    return (f"concat(flatten(transform({groups}, g -> {_render_rows(p, a, en, 'g')})), "
-            f"{_render_rows(p, a, en, t)})")
+    """Rows of the rowgroups under line t, at any depth (an inner group before the rows of
+    the one around it), then the table's own rows."""
+    groups = (f"filter({_range(t, en)}, g -> {p}[g].node AND {p}[g].role = 'rowgroup' "
+              f"AND forall(filter({a}[g], x -> x > {t}), x -> {p}[x].role = 'rowgroup'))")
+    ordered = f"transform(array_sort(transform({groups}, g -> struct({en}[g] AS e, -g AS o))), z -> -z.o)"
+    return f"concat(flatten(transform({ordered}, g -> {_render_rows(p, a, en, 'g')})), {_render_rows(p, a, en, t)})"
 
 
 # D5 ------------------------------------------------------------------------------------
@@ -180,7 +188,7 @@ def emission(p: str, a: str, en: str, i: str) -> str:
     nm = f"{p}[{i}].name"
     inl = f"{p}[{i}].inline"
     ni = _name_or_inline(p, i)
-    ci = collect_inline(p, a, en, i)
+    ci = collect_inline(i)
     empty = "CAST(array() AS ARRAY<STRING>)"
     return (
         f"CASE WHEN {p}[{i}].blank THEN {empty} "
@@ -242,9 +250,9 @@ def convert_tree(text: str) -> str:
     """Markdown outline of a snapshot tree text (lines joined by newline)."""
     return E.let(parsed_lines(text), "_p", E.let(tree_fold("_p"), "_tf", E.let(
         "_tf.anc", "_an", E.let("_tf.ends", "_en", E.let(
-            f"transform(_p, (x, i) -> {hidden('_p', '_an', 'i')})", "_hd", E.let(
+            f"transform(_p, (x, i) -> {hidden('_p', '_an', 'i')})", "_hd", E.let(inline_fold("_p", "_en"), "_ct", E.let(
                 f"transform(_p, (x, i) -> IF(_hd[i], CAST(array() AS ARRAY<STRING>), {emission('_p', '_an', '_en', 'i')}))",
-                "_em", f"array_join({gather('_p', '_en', '_em', '_hd')}, '\\n')"))))))
+                "_em", f"array_join({gather('_p', '_en', '_em', '_hd')}, '\\n')")))))))
 
 
 # D3 + D9 -------------------------------------------------------------------------------

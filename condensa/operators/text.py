@@ -209,14 +209,14 @@ def reduce_long_text(df: DataFrame, text_col: str, query_terms_col: str, cfg: Co
     first_budget = "middle_target * 2" if summaries_col else "middle_target"
     df = df.withColumn("_budget1", F.expr(first_budget))
     df = bm25_select(df, "middle", query_terms_col, "_budget1", "_bm25_1", cfg.chunk_target, cfg.chunk_overlap,
-                     when="middle_tokens > middle_target")
+                     when="middle_tokens > middle_target * 3" if summaries_col else "middle_tokens > middle_target")
     df = df.withColumn("_mid", F.expr("IF(middle_tokens > middle_target * 3, _bm25_1, middle)"))
     df = df.withColumn("_after1", F.expr(_tok("_mid")))
     if summaries_col:
         df = bm25_select(df, "middle", query_terms_col, "middle_target", "_bm25_2", cfg.chunk_target,
                          cfg.chunk_overlap, when="_after1 > middle_target")
         second = (f"CASE WHEN _after1 > middle_target AND _after1 >= {C.MIN_SECOND_PASS_INPUT} "
-                  f"THEN coalesce({summaries_col}, _bm25_2) "
+                  f"THEN coalesce(nullif({summaries_col}, ''), _bm25_2) "
                   f"WHEN _after1 > middle_target THEN _bm25_2 ELSE _mid END")
         df = df.withColumn("compressed_middle", F.expr(second)).drop("_bm25_2")
     else:

@@ -16,7 +16,9 @@ _RESP = """CASE event_type
  WHEN 'purchase' THEN concat('[{"type": "text", "text": "bought ', CAST(event_id AS STRING),
    '"}, {"type": "image", "data": "QUJD", "mimeType": "image/gif"}, {"type": "image", "source": {"data": "WFla"}}]')
  WHEN 'signup' THEN props
- ELSE CASE WHEN event_id % 2 = 0 THEN '[1, 2, 3]' WHEN event_id % 3 = 0 THEN '[]' ELSE 'null' END END"""
+ ELSE CASE WHEN event_id % 4 = 0 THEN '[{"z": 1.5, "a": {"y": 1, "b": [2, null]}}, "two  words", -0.25]'
+   WHEN event_id % 4 = 2 THEN '{"z": {"k": "a  b"}, "a": [ ], "content": null}' WHEN event_id % 3 = 0 THEN '[]'
+   WHEN event_id % 7 = 0 THEN '""' WHEN event_id % 5 = 0 THEN '{"content": []}' ELSE 'null' END END"""
 
 _RESP_DUCK = (_RESP.replace("IF(event_id % 7 = 0,", "CASE WHEN event_id % 7 = 0 THEN")
               .replace("'\"}'),\n", "'\"}') ELSE\n").replace("'\"'))", "'\"') END")
@@ -37,7 +39,7 @@ b AS (SELECT event_id, CASE json_type(resp)
   WHEN 'OBJECT' THEN CASE WHEN json_type(resp, '$.content') = 'ARRAY' THEN from_json(json_extract(resp, '$.content'), '{_SCHEMA}')
        WHEN json_type(resp, '$.type') = 'VARCHAR' THEN [from_json(resp, '{_SCHEMA[1:-1]}')]
        ELSE [{{'type': 'text', 'text': CAST(json(resp) AS VARCHAR), 'data': NULL, 'mimeType': NULL, 'source': NULL}}] END
-  WHEN 'VARCHAR' THEN [{{'type': 'text', 'text': json_extract_string(resp, '$'), 'data': NULL, 'mimeType': NULL, 'source': NULL}}]
+  WHEN 'VARCHAR' THEN CASE WHEN json_extract_string(resp, '$') <> '' THEN [{{'type': 'text', 'text': json_extract_string(resp, '$'), 'data': NULL, 'mimeType': NULL, 'source': NULL}}] END
   END AS blocks FROM r),
 u AS (SELECT event_id, unnest(range(len(blocks))) AS pos, unnest(blocks) AS x FROM b WHERE blocks IS NOT NULL)
 SELECT event_id, CAST(pos AS INTEGER) AS pos, x.type AS type, x.text AS text,
@@ -49,3 +51,14 @@ def normalise_response(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.expr(_RESP).alias("resp"))
     n = N.normalise(e, "resp")
     return n.select("event_id", "pos", "type", "text", F.length("data").alias("data_chars"), "mime_type")
+
+
+@query("empty_responses", oracle=f"""
+WITH r AS (SELECT event_id, event_type, {_RESP_DUCK} AS resp FROM events)
+SELECT event_id, event_type FROM r
+WHERE json_type(resp) IN ('NULL', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE') OR (json_type(resp) = 'ARRAY' AND json_array_length(resp) = 0)
+   OR (json_type(resp) = 'VARCHAR' AND json_extract_string(resp, '$') = '')""")
+def empty_responses(spark, sf_dir):
+    """Responses that are logged as empty."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(_RESP).alias("resp"))
+    return N.empty_responses(e, "resp")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import FIXTURE_CONFIG
 from ..sources import fixtures as FX
-from ..sources.protocol_fixture import _LINE_SPARK
+from ..sources.protocol_fixture import _LINE_SPARK, DUCK_LINES
 from ..sources.tables import table
 from ..streaming.common import file_stream, run_dir
 from ..streaming.continuous import reduce_stream
@@ -30,30 +30,47 @@ def _lines_stream(spark, sf_dir):
                     F.col("ts").cast("timestamp").alias("ts"), F.expr(_LINE_SPARK).alias("line"))
 
 
-@query("stream_correlate")
+@query("stream_correlate", oracle=f"""
+WITH l AS (SELECT *, json_valid(line) AS ok FROM {DUCK_LINES} x),
+p AS (SELECT seq, conn,
+        CASE WHEN ok THEN json_extract_string(line, '$.id') END AS rpc_id,
+        CASE WHEN NOT ok THEN 'raw'
+             WHEN json_extract_string(line, '$.method') = 'tools/call' AND json_extract_string(line, '$.params.name') IS NOT NULL AND json_extract_string(line, '$.id') IS NOT NULL THEN 'request'
+             WHEN json_extract_string(line, '$.id') IS NOT NULL AND (json_extract(line, '$.result') IS NOT NULL OR json_extract(line, '$.error') IS NOT NULL) THEN 'response'
+             ELSE 'other' END AS kind,
+        CASE WHEN ok THEN json_extract_string(line, '$.params.name') END AS tool_name FROM l),
+g AS (SELECT *, lag(seq) OVER w AS prev_seq, lag(kind) OVER w AS prev_kind, lag(tool_name) OVER w AS prev_tool
+      FROM p WHERE kind IN ('request', 'response') WINDOW w AS (PARTITION BY conn, rpc_id ORDER BY seq))
+SELECT conn, rpc_id, kind, CASE WHEN prev_kind = 'request' THEN prev_seq END AS request_seq, seq AS response_seq,
+       CASE WHEN prev_kind = 'request' THEN prev_tool END AS tool_name FROM g WHERE kind = 'response'
+UNION ALL SELECT conn, NULL, kind, NULL, seq, NULL FROM p WHERE kind NOT IN ('request', 'response')""")
 def stream_correlate(spark, sf_dir):
-    """M1: stream-stream join of requests and responses (watermarked)."""
+    """M1: responses with their requests by keyed state; other lines pass through."""
     out = run_dir(spark, "correlate")
     q = (correlate(_lines_stream(spark, sf_dir)).writeStream.format("parquet")
          .option("path", os.path.join(out, "data")).option("checkpointLocation", os.path.join(out, "ckpt"))
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "data")).select("conn", "rpc_id", "request_seq", "response_seq",
-                                                                "tool_name")
+    return spark.read.parquet(os.path.join(out, "data")).select("conn", "rpc_id", "kind", "request_seq",
+                                                                "response_seq", "tool_name")
 
 
-@query("stream_history")
+@query("stream_history", oracle="""
+SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, event_type AS tool_name,
+       array_to_string(list(event_type) OVER w, ',') AS recent, array_to_string(list(props) OVER w, '|') AS recent_args
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def stream_history(spark, sf_dir):
     """M2: per-session history state (last 10 calls) feeding each call's recent tools."""
     out = run_dir(spark, "history")
     calls = (_events_stream(spark, sf_dir)
              .select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
-                     F.col("event_type").alias("tool_name")))
+                     F.col("event_type").alias("tool_name"), F.col("props").cast("string").alias("args"),
+                     F.col("ts").cast("timestamp").alias("ts")))
     q = (call_history(calls).writeStream.format("parquet").option("path", os.path.join(out, "data"))
          .option("checkpointLocation", os.path.join(out, "ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "data"))
+    return spark.read.parquet(os.path.join(out, "data")).withColumn("recent_args", F.array_join("recent_args", "|"))
 
 
 @query("stream_reduce")

@@ -19,13 +19,10 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Spread rows over the cluster before a heavy per-row stage.
 
     A small table stored as one file arrives as one partition; the heavy per-row stages
-    (chunking, ranking, rendering) would then run on one core. Only when the scan has
-    fewer partitions than the cluster has cores are rows hash-spread on their key; large
-    inputs keep the scan's own split.
+    (chunking, ranking, rendering) would then run on one core. On a local master rows are
+    dealt evenly; on a cluster, where tables are many files, the scan's own split stands.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local"):
         return df
-    n = max(cores * factor, 1)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    return df.repartition(max(context.defaultParallelism * factor, 1))

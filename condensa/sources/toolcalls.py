@@ -34,15 +34,14 @@ def parse_hook_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def read_hook_events(spark: SparkSession, path: str) -> DataFrame:
-    """S1 from files: JSON lines with an explicit schema; corrupt lines kept aside."""
-    schema = HOOK_EVENT_SCHEMA.add("_corrupt_record", T.StringType())
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return df
+    """S1 from files of JSON lines: the columns of ``parse_hook_lines``; blank and corrupt lines keep their status."""
+    return parse_hook_lines(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as blocks keyed by path (base64 payload)."""
+    """Image files as blocks keyed by path (base64 payload without line breaks); the type follows the extension."""
     b = spark.read.format("binaryFile").load(path)
-    return b.select(F.col("path"), F.lit("image").alias("type"), F.base64("content").alias("data"),
-                    F.lit("image/png").alias("mime_type"))
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    mime = (F.when(ext.isin("jpg", "jpeg"), F.lit("image/jpeg")).when(ext == "svg", F.lit("image/svg+xml"))
+            .when(ext.isin("gif", "webp", "bmp", "tiff"), F.concat(F.lit("image/"), ext)).otherwise(F.lit("image/png")))
+    return b.select(F.col("path"), F.lit("image").alias("type"), F.translate(F.base64("content"), "\r\n", "").alias("data"), mime.alias("mime_type"))

@@ -1,5 +1,5 @@
 """M3: continuous reduction — every micro-batch of tool results runs the result-level
-job and appends its events to the event log (idempotent per batch id)."""
+job, writes its reduced blocks and appends its events to the event log (both idempotent per batch id)."""
 
 from __future__ import annotations
 
@@ -11,11 +11,16 @@ from ..operators import report as RP
 from ..operators import results as RS
 
 
-def reduce_stream(blocks: DataFrame, cfg: Config, log_path: str, checkpoint: str, trigger_once: bool = True):
-    """Start the stream; returns the StreamingQuery. ``blocks`` is a stream of block rows."""
+def reduce_stream(blocks: DataFrame, cfg: Config, log_path: str, checkpoint: str, trigger_once: bool = True,
+                  blocks_path: str | None = None):
+    """Start the stream; returns the StreamingQuery. ``blocks`` is a stream of block rows. With
+    ``blocks_path`` the final blocks of every result are written there."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        summary, _ = RS.reduce_results(df, cfg)
+        summary, reduced = RS.reduce_results(df, cfg)
+        if blocks_path:
+            final = RS.final_blocks(reduced, summary).withColumn("batch_id", F.lit(batch_id))
+            (final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(blocks_path))
         ev = RP.events_from_results(summary).withColumn("batch_id", F.lit(batch_id))
         # Overwrite this batch's own partition: a replayed batch after a failure
         # replaces its output instead of duplicating it.

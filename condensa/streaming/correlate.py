@@ -1,30 +1,65 @@
 """M1: continuous correlation of tool-call requests and their responses.
 
-A stream-stream inner join on (connection, request id). Both sides carry a watermark
-and the join condition bounds how long a request waits for its response, so the join
-state is trimmed as event time advances (the pending-call map it replaces never
-expired anything).
+Keyed state per (connection, request id) holds the latest request that is not answered
+yet: a later request with the same id replaces it, the first response takes it, and
+event time removes it when no response has come within ``max_wait`` of the watermark.
+Responses without a pending request and lines that are no call message pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.protocol import classify_messages
 
+OUT = ("conn BIGINT, rpc_id STRING, kind STRING, request_seq BIGINT, response_seq BIGINT, tool_name STRING, tool_args STRING, "
+       "result STRING, error STRING, line STRING")
+STATE = "seq BIGINT, tool_name STRING, tool_args STRING"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+
+
+def _matcher(max_wait_ms: int):
+    def match(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # a micro-batch's lines of one key, in order: they may come in several Arrow batches
+        lines = pd.concat(list(batches)).sort_values("seq")
+        pending = state.get if state.exists else None
+        out, latest = [], int(lines["ts_ms"].max())
+        for r in lines.itertuples(index=False):
+            if r.kind == "request":
+                pending = (int(r.seq), r.tool_name, r.tool_args)
+                continue
+            seq, tool, args = pending or (None, None, None)
+            pending = None
+            out.append((key[0], key[1], "response", seq, int(r.seq), tool, args, r.result, r.error, r.line))
+        if pending is not None:
+            state.update(pending)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + max_wait_ms)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS).astype({"request_seq": "Int64", "response_seq": "Int64"})
+
+    return match
+
 
-def correlate(lines: DataFrame, max_wait: str = "30 minutes", watermark: str = "30 minutes") -> DataFrame:
-    """lines: (seq, conn, ts, line) stream → one row per response with its request."""
+def correlate(lines: DataFrame, max_wait_ms: int = 7 * 24 * 3600 * 1000, watermark: str = "30 minutes") -> DataFrame:
+    """lines: (seq, conn, ts, line) stream → one row per response, with its request if there is
+    one, and one row per other line (kind 'raw' or 'other'), unchanged. Requests are not repeated."""
     m = classify_messages(lines)
-    req = (m.filter("kind = 'request'")
-           .select(F.col("conn").alias("r_conn"), F.col("rpc_id").alias("r_id"), F.col("seq").alias("request_seq"),
-                   F.col("ts").alias("r_ts"), "tool_name", "tool_args")
-           .withWatermark("r_ts", watermark))
-    resp = (m.filter("kind = 'response'")
-            .select("conn", "rpc_id", F.col("seq").alias("response_seq"), "ts", "result", "error")
-            .withWatermark("ts", watermark))
-    cond = F.expr(f"""r_conn = conn AND r_id = rpc_id AND r_ts <= ts AND ts <= r_ts + INTERVAL {max_wait}
-                      AND request_seq < response_seq""")
-    return resp.join(req, cond, "inner").select("conn", "rpc_id", "request_seq", "response_seq", "tool_name",
-                                                "tool_args", "result", "error")
+    keyed = (m.filter(F.col("kind").isin("request", "response")).withWatermark("ts", watermark)
+             .withColumn("ts_ms", F.unix_millis("ts")))
+    matched = keyed.groupBy("conn", "rpc_id").applyInPandasWithState(
+        _matcher(max_wait_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    passed = m.filter(~F.col("kind").isin("request", "response"))
+    null = lambda kind: F.lit(None).cast(kind)
+    return matched.unionByName(passed.select(
+        "conn", null("string").alias("rpc_id"), "kind", null("bigint").alias("request_seq"), F.col("seq").alias("response_seq"),
+        null("string").alias("tool_name"), null("string").alias("tool_args"), null("string").alias("result"), null("string").alias("error"), "line"))

@@ -6,36 +6,44 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
 
-OUT_SCHEMA = "session STRING, seq BIGINT, tool_name STRING, recent STRING"
-STATE_SCHEMA = "tools ARRAY<STRING>, seqs ARRAY<BIGINT>"
+OUT_SCHEMA = "session STRING, seq BIGINT, tool_name STRING, recent STRING, recent_args ARRAY<STRING>"
+STATE_SCHEMA = "tools ARRAY<STRING>, args ARRAY<STRING>"
 
 
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    tools, seqs = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
-    for pdf in batches:
-        pdf = pdf.sort_values("seq")
+def _updater(keep_ms: int):
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        calls = pd.concat(list(batches)).sort_values("seq")  # all Arrow batches of the micro-batch, in order
+        tools, args = (list(x) for x in state.get) if state.exists else ([], [])
         rows = []
-        for seq, tool in zip(pdf["seq"].tolist(), pdf["tool_name"].tolist()):
-            tools.append(tool)
-            seqs.append(int(seq))
-            tools, seqs = tools[-C.HISTORY_SIZE:], seqs[-C.HISTORY_SIZE:]
-            rows.append((key[0], int(seq), tool, ",".join(tools[-C.RECENT_CALLS:])))
-        if rows:
-            yield pd.DataFrame(rows, columns=["session", "seq", "tool_name", "recent"])
-    state.update((tools, seqs))
+        for seq, tool, arg in zip(calls["seq"].tolist(), calls["tool_name"].tolist(), calls["args"].tolist()):
+            tools, args = [*tools, tool][-C.HISTORY_SIZE:], [*args, arg][-C.HISTORY_SIZE:]
+            rows.append((key[0], int(seq), tool, ",".join(tools[-C.RECENT_CALLS:]), args[-C.RECENT_CALLS:]))
+        state.update((tools, args))
+        if "ts_ms" in calls.columns:
+            state.setTimeoutTimestamp(max(int(calls["ts_ms"].max()), state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame(rows, columns=["session", "seq", "tool_name", "recent", "recent_args"])
 
+    return update
 
-def call_history(calls: DataFrame, session_col: str = "session") -> DataFrame:
-    """calls: stream of (session, seq, tool_name) → each call with its 3 most recent tools.
 
-    State per session holds at most 10 calls; within a micro-batch calls are applied in
-    seq order.
+def call_history(calls: DataFrame, session_col: str = "session", keep_ms: int = 7 * 24 * 3600 * 1000, watermark: str = "30 minutes") -> DataFrame:
+    """calls: stream of (session, seq, tool_name[, args][, ts]) → each call with its 3 most recent tools and their arguments.
+
+    State per session holds at most 10 calls; with event times (``ts``) it goes when the session has been
+    silent for ``keep_ms``. Within a micro-batch calls are applied in seq order.
     """
-    from ..shipping import ship
-    ship(calls.sparkSession)
-    return (calls.groupBy(session_col)
-            .applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    if "args" not in calls.columns:
+        calls = calls.withColumn("args", F.lit(None).cast("string"))
+    timeout = GroupStateTimeout.NoTimeout
+    if "ts" in calls.columns:
+        calls = calls.withWatermark("ts", watermark).withColumn("ts_ms", F.unix_millis("ts"))
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return calls.groupBy(session_col).applyInPandasWithState(_updater(keep_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)

@@ -24,3 +24,10 @@ def test_reduction_text(spark):
     df = spark.createDataFrame([(1000, 66), (0, 0)], "b long, a long")
     got = [r[0] for r in df.select(F.expr(RP.reduction_text("b", "a"))).collect()]
     assert got == ["93.4%", None]
+
+
+def test_previews_count_every_block(spark):
+    rows = [("many", i, "text", "") for i in range(102)] + [("few", 0, "text", "x" * 400), ("few", 1, "text", None), ("few", 2, "image", "no")]
+    got = {r["result_id"]: r["preview"] for r in RP.previews(spark.createDataFrame(rows, "result_id string, pos int, type string, text string")).collect()}
+    assert len(got["many"]) == 503 and got["many"].endswith("...")
+    assert got["few"].startswith("x" * 300) and len(got["few"]) == 305

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,14 +28,23 @@ def test_asof_match_equals_lag(spark):
     assert {tuple(r) for r in got.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
 
 
-def test_stream_join_agrees_with_batch_asof(spark):
+def test_recent_calls_over_gaps(spark):
+    import random
+    r = random.Random(8)
+    rows = [(s, i, f"t{i % 7}") for s in "abc" for i in sorted(r.sample(range(5000), 60))]
+    df = spark.createDataFrame(rows, "s string, seq long, tool string")
+    for n in (1, 3, 10):
+        got = SS.recent_calls(df, "s", "seq", ["tool"], n=n, bucket=16)
+        w = Window.partitionBy("s").orderBy("seq").rowsBetween(-(n - 1), 0)
+        want = df.withColumn("recent", F.collect_list(F.struct("tool")).over(w))
+        assert {(x.s, x.seq, str(x.recent)) for x in got.collect()} == {(x.s, x.seq, str(x.recent)) for x in want.collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_stream_join_equals_batch_asof(spark, sf):
     import __spark_entry__ as entry
     q = entry.queries()
-    sf = "/root/testdata/sf0.01"
-    batch = q["request_response_asof"](spark, sf).filter("matched")
-    stream = q["stream_correlate"](spark, sf)
-    extra = stream.select("conn", "response_seq", "request_seq").subtract(
-        batch.selectExpr("conn", "seq AS response_seq", "request_seq"))
-    assert extra.count() == 0
-    # only responses later than the wait bound are missing from the stream
-    assert stream.count() >= 0.95 * batch.count()
+    batch = q["request_response_asof"](spark, f"/root/testdata/{sf}").selectExpr("conn", "rpc_id", "seq AS response_seq", "request_seq", "tool_name")
+    stream = q["stream_correlate"](spark, f"/root/testdata/{sf}").where("kind = 'response'").select("conn", "rpc_id", "response_seq", "request_seq", "tool_name")
+    assert stream.count() == batch.count()
+    assert stream.exceptAll(batch).count() == batch.exceptAll(stream).count() == 0

@@ -1,109 +1,111 @@
+"""Text jobs on own inputs: tokens, ranking, chunks, the budget pick and the reduced text."""
+
 from conftest import one
 from pyspark.sql import functions as F
 
-from condensa.config import Config
+from condensa.config import STOP_WORDS, Config
 from condensa.functions import exprs as E
 from condensa.functions import keywords as K
 from condensa.operators import text as T
 
-DOCS = [
-    "The weather today is sunny and warm",
-    "Authentication requires a valid login token",
-    "The database stores user credentials securely",
-    "React hooks like useState manage component state",
-    "Login security depends on token validation",
+PARTS = [
+    "Rain fell on the harbour all night and the boats stayed in",
+    "The ledger lists every cargo with its weight and its owner",
+    "A cargo without an owner is stored in the north shed",
+    "Gulls and terns nest on the north cliff above the harbour",
+    "Weight of a cargo decides the fee that the owner pays",
 ]
 
 
 def test_tokenize(spark):
-    t = one(spark, E.tokenize("t"), t="The quick brown Fox jumps over the lazy Dog")
-    assert {"quick", "brown", "fox"} <= set(t) and "the" not in t and "over" not in t
-    t = one(spark, E.tokenize("t"), t="src/auth/login.ts:42")
-    assert {"src", "auth", "login"} <= set(t)
+    assert one(spark, E.tokenize("t"), t="The Ledger, of 12 north-shed cargo: a/b/cc!") == ["ledger", "12", "north-shed", "cargo", "cc"]
+    assert one(spark, E.tokenize("t"), t=" ".join(STOP_WORDS)) == []
+    assert one(spark, E.tokenize("t"), t=None) == []
 
 
 def _rank(spark, query):
-    df = spark.createDataFrame([(DOCS, query)], "docs array<string>, query string")
-    df = df.withColumn("q", F.expr(E.tokenize("query")))
-    df = T.with_chunk_scores(df, "docs", "q", "scores")
+    df = spark.createDataFrame([(PARTS, query)], "docs array<string>, query string")
+    df = T.with_chunk_scores(df.withColumn("q", F.expr(E.tokenize("query"))), "docs", "q", "scores")
     return df.select(F.expr(T.ranked_expr("docs", "scores")).alias("r")).first()["r"]
 
 
-def test_bm25_ranks_relevant_first(spark):
-    r = _rank(spark, "login authentication token")
-    assert "login" in DOCS[r[0]["idx"]].lower() and "login" in DOCS[r[1]["idx"]].lower()
-    assert all(x["neg"] < 0 for x in r[:2])
-
-
-def test_bm25_no_match_and_empty(spark):
-    r = _rank(spark, "quantum physics")
-    assert len(r) == 5 and all(x["neg"] == 0 for x in r)
+def test_ranking(spark):
+    first = _rank(spark, "owner cargo weight")
+    assert {x["idx"] for x in first[:2]} == {1, 4} and first[2]["idx"] == 2
+    assert all(x["neg"] < 0 for x in first[:3]) and all(x["neg"] == 0 for x in first[3:])
+    assert [x["idx"] for x in _rank(spark, "zebra")] == [0, 1, 2, 3, 4]
     assert [x["idx"] for x in _rank(spark, "")] == [0, 1, 2, 3, 4]
 
 
-def test_bm25_index_preserved(spark):
-    r = _rank(spark, "login")
-    assert any(x["idx"] == 1 for x in r[:2])
-
-
 def _chunks(spark, text, target, overlap=50):
     return one(spark, T.chunk_expr("t", target, overlap), t=text)
 
 
-def test_chunker(spark):
-    assert _chunks(spark, "Hello world", 100) == ["Hello world"]
-    text = "\n\n".join(f"Paragraph {i}: " + " ".join(["word"] * 50) for i in range(100))
-    c = _chunks(spark, text, 200)
-    assert len(c) > 1 and all(len(x) > 0 for x in c)
-    assert len(_chunks(spark, "First paragraph.\n\nSecond paragraph.\n\nThird paragraph.", 5)) > 1
-    c = _chunks(spark, "A" * 10000, 200)
-    assert len(c) > 1 and c[0] == "A" * 800
+def test_chunks_cover_the_text(spark):
+    text = "\n\n".join(f"Entry {i}. " + " ".join(f"cargo {i}x{k} owner." for k in range(5 + i % 7)) for i in range(60))
+    found = _chunks(spark, text, 40, 0)
+    assert "".join(found) == text and len(found) > 20
+    with_overlap = _chunks(spark, text, 40, 5)
+    at = 0
+    for c in with_overlap:  # each chunk starts inside or right after the one before
+        here = text.find(c, max(0, at - 40))
+        assert 0 <= here <= at
+        at = max(at, here + len(c))
+    assert at == len(text)
 
 
-def test_chunker_overlap_and_exact_fold(spark):
-    text = "aaaa bbbb cccc dddd eeee. ffff gggg\n\nhhhh iiii"
-    assert _chunks(spark, text, 3, 1) == ["aaaa bbbb ", "bbb cccc ", "ccc dddd ", "ddd eeee. ",
-                                          "ee. ffff gggg\n", "ggg\n\n", "gg\n\nhhhh iiii"]
+def test_chunks_of_unbroken_and_short_text(spark):
+    assert _chunks(spark, "Gulls nest", 100) == ["Gulls nest"]
+    found = _chunks(spark, "z" * 5000, 100, 0)
+    assert found[0] == "z" * 400 and "".join(found) == "z" * 5000
 
 
 def test_greedy_pick_skips_and_continues(spark):
-    ranked = "array(named_struct('neg', -3.0D, 'idx', 0, 'tokens', 5L), named_struct('neg', -2.0D, 'idx', 1, 'tokens', 9L), named_struct('neg', -1.0D, 'idx', 2, 'tokens', 3L))"
-    assert one(spark, T.greedy_pick_expr(ranked, "8"), x="") == [0, 2]
+    ranked = ("array(named_struct('neg', -9.0D, 'idx', 4, 'tokens', 6L), named_struct('neg', -7.0D, 'idx', 1, 'tokens', 7L), "
+              "named_struct('neg', -2.0D, 'idx', 0, 'tokens', 4L), named_struct('neg', -1.0D, 'idx', 3, 'tokens', 1L))")
+    assert one(spark, T.greedy_pick_expr(ranked, "10"), x="") == [0, 4]
 
 
-def _truncate(spark, text, args=None, cfg=Config()):
-    df = spark.createDataFrame([(text, args or "{}")], "text string, args string")
-    df = df.withColumn("q", F.expr(E.tokenize(K.synthetic_query("'read_file'", "args", ["args"]))))
+def _reduce(spark, text, args="{}", cfg=Config()):
+    df = spark.createDataFrame([(text, args)], "text string, args string")
+    df = df.withColumn("q", F.expr(E.tokenize(K.synthetic_query("'read_ledger'", "args", ["args"]))))
     return T.reduce_long_text(df, "text", "q", cfg).first()["reduced"]
 
 
-def test_truncate_short_text(spark):
-    assert _truncate(spark, "short text") == "short text"
+def _ledger(n, at=range(0)):
+    return "\n".join(f"Row {i}: " + ("harbour tariff of the winter season " if i in at else "grain salt rope tar canvas ") * 4 for i in range(n))
+
+
+def test_reduced_text_keeps_head_and_tail(spark):
+    text = _ledger(4500)
+    got = _reduce(spark, text)
+    assert len(got) < len(text) and "[... middle compressed" in got
+    assert text.startswith(got.split("[... middle")[0].rstrip("\n")) and text.endswith(got[-2000:])
+    assert _reduce(spark, "one line") == "one line"
 
 
-def test_truncate_head_tail(spark):
-    text = "\n".join(f"Line {i}: " + "data " * 25 for i in range(4000))
-    r = _truncate(spark, text)
-    assert "[... middle compressed" in r and len(r) < len(text)
-    assert all(f"Line {i}:" in r for i in (0, 100, 3900, 3999))
+def test_reduced_text_follows_the_arguments(spark):
+    got = _reduce(spark, _ledger(4500, range(2300, 2330)), '{"path": "harbour/tariff-winter.txt"}')
+    assert sum(f"Row {i}: harbour" in got for i in range(2300, 2330)) >= 25
 
 
-def test_truncate_uses_tool_context(spark):
-    text = "\n".join((f"Line {i}: authentication login security token validation credentials"
-                      if 2000 <= i <= 2050 else f"Line {i}: " + "generic filler content about weather and climate patterns " * 3)
-                     for i in range(4000))
-    r = _truncate(spark, text, '{"path": "src/auth/login.ts"}')
-    assert "authentication" in r and "login" in r
+def test_empty_summary_falls_back(spark):
+    text = _ledger(1200, range(600, 610))
+    cfg = Config(text_threshold=500, head_tokens=200, tail_tokens=100, chunk_target=64, chunk_overlap=8)
+    rows = [(text, "harbour tariff", s) for s in ("", None, "SUMMARY OF IT ALL")]
+    df = spark.createDataFrame(rows, "text string, query string, s string").withColumn("q", F.expr(E.tokenize("query")))
+    empty, none, given = [r["reduced"] for r in T.reduce_long_text(df, "text", "q", cfg, summaries_col="s").collect()]
+    assert empty == none and "harbour tariff" in empty and "SUMMARY" not in empty
+    assert given == empty or "SUMMARY OF IT ALL" in given
 
 
 def test_query_builder(spark):
-    q = lambda name, args, prev=None: one(
-        spark, K.synthetic_query("n", "a", ["p"] if prev is not None else []), n=name, a=args, p=prev or "{}")
-    assert q("some_tool", "{}") == "some tool"
-    u = q("fetch", '{"url": "https://docs.python.org/3/library/asyncio.html"}')
-    assert "library" in u and "asyncio" in u and "docs.python.org" in u
-    p = q("read_file", '{"path": "src/auth/login.ts"}')
-    assert "auth" in p and "login" in p
-    assert "handleError" in q("grep", '{"pattern": "handleError", "path": "src/"}')
-    h = q("browser_snapshot", "{}", '{"url": "https://react.dev/reference/useState"}')
-    assert "useState" in h and "react.dev" in h
+    def query(name, args, previous=None):
+        return one(spark, K.synthetic_query("n", "a", ["p"] if previous is not None else []), n=name, a=args, p=previous or "{}")
+
+    assert query("weigh_cargo", "{}") == "weigh cargo"
+    url = query("fetch", '{"url": "https://port.example.org/fees/winter-tariff.html"}')
+    assert "port.example.org" in url and "fees" in url
+    assert {"ledger", "north"} <= set(query("read_file", '{"path": "north/ledger.csv"}').split())
+    assert "openShed" in query("grep", '{"pattern": "openShed", "path": "lib/"}')
+    assert "tariff" in query("snapshot", "{}", '{"path": "fees/tariff.md"}')
