@@ -28,7 +28,7 @@ SAFE = ("\u0000-՗", "؀-ࡠ", "ऄ-ह", "‐-‧", "‰-⁞", "₠-₰", "←-
 _UNSAFE = re.compile(f"[^{''.join(SAFE)}]")
 
 #: Distinct pieces that a Python worker keeps, cut by spaces or by pre-tokens; beyond that it forgets the rare ones.
-SPACE_WORDS, PRETOKEN_WORDS = 1_000_000, 400_000
+SPACE_WORDS, PRETOKEN_WORDS = 1_000_000, 300_000
 #: Bytes of text that are split and gathered together (a longer text makes a run of its own),
 #: by spaces in Arrow or by pre-tokens in Python.
 SPACE_RUN_BYTES, PRETOKEN_RUN_BYTES = 12_000_000, 3_000_000
@@ -110,9 +110,9 @@ class Splitter:
         return [w for i, p in enumerate(self.at_added(text)) if p for w in ([p] if i % 2 else self._plain(p))]
 
     def apart(self) -> str:
-        """RE2 pattern of what keeps a text from being cut before each space: spaces before
-        other white space, added tokens."""
-        return f" [{_SPACES}]" + "".join("|" + re.escape(a) for a in self.added)
+        """RE2 pattern of what keeps a text from being cut before each space and line end: white
+        space next to them, added tokens."""
+        return f"[ \n][{_SPACES}]|[{_SPACES}]\n" + "".join("|" + re.escape(a) for a in self.added)
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -132,6 +132,10 @@ _ONE = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _STOPPED = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]+$"
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Index(dict):
     """word -> number, new words numbered as they come."""
 
@@ -190,21 +194,22 @@ class WordEncoder:
         return self._numbers(chain.from_iterable(words), int(counts.sum())), counts
 
     def _by_space(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words between spaces; full stops and commas after a letter are words of their own (a pre-token begins there)."""
-        lists = pc.split_pattern(texts, " ")
+        """Words between spaces, and from a line end on; full stops and commas after a letter
+        are words of their own (a pre-token begins there)."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         counts = np.diff(np.asarray(lists.offsets).astype(np.int64))
         coded = lists.flatten().dictionary_encode()
-        code = np.asarray(coded.indices)
+        code, words = np.asarray(coded.indices), coded.dictionary
         first = np.cumsum(counts) - counts  # no space before these
-        marked = pc.match_substring_regex(coded.dictionary, _STOPPED)
-        bare = pc.if_else(marked, pc.utf8_rtrim(coded.dictionary, ".,"), coded.dictionary)
-        bodies, words = bare.to_pylist(), coded.dictionary.to_pylist()
-        body = self._numbers((" " + w for w in bodies), len(bodies))
+        marked = pc.match_substring_regex(words, _STOPPED)
+        bare = pc.if_else(marked, pc.utf8_rtrim(words, ".,"), words)
+        spaced = pc.if_else(pc.starts_with(words, "\n"), bare, pc.binary_join_element_wise(" ", bare, ""))
+        body = self._numbers(_strings(spaced), len(words))
         tail = np.full(len(words), -1, np.int32)
-        has = np.flatnonzero(np.asarray(marked))
-        tail[has] = self._numbers((words[i][len(bodies[i]):] for i in has.tolist()), len(has))
+        stopped = words.filter(marked)
+        tail[np.asarray(marked)] = self._numbers((w[len(b):] for w, b in zip(_strings(stopped), _strings(bare.filter(marked)))), len(stopped))
         at, stops = body[code], tail[code]
-        at[first] = self._numbers((bodies[i] for i in code[first].tolist()), len(first))
+        at[first] = self._numbers(_strings(bare.take(pa.array(code[first]))), len(first))
         size = 1 + (stops >= 0)
         ends = np.cumsum(size)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
