@@ -1,14 +1,16 @@
 """BM25 over a whole corpus as a relational plan (X2/X3 with A6-A8, J4, W3).
 
-    terms(doc, dl, term)  --semi join query terms-->  tf(doc, dl, term, tf)
-    df(term) = count of tf rows per term
+    documents -> (doc, dl, terms)                      tokenised once, written once
+    tf(doc, dl, term, tf)     terms of the query vocabulary, counted per document
+    df(term)                  tf rows per term
     score(query, doc) = sum over query terms of qtf * idf(df) * tf-norm(tf, dl, avgdl)
 
-Corpus statistics (N, average length) are one row, cross-joined by broadcast. The
-document-term table is cut down to the query vocabulary before any aggregation, and
-every aggregation is partial (map-side) first, so a very common term costs a counter
-per partition, not a hot reducer. Top-k per query uses a window whose limit Spark
-pushes below the shuffle (per-partition group limit).
+The tokenised documents are written to the shared folder and read for the statistics and
+for the counts. A document's tokens are counted where they are (map-side), so no row per token
+is shuffled. The query terms with their document frequencies go to the counts: they are
+broadcast up to MAX_BROADCAST_TERMS rows (counted first), beyond that both sides are shuffled on the
+term and AQE splits skewed ones. Scores of a document are summed where the document is; top-k per
+query uses a window whose limit Spark pushes below the shuffle.
 """
 
 from __future__ import annotations
@@ -18,19 +20,26 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as E
+from ..session import stage
 
+#: Query terms (rows of query, term) that are broadcast.
+MAX_BROADCAST_TERMS = 100_000
 
-def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dl, term) with one row per token occurrence; dl = tokens in the document."""
-    return (docs.select(F.col(id_col).alias("doc_id"), F.expr(E.tokenize(text_col)).alias("_terms"))
-            .select("doc_id", F.size("_terms").alias("dl"), F.explode_outer("_terms").alias("term"))
-            .filter(F.col("term").isNotNull()))
 
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, dl, terms) of every document, written once; dl = tokens in the document."""
+    terms = docs.select(F.col(id_col).alias("doc_id"), F.expr(E.tokenize(text_col)).alias("terms"))
+    return stage(terms.withColumn("dl", F.size("terms")), "bm25-terms")
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
+
+def term_table(tokens: DataFrame) -> DataFrame:
+    """(doc_id, dl, term) with one row per token occurrence."""
+    return tokens.select("doc_id", "dl", F.explode("terms").alias("term"))
+
+
+def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: N documents (zero-term documents count) and their average length."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"),
-                    F.avg(F.size(F.expr(E.tokenize(text_col)))).alias("avgdl"))
+    return tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, qid_col: str, text_col: str) -> DataFrame:
@@ -47,15 +56,17 @@ def search(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, quer
     Output: query_id, doc_id, score (rounded to 6 digits), rank (1 = best; ties by doc_id).
     Documents sharing no term with a query are not listed (their score is 0).
     """
-    qt = query_terms(queries, query_id, query_text)
-    vocab = qt.select("term").distinct()
-    terms = term_table(docs, doc_id, doc_text).join(vocab, "term", "left_semi")
+    qt = stage(query_terms(queries, query_id, query_text), "bm25-queries")
+    small = qt.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    hint = F.broadcast if small else (lambda df: df)
+    tokens = tokenised(docs, doc_id, doc_text)
+    terms = term_table(tokens).join(hint(qt.select("term").distinct()), "term", "left_semi")
     tf = terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs, doc_text))  # exactly one row
+    stats = F.broadcast(corpus_stats(tokens))  # exactly one row
     idf = F.expr("ln((n_docs - df + 0.5D) / (df + 0.5D) + 1.0D)")
     norm = F.expr(f"tf * {k1 + 1}D / (tf + {k1}D * (1.0D - {b}D + {b}D * try_divide(dl, avgdl)))")
-    scored = (qt.join(tf, "term").join(dfreq, "term").crossJoin(stats)
+    scored = (tf.join(hint(qt.join(dfreq, "term")), "term").crossJoin(stats)
               .withColumn("_part", F.col("qtf") * idf * norm)
               .groupBy("query_id", "doc_id").agg(F.sum("_part").alias("_score")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("_score", 9)), F.asc("doc_id"))

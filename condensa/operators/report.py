@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import exprs as E
 
 EVENT_COLUMNS = ["ts", "tool", "strategy", "before", "after", "reduction", "duration_ms", "content_type",
                  "action", "tool_input"]
@@ -16,6 +17,16 @@ def reduction_text(before: str, after: str) -> str:
     return f"IF({before} = 0, NULL, concat(format_string('%.1f', (1 - {after} / {before}) * 100), '%'))"
 
 
+def empty_events(empty: DataFrame, tool_col: str = "tool_name", args_col: str = "args") -> DataFrame:
+    """One event per empty response (rows of ``normalise.empty_responses``), like ``events_from_results``."""
+    null = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("bigint")
+    return empty.select(F.current_timestamp().alias("ts"), F.expr(E.short_tool_name(tool_col)).alias("tool"), null("string").alias("result_id"),
+                        F.lit("skip").alias("strategy"), zero.alias("before"), zero.alias("after"), F.lit("0%").alias("reduction"), zero.alias("duration_ms"),
+                        null("string").alias("content_type"), F.lit("empty-response").alias("action"), F.lit(0).alias("errors"),
+                        F.expr(args_summary_expr(args_col)).alias("tool_input"))
+
+
 def events_from_results(summary: DataFrame) -> DataFrame:
     """One event per result — compressed, or no-change for skipped/unchanged ones."""
     compressed = F.col("action") == "compressed"
@@ -28,7 +39,7 @@ def events_from_results(summary: DataFrame) -> DataFrame:
         .alias("reduction"),
         F.lit(0).cast("bigint").alias("duration_ms"),
         F.when(compressed, F.col("dominant_type")).alias("content_type"), "action",
-        F.col("n_errors").cast("int").alias("errors"))
+        F.col("n_errors").cast("int").alias("errors"), F.expr(args_summary_expr("args")).alias("tool_input"))
 
 
 def savings_report(events: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def result_summary(reduced: DataFrame, cfg: Config) -> DataFrame:
     """
     ok = F.col("compressible") & ~F.col("error")
     per_type = (reduced.groupBy("result_id", "content_type")
-                .agg(F.first("short_name").alias("tool"), F.first("rule_strategy").alias("rule_strategy"),
+                .agg(F.first("short_name").alias("tool"), F.first("args").alias("args"), F.first("rule_strategy").alias("rule_strategy"),
                      F.first("compressible").alias("compressible"), F.count(F.lit(1)).alias("n_all"),
                      F.sum("before").alias("before_all"), F.sum("after").alias("after_all"),
                      F.sum(F.col("error").cast("int")).alias("err"),
@@ -151,7 +151,7 @@ def result_summary(reduced: DataFrame, cfg: Config) -> DataFrame:
                      F.min_by(F.when(ok, F.col("effective_strategy")), F.when(ok, F.col("pos"))).alias("strategy"),
                      F.min(F.when(ok, F.col("pos"))).alias("first_pos")))
     df = (per_type.groupBy("result_id")
-          .agg(F.first("tool").alias("tool"), F.first("rule_strategy").alias("rule_strategy"),
+          .agg(F.first("tool").alias("tool"), F.first("args").alias("args"), F.first("rule_strategy").alias("rule_strategy"),
                F.first("compressible").alias("compressible"), F.sum("n_all").alias("n_blocks"),
                F.sum("before_all").alias("total_before"), F.sum("after_all").alias("total_after"),
                F.sum("err").alias("n_errors"),

@@ -31,3 +31,9 @@ def test_previews_count_every_block(spark):
     got = {r["result_id"]: r["preview"] for r in RP.previews(spark.createDataFrame(rows, "result_id string, pos int, type string, text string")).collect()}
     assert len(got["many"]) == 503 and got["many"].endswith("...")
     assert got["few"].startswith("x" * 300) and len(got["few"]) == 305
+
+
+def test_empty_responses_are_events(spark):
+    rows = [("mcp__a__list", '{"path": "x", "n": 3}')]
+    ev = RP.empty_events(spark.createDataFrame(rows, "tool_name string, args string")).first()
+    assert (ev.tool, ev.action, ev.before, ev.tool_input) == ("list", "empty-response", 0, "path=x; n=3")
