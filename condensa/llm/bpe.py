@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 
 from condensa.shipping import ship
 
-from .tokens import Vocabulary, ragged, token_bytes, worker_encoder
+from .tokens import Vocabulary, WordEncoder, ragged, token_bytes
+
+
+#: Distinct pre-tokens that are merged together.
+BATCH_WORDS = 150_000
 
 
 class PairIndex:
@@ -66,11 +70,15 @@ class PairIndex:
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per word) of pre-tokens."""
+        """(ids, ids per word) of pre-tokens, BATCH_WORDS at a time."""
+        parts = [self._encode(words[a:a + BATCH_WORDS]) for a in range(0, max(1, len(words)), BATCH_WORDS)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [b"" if w in self.added else w.encode("utf-8") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         symbol = self.by_byte[np.frombuffer(b"".join(raw), np.uint8)]
-        word = np.repeat(np.arange(len(raw)), size)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
         alive = self._merge(symbol, word)
         lens = np.bincount(word[alive], minlength=len(raw))
         ids = symbol[alive]
@@ -85,7 +93,7 @@ class PairIndex:
         """Merge in place; returns which positions still hold a symbol."""
         n = len(symbol)
         alive, merged = np.ones(n, bool), np.zeros(n, bool)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         if n:
             ends = np.flatnonzero(word[1:] != word[:-1])
             after[ends], before[ends + 1] = -1, -1
@@ -108,7 +116,8 @@ class PairIndex:
                     lists[r] = [piece]
                     heapq.heappush(active, r)
 
-        append(np.flatnonzero(after >= 0))
+        for a in range(0, n, 1 << 18):
+            append(a + np.flatnonzero(after[a:a + (1 << 18)] >= 0).astype(np.int32))
         while active:
             r = heapq.heappop(active)
             pieces = lists.pop(r)
@@ -162,17 +171,6 @@ class Decoder:
         return self.bytes[ragged(self.starts[ids], lens)].tobytes().decode("utf-8", "replace")
 
 
-_DECODERS: dict = {}
-
-
-def worker_decoder(vocab: Vocabulary) -> Decoder:
-    key = hash(vocab.text)
-    if key not in _DECODERS:
-        _DECODERS.clear()
-        _DECODERS[key] = Decoder(vocab)
-    return _DECODERS[key]
-
-
 def encode(docs: DataFrame, vocab: Vocabulary, row_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """row_id, ids (little-endian unsigned 32-bit integers), n_tokens, [decoded]: one row per row of ``docs``."""
     ship(docs.sparkSession)
@@ -181,8 +179,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, row_id: str = "doc_id", text: str
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value, "pairs", PairIndex, False)
-        decoder = worker_decoder(shared.value) if decode else None
+        # built for the task and dropped with it: an idle Python worker holds no words
+        encoder = WordEncoder(shared.value, PairIndex(shared.value), False)
+        decoder = Decoder(shared.value) if decode else None
         for batch in batches:
             at = 0
             for ids, counts in encoder.batch(batch.column(1)):

@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 
 from condensa.shipping import ship
 
-from .common import SPACE_CLASS, join_small, partitions, stage
+from .common import SPACE_CLASS, arrow_batches, join_small, partitions, stage
 from .components import components
 
 #: Bounds of a row block (rows, columns of all rows) and of a block of step 3.
-BLOCK_ROWS, BLOCK_COLUMNS = 4096, 1_000_000
+BLOCK_ROWS, BLOCK_COLUMNS = 2048, 1_000_000
 NEAR_ROWS, NEAR_COLUMNS = 512, 500_000
 #: Rows sent to a block that one task multiplies with it.
 SENT_ROWS = 4096
@@ -320,7 +320,8 @@ def link_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n:
     spark = docs.sparkSession
     ship(spark)
     sets = docs.select(F.col(row_id).alias("row_id"), shingle_hashes(F.col(text), n).alias("hashes"))
-    rows = stage(shared_columns(sets, threshold), "jaccard-rows")
+    with arrow_batches(spark, BLOCK_ROWS):
+        rows = stage(shared_columns(sets, threshold), "jaccard-rows")
     # rows whose columns are all shared may have equal partners; the others are classes of their own
     keyed = rows.withColumn("key", F.when(F.length("columns") == 8 * F.col("n"), F.md5("columns")).when(F.col("columns").isNotNull(), F.col("uid").cast("string")))
     near = keyed.where("key is not null")

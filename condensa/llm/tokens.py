@@ -31,7 +31,7 @@ _UNSAFE = re.compile(f"[^{''.join(SAFE)}]")
 SPACE_WORDS, PRETOKEN_WORDS = 1_000_000, 300_000
 #: Bytes of text that are split and gathered together (a longer text makes a run of its own),
 #: by spaces in Arrow or by pre-tokens in Python.
-SPACE_RUN_BYTES, PRETOKEN_RUN_BYTES = 12_000_000, 3_000_000
+SPACE_RUN_BYTES, PRETOKEN_RUN_BYTES = 12_000_000, 1_500_000
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ class Vocabulary:
         return _spec(self.text)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _spec(text: str) -> dict:
     spec = json.loads(text)
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]

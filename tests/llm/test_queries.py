@@ -114,3 +114,9 @@ def removed_plainly(texts, length=200):
 
 def test_op10_repeats(spark, texts):
     assert rows(spark, "op10_repeats") == removed_plainly(texts)
+
+
+@pytest.mark.parametrize("name", ["op2_quality", "op3_licences", "op5_mix"])
+def test_native_plans_have_no_python(spark, name):
+    plan = queries.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|InPandas|MapIn", plan)
