@@ -565,7 +565,7 @@ def _o_gather() -> str:
     return f"list_reduce(generate_series(0, len(_p)), lambda s, j: {step}, {init}).out"
 
 
-def _o_convert(text: str) -> str:
+def _o_convert(text: str) -> list[tuple[str, str]]:
     consumers = arr(C.FOOTER_ROLES + ["heading", "table", "strong", "paragraph"] + C.INTERACTIVE_ROLES)
     parsed = f"list_transform(string_split({text}, chr(10)), lambda l: {snap_parse('l')})"
     ends = "list_transform(range(len(_p)), lambda i: coalesce(list_filter(_tf.pairs, lambda x: x.i = i)[1].e, len(_p)))"
@@ -575,20 +575,23 @@ def _o_convert(text: str) -> str:
     ci = f"list_transform(range(len(_p)), lambda i: {_o_collect('i')})"
     url = f"list_transform(range(len(_p)), lambda i: {_o_meta('i', '- /url:')})"
     ph = f"list_transform(range(len(_p)), lambda i: {_o_meta('i', '- /placeholder:')})"
-    return let(parsed, "_p", let(snap_fold("_p"), "_tf", let(
-        "_tf.anc", "_an", let(ends, "_en", let(hidden, "_hd", let(ci, "_ci", let(url, "_url", let(ph, "_ph", let(
-            em, "_em", f"array_to_string({_o_gather()}, chr(10))")))))))))
+    return [("_p", parsed), ("_tf", snap_fold("_p")), ("_an", "_tf.anc"), ("_en", ends), ("_hd", hidden), ("_ci", ci), ("_url", url), ("_ph", ph),
+            ("_em", em), ("_cv", f"array_to_string({_o_gather()}, chr(10))")]
 
 
 def snap_outline_ctes(src: str, id_col: str, text_col: str) -> str:
     """CTE form of the outline twin (DuckDB binds nested lambda lets slowly at this size)."""
     fence = "```yaml" + "\n"
+    # one column per step: bound as columns, not as nested lambda lets
+    steps = "".join(f"c{i + 1} AS (SELECT *, {e} AS {n} FROM c{i}),\n" for i, (n, e) in enumerate(_o_convert("_tree")))
+    last = len(_o_convert("_tree"))
     return f"""
 o0 AS (SELECT {id_col} AS block_id, {text_col} AS _x, strpos({text_col}, '```yaml' || chr(10)) - 1 AS _s,
               CASE WHEN strpos(reverse({text_col}), '```' || chr(10)) = 0 THEN -1
                    ELSE length({text_col}) - strpos(reverse({text_col}), '```' || chr(10)) - 3 END AS _e FROM {src}),
 o1 AS (SELECT *, NOT (_s = -1 OR _e = -1 OR _e <= _s) AS _f FROM o0),
 o2 AS (SELECT *, CASE WHEN _f THEN substr(_x, _s + {len(fence) + 1}, _e - _s - {len(fence)}) ELSE _x END AS _tree FROM o1),
-o3 AS (SELECT *, {_o_convert('_tree')} AS _cv FROM o2),
+c0 AS (SELECT * FROM o2),
+{steps}o3 AS (SELECT * FROM c{last}),
 o4 AS (SELECT *, {js_trim("regexp_replace(CASE WHEN _f THEN " + js_trim("substr(_x, 1, _s) || _cv || substr(_x, _e + 5)") + " ELSE _cv END, '\\n{3,}', chr(10) || chr(10), 'g')")} AS _o FROM o3),
 outline AS (SELECT block_id, _x AS text, CASE WHEN length(_o) >= length(_x) THEN NULL ELSE _o END AS outline FROM o4)"""
