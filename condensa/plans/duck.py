@@ -275,23 +275,20 @@ def jprinted(x: str, depth: int) -> str:
         nested = (f"CASE WHEN {kd} = 'array' THEN '\"[... ' || CAST(json_array_length({x}) AS VARCHAR) || ' items]\"' "
                   f"ELSE to_json('{{' || array_to_string(json_keys({x}), ', ') || ' — ' || CAST(len(json_keys({x})) AS VARCHAR) || ' keys}}')::VARCHAR END")
     else:
-        k, e, a, o = f"_k{depth}", f"_e{depth}", f"_a{depth}", f"_o{depth}"
+        it, a, lines = f"_i{depth}", f"_a{depth}", f"_l{depth}"
         pad, outer = "  " * (depth + 1), "  " * depth
         rest = (f"CASE WHEN coalesce({homog(a)}, false) THEN '... ' || CAST(len({a}) - {C.JSON_MAX_ARRAY_ITEMS} AS VARCHAR) || ' more items with same shape {{' "
                 f"|| array_to_string(json_keys({a}[1]), ', ') || '}}' ELSE '... ' || CAST(len({a}) - {C.JSON_MAX_ARRAY_ITEMS} AS VARCHAR) || ' more items (' "
                 f"|| CAST(len({a}) AS VARCHAR) || ' total)' END")
-        items = (f"list_concat(list_transform(CASE WHEN len({a}) > {C.JSON_ARRAY_THRESHOLD} THEN {a}[1:{C.JSON_MAX_ARRAY_ITEMS}] ELSE {a} END, "
-                 f"lambda {e}: '{pad}' || {jprinted(e, depth + 1)}), CASE WHEN len({a}) > {C.JSON_ARRAY_THRESHOLD} THEN ['{pad}' || to_json({rest})::VARCHAR] ELSE [] END)")
-        lines = let(f"json_extract({x}, '$[*]')", a, items)
-        val = f"json_extract({x}, {kpath(k)})"
-        keep = (f"list_filter(json_keys({x}), lambda {k}: NOT ({jkind(x, kpath(k))} = 'null' OR json_extract_string({x}, {kpath(k)}) = '' "
-                f"OR ({jkind(x, kpath(k))} = 'array' AND json_array_length({x}, {kpath(k)}) = 0)))")
-        members = f"list_transform({keep}, lambda {k}: '{pad}' || to_json({k})::VARCHAR || ': ' || {let(val, o, jprinted(o, depth + 1))})"
-
-        def wrap(got: str, left: str, right: str) -> str:
-            return let(got, f"_l{depth}", f"CASE WHEN len(_l{depth}) = 0 THEN '{left}{right}' ELSE '{left}' || chr(10) || array_to_string(_l{depth}, ',' || chr(10)) || chr(10) || '{outer}{right}' END")
-
-        nested = f"CASE WHEN {kd} = 'array' THEN {wrap(lines, '[', ']')} ELSE {wrap(members, '{', '}')} END"
+        keys = (f"list_filter(json_keys({x}), lambda k: NOT ({jkind(x, kpath('k'))} = 'null' OR json_extract_string({x}, {kpath('k')}) = '' "
+                f"OR ({jkind(x, kpath('k'))} = 'array' AND json_array_length({x}, {kpath('k')}) = 0)))")
+        items = (f"CASE WHEN {kd} = 'array' THEN list_transform(CASE WHEN len({a}) > {C.JSON_ARRAY_THRESHOLD} THEN {a}[1:{C.JSON_MAX_ARRAY_ITEMS}] ELSE {a} END, "
+                 f"lambda e: {{'k': NULL::VARCHAR, 'v': e}}) ELSE list_transform({keys}, lambda k: {{'k': k, 'v': json_extract({x}, {kpath('k')})}}) END")
+        shown = (f"list_concat(list_transform({items}, lambda {it}: '{pad}' || CASE WHEN {it}.k IS NULL THEN '' ELSE to_json({it}.k)::VARCHAR || ': ' END "
+                 f"|| {jprinted(f'{it}.v', depth + 1)}), CASE WHEN {kd} = 'array' AND len({a}) > {C.JSON_ARRAY_THRESHOLD} THEN ['{pad}' || to_json({rest})::VARCHAR] ELSE [] END)")
+        left, right = f"CASE WHEN {kd} = 'array' THEN '[' ELSE '{{' END", f"CASE WHEN {kd} = 'array' THEN ']' ELSE '}}' END"
+        nested = let(f"CASE WHEN {kd} = 'array' THEN json_extract({x}, '$[*]') END", a, let(shown, lines, (
+            f"CASE WHEN len({lines}) = 0 THEN {left} || {right} ELSE {left} || chr(10) || array_to_string({lines}, ',' || chr(10)) || chr(10) || '{outer}' || {right} END")))
     return (f"CASE {kd} WHEN 'string' THEN ({x})::VARCHAR WHEN 'boolean' THEN ({x})::VARCHAR WHEN 'null' THEN 'null' "
             f"WHEN 'number' THEN {number_text(f'({x})::VARCHAR')} ELSE {nested} END")
 

@@ -139,16 +139,21 @@ def json_shape_profile(spark, sf_dir):
                  F.countDistinct("json_id").alias("n_payloads")))
 
 
-@query("json_reduced_text", oracle=f"""
-WITH p AS MATERIALIZED (SELECT json_id, text, {D.tokens('text')} AS before,
-             CASE WHEN {D.tokens('text')} > {C.JSON_MIN_TOKENS} AND {D.json_looking('text')} AND json_valid(text) THEN {D.jrender('text')} END AS tbl FROM {P} x),
+def duck_reduced(src: str, id_col: str) -> str:
+    """SQL: id, before, reduced of the JSON texts of ``src``."""
+    return f"""
+WITH p AS MATERIALIZED (SELECT {id_col}, text, {D.tokens('text')} AS before,
+             CASE WHEN {D.tokens('text')} > {C.JSON_MIN_TOKENS} AND {D.json_looking('text')} AND json_valid(text) THEN {D.jrender('text')} END AS tbl FROM {src} x),
 t AS MATERIALIZED (SELECT *, CASE WHEN tbl IS NOT NULL AND {D.tokens('tbl')} < before THEN
         '[JSON → table — ' || {D.fmt_int('before')} || ' tokens → ' || {D.fmt_int(D.tokens('tbl'))} || ']' || chr(10) || tbl END AS t1 FROM p),
 c AS MATERIALIZED (SELECT *, CASE WHEN t1 IS NULL AND before > {C.JSON_MIN_TOKENS} AND {D.json_looking('text')} AND json_valid(text)
-                     THEN {D.jprinted('text::JSON', 0)} END AS body FROM t),
-r AS (SELECT json_id, before, coalesce(t1, CASE WHEN {D.tokens('body')} < before THEN
-        '[JSON collapsed — original had ' || {D.fmt_int('before')} || ' tokens]' || chr(10) || body END, text) AS reduced FROM c)
-SELECT json_id, before, {D.tokens('reduced')} AS after, md5(reduced) AS reduced_md5 FROM r""")
+                     THEN {D.jprinted('text::JSON', 0)} END AS body FROM t)
+SELECT {id_col}, before, coalesce(t1, CASE WHEN {D.tokens('body')} < before THEN
+        '[JSON collapsed — original had ' || {D.fmt_int('before')} || ' tokens]' || chr(10) || body END, text) AS reduced FROM c"""
+
+
+@query("json_reduced_text", oracle=f"""
+SELECT json_id, before, {D.tokens('reduced')} AS after, md5(reduced) AS reduced_md5 FROM ({duck_reduced(P, 'json_id')})""")
 def json_reduced_text(spark, sf_dir):
     """K7 → K5 → K4 end to end."""
     p = J.reduce_json(json_payloads(spark, sf_dir), "text")
