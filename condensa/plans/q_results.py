@@ -13,6 +13,8 @@ from ..sources import fixtures as FX
 from ..sources.results_fixture import all_blocks, duck_all_blocks, ocr_table
 from ..sources.tables import spread
 from . import duck as D
+from .q_json import duck_reduced
+from .q_text import _duck_reduce_ctes
 from .registry import query
 
 ALL = duck_all_blocks(D.TEXT_BLOCKS, D.SHOT_BLOCKS)
@@ -30,6 +32,62 @@ routed AS (SELECT r.*, CASE WHEN rule_strategy = 'auto' AND type = 'image' AND N
                             ELSE rule_strategy END AS effective_strategy FROM r)"""
 
 
+_OCR = f"""
+WITH i AS (SELECT * FROM {D.SHOT_BLOCKS} s WHERE type = 'image'),
+o AS (SELECT sha256(i.data) AS image_key, CASE WHEN CAST(regexp_extract(i.result_id, '(\\d+)$', 1) AS BIGINT) % 7 = 0
+             THEN ' ok ' ELSE b.text END AS ocr
+      FROM i JOIN benchmark b ON CAST(regexp_extract(i.result_id, '(\\d+)$', 1) AS BIGINT) = b.item_id),
+j AS (SELECT id, ocr, coalesce(json_extract_string(args, '$.filename'), json_extract_string(args, '$.path')) AS path
+      FROM picked LEFT JOIN o ON sha256(picked.data) = o.image_key WHERE branch = 'ocr')
+SELECT id, CASE WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
+       THEN '[OCR extracted from screenshot — may contain errors]' || chr(10) || {D.js_trim('ocr')}
+       WHEN ocr IS NULL AND path IS NOT NULL
+       THEN '[Screenshot saved to: ' || path || ' — OCR could not extract text. No text found on image.]'
+       WHEN path IS NOT NULL THEN '[Screenshot saved to: ' || path || ' — no text found on image.]' END AS seen FROM j"""
+
+
+def _ratio(after: str, before: str) -> str:
+    return f"CASE WHEN {before} > 0 THEN {D.js_round(f'(1 - {after} / {before}) * 100')} ELSE 0 END"
+
+
+# R1 in SQL: every branch on its own blocks, then totals, guard and summary per result.
+REDUCED = f"""
+rt AS MATERIALIZED (WITH {ROUTED} SELECT * FROM routed),
+picked AS MATERIALIZED (
+  SELECT *, result_id || '#' || pos AS id,
+         CASE WHEN compressible AND effective_strategy = 'ocr' AND type = 'image' AND coalesce(data, '') <> '' THEN 'ocr'
+              WHEN compressible AND type = 'text' AND coalesce(text, '') <> '' THEN effective_strategy END AS branch FROM rt),
+trunc_in AS (SELECT id AS doc_id, text, {D.tokenize('query')} AS q
+             FROM (SELECT *, {D.synthetic_query('short_name', 'args', ['args'])} AS query FROM picked WHERE branch = 'truncate')),
+trunc AS MATERIALIZED (WITH {_duck_reduce_ctes('trunc_in').strip()} SELECT doc_id AS id, reduced FROM red),
+js AS MATERIALIZED ({duck_reduced("(SELECT id, text FROM picked WHERE branch = 'json-collapse')", 'id')}),
+dom AS MATERIALIZED (WITH {D.snap_outline_ctes("(SELECT id, text FROM picked WHERE branch = 'dom-cleanup')", 'id', 'text').strip()}
+                     SELECT block_id AS id, outline FROM outline),
+seen AS MATERIALIZED ({_OCR}),
+blocks_out AS (
+  SELECT picked.*, CASE WHEN seen IS NOT NULL THEN 'text' ELSE type END AS out_type, coalesce(trunc.reduced, js.reduced, outline, seen, text) AS out_text,
+         CASE WHEN seen IS NULL THEN data END AS out_data
+  FROM picked LEFT JOIN trunc USING (id) LEFT JOIN js USING (id) LEFT JOIN dom USING (id) LEFT JOIN seen USING (id)),
+sized AS MATERIALIZED (SELECT *, {D.block_tokens('out_type', 'out_text', 'out_data')} AS after FROM blocks_out),
+stats AS (SELECT result_id, content_type, count(*) AS n, sum(before) AS before, sum(after) AS after, min(pos) AS first_pos
+          FROM sized WHERE compressible GROUP BY ALL),
+parts AS (SELECT result_id,
+    string_agg(content_type || ': ' || n || ' block' || CASE WHEN n > 1 THEN 's' ELSE '' END || ', ' || {D.fmt_int('before')} || '→' || {D.fmt_int('after')}
+               || ' tokens (-' || CAST({_ratio('after', 'before')} AS VARCHAR) || '%)', '; ' ORDER BY first_pos)
+      FILTER (content_type <> 'small-text' AND before <> after) AS big,
+    any_value(n || ' small block' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' unchanged') FILTER (content_type = 'small-text') AS small,
+    arg_max(content_type, [before, -first_pos]) FILTER (content_type <> 'small-text') AS dominant
+  FROM stats GROUP BY result_id),
+totals AS (SELECT result_id, any_value(short_name) AS tool, any_value(rule_strategy) AS rule_strategy, any_value(compressible) AS compressible,
+                  count(*) AS n_blocks, sum(before) AS total_before, sum(after) AS total_after FROM sized GROUP BY result_id),
+judged AS (SELECT totals.*, coalesce(dominant, 'small-text') AS dominant_type, big, small,
+             CASE WHEN NOT compressible OR total_after = total_before OR (total_after > total_before * {C.GROWTH_LIMIT}::DOUBLE AND rule_strategy = 'auto')
+                  THEN 'no-change' ELSE 'compressed' END AS action FROM totals LEFT JOIN parts USING (result_id)),
+results AS (SELECT *, CASE WHEN action = 'compressed' THEN '[{RS.SUMMARY_TAG}: ' || {D.fmt_int('total_before')} || '→' || {D.fmt_int('total_after')} || ' tokens (-'
+             || CAST({_ratio('total_after', 'total_before')} AS VARCHAR) || '%)' || CASE WHEN big IS NOT NULL OR small IS NOT NULL THEN ' | ' || concat_ws('; ', big, small) ELSE '' END || ']' END AS summary
+            FROM judged)"""
+
+
 def _routed(spark, sf_dir):
     return R.route(B.annotate(spread(all_blocks(spark, sf_dir), "result_id"), CFG), CFG)
 
@@ -107,7 +165,10 @@ def ocr_lookup(spark, sf_dir):
                       F.when(F.col("out_type") == "text", F.col("out_text")).alias("out_text"))
 
 
-@query("reduce_results")
+@query("reduce_results", oracle=f"""
+WITH {REDUCED}
+SELECT result_id, tool, rule_strategy, action, n_blocks, CAST(0 AS BIGINT) AS n_errors, total_before AS before,
+       CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after, dominant_type, summary FROM results""")
 def reduce_results(spark, sf_dir):
     """R1 end to end over every kind of result (the flagship query)."""
     summary, _ = _reduced(spark, sf_dir)
@@ -116,7 +177,9 @@ def reduce_results(spark, sf_dir):
                           "dominant_type", "summary")
 
 
-@query("growth_guard")
+@query("growth_guard", oracle=f"""
+WITH {REDUCED}
+SELECT result_id, rule_strategy, total_before, total_after, total_after > total_before * {C.GROWTH_LIMIT}::DOUBLE AS grew, action FROM results WHERE compressible""")
 def growth_guard(spark, sf_dir):
     """A4: results whose reduction would grow them (or change nothing) keep their blocks."""
     summary, _ = _reduced(spark, sf_dir)
@@ -125,7 +188,9 @@ def growth_guard(spark, sf_dir):
         F.expr(f"total_after > total_before * {C.GROWTH_LIMIT}D").alias("grew"), "action")
 
 
-@query("summary_line")
+@query("summary_line", oracle=f"""
+WITH {REDUCED}
+SELECT result_id, summary FROM results WHERE action = 'compressed'""")
 def summary_line(spark, sf_dir):
     """A14 + U1: the summary block of every changed result."""
     summary, _ = _reduced(spark, sf_dir)
