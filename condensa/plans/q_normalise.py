@@ -53,11 +53,13 @@ def normalise_response(spark, sf_dir):
     return n.select("event_id", "pos", "type", "text", F.length("data").alias("data_chars"), "mime_type")
 
 
-@query("empty_responses", oracle=f"""
-WITH r AS (SELECT event_id, event_type, {_RESP_DUCK} AS resp FROM events)
-SELECT event_id, event_type FROM r
+DUCK_EMPTY = f"""
+SELECT event_id, event_type FROM (SELECT event_id, event_type, {_RESP_DUCK} AS resp FROM events)
 WHERE json_type(resp) IN ('NULL', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE') OR (json_type(resp) = 'ARRAY' AND json_array_length(resp) = 0)
-   OR (json_type(resp) = 'VARCHAR' AND json_extract_string(resp, '$') = '')""")
+   OR (json_type(resp) = 'VARCHAR' AND json_extract_string(resp, '$') = '')"""
+
+
+@query("empty_responses", oracle=DUCK_EMPTY)
 def empty_responses(spark, sf_dir):
     """Responses that are logged as empty."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(_RESP).alias("resp"))

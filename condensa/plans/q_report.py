@@ -8,44 +8,23 @@ from ..operators import report as RP
 from ..sources import fixtures as FX
 from ..sources.tables import table
 from . import duck as D
+from .q_normalise import DUCK_EMPTY, empty_responses
+from .q_results import REDUCED, _reduced
 from .registry import query
 
-# Event log derived from ``events``: integer arithmetic on the event id.
-_EVENTS_SQL = """
-SELECT event_id, event_type AS tool, action,
-  CASE WHEN action = 'compressed' THEN CASE event_type WHEN 'view' THEN 'dom-cleanup' WHEN 'click' THEN 'json-collapse'
-       WHEN 'purchase' THEN 'truncate' WHEN 'signup' THEN 'ocr' ELSE 'auto' END ELSE 'skip' END AS strategy,
-  before, CASE WHEN action = 'compressed' THEN CAST(floor(before * (event_id % 9 + 1) / 10) AS BIGINT) ELSE before END AS after,
-  CASE WHEN action = 'compressed' THEN event_id % 250 ELSE 0 END AS duration_ms,
-  CASE WHEN action = 'compressed' THEN CASE event_type WHEN 'view' THEN 'dom-snapshot' WHEN 'click' THEN 'large-json'
-       WHEN 'purchase' THEN 'large-text' WHEN 'signup' THEN 'image' ELSE 'small-text' END END AS content_type,
-  CASE WHEN event_id % 101 = 0 THEN 1 ELSE 0 END AS errors
-FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'no-change' WHEN event_id % 3 = 2 AND event_id % 11 = 0 THEN 'empty-response'
-                     ELSE 'compressed' END AS action,
-             CASE WHEN event_id % 3 = 2 AND event_id % 11 = 0 THEN 0 ELSE (event_id % 97 + 1) * 37 END AS before
-      FROM events) e"""
+# The log of the end-to-end reduction, and an event for each empty response.
+_EVENTS_SQL = f"""
+WITH {REDUCED}
+SELECT tool, action, total_before AS before, CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after, 0 AS duration_ms,
+       CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, 0 AS errors FROM results
+UNION ALL SELECT event_type, 'empty-response', 0, 0, 0, NULL, 0 FROM ({DUCK_EMPTY})"""
 
 
 def event_log_table(spark, sf_dir):
-    """The event log derived from ``events`` (same arithmetic as ``_EVENTS_SQL``)."""
-    e = table(spark, sf_dir, "events")
-    empty = "event_id % 3 = 2 AND event_id % 11 = 0"
-    e = (e.withColumn("action", F.expr(f"CASE WHEN event_id % 3 = 0 THEN 'no-change' WHEN {empty} "
-                                       "THEN 'empty-response' ELSE 'compressed' END"))
-          .withColumn("before", F.expr(f"CASE WHEN {empty} THEN 0 ELSE (event_id % 97 + 1) * 37 END")))
-    done = F.col("action") == "compressed"
-    strategy = F.expr("CASE event_type WHEN 'view' THEN 'dom-cleanup' WHEN 'click' THEN 'json-collapse' "
-                      "WHEN 'purchase' THEN 'truncate' WHEN 'signup' THEN 'ocr' ELSE 'auto' END")
-    ctype = F.expr("CASE event_type WHEN 'view' THEN 'dom-snapshot' WHEN 'click' THEN 'large-json' "
-                   "WHEN 'purchase' THEN 'large-text' WHEN 'signup' THEN 'image' ELSE 'small-text' END")
-    return e.select(
-        "event_id", F.col("event_type").alias("tool"), "action",
-        F.when(done, strategy).otherwise(F.lit("skip")).alias("strategy"), "before",
-        F.when(done, F.expr("CAST(floor(before * (event_id % 9 + 1) / 10) AS BIGINT)")).otherwise(F.col("before"))
-        .alias("after"),
-        F.when(done, F.col("event_id") % 250).otherwise(F.lit(0)).alias("duration_ms"),
-        F.when(done, ctype).alias("content_type"),
-        F.when(F.col("event_id") % 101 == 0, F.lit(1)).otherwise(F.lit(0)).alias("errors"))
+    """Events of the end-to-end reduction and of the empty responses."""
+    summary, _ = _reduced(spark, sf_dir)
+    return RP.events_from_results(summary).unionByName(RP.empty_events(
+        empty_responses(spark, sf_dir).withColumn("args", F.lit("{}")), "event_type"))
 
 
 @query("savings_report", oracle=f"""
@@ -78,24 +57,32 @@ _ARGS_SPARK = """to_json(named_struct('prompt', text, 'turn', turn, 'even', turn
                  'meta', named_struct('conv', conv_id), 'tags', array('a', 'b')))"""
 
 
+def _args_duck(args: str) -> str:
+    return f"""array_to_string(list_filter(list_transform(json_keys({args}), lambda k:
+  CASE WHEN json_type({args}, {D.kpath('k')}) = 'VARCHAR' THEN k || '=' ||
+         CASE WHEN length(json_extract_string({args}, {D.kpath('k')})) > 200
+              THEN substr(json_extract_string({args}, {D.kpath('k')}), 1, 200) || '...' ELSE json_extract_string({args}, {D.kpath('k')}) END
+       WHEN json_type({args}, {D.kpath('k')}) IN ('BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN k || '=' || json_extract_string({args}, {D.kpath('k')})
+  END), lambda x: x IS NOT NULL), '; ')"""
+
+
 @query("log_args_summary", oracle=f"""
 WITH c AS (SELECT conv_id, turn, json_object('prompt', text, 'turn', turn, 'even', turn % 2 = 0,
                   'meta', json_object('conv', conv_id), 'tags', ['a', 'b']) AS args FROM conversations)
-SELECT conv_id, turn, array_to_string(list_filter(list_transform(json_keys(args), lambda k:
-  CASE WHEN json_type(args, {D.kpath('k')}) = 'VARCHAR' THEN k || '=' ||
-         CASE WHEN length(json_extract_string(args, {D.kpath('k')})) > 200
-              THEN substr(json_extract_string(args, {D.kpath('k')}), 1, 200) || '...' ELSE json_extract_string(args, {D.kpath('k')}) END
-       WHEN json_type(args, {D.kpath('k')}) IN ('BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN k || '=' || json_extract_string(args, {D.kpath('k')})
-  END), lambda x: x IS NOT NULL), '; ') AS summary
-FROM c""")
+SELECT conv_id, turn, {_args_duck('args')} AS summary FROM c""")
 def log_args_summary(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ARGS_SPARK).alias("args"))
     return c.select("conv_id", "turn", F.expr(RP.args_summary_expr("args")).alias("summary"))
 
 
-@query("event_log")
+@query("event_log", oracle=f"""
+WITH {REDUCED}
+SELECT tool, result_id, CASE WHEN action = 'compressed' THEN rule_strategy ELSE 'skip' END AS strategy, total_before AS before,
+       CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after,
+       CASE WHEN action <> 'compressed' THEN '0%' WHEN total_before > 0 THEN printf('%.1f', (1 - total_after / total_before) * 100) || '%' END AS reduction,
+       CAST(0 AS BIGINT) AS duration_ms, CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, action, 0 AS errors,
+       {_args_duck('args')} AS tool_input FROM results""")
 def event_log(spark, sf_dir):
-    """U2 over the end-to-end reduction: one event per result (rows-only check)."""
-    from .q_results import _reduced
+    """U2 over the end-to-end reduction: one event per result."""
     summary, _ = _reduced(spark, sf_dir)
     return RP.events_from_results(summary).drop("ts")

@@ -78,7 +78,7 @@ parts AS (SELECT result_id,
     any_value(n || ' small block' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' unchanged') FILTER (content_type = 'small-text') AS small,
     arg_max(content_type, [before, -first_pos]) FILTER (content_type <> 'small-text') AS dominant
   FROM stats GROUP BY result_id),
-totals AS (SELECT result_id, any_value(short_name) AS tool, any_value(rule_strategy) AS rule_strategy, any_value(compressible) AS compressible,
+totals AS (SELECT result_id, any_value(short_name) AS tool, any_value(rule_strategy) AS rule_strategy, any_value(compressible) AS compressible, any_value(args) AS args,
                   count(*) AS n_blocks, sum(before) AS total_before, sum(after) AS total_after FROM sized GROUP BY result_id),
 judged AS (SELECT totals.*, coalesce(dominant, 'small-text') AS dominant_type, big, small,
              CASE WHEN NOT compressible OR total_after = total_before OR (total_after > total_before * {C.GROWTH_LIMIT}::DOUBLE AND rule_strategy = 'auto')

@@ -1,6 +1,6 @@
 """Streaming queries (M1-M3), run to completion with an available-now trigger.
 
-Each returns the batch result read back from the sink (rows-only checks)."""
+Each returns the batch result read back from the sink."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ..streaming.common import file_stream, run_dir
 from ..streaming.continuous import reduce_stream
 from ..streaming.correlate import correlate
 from ..streaming.history import call_history
+from .q_results import REDUCED
 from .registry import query
 
 
@@ -73,7 +74,10 @@ def stream_history(spark, sf_dir):
     return spark.read.parquet(os.path.join(out, "data")).withColumn("recent_args", F.array_join("recent_args", "|"))
 
 
-@query("stream_reduce")
+@query("stream_reduce", oracle=f"""
+WITH {REDUCED}
+SELECT result_id, tool, CASE WHEN action = 'compressed' THEN rule_strategy ELSE 'skip' END AS strategy, total_before AS before,
+       CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after, action FROM results WHERE starts_with(result_id, 'doc:')""")
 def stream_reduce(spark, sf_dir):
     """M3: continuous reduction of a stream of document results into the event log."""
     out = run_dir(spark, "reduce")
