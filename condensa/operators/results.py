@@ -215,6 +215,6 @@ def nest(blocks: DataFrame) -> DataFrame:
     blocks is split across tasks instead of being gathered into one row.
     """
     block = F.to_json(F.struct(F.col("type"), F.col("text"), F.col("data"), F.col("mime_type").alias("mimeType")))
-    return (blocks.select("result_id", "pos", block.alias("block"))
+    return (blocks.select("result_id", "pos", "type", "text", "data", "mime_type", block.alias("block"))
             .repartitionByRange("result_id", "pos").sortWithinPartitions("result_id", "pos"))
 

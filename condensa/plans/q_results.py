@@ -9,6 +9,7 @@ from ..config import FIXTURE_CONFIG as CFG
 from ..operators import blocks as B
 from ..operators import results as RS
 from ..operators import routing as R
+from ..session import stage
 from ..sources import fixtures as FX
 from ..sources.results_fixture import all_blocks, duck_all_blocks, ocr_table
 from ..sources.tables import spread
@@ -66,7 +67,7 @@ dom AS MATERIALIZED (WITH {D.snap_outline_ctes("(SELECT id, text FROM picked WHE
 seen AS MATERIALIZED ({_OCR}),
 blocks_out AS (
   SELECT picked.*, CASE WHEN seen IS NOT NULL THEN 'text' ELSE type END AS out_type, coalesce(trunc.reduced, js.reduced, outline, seen, text) AS out_text,
-         CASE WHEN seen IS NULL THEN data END AS out_data
+         CASE WHEN seen IS NULL THEN data END AS out_data, CASE WHEN seen IS NULL THEN mime_type END AS out_mime
   FROM picked LEFT JOIN trunc USING (id) LEFT JOIN js USING (id) LEFT JOIN dom USING (id) LEFT JOIN seen USING (id)),
 sized AS MATERIALIZED (SELECT *, {D.block_tokens('out_type', 'out_text', 'out_data')} AS after FROM blocks_out),
 stats AS (SELECT result_id, content_type, count(*) AS n, sum(before) AS before, sum(after) AS after, min(pos) AS first_pos
@@ -197,16 +198,26 @@ def summary_line(spark, sf_dir):
     return summary.filter("action = 'compressed'").select("result_id", "summary")
 
 
-@query("result_output")
+@query("result_output", oracle=f"""
+WITH {REDUCED},
+final AS (
+  SELECT result_id, pos, CASE WHEN action = 'compressed' THEN out_type ELSE type END AS t, CASE WHEN action = 'compressed' THEN out_text ELSE text END AS x,
+         CASE WHEN action = 'compressed' THEN out_data ELSE data END AS d, CASE WHEN action = 'compressed' THEN out_mime ELSE mime_type END AS m
+  FROM sized JOIN (SELECT result_id, action FROM results) USING (result_id)
+  UNION ALL SELECT result_id, -1, 'text', summary, NULL, NULL FROM results WHERE action = 'compressed')
+SELECT result_id, count(*) AS n_blocks, CAST(sum(length(coalesce(x, '')) + length(coalesce(d, ''))) AS BIGINT) AS content_chars,
+       CAST(sum(('0x' || substr(md5(concat_ws('|', pos, t, coalesce(x, ''), coalesce(d, ''), coalesce(m, ''))), 1, 8))::BIGINT) AS BIGINT) AS content_hash,
+       min(pos) AS first_pos FROM final GROUP BY result_id""")
 def result_output(spark, sf_dir):
     """Final blocks in result order (summary block first); per result the block
-    count, JSON size and a position-aware hash (partial aggregation)."""
-    summary, reduced = _reduced(spark, sf_dir)
-    # The reduced blocks feed the summary and the output; write them once (lineage cut)
-    # rather than reducing every block again for each use and for the range sampling.
-    reduced = reduced.checkpoint(eager=True)
+    count, characters and a position-aware hash (partial aggregation)."""
+    _, reduced = _reduced(spark, sf_dir)
+    # the reduced blocks feed the summary, the output and its range sampling: written once
+    reduced = stage(reduced, "reduced-blocks")
     summary = RS.result_summary(reduced, CFG)
     nested = RS.nest(RS.final_blocks(reduced, summary))
+    none = F.lit("")
+    whole = F.concat_ws("|", "pos", "type", F.coalesce("text", none), F.coalesce("data", none), F.coalesce("mime_type", none))
     return nested.groupBy("result_id").agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("block")).alias("content_chars"),
-        F.expr("sum(pmod(xxhash64(pos, block), 1000000007))").alias("content_hash"), F.min("pos").alias("first_pos"))
+        F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length(F.coalesce("text", none)) + F.length(F.coalesce("data", none))).alias("content_chars"),
+        F.sum(F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("bigint")).alias("content_hash"), F.min("pos").alias("first_pos"))
