@@ -8,7 +8,7 @@ Method:
    Expectation-maximisation over the counts estimates, with no labels given, each
    labeler's reliability (its rates of yes, no and no vote for either class).
 3. A logistic classifier over the spans' own shapes and contexts is fitted to the posteriors. It is fitted on
-   at most TRAIN_ROWS spans, those of the least hashes; counts and EM use all.
+   at most TRAIN_ROWS different spans, those of the least hashes; counts and EM use all.
 4. The classifier decides on every candidate. Matches of the base patterns stay whatever it says.
 
 Base patterns (leftmost, non-overlapping, per kind; a match that fails its check is
@@ -214,13 +214,14 @@ def estimate(counts: dict[str, int]) -> dict[str, float]:
     return dict(zip(patterns, post.tolist()))
 
 
-def fit(rows: np.ndarray, target: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Logistic regression to soft targets: Newton steps with a small ridge."""
+def fit(rows: np.ndarray, target: np.ndarray, times: np.ndarray | None = None, rounds: int = 25) -> np.ndarray:
+    """Logistic regression to soft targets of rows that occur ``times``: Newton steps with a small ridge."""
     w = np.zeros(rows.shape[1])
+    times = np.ones(len(rows)) if times is None else times
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        grad = rows.T @ (p - target) + 0.1 * w
-        hess = (rows * (p * (1 - p) + 1e-6)[:, None]).T @ rows + 0.1 * np.eye(len(w))
+        grad = rows.T @ (times * (p - target)) + 0.1 * w
+        hess = (rows * (times * (p * (1 - p) + 1e-6))[:, None]).T @ rows + 0.1 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -246,10 +247,13 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
                   .mapInArrow(run, "pattern string, features array<double>, hash bigint"), "pii-votes")
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3^labelers rows
     post = estimate(dict(zip(counts["pattern"], counts["n"].tolist())))
-    some = voted.orderBy("hash", "pattern", "features").limit(TRAIN_ROWS).toPandas()
+    # hashes below the share that TRAIN_ROWS are of all spans; equal spans are one row with their number
+    share = int((1 << 32) * min(1.0, TRAIN_ROWS / max(1, int(counts["n"].sum()))))
+    some = (voted.where(F.col("hash") < share).groupBy("hash", "pattern", "features").agg(F.count("*").alias("n"))
+            .orderBy("hash", "pattern", "features").limit(TRAIN_ROWS).toPandas())
     if not len(some):
         return np.zeros(0)
-    return fit(np.stack(some["features"].to_numpy()), some["pattern"].map(post).to_numpy(float))
+    return fit(np.stack(some["features"].to_numpy()), some["pattern"].map(post).to_numpy(float), some["n"].to_numpy(float))
 
 
 def spans_of(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
