@@ -49,6 +49,8 @@ from .components import components
 #: Bounds of a row block (rows, columns of all rows) and of a block of step 3.
 BLOCK_ROWS, BLOCK_COLUMNS = 2048, 1_000_000
 NEAR_ROWS, NEAR_COLUMNS = 512, 500_000
+#: Column blocks for each shuffle partition: a task holds one at a time.
+COLUMN_BLOCKS = 4
 #: Rows sent to a block that one task multiplies with it.
 SENT_ROWS = 4096
 #: Ordinal of a column that several rows of its block share.
@@ -103,7 +105,7 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
     block knows to be shared by itself, kind 2 rows the block's ids and sizes.
     """
     spark = sets.sparkSession
-    blocks = min(partitions(spark), 1 << 16)
+    blocks = min(COLUMN_BLOCKS * partitions(spark), 1 << 16)
     id_type = sets.schema["row_id"].dataType.simpleString()
     tile_type = _TILE.format(id=id_type)
     arrow_type = pa.schema([("column_block", pa.int32()), ("row_block", pa.int64()), ("kind", pa.int32()), ("ordinals", pa.binary()), ("columns", pa.binary()),
@@ -248,7 +250,7 @@ def _near_blocks(reps: DataFrame) -> DataFrame:
 
     # columns are sorted: the first 8 bytes (little-endian) are the least hash
     return (reps.withColumn("key", F.substring("columns", 1, 8))
-            .repartitionByRange(partitions(reps.sparkSession), "key").sortWithinPartitions("key", "rid").select("rid", "n", "columns")
+            .repartitionByRange(partitions(reps.sparkSession), "key", "rid").sortWithinPartitions("key", "rid").select("rid", "n", "columns")
             .mapInArrow(number, "rid bigint, n bigint, columns binary, block bigint"))
 
 
