@@ -126,7 +126,7 @@ def sentence_ids(text: Column) -> Column:
     """array<string>: identifiers of the known sentences of a text, in its order."""
     pieces = F.transform(F.split(F.regexp_replace(text, rf"([.!?;:])[{SPACE_CLASS}]", "$1\n"), "\n"), _normalise)
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    begins = "^(" + "|".join(sorted({re.escape(" ".join(s.split()[:2])) for s in KNOWN})) + ")"
+    begins = "^(" + "|".join(sorted({re.escape(s.split()[0]) for s in KNOWN})) + ")( |$)"  # a line may end after the first word
 
     def at(p: Column, i: Column) -> Column:
         # the longest of the 1 to MAX_LINES pieces from here that is a known sentence
@@ -135,7 +135,7 @@ def sentence_ids(text: Column) -> Column:
         return F.when(F.get(p, i).rlike(begins), found)
 
     ids = F.element_at(F.transform(F.array(pieces), lambda p: F.filter(F.transform(p, lambda s, i: at(p, i)), lambda x: x.isNotNull())), 1)
-    likely = F.lower(text).rlike("|".join(map(re.escape, KEYWORDS)))
+    likely = F.lower(text).rlike("|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS))  # a keyword of two words may be wrapped, too
     return F.when(likely, ids).otherwise(F.array().cast("array<string>"))
 
 

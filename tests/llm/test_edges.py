@@ -110,6 +110,16 @@ def test_licences(docs, empty, spark):
     assert licences.scan(wrapped).first().licences == ["ISC"]
 
 
+def licences_of(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r.licences for r in licences.scan(rows).orderBy("doc_id").collect()]
+
+
+def test_licences_wrapped_after_the_first_word(spark):
+    assert licences_of(spark, "As said, see above. Licensed\nunder the MIT License", "(c) X. All\nrights reserved", "# Released\n# under CC0 1.0 public\n# domain dedication") \
+        == [["MIT"], ["All-rights-reserved"], ["CC0-1.0"]]
+
+
 def test_topk(spark):
     r = random.Random(4)
     rows = [(i, [r.uniform(-1, 1) for _ in range(24)]) for i in range(300)] + [(20, [0.5] * 24), (40, [0.5] * 24), (41, [0.5] * 24), (41, [0.5] * 24)]
