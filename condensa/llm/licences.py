@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS
 
 MAX_LINES = 12
+CUT = rf"([.!?;:])[{SPACE_CLASS}]"
 KEYWORDS = ("licen", "rights", "permission", "warrant", "redistribut", "copyright", "public domain", "free software", "either version")
 
 # Known licence sentences, by identifier.
@@ -113,8 +114,16 @@ def normalised(sentence: str) -> str:
     return re.sub("^[ .]+|[ .]+$", "", re.sub("[^a-z0-9.]+", " ", sentence.lower()))
 
 
+def as_found(sentence: str) -> str:
+    """A known sentence as the pieces of a text give it: cut, normalised, joined."""
+    pieces = map(normalised, re.sub(CUT, r"\1\n", sentence).split("\n"))
+    return " ".join(p for p in pieces if p)
+
+
 KNOWN = {normalised(s): i for i, some in SENTENCES.items() for s in some}
-if not all(any(k in s for k in KEYWORDS) for s in KNOWN):
+# what texts are compared with: a full stop inside ("v. 2.0") is a cut if white space follows, else it stays
+KEYS = KNOWN | {as_found(s): i for i, some in SENTENCES.items() for s in some}
+if not all(any(k in s for k in KEYWORDS) for s in KEYS):
     raise ValueError("a known sentence has no keyword")
 
 
@@ -124,9 +133,9 @@ def _normalise(sentence: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """array<string>: identifiers of the known sentences of a text, in its order."""
-    pieces = F.transform(F.split(F.regexp_replace(text, rf"([.!?;:])[{SPACE_CLASS}]", "$1\n"), "\n"), _normalise)
-    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    begins = "^(" + "|".join(sorted({re.escape(s.split()[0]) for s in KNOWN})) + ")( |$)"  # a line may end after the first word
+    pieces = F.transform(F.split(F.regexp_replace(text, CUT, "$1\n"), "\n"), _normalise)
+    known = F.create_map(*[F.lit(x) for pair in KEYS.items() for x in pair])
+    begins = "^(" + "|".join(sorted({re.escape(s.split()[0]) for s in KEYS})) + ")( |$)"  # a line may end after the first word
 
     def at(p: Column, i: Column) -> Column:
         # the longest of the 1 to MAX_LINES pieces from here that is a known sentence

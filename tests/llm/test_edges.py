@@ -120,6 +120,13 @@ def test_licences_wrapped_after_the_first_word(spark):
         == [["MIT"], ["All-rights-reserved"], ["CC0-1.0"]]
 
 
+def test_licences_every_known_sentence_finds_itself(spark):
+    known = [(s, i) for i, some in licences.SENTENCES.items() for s in some]
+    rows = spark.createDataFrame([(n, f"Hello there.\n{s}.\nBye.") for n, (s, _) in enumerate(known)], "doc_id int, text string")
+    assert [r.sentences for r in licences.scan(rows).orderBy("doc_id").collect()] == [[i] for _, i in known]
+    assert licences_of(spark, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed") == [["MPL-2.0"]]
+
+
 def test_topk(spark):
     r = random.Random(4)
     rows = [(i, [r.uniform(-1, 1) for _ in range(24)]) for i in range(300)] + [(20, [0.5] * 24), (40, [0.5] * 24), (41, [0.5] * 24), (41, [0.5] * 24)]
