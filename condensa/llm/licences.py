@@ -2,8 +2,8 @@
 
 Method: a text is cut into sentences (at sentence punctuation before white space, and at line
 ends), which are normalised: lower case, letters, digits and inner full stops only. Known licence
-sentences map to identifiers; a known sentence may be wrapped over up to MAX_LINES lines, the
-longest match at a place counts. The identifiers in text order are then matched against
+sentences map to identifiers; blank pieces are dropped. A known sentence may be wrapped
+at any of its words, the longest match at a place counts. The identifiers in text order are then matched against
 the licence rules in their order: a rule is a sequence of identifiers that follow each other
 among the recognised sentences; what it matches is taken out before the next rule is tried, so
 long, specific rules come first. Identifiers that no rule takes make the text "unknown".
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS
 
-MAX_LINES = 12
+MAX_LINES = 12  # of the SQL twin only; the operator has no such bound
 CUT = rf"([.!?;:])[{SPACE_CLASS}]"
 KEYWORDS = ("licen", "rights", "permission", "warrant", "redistribut", "copyright", "public domain", "free software", "either version")
 
@@ -134,16 +134,12 @@ def _normalise(sentence: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """array<string>: identifiers of the known sentences of a text, in its order."""
     pieces = F.transform(F.split(F.regexp_replace(text, CUT, "$1\n"), "\n"), _normalise)
+    lines = F.array_join(F.filter(pieces, lambda s: s != ""), "\n")
+    # at every line's begin the longest known sentence that ends at a line's end, wherever it is wrapped
+    longest_first = "|".join(re.escape(s).replace("\\ ", "[ \n]") for s in sorted(KEYS, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(lines, F.lit(f"(?m)^(?=({longest_first})$)"), F.lit(1))
     known = F.create_map(*[F.lit(x) for pair in KEYS.items() for x in pair])
-    begins = "^(" + "|".join(sorted({re.escape(s.split()[0]) for s in KEYS})) + ")( |$)"  # a line may end after the first word
-
-    def at(p: Column, i: Column) -> Column:
-        # the longest of the 1 to MAX_LINES pieces from here that is a known sentence
-        joined = [F.array_join(F.filter(F.slice(p, i + 1, n), lambda s: s != ""), " ") for n in range(MAX_LINES, 0, -1)]
-        found = F.coalesce(*[F.element_at(known, j) for j in joined])
-        return F.when(F.get(p, i).rlike(begins), found)
-
-    ids = F.element_at(F.transform(F.array(pieces), lambda p: F.filter(F.transform(p, lambda s, i: at(p, i)), lambda x: x.isNotNull())), 1)
+    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
     likely = F.lower(text).rlike("|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS))  # a keyword of two words may be wrapped, too
     return F.when(likely, ids).otherwise(F.array().cast("array<string>"))
 

@@ -127,6 +127,16 @@ def test_licences_every_known_sentence_finds_itself(spark):
     assert licences_of(spark, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed") == [["MPL-2.0"]]
 
 
+def test_licences_wrapped_at_any_width(spark):
+    import textwrap
+    known = [(s, i) for i, some in licences.SENTENCES.items() for s in some if i in ("mit-grant", "bsd-binary", "gpl3-later")]
+    shapes = [(s, i, w, gap) for s, i in known for w in (1, 30, 36, 72) for gap in ("\n", "\n\n", "\n * \n * \n")]
+    rows = spark.createDataFrame([(n, "Hello.\n" + gap.join(textwrap.wrap(s, w, break_long_words=False)) + ".\nBye.") for n, (s, _, w, gap) in enumerate(shapes)], "doc_id int, text string")
+    found = {r.doc_id: r.sentences for r in licences.scan(rows).collect()}
+    for n, (_, i, w, gap) in enumerate(shapes):
+        assert i in found[n], (i, w, gap)
+
+
 def test_topk(spark):
     r = random.Random(4)
     rows = [(i, [r.uniform(-1, 1) for _ in range(24)]) for i in range(300)] + [(20, [0.5] * 24), (40, [0.5] * 24), (41, [0.5] * 24), (41, [0.5] * 24)]
