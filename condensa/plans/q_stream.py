@@ -12,10 +12,10 @@ from ..config import FIXTURE_CONFIG
 from ..sources import fixtures as FX
 from ..sources.protocol_fixture import _LINE_SPARK, DUCK_LINES
 from ..sources.tables import table
+from ..streaming import correlate as CO
+from ..streaming import history as HI
 from ..streaming.common import file_stream, run_dir
 from ..streaming.continuous import reduce_stream
-from ..streaming.correlate import correlate
-from ..streaming.history import call_history
 from .q_results import REDUCED
 from .registry import query
 
@@ -48,11 +48,11 @@ UNION ALL SELECT conn, NULL, kind, NULL, seq, NULL FROM p WHERE kind NOT IN ('re
 def stream_correlate(spark, sf_dir):
     """M1: responses with their requests by keyed state; other lines pass through."""
     out = run_dir(spark, "correlate")
-    q = (correlate(_lines_stream(spark, sf_dir)).writeStream.format("parquet")
+    q = (CO.correlate(_lines_stream(spark, sf_dir)).writeStream.format("parquet")
          .option("path", os.path.join(out, "data")).option("checkpointLocation", os.path.join(out, "ckpt"))
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "data")).select("conn", "rpc_id", "kind", "request_seq",
+    return CO.settled(spark.read.parquet(os.path.join(out, "data"))).select("conn", "rpc_id", "kind", "request_seq",
                                                                 "response_seq", "tool_name")
 
 
@@ -65,13 +65,12 @@ def stream_history(spark, sf_dir):
     out = run_dir(spark, "history")
     calls = (_events_stream(spark, sf_dir)
              .select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"),
-                     F.col("event_type").alias("tool_name"), F.col("props").cast("string").alias("args"),
-                     F.col("ts").cast("timestamp").alias("ts")))
-    q = (call_history(calls).writeStream.format("parquet").option("path", os.path.join(out, "data"))
+                     F.col("event_type").alias("tool_name"), F.col("props").cast("string").alias("args")))
+    q = (HI.call_history(calls).writeStream.format("parquet").option("path", os.path.join(out, "data"))
          .option("checkpointLocation", os.path.join(out, "ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "data")).withColumn("recent_args", F.array_join("recent_args", "|"))
+    return HI.settled(spark.read.parquet(os.path.join(out, "data"))).withColumn("recent_args", F.array_join("recent_args", "|"))
 
 
 @query("stream_reduce", oracle=f"""

@@ -1,9 +1,11 @@
 """M1: continuous correlation of tool-call requests and their responses.
 
-Keyed state per (connection, request id) holds the latest request that is not answered
-yet: a later request with the same id replaces it, the first response takes it, and
-event time removes it when no response has come within ``max_wait`` of the watermark.
-Responses without a pending request and lines that are no call message pass through.
+Keyed state per (connection, request id) holds the order of the lines seen so far, and of requests
+also the call. A response belongs to the request just before it in the order of ``seq``. No
+row is late and nothing is forgotten: when a line comes after later ones, the responses that it
+gives another match are told again as revisions, and ``settled`` takes the last word on each.
+State grows with the request and response lines of a key (results are not in it). Responses without a request and
+lines that are no call message pass through.
 """
 
 from __future__ import annotations
@@ -18,48 +20,52 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.protocol import classify_messages
 
 OUT = ("conn BIGINT, rpc_id STRING, kind STRING, request_seq BIGINT, response_seq BIGINT, tool_name STRING, tool_args STRING, "
-       "result STRING, error STRING, line STRING")
-STATE = "seq BIGINT, tool_name STRING, tool_args STRING"
+       "result STRING, error STRING, line STRING, version BIGINT")
+STATE = "seqs ARRAY<BIGINT>, requests ARRAY<BOOLEAN>, tools ARRAY<STRING>, args ARRAY<STRING>, version BIGINT"
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def _matcher(max_wait_ms: int):
-    def match(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # a micro-batch's lines of one key, in order: they may come in several Arrow batches
-        lines = pd.concat(list(batches)).sort_values("seq")
-        pending = state.get if state.exists else None
-        out, latest = [], int(lines["ts_ms"].max())
-        for r in lines.itertuples(index=False):
-            if r.kind == "request":
-                pending = (int(r.seq), r.tool_name, r.tool_args)
-                continue
-            seq, tool, args = pending or (None, None, None)
-            pending = None
-            out.append((key[0], key[1], "response", seq, int(r.seq), tool, args, r.result, r.error, r.line))
-        if pending is not None:
-            state.update(pending)
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + max_wait_ms)
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"request_seq": "Int64", "response_seq": "Int64"})
+def _matches(lines: list[tuple]) -> dict[int, tuple]:
+    """seq of each response → (seq, tool, args) of the line just before it, if that is a request."""
+    before = [None, *lines]
+    return {x[0]: (b[0], b[2], b[3]) if b and b[1] else (None, None, None) for b, x in zip(before, lines) if not x[1]}
 
-    return match
 
+def _match(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    # a micro-batch's lines of one key: they may come in several Arrow batches, and before or after those seen
+    new = pd.concat(list(batches)).sort_values("seq")
+    *columns, version = state.get if state.exists else ([], [], [], [], 0)
+    seen = list(zip(*columns))
+    come = [(int(r.seq), r.kind == "request", *((r.tool_name, r.tool_args) if r.kind == "request" else (None, None))) for r in new.itertuples(index=False)]
+    lines = sorted(seen + come, key=lambda x: x[0])
+    told, now, version = _matches(seen), _matches(lines), int(version) + 1
+    out = [(key[0], key[1], "response", now[r.seq][0], int(r.seq), *now[r.seq][1:], r.result, r.error, r.line, version)
+           for r in new.itertuples(index=False) if r.kind == "response"]
+    out += [(key[0], key[1], "revision", now[q][0], q, *now[q][1:], None, None, None, version) for q, m in told.items() if now[q] != m]
+    state.update((*map(list, zip(*[(int(q), bool(k), t, a) for q, k, t, a in lines])), version))
+    if out:
+        yield pd.DataFrame(out, columns=COLUMNS).astype({"request_seq": "Int64", "response_seq": "Int64"})
 
-def correlate(lines: DataFrame, max_wait_ms: int = 7 * 24 * 3600 * 1000, watermark: str = "30 minutes") -> DataFrame:
-    """lines: (seq, conn, ts, line) stream → one row per response, with its request if there is
-    one, and one row per other line (kind 'raw' or 'other'), unchanged. Requests are not repeated."""
+
+def correlate(lines: DataFrame) -> DataFrame:
+    """lines: (seq, conn, ts, line) stream, ``seq`` once per connection → one row per response, with its request if there is
+    one so far, one row per other line (kind 'raw' or 'other'), unchanged, and rows of kind 'revision' for
+    responses told before that a line out of order gives another request. Requests are not repeated."""
     m = classify_messages(lines)
-    keyed = (m.filter(F.col("kind").isin("request", "response")).withWatermark("ts", watermark)
-             .withColumn("ts_ms", F.unix_millis("ts")))
-    matched = keyed.groupBy("conn", "rpc_id").applyInPandasWithState(
-        _matcher(max_wait_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = m.filter(F.col("kind").isin("request", "response"))
+    matched = keyed.groupBy("conn", "rpc_id").applyInPandasWithState(_match, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
     passed = m.filter(~F.col("kind").isin("request", "response"))
     null = lambda kind: F.lit(None).cast(kind)
     return matched.unionByName(passed.select(
         "conn", null("string").alias("rpc_id"), "kind", null("bigint").alias("request_seq"), F.col("seq").alias("response_seq"),
-        null("string").alias("tool_name"), null("string").alias("tool_args"), null("string").alias("result"), null("string").alias("error"), "line"))
+        null("string").alias("tool_name"), null("string").alias("tool_args"), null("string").alias("result"), null("string").alias("error"), "line",
+        null("bigint").alias("version")))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The written rows of ``correlate`` with every response once, with the request of its last revision."""
+    told = rows.filter(F.col("kind").isin("response", "revision")).groupBy("conn", "rpc_id", "response_seq").agg(
+        F.max_by(F.struct("request_seq", "tool_name", "tool_args"), "version").alias("m"),
+        F.max_by(F.struct("result", "error", "line"), F.when(F.col("kind") == "response", F.col("version"))).alias("r"))
+    told = told.select("conn", "rpc_id", F.lit("response").alias("kind"), "m.request_seq", "response_seq", "m.tool_name", "m.tool_args", "r.result", "r.error", "r.line")
+    return told.unionByName(rows.filter(~F.col("kind").isin("response", "revision")).drop("version"))

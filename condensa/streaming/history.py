@@ -1,7 +1,8 @@
-"""M2: keyed call history as streaming state (the last 10 calls per session)."""
+"""M2: keyed call history as streaming state (each call with the most recent calls of its session)."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,39 +12,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
 
-OUT_SCHEMA = "session STRING, seq BIGINT, tool_name STRING, recent STRING, recent_args ARRAY<STRING>"
-STATE_SCHEMA = "tools ARRAY<STRING>, args ARRAY<STRING>"
+OUT_SCHEMA = "session STRING, seq BIGINT, tool_name STRING, recent STRING, recent_args ARRAY<STRING>, version BIGINT"
+STATE_SCHEMA = "seqs ARRAY<BIGINT>, tools ARRAY<STRING>, args ARRAY<STRING>, version BIGINT"
 
 
-def _updater(keep_ms: int):
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        calls = pd.concat(list(batches)).sort_values("seq")  # all Arrow batches of the micro-batch, in order
-        tools, args = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = []
-        for seq, tool, arg in zip(calls["seq"].tolist(), calls["tool_name"].tolist(), calls["args"].tolist()):
-            tools, args = [*tools, tool][-C.HISTORY_SIZE:], [*args, arg][-C.HISTORY_SIZE:]
-            rows.append((key[0], int(seq), tool, ",".join(tools[-C.RECENT_CALLS:]), args[-C.RECENT_CALLS:]))
-        state.update((tools, args))
-        if "ts_ms" in calls.columns:
-            state.setTimeoutTimestamp(max(int(calls["ts_ms"].max()), state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame(rows, columns=["session", "seq", "tool_name", "recent", "recent_args"])
+def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    come = pd.concat(list(batches)).sort_values("seq")  # all Arrow batches of the micro-batch, in order
+    *columns, version = state.get if state.exists else ([], [], [], 0)
+    calls = sorted([*zip(*columns), *zip(come["seq"].tolist(), come["tool_name"].tolist(), come["args"].tolist())], key=lambda c: c[0])
+    seqs, tools, args = (list(x) for x in zip(*calls))
+    seqs, version = [int(s) for s in seqs], int(version) + 1
+    state.update((seqs, tools, args, version))
+    # the calls that came, and those after them that have one among their recent calls
+    told = sorted({j for s in come["seq"].tolist() for i in [bisect_left(seqs, s)] for j in range(i, min(i + C.RECENT_CALLS, len(seqs)))})
+    rows = [(key[0], seqs[j], tools[j], ",".join(tools[max(0, j + 1 - C.RECENT_CALLS):j + 1]), args[max(0, j + 1 - C.RECENT_CALLS):j + 1], version) for j in told]
+    yield pd.DataFrame(rows, columns=["session", "seq", "tool_name", "recent", "recent_args", "version"])
 
-    return update
 
+def call_history(calls: DataFrame, session_col: str = "session") -> DataFrame:
+    """calls: stream of (session, seq, tool_name[, args]), ``seq`` once per session → each call with its 3 most recent tools and their arguments.
 
-def call_history(calls: DataFrame, session_col: str = "session", keep_ms: int = 7 * 24 * 3600 * 1000, watermark: str = "30 minutes") -> DataFrame:
-    """calls: stream of (session, seq, tool_name[, args][, ts]) → each call with its 3 most recent tools and their arguments.
-
-    State per session holds at most 10 calls; with event times (``ts``) it goes when the session has been
-    silent for ``keep_ms``. Within a micro-batch calls are applied in seq order.
+    No call is late and nothing is forgotten: a call that comes after later ones has those told again with a greater
+    ``version``, and ``settled`` takes the last word on each. State grows with the calls of a session.
     """
     if "args" not in calls.columns:
         calls = calls.withColumn("args", F.lit(None).cast("string"))
-    timeout = GroupStateTimeout.NoTimeout
-    if "ts" in calls.columns:
-        calls = calls.withWatermark("ts", watermark).withColumn("ts_ms", F.unix_millis("ts"))
-        timeout = GroupStateTimeout.EventTimeTimeout
-    return calls.groupBy(session_col).applyInPandasWithState(_updater(keep_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    return calls.groupBy(session_col).applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The written rows of ``call_history`` with every call once, as last told."""
+    last = rows.groupBy("session", "seq").agg(F.max_by(F.struct("tool_name", "recent", "recent_args"), "version").alias("c"))
+    return last.select("session", "seq", "c.*")

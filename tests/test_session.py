@@ -48,3 +48,37 @@ def test_stream_join_equals_batch_asof(spark, sf):
     stream = q["stream_correlate"](spark, f"/root/testdata/{sf}").where("kind = 'response'").select("conn", "rpc_id", "response_seq", "request_seq", "tool_name")
     assert stream.count() == batch.count()
     assert stream.exceptAll(batch).count() == batch.exceptAll(stream).count() == 0
+
+
+def test_streams_over_files_in_reversed_time_order(spark, tmp_path):
+    import datetime
+    import os
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+    r = random.Random(9)
+    events = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=6 * i), i % 5 + 90 * (i in (0, 299)), r.choice(["click", "view"]), float(i), '{"k": %d}' % i)
+              for i in range(300)]
+    # lines of one key fall into different files, one of a pair at times
+    parts = [sorted(r.sample(events[a:a + 110], 90)) for a in (0, 95, 190)]
+    seen, folder = set(), tmp_path / "events.parquet"
+    folder.mkdir()
+    names = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    for n, part in enumerate(parts):
+        rows = [e for e in part if e[0] not in seen]
+        seen |= {e[0] for e in rows}
+        schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])
+        pq.write_table(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names), folder / f"part-{n}.parquet")
+        os.utime(folder / f"part-{n}.parquet", (1_700_000_000 - 1000 * n,) * 2)  # the last in time is read first
+    q = entry.queries()
+    batch = q["request_response_asof"](spark, str(tmp_path)).select("conn", "rpc_id", F.col("seq").alias("response_seq"), "request_seq", "tool_name")
+    stream = q["stream_correlate"](spark, str(tmp_path)).where("kind = 'response'").select(batch.columns)
+    assert sorted(map(str, stream.collect())) == sorted(map(str, batch.collect()))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, 0)
+    plain = spark.read.parquet(str(folder)).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool_name"),
+                                                   F.array_join(F.collect_list("event_type").over(w), ",").alias("recent"), F.array_join(F.collect_list("props").over(w), "|").alias("recent_args"))
+    found = q["stream_history"](spark, str(tmp_path)).select(plain.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
