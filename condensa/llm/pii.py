@@ -9,7 +9,7 @@ Method:
    Expectation-maximisation over the counts estimates, with no labels given, each
    labeler's reliability (its rates of yes, no and no vote for either class).
 3. A logistic classifier over the spans' own shapes and contexts is fitted to the posteriors. It is fitted on
-   at most TRAIN_ROWS different spans, those of the least hashes; counts and EM use all.
+   TRAIN_ROWS different spans (all, if there are fewer), those of the least hashes; counts and EM use all.
 4. The classifier decides on every candidate. Matches of the base patterns stay whatever it says.
 
 Base patterns (leftmost, non-overlapping, per kind; a match that fails its check is
@@ -312,6 +312,18 @@ def fit(rows: np.ndarray, target: np.ndarray, times: np.ndarray | None = None, r
     return w
 
 
+def sample(spans: DataFrame, different: int, rows: int | None = None) -> pd.DataFrame:
+    """The ``rows`` (TRAIN_ROWS) of least hash, or all: of the ``different`` rows only those below a share of the hashes are
+    sorted, and the share is doubled until it holds enough."""
+    rows = rows or TRAIN_ROWS
+    share = min(1.0, 1.05 * rows / max(1, different))
+    while True:
+        some = (spans.where(F.col("hash") < int((1 << 32) * share)).orderBy("hash", "pattern", "features").limit(rows).toPandas())
+        if share >= 1 or len(some) >= rows:
+            return some
+        share = min(1.0, 2 * share)
+
+
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Weights of the span classifier; ``docs`` is read once."""
     ship(docs.sparkSession)
@@ -328,12 +340,11 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     voted = stage(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
                   .mapInArrow(run, "pattern string, features array<double>, hash bigint"), "pii-votes")
-    counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3^labelers rows
+    # equal spans are one row with their number
+    spans = stage(voted.groupBy("hash", "pattern", "features").agg(F.count("*").alias("n")), "pii-spans")
+    counts = spans.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("different")).toPandas()  # at most 3^labelers rows
     post = estimate(dict(zip(counts["pattern"], counts["n"].tolist())))
-    # hashes below the share that TRAIN_ROWS are of all spans; equal spans are one row with their number
-    share = int((1 << 32) * min(1.0, TRAIN_ROWS / max(1, int(counts["n"].sum()))))
-    some = (voted.where(F.col("hash") < share).groupBy("hash", "pattern", "features").agg(F.count("*").alias("n"))
-            .orderBy("hash", "pattern", "features").limit(TRAIN_ROWS).toPandas())
+    some = sample(spans, int(counts["different"].sum()))
     if not len(some):
         return np.zeros(0)
     return fit(np.stack(some["features"].to_numpy()), some["pattern"].map(post).to_numpy(float), some["n"].to_numpy(float))

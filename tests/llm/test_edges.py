@@ -353,3 +353,15 @@ def test_pii_without_digits(spark):
         masked = pii.redact(spark.createDataFrame([(t,)], "text string"), weights).first().text
         assert masked == t.replace(body, f"[{kind.upper()}]")
     assert pii.spans_of("Section 7, page 10 of version 7.2 has 49 lines in Paris.", weights)[1] == []
+
+
+def test_pii_sample_counts_different_spans(spark, monkeypatch):
+    texts, _ = pii_rows(spark)
+    copies = spark.createDataFrame(list(enumerate(texts * 20)), "doc_id int, text string")
+    fitted = []
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(pii, "fit", lambda rows, target, times: fitted.append((len(rows), min(times))) or np.zeros(rows.shape[1]))
+    pii.train(copies)
+    assert fitted == [(50, 20)]
+    clumped = spark.createDataFrame([((1 << 32) - 1 - i, "y", [1.0], 1) for i in range(300)], "hash bigint, pattern string, features array<double>, n bigint")
+    assert len(pii.sample(clumped, 300, 100)) == 100  # none is below the first share
