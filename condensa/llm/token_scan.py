@@ -11,7 +11,8 @@ number of blocks meets in no single task as more than a row per run.
 ``write`` makes such files from texts: one per partition, documents in the partition's order,
 as Parquet rows of raw little-endian bytes (kind 0; Parquet is the carrier, so that any
 store and Spark's committer will do) and the order of the document ids beside them (kind
-1: which document is the n-th, not where it is). ``read_flat`` cuts plain binary files into the same blocks.
+1: which document is the n-th, not where it is). ``read_flat`` reads plain binary files
+by byte ranges, as the same blocks.
 
 Strings of special tokens inside texts are ordinary text here, so the end id marks ends only. A
 null text is an empty one (0 tokens). Null or repeated ids are kept as they are. Ids after the last end
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,18 +84,31 @@ def write(docs: DataFrame, vocab: Vocabulary, path: str, end_id: int, row_id: st
 
 
 def read_flat(spark: SparkSession, path: str, id_bytes: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """file (its path), number, payload of the blocks of plain binary token files (each below 2 GB)."""
+    """file (its path), number, payload of the blocks of plain binary token files of any size: a block is a row
+    of path and offset, dealt out over the tasks, which read just its bytes."""
     ship(spark)
+    step = block_ids * id_bytes
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # contents are not read
+    ranges = files.select("path", F.explode(F.expr(f"sequence(0L, (length - 1) div {step}L)")).alias("number"), "length")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = content.as_buffer()
-                for b, a in enumerate(range(0, raw.size, block_ids * id_bytes)):
-                    part = raw[a:a + block_ids * id_bytes].to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int64()), pa.array([part], pa.binary())], names=["file", "number", "payload"])
+            for name, number, length in zip(*(c.to_pylist() for c in batch.columns)):
+                part = read_range(name, number * step, min(step, length - number * step))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number], pa.int64()), pa.array([part], pa.binary())], names=["file", "number", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, number bigint, payload binary")
+    return ranges.repartition(tasks, "path", "number").mapInArrow(run, "file string, number bigint, payload binary")
+
+
+def read_range(path: str, offset: int, size: int) -> bytes:
+    """Bytes of a file as Spark names it, on any store that Arrow knows."""
+    store, name = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        part = f.read_at(size, offset)
+    if len(part) != size:
+        raise OSError(f"{path} has changed: {len(part)} of {size} bytes at {offset}")
+    return part
 
 
 def scan(blocks: DataFrame, end_id: int, id_bytes: int) -> DataFrame:

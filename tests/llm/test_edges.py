@@ -365,3 +365,17 @@ def test_pii_sample_counts_different_spans(spark, monkeypatch):
     assert fitted == [(50, 20)]
     clumped = spark.createDataFrame([((1 << 32) - 1 - i, "y", [1.0], 1) for i in range(300)], "hash bigint, pattern string, features array<double>, n bigint")
     assert len(pii.sample(clumped, 300, 100)) == 100  # none is below the first share
+
+
+def test_flat_file_beyond_two_gigabytes(spark, tmp_path):
+    end, block = 7, 1 << 22
+    size = (1 << 31) + 4 * block + 6
+    with open(tmp_path / "a b.bin", "wb") as f:  # a sparse file: zeros but for three ends
+        f.truncate(size)
+        for at in (2 * 10, 1 << 31, size - 2):
+            f.seek(at)
+            f.write((end).to_bytes(2, "little"))
+    found = token_scan.read_flat(spark, str(tmp_path), 2, block)
+    assert found.rdd.getNumPartitions() > 1
+    rows = token_scan.scan(found, end, 2).orderBy("start").collect()
+    assert [(r.doc_no, r.start, r.n_tokens, r.ended) for r in rows] == [(0, 0, 10, True), (1, 11, (1 << 30) - 11, True), (2, (1 << 30) + 1, size // 2 - (1 << 30) - 2, True)]
