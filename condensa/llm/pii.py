@@ -79,12 +79,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """At most 255; leading zeros count nothing, however many (int() takes no more than some thousand digits)."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the four kinds, by kind, then start."""
     spans = [("email", a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return spans
-    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(_byte(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = "".join(_DIGIT.findall(m.group()))

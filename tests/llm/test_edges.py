@@ -379,3 +379,9 @@ def test_flat_file_beyond_two_gigabytes(spark, tmp_path):
     assert found.rdd.getNumPartitions() > 1
     rows = token_scan.scan(found, end, 2).orderBy("start").collect()
     assert [(r.doc_no, r.start, r.n_tokens, r.ended) for r in rows] == [(0, 0, 10, True), (1, 11, (1 << 30) - 11, True), (2, (1 << 30) + 1, size // 2 - (1 << 30) - 2, True)]
+
+
+def test_base_spans_of_long_digit_runs():
+    for text in ("0" * 5000 + ".1.2.3", "1.2.3." + "0" * 10_000 + "7", "9" * 1_000_000 + ".1.1.1", "0" * 1_000_000):
+        spans = pii.base_spans(text)
+        assert [s for s in spans if s[0] == "ip"] == ([("ip", 0, len(text))] if text.count(".") == 3 and text[0] != "9" else [])
