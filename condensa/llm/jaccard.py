@@ -15,15 +15,16 @@ documents a and b can link only if
    the first bound are done: most documents of a corpus. A column that many rows of a
    block share is sent once per block, so a common column costs one entry a block.
 2. Rows with equal sets form a class; one of each stays.
-3. Remaining rows are put into blocks by their least hash (likely partners meet), column
-   frequencies are counted anew, and each block is multiplied with itself.
-4. Rows are sent to other blocks that hold a row with which they share a prefix column and
-   no component so far, and are multiplied with those blocks: first one row for each
-   component and column, then, with the components that this gives, all that is left.
-5. Only links that join two components are kept as edges; ``components`` labels them.
+3. Remaining rows are ordered by their least hash (likely partners meet), cut into blocks
+   by size, and each block is multiplied with itself, which labels the components within it.
+4. Column frequencies are counted anew. Rows are sent to other blocks that hold a row with which
+   they share a prefix column and no component so far, and are multiplied with those blocks:
+   first one row for each component and column, then, with the components that this gives,
+   all that is left. A product gives pairs of labels; ``components`` joins these labels.
 
-Memory: a task holds one row block, one column block or one block and a run of rows sent
-to it; all have bounds below. Pairs are never emitted, only edges of forests.
+Memory: a task holds one row block, one column block (about COLUMN_ENTRIES entries; how many words
+a byte of text makes is an estimate, and a column block takes one entry a row block at least)
+or one block and a run of rows sent to it. Pairs are never emitted, only labels that join.
 
 A null or blank text has no columns, and links with nothing. A text with fewer words than
 n has one column, the whole sequence. Repeated rows link like any two. Rows are told apart
@@ -43,14 +44,16 @@ from pyspark.sql import functions as F
 
 from condensa.shipping import ship
 
-from .common import SPACE_CLASS, arrow_batches, join_small, partitions, stage
+from .common import SPACE_CLASS, arrow_batches, join_small, prefix_scan, stage
 from .components import components
 
 #: Bounds of a row block (rows, columns of all rows) and of a block of step 3.
 BLOCK_ROWS, BLOCK_COLUMNS = 2048, 1_000_000
 NEAR_ROWS, NEAR_COLUMNS = 512, 500_000
-#: Rows sent to a block that one task multiplies with it.
-SENT_ROWS = 4096
+#: Entries of a column block, on average: their number is estimated from the bytes of all texts.
+COLUMN_ENTRIES, BYTES_A_WORD = 1_000_000, 6
+#: Rows sent to a block that one task multiplies with it, and columns of all those rows.
+SENT_ROWS, SENT_COLUMNS = 4096, 1_000_000
 #: Ordinal of a column that several rows of its block share.
 MANY = 0xFFFF
 
@@ -75,35 +78,40 @@ def _of(raw, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind)
 
 
+def _low_bits(blocks: int) -> int:
+    """Bits of a column's hash that travel within its block: 48, or fewer beyond 2^16 blocks."""
+    return 64 - max(16, (blocks - 1).bit_length())
+
+
 def _column_ids(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """Column block in the upper 16 bits, the hash's lower 48 bits below. A column block's
-    entries travel as those 48 bits; two columns of one document pair meet by chance with
+    """Column block in the upper bits, the hash's lower bits below (48 for up to 2^16 blocks). A column
+    block's entries travel as those lower bits; two columns of one document pair meet by chance with
     a probability of about (size / 2^26)^2 / blocks."""
-    block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    return (block << np.uint64(48)) | (hashes & np.uint64((1 << 48) - 1))
+    block, low = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), _low_bits(blocks)
+    return (block << np.uint64(low)) | (hashes & np.uint64((1 << low) - 1))
 
 
-def _pack48(ids: np.ndarray) -> bytes:
-    return np.ascontiguousarray(ids, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack48(ids: np.ndarray, low: int) -> bytes:
+    below = np.ascontiguousarray(ids & np.uint64((1 << low) - 1), "<u8")
+    return below.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _unpack48(raw: bytes, block: int) -> np.ndarray:
+def _unpack48(raw: bytes, block: int, low: int) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel() | np.uint64(block << 48)
+    return out.view("<u8").ravel() | np.uint64(block << low)
 
 
 _TILE = "column_block int, row_block bigint, kind int, ordinals binary, columns binary, ids array<{id}>, sizes binary"
 
 
-def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
+def shared_columns(sets: DataFrame, threshold: int, blocks: int) -> DataFrame:
     """uid, row_id, n, columns (sorted; null if the row is below the first bound).
 
-    ``sets`` has row_id and hashes. kind 0 rows are tiles, kind 1 rows the columns that a row
+    ``sets`` has row_id and hashes; ``blocks`` is the number of column blocks. kind 0 rows are tiles, kind 1 rows the columns that a row
     block knows to be shared by itself, kind 2 rows the block's ids and sizes.
     """
-    spark = sets.sparkSession
-    blocks = min(partitions(spark), 1 << 16)
+    low = _low_bits(blocks)
     id_type = sets.schema["row_id"].dataType.simpleString()
     tile_type = _TILE.format(id=id_type)
     arrow_type = pa.schema([("column_block", pa.int32()), ("row_block", pa.int64()), ("kind", pa.int32()), ("ordinals", pa.binary()), ("columns", pa.binary()),
@@ -135,11 +143,11 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
         if not lone.all():
             rows.append((row_block % blocks, row_block, 1, _binary(o[~lone], "<u2"), _binary(c[~lone], "<u8"), None, None))
         c, o = c[first], np.where(lone, o, MANY)[first]
-        cuts = np.searchsorted(c >> np.uint64(48), np.arange(blocks + 1))  # sorted by column: block by block
+        cuts = np.searchsorted(c >> np.uint64(low), np.arange(blocks + 1))  # sorted by column: block by block
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             a, z = cuts[b], cuts[b + 1]
             by_row = np.argsort(o[a:z], kind="stable")  # ascending ordinals shrink well in the shuffle
-            rows.append((b, row_block, 0, _binary(o[a:z][by_row], "<u2"), _pack48(c[a:z][by_row]), None, None))
+            rows.append((b, row_block, 0, _binary(o[a:z][by_row], "<u2"), _pack48(c[a:z][by_row], low), None, None))
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i:i + 64]), arrow_type.types)], schema=arrow_type)
 
@@ -148,7 +156,7 @@ def shared_columns(sets: DataFrame, threshold: int) -> DataFrame:
         kept = [table.filter(pa.array(kind != 0))]
         found = table.filter(pa.array(kind == 0))
         if found.num_rows:
-            parts = [_unpack48(x.as_py(), b) for b, x in zip(found.column("column_block").to_pylist(), found.column("columns"))]
+            parts = [_unpack48(x.as_py(), b, low) for b, x in zip(found.column("column_block").to_pylist(), found.column("columns"))]
             columns = np.concatenate(parts)
             at = np.concatenate([_of(x.as_py(), "<u2") for x in found.column("ordinals")])
             order = np.argsort(columns, kind="stable")
@@ -217,45 +225,42 @@ class _Rows:
         return np.flatnonzero(fits & (100 * both >= threshold * (self.n + n - both)))
 
 
-class _Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (up := self.up.setdefault(x, x)) != x:
-            self.up[x] = self.up[up]
-            x = self.up[x]
-        return x
+def _merge(label: np.ndarray, hits: np.ndarray, own: int) -> int:
+    """Give the rows ``hits`` and all rows of their labels the least of these labels and ``own``, in place."""
+    met = np.unique(label[hits])
+    least = min(own, int(met[0])) if len(met) else own
+    label[np.isin(label, met) | (label == own)] = least
+    return least
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
 
+def _near_blocks(reps: DataFrame, threshold: int) -> DataFrame:
+    """rid, n, columns, block, label: rows in blocks of rows with neighbouring least hashes; each block
+    is multiplied with itself, label is the least rid of the row's component within the block.
 
-def _near_blocks(reps: DataFrame) -> DataFrame:
-    """rid, n, columns, block: rows in blocks of rows with neighbouring least hashes."""
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, rows, columns = TaskContext.get().partitionId(), 0, 0, 0
-        for batch in batches:
-            got = []
-            for size in np.asarray(batch.column(1)).tolist():
-                if rows and (rows == NEAR_ROWS or columns + size > NEAR_COLUMNS):
-                    block, rows, columns = block + 1, 0, 0
-                rows, columns = rows + 1, columns + size
-                got.append((part << 32) + block)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.int64())], names=["rid", "n", "columns", "block"])
+    Blocks are cut by size from the order of (least hash, rid): equal least hashes fill as many blocks
+    as they need, and small tables do not make small blocks.
+    """
+    def multiply(table: pa.Table) -> pa.Table:
+        label = np.array(table.column("rid").to_pylist(), np.int64)
+        n = table.column("n").to_pylist()
+        rows = _Rows([c.as_py() for c in table.column("columns")], n)
+        for i in range(len(n)):
+            if (label == label[0]).all():
+                break
+            _merge(label, rows.linked(rows.parts[i], n[i], threshold), int(label[i]))
+        return table.append_column("label", pa.array(label, pa.int64()))
 
     # columns are sorted: the first 8 bytes (little-endian) are the least hash
-    return (reps.withColumn("key", F.substring("columns", 1, 8))
-            .repartitionByRange(partitions(reps.sparkSession), "key").sortWithinPartitions("key", "rid").select("rid", "n", "columns")
-            .mapInArrow(number, "rid bigint, n bigint, columns binary, block bigint"))
+    weight = F.greatest(F.col("n"), F.lit(NEAR_COLUMNS // NEAR_ROWS))
+    order = prefix_scan(reps.select("rid", F.substring("columns", 1, 8).alias("key"), weight.alias("weight")), [F.col("key"), F.col("rid")], {"at": F.col("weight")}, "jaccard-order")
+    block = order.select("rid", F.floor((F.col("at") - F.col("weight")) / NEAR_COLUMNS).alias("block"))
+    return (reps.join(block, "rid").select("rid", "n", "columns", "block").groupBy("block")
+            .applyInArrow(multiply, "rid bigint, n bigint, columns binary, block bigint, label bigint"))
 
 
-def near_links(reps: DataFrame, threshold: int) -> DataFrame:
-    """a, b: edges that join each component of the rows of ``reps`` (rid, n, columns)."""
-    spark = reps.sparkSession
-    blocked = stage(_near_blocks(reps), "jaccard-blocks")
+def near_labels(reps: DataFrame, threshold: int) -> DataFrame:
+    """rid, label: the rows of ``reps`` (rid, n, columns), the least rid that links reach."""
+    blocked = stage(_near_blocks(reps, threshold), "jaccard-blocks")
     entries = blocked.select("rid", "n", "block", F.explode(_unpacked(F.col("columns"))).alias("column"))
     # columns of one row only cannot link; they stay out of the prefixes
     freq = entries.groupBy("column").agg(F.count("*").alias("freq")).where("freq > 1")
@@ -263,50 +268,62 @@ def near_links(reps: DataFrame, threshold: int) -> DataFrame:
     # unshared columns come first in the order: they use up the prefix
     prefix = F.expr(f"n - cast(ceil({threshold} * n / 100) as bigint) + 1 - (n - size(kept))")
     own = stage(rare.withColumn("length", prefix).where("length > 0")
-                .select("rid", "block", F.expr("transform(slice(kept, 1, cast(length as int)), e -> e.column)").alias("prefix")), "jaccard-prefixes")
+                .select("rid", "n", "block", F.expr("transform(slice(kept, 1, cast(length as int)), e -> e.column)").alias("prefix")), "jaccard-prefixes")
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The rows of a block (left) times the rows sent to it (right; none for the block itself)."""
-        edges, groups = [], _Union()
+        """The rows of a block (left) times the rows sent to it (right): pairs of labels that a link joins."""
+        edges = set()
         if left.num_rows:
-            rid, label = left.column("rid").to_pylist(), left.column("label").to_pylist()
+            first = np.array(left.column("label").to_pylist(), np.int64)
+            label = first.copy()
             rows = _Rows([c.as_py() for c in left.column("columns")], left.column("n").to_pylist())
-            sent = list(zip(*(right.column(c).to_pylist() for c in ("rid", "label", "n")), (_of(c.as_py(), "<u8") for c in right.column("columns"))))
-            for r, l, n, columns in sent:
-                for i in rows.linked(columns, n, threshold).tolist():
-                    if groups.join(l, label[i]):
-                        edges.append((r, rid[i]))
+            now: dict[int, int] = {}  # labels of sent rows after the joins so far
+            for own, n, raw in zip(right.column("label").to_pylist(), right.column("n").to_pylist(), right.column("columns")):
+                held = now.get(own, own)
+                if (label == held).all():
+                    continue
+                hits = rows.linked(_of(raw.as_py(), "<u8"), n, threshold)
+                hits = hits[label[hits] != held]
+                if len(hits):
+                    edges.update((own, x) for x in np.unique(first[hits]).tolist())
+                    joined = set(np.unique(label[hits]).tolist()) | {held}
+                    least = _merge(label, hits, held)
+                    now = {k: least if v in joined else v for k, v in now.items()} | {own: least}
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     def product(sent: DataFrame, labelled: DataFrame) -> DataFrame:
-        """``sent``: block, rid: multiply the row with the block, SENT_ROWS or so at a time."""
-        turns = sent.groupBy("block").agg(F.ceil(F.count("*") / SENT_ROWS).cast("int").alias("turns"))
-        to = sent.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("rid"), F.col("turns")).cast("int")).drop("turns")
+        """``sent``: block, rid, n: multiply the row with the block, some SENT_ROWS rows and SENT_COLUMNS columns at a time."""
+        turns = sent.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / SENT_ROWS), F.ceil(F.sum("n") / SENT_COLUMNS)).cast("int").alias("turns"))
+        to = sent.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("rid"), F.col("turns")).cast("int")).drop("turns", "n")
         to = to.join(labelled.select("rid", "label", "n", "columns"), "rid")
         to = to.select(*[F.col(c).alias(c) for c in to.columns])  # columns of its own for the cogroup
         held = labelled.join(turns, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
         return held.groupBy("block", "turn").cogroup(to.groupBy("block", "turn")).applyInArrow(multiply, "a bigint, b bigint")
 
-    unlabelled = blocked.withColumn("label", F.col("rid"))
-    edges = stage(product(blocked.select("block", "rid"), unlabelled), "jaccard-edges")
+    labelled = blocked
     for last in (False, True):
-        labels = stage(components(edges, "jaccard-labels"), "jaccard-labels")
-        labelled = stage(blocked.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "jaccard-labelled")
-        marks = labelled.select("rid", "label").join(labelled.groupBy("label").agg(F.count("*").alias("rows")), "label")
-        postings = own.join(marks, "rid").select(F.explode("prefix").alias("column"), "rid", "block", F.struct("rows", "label").alias("group"))
+        labels = labelled.select("rid", "label")
+        counts = stage(labels.groupBy("label").agg(F.count("*").alias("rows")).where("rows > 1"), "jaccard-counts")
+        marks = join_small(labels, counts, ["label"], F.col("rid"), "left").withColumn("rows", F.coalesce("rows", F.lit(1).cast("bigint")))
+        postings = own.join(marks, "rid").select(F.explode("prefix").alias("column"), "rid", "n", "block", F.struct("rows", "label").alias("group"))
         if not last:  # one row for each component and column
-            postings = postings.groupBy("column", "group").agg(F.min(F.struct("rid", "block")).alias("one")).select("column", "group", "one.rid", "one.block")
-        tops = postings.groupBy("column", "block").agg(F.max("group").alias("top"))
+            postings = postings.groupBy("column", "group").agg(F.min(F.struct("rid", "n", "block")).alias("one")).select("column", "group", "one.*")
+        tops = postings.groupBy("column", "block").agg(F.max("group").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
         if not last:  # to the largest component of the column
-            tops = tops.groupBy("column").agg(F.max(F.struct("top", "block")).alias("hub")).select("column", "hub.block", "hub.top")
+            tops = tops.groupBy("column").agg(F.max(F.struct("top", "block", "least", "most")).alias("hub")).select("column", "hub.*")
         sent = (postings.withColumnRenamed("block", "home").join(tops, "column")
-                .where((F.col("group") < F.col("top")) & (F.col("home") != F.col("block"))).select("block", "rid").distinct())
-        edges = edges.union(stage(product(stage(sent, "jaccard-sent"), labelled), "jaccard-edges"))
-    return edges
+                .where((F.col("group") < F.col("top")) & (F.col("home") != F.col("block")))
+                .where((100 * F.col("most") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("least")))
+                .select("block", "rid", "n").distinct())
+        # labels meet as nodes: the components so far are contracted
+        joined = components(stage(product(stage(sent, "jaccard-sent"), labelled).distinct(), "jaccard-edges"), "jaccard-labels")
+        labelled = (join_small(labelled, joined.select(F.col("node").alias("label"), F.col("label").alias("least")), ["label"], F.col("rid"), "left")
+                    .withColumn("label", F.coalesce("least", "label")).drop("least"))
+    return labelled.select("rid", "label")
 
 
 def _unpacked(raw: Column) -> Column:
-    """array<bigint> of the little-endian 64-bit integers of a binary (a binary of hex digits, eight bytes each)."""
+    """array<bigint>: the hash of each 64-bit integer of a binary (eight bytes each)."""
     count = F.length(raw) / 8
     return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.xxhash64(F.substring(raw, i * 8 + 1, F.lit(8))))
 
@@ -320,16 +337,17 @@ def link_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n:
     spark = docs.sparkSession
     ship(spark)
     sets = docs.select(F.col(row_id).alias("row_id"), shingle_hashes(F.col(text), n).alias("hashes"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-size // (BYTES_A_WORD * COLUMN_ENTRIES)))
     with arrow_batches(spark, BLOCK_ROWS):
-        rows = stage(shared_columns(sets, threshold), "jaccard-rows")
+        rows = stage(shared_columns(sets, threshold, blocks), "jaccard-rows")
     # rows whose columns are all shared may have equal partners; the others are classes of their own
     keyed = rows.withColumn("key", F.when(F.length("columns") == 8 * F.col("n"), F.md5("columns")).when(F.col("columns").isNotNull(), F.col("uid").cast("string")))
     near = keyed.where("key is not null")
     classes = stage(near.groupBy("n", "key").agg(F.min("uid").alias("rid"), F.min(F.struct(F.col("row_id").isNull().alias("last"), "row_id", "uid")).alias("least"),
                                                  F.first("columns").alias("columns")), "jaccard-classes")
-    edges = near_links(classes.select("rid", "n", "columns"), threshold)
-    labels = components(edges, "jaccard-components")
-    named = classes.select("rid", "n", "key", "least").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    labels = near_labels(classes.select("rid", "n", "columns"), threshold)
+    named = classes.select("rid", "n", "key", "least").join(labels, "rid")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     found = stage(named.join(least, "label").select("n", "key", "component"), "jaccard-components")
     alone = keyed.where("key is null").select("row_id", "n", "uid", F.col("row_id").alias("component_id"), F.col("uid").alias("first"))
