@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.sources.tables import table
 
-from . import bpe, jaccard, licences, mix, pii, quality, rans, repeats, sql, token_scan, topk
+from . import bpe, conversations, hard_negatives, jaccard, licences, mix, pii, quality, rans, repeats, simhash, sql, token_scan, topk
 from .common import scratch_path, stage
 from .tokens import read_vocabulary
 
@@ -105,8 +105,36 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", length.alias("n_removed"), runs.alias("n_spans"), "kept_sha256")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every anchor (vec_id divisible by 100)."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = stage(hard_negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", label)), "negatives-vectors")
+    found = hard_negatives.mine(rows, F.col("id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and its component by fingerprints that differ in two bits or less."""
+    return simhash.link_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation; its original ids all stay."""
+    chats = table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damaged(chats))
+    ids = chats.select("conv_id").distinct()
+    none = {c: F.lit(0).cast("bigint") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    joined = ids.join(found.withColumnRenamed("conv_id", "found_id"), F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    return joined.select("conv_id", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
+
+
 ORACLES["op3_licences"] = sql.OP3_LICENCES
 ORACLES["op4_topk"] = sql.OP4_TOPK
+ORACLES["op11_hard_negatives"] = sql.OP11_HARD_NEGATIVES
+ORACLES["op13_conversations"] = sql.OP13_CONVERSATIONS
 ORACLES["op9_jaccard"] = sql.OP9_JACCARD
 ORACLES["op2_quality"] = sql.OP2_QUALITY
 ORACLES["op5_mix"] = sql.OP5_MIX

@@ -132,3 +132,87 @@ FROM named"""
 
 
 OP3_LICENCES = _licences()
+
+
+OP11_HARD_NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+def _value(cost: str, audit: str, line: str, rest: str) -> str:
+    """A suffix's cost, audit and repaired lines after one edit; ``line`` is empty for a deleted row."""
+    lines = f"{rest}.t" if not line else f"{line} || CASE WHEN {rest}.t = '' THEN '' ELSE chr(10) || {rest}.t END"
+    return f"{{'c': {rest}.c + {cost}, 'a': '{audit}' || {rest}.a, 't': {lines}}}"
+
+
+def _inserted(q: int, after: str) -> str:
+    """State ``q``'s value with an inserted row before ``after``, the value of the state that it leads to."""
+    return _value("2", "I", "'assistant:'" if q == 2 else "'user:'", after)
+
+
+# states: 0 start, 1 after s, 2 after u, 3 after ua; what an inserted or reroled row leads to
+_LEADS = (2, 2, 3, 2)
+
+
+def _edits(q: int) -> str:
+    to = _LEADS[q]
+    role = "'assistant:'" if q == 2 else "'user:'"
+    options = [f"CASE WHEN fault <= 1 THEN {_value('2 + fault', 'R', role + ' || text', f's{to}')} END"]
+    for initial, state in {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}[q]:
+        options.append(f"CASE WHEN fault <= 1 AND initial = '{initial}' THEN " + _value("fault", "K", "role || ':' || text", f"s{state}") + " END")
+    options.append(_value("3", "D", "", f"s{q}"))
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+
+_BITS = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+
+OP13_CONVERSATIONS = f"""
+WITH RECURSIVE coded AS (
+  SELECT coalesce('v' || conv_id, 'n') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+  FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: {_BITS}), 4294967295) % 20 AS kind FROM coded),
+damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0),
+ordered AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM damaged),
+placed AS (
+  SELECT conv, turn, role, text, initial, n, lag(initial) OVER (PARTITION BY conv ORDER BY n) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 2
+              WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 THEN 3
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 1 ELSE 0 END AS fault
+  FROM ordered),
+totals AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 2) AS blank,
+         count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+         count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM placed GROUP BY conv),
+suffixes AS (
+  SELECT conv, max(n) AS n, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS s1,
+         {{'c': 2, 'a': 'I', 't': 'assistant:'}} AS s2, {{'c': 0, 'a': '', 't': ''}} AS s3
+  FROM placed GROUP BY conv
+  UNION ALL
+  SELECT conv, n - 1, list_min([e0, {_inserted(0, "e2")}, {_inserted(0, f"({_inserted(2, 'e3')})")}]), list_min([e1, {_inserted(1, "e2")}, {_inserted(1, f"({_inserted(2, 'e3')})")}]),
+         list_min([e2, {_inserted(2, "e3")}]), list_min([e3, {_inserted(3, "e2")}])
+  FROM (SELECT s.conv, s.n, {", ".join(f"{_edits(q)} AS e{q}" for q in range(4))} FROM suffixes s JOIN placed p ON p.conv = s.conv AND p.n = s.n)),
+ids AS (SELECT DISTINCT conv_id, coalesce('v' || conv_id, 'n') AS conv FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.t, '')) AS repaired_sha256
+FROM ids LEFT JOIN totals USING (conv) LEFT JOIN (SELECT * FROM suffixes WHERE n = 0) USING (conv)"""
