@@ -100,7 +100,7 @@ DOC_BLOCKS = """
 SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS result_id, 'documents' AS source, 0 AS pos,
        'mcp__corpus__read_document' AS tool_name,
        json_object('path', 'corpus/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt',
-                   'query', split_part(substr(text, 1, 80), '.', 1)) AS args,
+                   'query', split_part(text, '.', 1)) AS args,
        'text' AS type, text, CAST(NULL AS VARCHAR) AS data, CAST(NULL AS VARCHAR) AS mime_type
 FROM documents"""
 
@@ -132,7 +132,7 @@ SELECT result_id, 'screenshots' AS source, 0 AS pos, tool_name, args, 'text' AS
        CAST(NULL AS VARCHAR) AS data, CAST(NULL AS VARCHAR) AS mime_type FROM p
 UNION ALL
 SELECT result_id, 'screenshots', 1, tool_name, args, 'image', CAST(NULL AS VARCHAR),
-       to_base64(encode(substr(html, 1, 400))), 'image/png' FROM p)"""
+       to_base64(encode(html)), 'image/png' FROM p)"""
 
 EVENT_TOOL_NAMES = """(
 SELECT event_id, user_id, event_type,

@@ -15,7 +15,7 @@ from .registry import query
 def conversation_calls(spark, sf_dir):
     """(conv_id, turn, tool_name, args): each turn is a call named by its role."""
     c = table(spark, sf_dir, "conversations")
-    args = F.to_json(F.struct(F.substring("text", 1, 120).alias("prompt"),
+    args = F.to_json(F.struct(F.col("text").alias("prompt"),
                               F.concat(F.lit("chats/"), F.col("conv_id").cast("string"), F.lit("/"),
                                        F.col("turn").cast("string"), F.lit(".md")).alias("path")))
     return c.select("conv_id", "turn", F.col("role").alias("tool_name"), args.alias("args"))
@@ -23,7 +23,7 @@ def conversation_calls(spark, sf_dir):
 
 DUCK_CALLS = """(
 SELECT conv_id, turn, role AS tool_name,
-       json_object('prompt', substr(text, 1, 120), 'path', 'chats/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.md') AS args
+       json_object('prompt', text, 'path', 'chats/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.md') AS args
 FROM conversations)"""
 
 

@@ -21,7 +21,7 @@ TGT, OVL = CFG.chunk_target, CFG.chunk_overlap
 DOC_CALLS = """(
 SELECT doc_id, 'read_document' AS tool_name,
        json_object('path', 'corpus/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt',
-                   'query', split_part(substr(text, 1, 80), '.', 1)) AS args, text
+                   'query', split_part(text, '.', 1)) AS args, text
 FROM documents)"""
 
 
@@ -272,10 +272,10 @@ def _summaries(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").filter("quality = 1")
     return d.join(lab, "doc_id", "left_semi").select(
         "doc_id", F.concat(F.lit("Summary of document "), F.col("doc_id").cast("string"), F.lit(": "),
-                           F.substring("text", 1, 100)).alias("summary"))
+                           F.substring_index("text", ".", 1)).alias("summary"))
 
 
-DUCK_SUMMARIES = """(SELECT doc_id, 'Summary of document ' || CAST(doc_id AS VARCHAR) || ': ' || substr(text, 1, 100) AS summary
+DUCK_SUMMARIES = """(SELECT doc_id, 'Summary of document ' || CAST(doc_id AS VARCHAR) || ': ' || split_part(text, '.', 1) AS summary
 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
 
 

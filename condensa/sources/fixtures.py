@@ -36,7 +36,7 @@ def document_args(d: DataFrame):
     return F.to_json(F.struct(
         F.concat(F.lit("corpus/"), d.source, F.lit("/"), d.lang, F.lit("/"), d.doc_id.cast("string"),
                  F.lit(".txt")).alias("path"),
-        F.substring_index(F.substring(d.text, 1, 80), ".", 1).alias("query"),
+        F.substring_index(d.text, ".", 1).alias("query"),
     ))
 
 
@@ -82,7 +82,7 @@ def screenshot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Even pages mention a saved image path in the caption; every third page comes from a
     known screenshot tool, the rest from an image generator. The image payload is the
-    base64 of the page's first 400 characters.
+    base64 of the page.
     """
     p = table(spark, sf_dir, "pages")
     rid = F.concat(F.lit("shot:"), p.page_id.cast("string"))
@@ -104,7 +104,7 @@ def screenshot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      tool.alias("tool_name"), args.alias("args"), F.lit("image").alias("type"),
                      F.lit(None).cast("string").alias("text"),
                      # base64 without line breaks (Spark's encoder wraps lines by default)
-                     F.regexp_replace(F.base64(F.encode(F.substring(p.html, 1, 400), "UTF-8")),
+                     F.regexp_replace(F.base64(F.encode(p.html, "UTF-8")),
                                       r"[\r\n]", "").alias("data"),
                      F.lit("image/png").alias("mime_type"))
     return text.unionByName(image).withColumn("pos", F.col("pos").cast("int"))
