@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jsonops import single_keys
+
 BLOCK_SCHEMA = ("array<struct<type: string, text: string, data: string, mimeType: string, "
                 "source: struct<data: string, media_type: string>>>")
 
@@ -22,8 +24,9 @@ def with_blocks(df: DataFrame, resp_col: str) -> DataFrame:
     JSON; an object with a ``content`` array → those blocks (none, if it is empty: not an empty
     response); an object with a string ``type`` → that block; any other object → one text
     block of its JSON; a string → one text block. An image block without data takes
-    source.data and source.media_type (S3).
+    source.data and source.media_type (S3). Of a repeated key the last value counts.
     """
+    given, resp_col = resp_col, "_resp"
     v = f"try_parse_json({resp_col})"
     kind = f"schema_of_variant({v})"
     first_is_block = (f"startswith({kind}, 'ARRAY') AND "
@@ -44,7 +47,7 @@ def with_blocks(df: DataFrame, resp_col: str) -> DataFrame:
         f"    THEN array(from_json({resp_col}, '{BLOCK_SCHEMA[6:-1]}')) "
         f"  ELSE {text_block(compact(resp_col))} END "
         f"WHEN {kind} = 'STRING' AND {string} <> '' THEN {text_block(string)} ELSE NULL END")
-    return df.withColumn("blocks", F.expr(blocks))
+    return single_keys(df, given, "_resp", "_why").withColumn("blocks", F.expr(blocks)).drop("_resp", "_why")
 
 
 def normalise(df: DataFrame, resp_col: str) -> DataFrame:

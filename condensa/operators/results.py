@@ -32,11 +32,13 @@ SUMMARY_TAG = "condensed"
 def ocr_replace(images: DataFrame, ocr_text: DataFrame) -> DataFrame:
     """Replace image blocks by their extracted text.
 
-    ``ocr_text(image_key, text)``: extracted text per image (sha-256 of the payload).
-    Missing or low-quality text with a saved path gives a reference sentence; without a
-    path the image stays. Adds out_type, out_text, out_data, out_mime.
+    ``ocr_text(image_key, text[, error])``: extracted text per image (sha-256 of the payload), or why
+    the extraction failed. Missing or low-quality text with a saved path gives a reference
+    sentence; without a path the image stays, and so it does after a failure (R2).
+    Adds out_type, out_text, out_data, out_mime and failure.
     """
-    o = ocr_text.select(F.col("image_key").alias("_ik"), F.col("text").alias("_ocr"))
+    why = F.col("error") if "error" in ocr_text.columns else F.lit(None).cast("string")
+    o = ocr_text.select(F.col("image_key").alias("_ik"), F.col("text").alias("_ocr"), why.alias("failure"))
     df = images.withColumn("_ik", F.sha2("data", 256)).join(o, "_ik", "left").drop("_ik")
     path = F.expr("coalesce(get_json_object(args, '$.filename'), get_json_object(args, '$.path'))")
     df = df.withColumn("_path", path)
@@ -49,7 +51,7 @@ def ocr_replace(images: DataFrame, ocr_text: DataFrame) -> DataFrame:
                            F.lit(" — OCR could not extract text. No text found on image.]")))
             .when(F.col("_path").isNotNull(),
                   F.concat(F.lit("[Screenshot saved to: "), F.col("_path"), F.lit(" — no text found on image.]"))))
-    replaced = text.isNotNull()
+    replaced = text.isNotNull() & F.col("failure").isNull()
     return (df.withColumn("out_type", F.when(replaced, F.lit("text")).otherwise(F.col("type")))
               .withColumn("out_text", F.when(replaced, text).otherwise(F.col("text")))
               .withColumn("out_data", F.when(replaced, F.lit(None).cast("string")).otherwise(F.col("data")))
@@ -61,8 +63,8 @@ def ocr_replace(images: DataFrame, ocr_text: DataFrame) -> DataFrame:
 def reduce_blocks(routed: DataFrame, cfg: Config, ocr_text: DataFrame | None = None) -> DataFrame:
     """Apply the effective strategy to every block of every compressible result.
 
-    Adds out_type/out_text/out_data/out_mime, ``after`` and ``error``. Skipped results
-    and dry runs keep their blocks.
+    Adds out_type/out_text/out_data/out_mime, ``after``, ``error`` and ``failure`` (R2: a block whose reducer
+    fails stays as it is, and says why). Skipped results and dry runs keep their blocks.
     """
     eff = F.col("effective_strategy")
     is_text = (F.col("type") == "text") & (F.coalesce(F.col("text"), F.lit("")) != "")
@@ -74,7 +76,7 @@ def reduce_blocks(routed: DataFrame, cfg: Config, ocr_text: DataFrame | None = N
                     & (F.coalesce(F.col("data"), F.lit("")) != "") & F.lit(ocr_text is not None), F.lit("ocr"))
               .otherwise(F.lit("native")))
     df = routed.withColumn("_branch", branch)
-    keep = F.lit(False)
+    no_failure = F.lit(None).cast("string")
     # native branch: truncate (C2) and snapshot outline (D5-D9) as column expressions
     nat = df.filter("_branch = 'native'")
     nat = nat.withColumn("_trunc_in", F.when(run & (eff == "truncate") & is_text, F.col("text")))
@@ -89,19 +91,19 @@ def reduce_blocks(routed: DataFrame, cfg: Config, ocr_text: DataFrame | None = N
     nat = (nat.withColumn("out_type", F.col("type"))
               .withColumn("out_text", F.when(F.col("type") == "text", new_text).otherwise(F.col("text")))
               .withColumn("out_data", F.col("data")).withColumn("out_mime", F.col("mime_type"))
-              .withColumn("error", keep)
+              .withColumn("failure", no_failure)
               .drop("_trunc_in", "_q", "_trunc_out", "_dom_out"))
     # json branch (K7, K5, K4)
-    js = J.reduce_json(df.filter("_branch = 'json'"), "text", "_json_red")
-    js = (js.withColumn("error", keep).withColumn("out_type", F.col("type"))
+    js = J.reduce_json(df.filter("_branch = 'json'"), "text", "_json_red", "failure")
+    js = (js.withColumn("out_type", F.col("type"))
             .withColumn("out_text", F.col("_json_red"))
             .withColumn("out_data", F.col("data")).withColumn("out_mime", F.col("mime_type"))
             .drop("_json_red"))
     df = nat.unionByName(js)
     if ocr_text is not None:
         images = ocr_replace(routed.withColumn("_branch", branch).filter("_branch = 'ocr'"), ocr_text)
-        df = df.unionByName(images.withColumn("error", keep))
-    df = df.drop("_branch")
+        df = df.unionByName(images)
+    df = df.drop("_branch").withColumn("error", F.col("failure").isNotNull())
     return df.withColumn("after", F.expr(B_TOKENS_OUT))
 
 

@@ -16,7 +16,7 @@ from .registry import query
 _EVENTS_SQL = f"""
 WITH {REDUCED}
 SELECT tool, action, total_before AS before, CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after, 0 AS duration_ms,
-       CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, 0 AS errors FROM results
+       CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, n_errors AS errors FROM results
 UNION ALL SELECT event_type, 'empty-response', 0, 0, 0, NULL, 0 FROM ({DUCK_EMPTY})"""
 
 
@@ -80,7 +80,7 @@ WITH {REDUCED}
 SELECT tool, result_id, CASE WHEN action = 'compressed' THEN rule_strategy ELSE 'skip' END AS strategy, total_before AS before,
        CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after,
        CASE WHEN action <> 'compressed' THEN '0%' WHEN total_before > 0 THEN printf('%.1f', (1 - total_after / total_before) * 100) || '%' END AS reduction,
-       CAST(0 AS BIGINT) AS duration_ms, CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, action, 0 AS errors,
+       CAST(0 AS BIGINT) AS duration_ms, CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, action, CAST(n_errors AS INTEGER) AS errors,
        {_args_duck('args')} AS tool_input FROM results""")
 def event_log(spark, sf_dir):
     """U2 over the end-to-end reduction: one event per result."""

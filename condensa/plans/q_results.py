@@ -36,11 +36,11 @@ routed AS (SELECT r.*, CASE WHEN rule_strategy = 'auto' AND type = 'image' AND N
 _OCR = f"""
 WITH i AS (SELECT * FROM {D.SHOT_BLOCKS} s WHERE type = 'image'),
 o AS (SELECT sha256(i.data) AS image_key, CASE WHEN CAST(regexp_extract(i.result_id, '(\\d+)$', 1) AS BIGINT) % 7 = 0
-             THEN ' ok ' ELSE b.text END AS ocr
+             THEN ' ok ' ELSE b.text END AS ocr, b.item_id % 5 = 3 AS failed
       FROM i JOIN benchmark b ON CAST(regexp_extract(i.result_id, '(\\d+)$', 1) AS BIGINT) = b.item_id),
-j AS (SELECT id, ocr, coalesce(json_extract_string(args, '$.filename'), json_extract_string(args, '$.path')) AS path
+j AS (SELECT id, ocr, coalesce(failed, false) AS failed, coalesce(json_extract_string(args, '$.filename'), json_extract_string(args, '$.path')) AS path
       FROM picked LEFT JOIN o ON sha256(picked.data) = o.image_key WHERE branch = 'ocr')
-SELECT id, CASE WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
+SELECT id, failed, CASE WHEN failed THEN NULL WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
        THEN '[OCR extracted from screenshot — may contain errors]' || chr(10) || {D.js_trim('ocr')}
        WHEN ocr IS NULL AND path IS NOT NULL
        THEN '[Screenshot saved to: ' || path || ' — OCR could not extract text. No text found on image.]'
@@ -66,12 +66,12 @@ dom AS MATERIALIZED (WITH {D.snap_outline_ctes("(SELECT id, text FROM picked WHE
                      SELECT block_id AS id, outline FROM outline),
 seen AS MATERIALIZED ({_OCR}),
 blocks_out AS (
-  SELECT picked.*, CASE WHEN seen IS NOT NULL THEN 'text' ELSE type END AS out_type, coalesce(trunc.reduced, js.reduced, outline, seen, text) AS out_text,
+  SELECT picked.*, coalesce(failed, false) AS error, CASE WHEN seen IS NOT NULL THEN 'text' ELSE type END AS out_type, coalesce(trunc.reduced, js.reduced, outline, seen, text) AS out_text,
          CASE WHEN seen IS NULL THEN data END AS out_data, CASE WHEN seen IS NULL THEN mime_type END AS out_mime
   FROM picked LEFT JOIN trunc USING (id) LEFT JOIN js USING (id) LEFT JOIN dom USING (id) LEFT JOIN seen USING (id)),
 sized AS MATERIALIZED (SELECT *, {D.block_tokens('out_type', 'out_text', 'out_data')} AS after FROM blocks_out),
 stats AS (SELECT result_id, content_type, count(*) AS n, sum(before) AS before, sum(after) AS after, min(pos) AS first_pos
-          FROM sized WHERE compressible GROUP BY ALL),
+          FROM sized WHERE compressible AND NOT error GROUP BY ALL),
 parts AS (SELECT result_id,
     string_agg(content_type || ': ' || n || ' block' || CASE WHEN n > 1 THEN 's' ELSE '' END || ', ' || {D.fmt_int('before')} || '→' || {D.fmt_int('after')}
                || ' tokens (-' || CAST({_ratio('after', 'before')} AS VARCHAR) || '%)', '; ' ORDER BY first_pos)
@@ -80,7 +80,7 @@ parts AS (SELECT result_id,
     arg_max(content_type, [before, -first_pos]) FILTER (content_type <> 'small-text') AS dominant
   FROM stats GROUP BY result_id),
 totals AS (SELECT result_id, any_value(short_name) AS tool, any_value(rule_strategy) AS rule_strategy, any_value(compressible) AS compressible, any_value(args) AS args,
-                  count(*) AS n_blocks, sum(before) AS total_before, sum(after) AS total_after FROM sized GROUP BY result_id),
+                  count(*) AS n_blocks, count(*) FILTER (error) AS n_errors, sum(before) AS total_before, sum(after) AS total_after FROM sized GROUP BY result_id),
 judged AS (SELECT totals.*, coalesce(dominant, 'small-text') AS dominant_type, big, small,
              CASE WHEN NOT compressible OR total_after = total_before OR (total_after > total_before * {C.GROWTH_LIMIT}::DOUBLE AND rule_strategy = 'auto')
                   THEN 'no-change' ELSE 'compressed' END AS action FROM totals LEFT JOIN parts USING (result_id)),
@@ -145,15 +145,15 @@ def dominant_type(spark, sf_dir):
 @query("ocr_lookup", oracle=f"""
 WITH img AS (SELECT * FROM {D.SHOT_BLOCKS} s WHERE type = 'image'),
 o AS (SELECT sha256(i.data) AS image_key, CASE WHEN CAST(regexp_extract(i.result_id, '(\\d+)$', 1) AS BIGINT) % 7 = 0
-             THEN ' ok ' ELSE b.text END AS text
+             THEN ' ok ' ELSE b.text END AS text, b.item_id % 5 = 3 AS failed
       FROM img i JOIN benchmark b ON CAST(regexp_extract(i.result_id, '(\\d+)$', 1) AS BIGINT) = b.item_id),
-j AS (SELECT img.result_id, img.pos, o.text AS ocr,
+j AS (SELECT img.result_id, img.pos, o.text AS ocr, coalesce(o.failed, false) AS failed,
              coalesce(json_extract_string(img.args, '$.filename'), json_extract_string(img.args, '$.path')) AS path
       FROM img LEFT JOIN o ON sha256(img.data) = o.image_key)
 SELECT result_id, pos,
-  CASE WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
+  CASE WHEN failed THEN 'image' WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
        THEN 'text' WHEN path IS NOT NULL THEN 'text' ELSE 'image' END AS out_type,
-  CASE WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
+  CASE WHEN failed THEN NULL WHEN ocr IS NOT NULL AND length(regexp_replace(ocr, {D.s(C.JS_WS)}, '', 'g')) >= {C.MIN_MEANINGFUL_CHARS}
        THEN '[OCR extracted from screenshot — may contain errors]' || chr(10) || {D.js_trim('ocr')}
        WHEN ocr IS NULL AND path IS NOT NULL
        THEN '[Screenshot saved to: ' || path || ' — OCR could not extract text. No text found on image.]'
@@ -168,7 +168,7 @@ def ocr_lookup(spark, sf_dir):
 
 @query("reduce_results", oracle=f"""
 WITH {REDUCED}
-SELECT result_id, tool, rule_strategy, action, n_blocks, CAST(0 AS BIGINT) AS n_errors, total_before AS before,
+SELECT result_id, tool, rule_strategy, action, n_blocks, n_errors, total_before AS before,
        CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after, dominant_type, summary FROM results""")
 def reduce_results(spark, sf_dir):
     """R1 end to end over every kind of result (the flagship query)."""

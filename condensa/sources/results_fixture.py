@@ -43,16 +43,17 @@ def all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_key, text): text extracted from screenshot images, by image hash.
+    """(image_key, text, error): text extracted from screenshot images, by image hash.
 
     Pages with a benchmark item of the same id have text; every seventh of those has
-    too little text to count; the rest have none.
+    too little text to count, and of some the extraction failed; the rest have none.
     """
     shots = FX.screenshot_blocks(spark, sf_dir).filter("type = 'image'").select(
         F.sha2("data", 256).alias("image_key"), F.regexp_extract("result_id", r"(\d+)$", 1).cast("bigint").alias("pid"))
     b = table(spark, sf_dir, "benchmark")
     return shots.join(b, shots.pid == b.item_id).select(
-        "image_key", F.when(shots.pid % 7 == 0, F.lit(" ok ")).otherwise(b.text).alias("text"))
+        "image_key", F.when(shots.pid % 7 == 0, F.lit(" ok ")).otherwise(b.text).alias("text"),
+        F.when(shots.pid % 5 == 3, F.lit("engine failed")).alias("error"))
 
 
 def duck_all_blocks(text_blocks: str, shot_blocks: str) -> str:

@@ -27,3 +27,19 @@ def test_normalise_keeps_the_text(spark):
     got = {r.id: r.text for r in N.normalise(df, "resp").collect()}
     assert got == {1: '{"z":1.5,"a":{"y":"two  words","b":[]}}', 2: '[{"z":1,"a":2},"a \\" b"]', 6: "hi", 9: "t"}
     assert sorted(r.id for r in N.empty_responses(df, "resp").collect()) == [3, 4, 5, 8]
+
+
+def test_normalise_of_repeated_keys(spark):
+    """Valid JSON with a repeated key is no empty response; the last value counts."""
+    rows = [(1, '{"content": [], "content": [{"type": "text", "text": "kept"}]}'), (2, '{"a": 1, "a": 2}'), (3, '[{"type": "text", "text": "old", "text": "new"}]')]
+    df = spark.createDataFrame(rows, "id int, resp string")
+    assert {r.id: r.text for r in N.normalise(df, "resp").collect()} == {1: "kept", 2: '{"a":1,"a":2}', 3: "new"}
+    assert N.empty_responses(df, "resp").count() == 0
+
+
+def test_normalise_of_repeated_keys(spark):
+    """Valid JSON with a repeated key is no empty response; the last value counts."""
+    rows = [(1, '{"content": [], "content": [{"type": "text", "text": "kept"}]}'), (2, '{"a": 1, "b": 0, "a": 2}'), (3, '[{"type": "text", "text": "old", "text": "new"}]')]
+    df = spark.createDataFrame(rows, "id int, resp string")
+    assert {r.id: r.text for r in N.normalise(df, "resp").collect()} == {1: "kept", 2: '{"a":2,"b":0}', 3: "new"}
+    assert N.empty_responses(df, "resp").count() == 0
