@@ -1,11 +1,10 @@
 """M1: continuous correlation of tool-call requests and their responses.
 
-Keyed state per (connection, request id) holds the order of the lines seen so far, and of requests
-also the call. A response belongs to the request just before it in the order of ``seq``. No
-row is late and nothing is forgotten: when a line comes after later ones, the responses that it
-gives another match are told again as revisions, and ``settled`` takes the last word on each.
-State grows with the request and response lines of a key (results are not in it). Responses without a request and
-lines that are no call message pass through.
+Keyed state per (connection, request id) is the last line of the key, no more: a response belongs to the
+request just before it in the order of ``seq``. A line that comes after later ones is told as late, and
+``settled`` matches the lines of its key anew in batch, so no line is lost and files in any order give
+the batch result. Requests are told, too (without their lines), for that repair. Responses
+without a request and lines that are no call message pass through.
 """
 
 from __future__ import annotations
@@ -18,39 +17,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.protocol import classify_messages
+from ..operators.session import match_responses
 
 OUT = ("conn BIGINT, rpc_id STRING, kind STRING, request_seq BIGINT, response_seq BIGINT, tool_name STRING, tool_args STRING, "
-       "result STRING, error STRING, line STRING, version BIGINT")
-STATE = "seqs ARRAY<BIGINT>, requests ARRAY<BOOLEAN>, tools ARRAY<STRING>, args ARRAY<STRING>, version BIGINT"
+       "result STRING, error STRING, line STRING, late BOOLEAN")
+STATE = "seq BIGINT, request BOOLEAN, tool STRING, args STRING"
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def _matches(lines: list[tuple]) -> dict[int, tuple]:
-    """seq of each response → (seq, tool, args) of the line just before it, if that is a request."""
-    before = [None, *lines]
-    return {x[0]: (b[0], b[2], b[3]) if b and b[1] else (None, None, None) for b, x in zip(before, lines) if not x[1]}
-
-
 def _match(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     # a micro-batch's lines of one key: they may come in several Arrow batches, and before or after those seen
-    new = pd.concat(list(batches)).sort_values("seq")
-    *columns, version = state.get if state.exists else ([], [], [], [], 0)
-    seen = list(zip(*columns))
-    come = [(int(r.seq), r.kind == "request", *((r.tool_name, r.tool_args) if r.kind == "request" else (None, None))) for r in new.itertuples(index=False)]
-    lines = sorted(seen + come, key=lambda x: x[0])
-    told, now, version = _matches(seen), _matches(lines), int(version) + 1
-    out = [(key[0], key[1], "response", now[r.seq][0], int(r.seq), *now[r.seq][1:], r.result, r.error, r.line, version)
-           for r in new.itertuples(index=False) if r.kind == "response"]
-    out += [(key[0], key[1], "revision", now[q][0], q, *now[q][1:], None, None, None, version) for q, m in told.items() if now[q] != m]
-    state.update((*map(list, zip(*[(int(q), bool(k), t, a) for q, k, t, a in lines])), version))
-    if out:
-        yield pd.DataFrame(out, columns=COLUMNS).astype({"request_seq": "Int64", "response_seq": "Int64"})
+    last = state.get if state.exists else None
+    out = []
+    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        seq, request = int(r.seq), r.kind == "request"
+        late = last is not None and seq < last[0]
+        if request:
+            out.append((*key, r.kind, seq, None, r.tool_name, r.tool_args, None, None, None, late))
+        else:
+            call = (last[0], last[2], last[3]) if last is not None and not late and last[1] else (None, None, None)
+            out.append((*key, r.kind, call[0], seq, *call[1:], r.result, r.error, r.line, late))
+        if not late:
+            last = (seq, request, *((r.tool_name, r.tool_args) if request else (None, None)))
+    state.update((int(last[0]), bool(last[1]), last[2], last[3]))
+    yield pd.DataFrame(out, columns=COLUMNS).astype({"request_seq": "Int64", "response_seq": "Int64"})
 
 
 def correlate(lines: DataFrame) -> DataFrame:
-    """lines: (seq, conn, ts, line) stream, ``seq`` once per connection → one row per response, with its request if there is
-    one so far, one row per other line (kind 'raw' or 'other'), unchanged, and rows of kind 'revision' for
-    responses told before that a line out of order gives another request. Requests are not repeated."""
+    """lines: (seq, conn, ts, line) stream, ``seq`` once per connection → one row per response, with its request; one row per
+    request (kind 'request'); one row per other line (kind 'raw' or 'other'), unchanged. ``late`` rows came
+    after later lines of their key: ``settled`` matches those keys anew."""
     m = classify_messages(lines)
     keyed = m.filter(F.col("kind").isin("request", "response"))
     matched = keyed.groupBy("conn", "rpc_id").applyInPandasWithState(_match, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -59,13 +55,16 @@ def correlate(lines: DataFrame) -> DataFrame:
     return matched.unionByName(passed.select(
         "conn", null("string").alias("rpc_id"), "kind", null("bigint").alias("request_seq"), F.col("seq").alias("response_seq"),
         null("string").alias("tool_name"), null("string").alias("tool_args"), null("string").alias("result"), null("string").alias("error"), "line",
-        null("bigint").alias("version")))
+        F.lit(False).alias("late")))
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The written rows of ``correlate`` with every response once, with the request of its last revision."""
-    told = rows.filter(F.col("kind").isin("response", "revision")).groupBy("conn", "rpc_id", "response_seq").agg(
-        F.max_by(F.struct("request_seq", "tool_name", "tool_args"), "version").alias("m"),
-        F.max_by(F.struct("result", "error", "line"), F.when(F.col("kind") == "response", F.col("version"))).alias("r"))
-    told = told.select("conn", "rpc_id", F.lit("response").alias("kind"), "m.request_seq", "response_seq", "m.tool_name", "m.tool_args", "r.result", "r.error", "r.line")
-    return told.unionByName(rows.filter(~F.col("kind").isin("response", "revision")).drop("version"))
+    """The written rows of ``correlate`` without the requests, every response with the request that all lines give it."""
+    key = ["conn", "rpc_id"]
+    late = rows.filter("late").select(*key).distinct()
+    rest = rows.filter("kind <> 'request'").join(late, key, "left_anti").drop("late")
+    lines = rows.join(late, key, "left_semi").withColumn("seq", F.when(F.col("kind") == "request", F.col("request_seq")).otherwise(F.col("response_seq")))
+    found = match_responses(lines.select(*key, "seq", "kind", "result", "error", "line"), key, "seq", "kind").filter("kind = 'response'")
+    calls = lines.filter("kind = 'request'").select(*key, F.col("seq").alias("request_seq"), "tool_name", "tool_args")
+    found = found.withColumn("request_seq", F.when(F.col("prev_kind") == "request", F.col("prev_seq"))).withColumnRenamed("seq", "response_seq")
+    return rest.unionByName(found.join(calls, [*key, "request_seq"], "left").select(*rest.columns))

@@ -82,3 +82,52 @@ def test_streams_over_files_in_reversed_time_order(spark, tmp_path):
                                                    F.array_join(F.collect_list("event_type").over(w), ",").alias("recent"), F.array_join(F.collect_list("props").over(w), "|").alias("recent_args"))
     found = q["stream_history"](spark, str(tmp_path)).select(plain.columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+class _State:
+    """Keeps what a stateful function puts by, as a stream would."""
+
+    def __init__(self):
+        self.exists, self.get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_stream_state_does_not_grow():
+    import random
+
+    import pandas as pd
+
+    from condensa.streaming import correlate as CO
+    from condensa.streaming import history as HI
+    r, ring, last = random.Random(4), _State(), _State()
+    late = 0
+    for n in range(1000):
+        seqs = sorted({5 * n + r.randrange(5), *([r.randrange(5 * n + 1)] if n % 7 == 0 else [])})
+        calls = pd.DataFrame([(s, f"t{s}", "{}") for s in seqs], columns=["seq", "tool_name", "args"])
+        late += int(pd.concat(list(HI._update(("s",), iter([calls]), ring)))["late"].sum())
+        assert len(ring.get[0]) == len(ring.get[1]) == len(ring.get[2]) <= 10
+        lines = pd.DataFrame([(s, "request" if s % 2 else "response", "t", "{}", None, None, "x") for s in seqs],
+                             columns=["seq", "kind", "tool_name", "tool_args", "result", "error", "line"])
+        list(CO._match((1, "a"), iter([lines]), last))
+        assert len(last.get) == 4
+    assert late > 100
+
+
+def test_late_calls_are_repaired(spark):
+    """History rows of calls far out of order, settled, equal the plain window."""
+    import random
+
+    import pandas as pd
+
+    from condensa.streaming import history as HI
+    r, ring, rows = random.Random(5), _State(), []
+    order = list(range(60))
+    r.shuffle(order)
+    for a in range(0, 60, 4):
+        calls = pd.DataFrame([(s, f"t{s}", f"a{s}") for s in order[a:a + 4]], columns=["seq", "tool_name", "args"])
+        rows += pd.concat(list(HI._update(("s",), iter([calls]), ring))).astype(object).where(lambda d: d.notna(), None).values.tolist()
+    found = HI.settled(spark.createDataFrame(rows, HI.OUT_SCHEMA)).orderBy("seq").collect()
+    assert [(x.seq, x.recent, x.recent_args) for x in found] == [
+        (s, ",".join(f"t{i}" for i in range(max(0, s - 2), s + 1)), [f"a{i}" for i in range(max(0, s - 2), s + 1)]) for s in range(60)]
