@@ -348,8 +348,10 @@ def link_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", n:
                                                  F.first("columns").alias("columns")), "jaccard-classes")
     labels = near_labels(classes.select("rid", "n", "columns"), threshold)
     named = classes.select("rid", "n", "key", "least").join(labels, "rid")
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    found = stage(named.join(least, "label").select("n", "key", "component"), "jaccard-components")
+    # most classes are components of their own; a component of very many classes is joined without gathering it
+    more = named.groupBy("label").agg(F.count("*").alias("classes"), F.min("least").alias("component")).where("classes > 1").drop("classes")
+    found = stage(join_small(named, stage(more, "jaccard-least"), ["label"], F.col("rid"), "left")
+                  .select("n", "key", F.coalesce("component", "least").alias("component")), "jaccard-components")
     alone = keyed.where("key is null").select("row_id", "n", "uid", F.col("row_id").alias("component_id"), F.col("uid").alias("first"))
     joined = (join_small(keyed.where("key is not null").drop("columns"), found, ["n", "key"], F.col("uid"))
               .select("row_id", "n", "uid", F.col("component.row_id").alias("component_id"), F.col("component.uid").alias("first")))
