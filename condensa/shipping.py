@@ -1,7 +1,7 @@
 """Ship this package to the executors' Python workers (like ``--py-files``).
 
-Only the Arrow-batched helpers (JSON collapse, streaming history state) run Python on
-executors; they import ``condensa``. The package is zipped once per SparkContext and
+Only the Arrow-batched helpers (JSON with repeated keys, streaming state, some training-data operators) run
+Python on executors; they import ``condensa``. The package is zipped once per SparkContext and
 added with ``addPyFile``, which distributes it to every executor.
 """
 
