@@ -9,7 +9,9 @@ from ..config import FIXTURE_CONFIG as CFG
 from ..functions import exprs as E
 from ..functions import keywords as K
 from ..operators import bm25 as BM
+from ..operators import search_index as SI
 from ..operators import text as T
+from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources.tables import spread, table
 from . import duck as D
@@ -265,6 +267,14 @@ def bm25_corpus_search(spark, sf_dir):
     return BM.search(docs, "doc_id", "text", bench, "item_id", "text", top_k=10)
 
 
+@query("bm25_index_search", oracle=_duck_search(10))
+def bm25_index_search(spark, sf_dir):
+    """X3 through the stored index: built from the documents, then searched for every benchmark item."""
+    path = scratch_path(spark, "search-index")
+    SI.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", path)
+    return SI.search(spark, path, table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text", top_k=10)
+
+
 # T5 second pass + J6 ----------------------------------------------------------------------
 def _summaries(spark, sf_dir):
     """External summaries stand-in: documents with a quality label of 1 have one."""
