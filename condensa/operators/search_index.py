@@ -39,7 +39,7 @@ PIECE_ROWS = 4096
 #: Levels for an impact of 1; impacts stay below k1 + 1.
 LEVELS = 16
 #: Postings of a query that are read for its floor.
-FIRST_POSTINGS = 256
+FIRST_POSTINGS = 4096
 #: Share of the floor that terms which are not looked up may have.
 SLACK = 0.1
 #: Query terms, over all rows of a side, up to which it is broadcast (counted first).
