@@ -96,10 +96,10 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(doc_id, m),
 FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)"""
 
 OP4_TOPK = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (SELECT q.r, q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
-          FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)),
+          FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.r <> x.r AND len(q.e) = len(x.e)),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 

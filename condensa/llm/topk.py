@@ -20,8 +20,8 @@ Scores are integers (components are floor(64 * x)), exact in doubles below 2^53;
 a margin for rounding, so no candidate is lost to it. Equal scores go by the smaller id.
 
 Vectors that are null or hold a null or non-finite component take no part; neither do rows with a
-null id. Vectors of different lengths are not comparable. Rows with equal ids are
-candidates of their own, but a query never meets rows of its own id. An empty table gives
+null id. Vectors of different lengths are not comparable. Rows with equal ids are rows of
+their own: a query never meets its own row, but it meets others of its id. An empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -47,12 +47,16 @@ BLOCK_ROWS = 2048
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
-    """id, dim, v (array<double> of whole numbers) of the vectors that take part."""
+    """row, id, dim, v (array<double> of whole numbers) of the vectors that take part, written once.
+
+    ``row`` numbers the rows, so that rows of one id are told apart.
+    """
     v = F.col(embedding).cast("array<double>")
     whole = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.lit(False)))
-    return (vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(fine)
-            .select(F.col(vec_id).cast("bigint").alias("id"), F.size(embedding).alias("dim"), whole.alias("v")))
+    return stage(vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(fine)
+                 .select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("bigint").alias("id"), F.size(embedding).alias("dim"), whole.alias("v")),
+                 "topk-vectors")
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -64,9 +68,10 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([sums / np.sqrt(lens), spread], axis=1)
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, score) of each query's k best rows, scores at or above ``floor``."""
-    best: list[list] = [[] for _ in query_ids]  # per query arrays of (score, id)
+def search(numbers: np.ndarray, queries: np.ndarray, row_numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int,
+           floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, id, score) of each query's k best rows but its own, scores at or above ``floor``."""
+    best: list[list] = [[] for _ in numbers]  # per query arrays of (score, id)
     floor = floor.copy()
     if not rows.shape[1]:
         queries, rows = np.zeros((len(queries), 1)), np.zeros((len(rows), 1))
@@ -76,7 +81,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
     for a in range(0, len(rows), BLOCK_ROWS):
         block, block_ids = rows[a:a + BLOCK_ROWS], ids[a:a + BLOCK_ROWS]
         margin = 1e-9 * (1 + norms[:, None] * np.sqrt((block * block).sum(1))[None, :])
-        alive = query_ids[:, None] != block_ids[None, :]
+        alive = numbers[:, None] != row_numbers[None, a:a + BLOCK_ROWS]
         for s, stats in zip(levels, query_stats):
             q, c = alive.any(1), alive.any(0)
             if not q.any():
@@ -117,9 +122,9 @@ def _runs(values: np.ndarray) -> tuple[list, list, list]:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, id, score for ``queries`` (id, dim, v, as from ``quantised``) against ``vectors``.
+    """query_id, rank, id, score for ``queries``, some rows of ``vectors`` (as from ``quantised``), against all of them.
 
-    Both are staged tables. The work is queries x vectors by nature; it is dealt out as
+    The work is queries x vectors by nature; it is dealt out as
     groups of queries times shards of vectors.
     """
     ship(vectors.sparkSession)
@@ -127,8 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     groups = max(1, -(-queries.count() // QUERY_ROWS))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     rows = vectors.withColumn("shard", part(shards))
-    # queries of equal ids are told apart by a number of their own
-    asked = stage(queries.withColumn("grp", part(groups)).withColumn("number", F.monotonically_increasing_id()), "topk-asked")
+    asked = queries.withColumn("grp", part(groups)).withColumnRenamed("row", "number")
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         column = table.column("v").combine_chunks()
@@ -138,8 +142,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return pa.table({"number": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         (query_ids, q), (ids, x) = matrix(left), matrix(right)
-        at, found, score = search(query_ids, q, ids, x, k, np.asarray(left.column("floor")))
-        return pa.table({"number": np.asarray(left.column("number"))[at], "query_id": query_ids[at].astype(np.int64), "id": found.astype(np.int64), "score": score.astype(np.float64)})
+        numbers = np.asarray(left.column("number"))
+        at, found, score = search(numbers, q, np.asarray(right.column("row")), ids, x, k, np.asarray(left.column("floor")))
+        return pa.table({"number": numbers[at], "query_id": query_ids[at].astype(np.int64), "id": found.astype(np.int64), "score": score.astype(np.float64)})
 
     def product(some_queries: DataFrame, some_rows: DataFrame) -> DataFrame:
         keys = ("grp", "shard", "dim")
@@ -149,7 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     no_floor = asked.withColumn("floor", F.lit(float("-inf")))
     # a group's own shard: the k-th score there is a floor of the k-th score of all
     first = no_floor.withColumn("shard", F.pmod(F.col("grp"), F.lit(shards)).cast("int"))
-    here = rows.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).where(F.pmod(F.col("grp"), F.lit(shards)) == F.col("shard"))
+    here = rows.where(F.col("shard") < groups).withColumn("grp", F.explode(F.sequence(F.col("shard"), F.lit(groups - 1), F.lit(shards))))
     floors = (product(first, here).groupBy("number").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
               .select("number", F.col("least").alias("known")))
     floored = stage(asked.join(floors, "number", "left").withColumn("floor", F.coalesce("known", F.lit(float("-inf")))).drop("known"), "topk-queries")

@@ -146,9 +146,9 @@ def test_topk(spark):
     found = topk.top_k(whole, whole.where("id % 20 = 0"), 5).collect()
     ready = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows + [(200, [0.25, 0.5]), (180, [])]]
     want = []
-    for i, q in ready:
+    for row, (i, q) in enumerate(ready):
         if i % 20 == 0:
-            scores = sorted((-int(q @ x), j) for j, x in ready if j != i and len(x) == len(q))[:5]
+            scores = sorted((-int(q @ x), j) for other, (j, x) in enumerate(ready) if other != row and len(x) == len(q))[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     same([tuple(r) for r in found], want)
     assert topk.top_k(whole.where("false"), whole.where("false")).count() == 0
