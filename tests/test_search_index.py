@@ -61,7 +61,9 @@ def test_blocks_of_a_frequent_term_are_bounded(spark, tables, monkeypatch):
     assert spark.read.parquet(f"{path}/postings").agg(F.max("n")).first()[0] <= 3 * 32
 
 
-def test_without_broadcasts(spark, tables, index, monkeypatch):
+def test_without_broadcasts_and_with_a_weak_floor(spark, tables, index, monkeypatch):
+    monkeypatch.setattr(SI, "FIRST_POSTINGS", 20)
+    monkeypatch.setattr(SI, "SLACK", 0.9)
     monkeypatch.setattr(SI, "MAX_BROADCAST_ENTRIES", 0)
     monkeypatch.setattr(BM, "MAX_BROADCAST_TERMS", 0)
     docs, asked = tables
