@@ -1,4 +1,4 @@
-"""Event log and reports."""
+"""Events and reports (U2, A5, A15, S6, P14); the log they are kept in is ``event_log``."""
 
 from __future__ import annotations
 
@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as E
-
-EVENT_COLUMNS = ["ts", "tool", "strategy", "before", "after", "reduction", "duration_ms", "content_type",
-                 "action", "tool_input"]
+from .selection import medians
 
 
 def reduction_text(before: str, after: str) -> str:
@@ -22,7 +20,7 @@ def empty_events(empty: DataFrame, tool_col: str = "tool_name", args_col: str =
     null = lambda kind: F.lit(None).cast(kind)
     zero = F.lit(0).cast("bigint")
     return empty.select(F.current_timestamp().alias("ts"), F.expr(E.short_tool_name(tool_col)).alias("tool"), null("string").alias("result_id"),
-                        F.lit("skip").alias("strategy"), zero.alias("before"), zero.alias("after"), F.lit("0%").alias("reduction"), zero.alias("duration_ms"),
+                        F.lit("skip").alias("strategy"), zero.alias("before"), zero.alias("after"), F.lit("0%").alias("reduction"),
                         null("string").alias("content_type"), F.lit("empty-response").alias("action"), F.lit(0).alias("errors"),
                         F.expr(args_summary_expr(args_col)).alias("tool_input"))
 
@@ -37,32 +35,42 @@ def events_from_results(summary: DataFrame) -> DataFrame:
         F.when(compressed, F.col("total_after")).otherwise(F.col("total_before")).alias("after"),
         F.when(compressed, F.expr(reduction_text("total_before", "total_after"))).otherwise(F.lit("0%"))
         .alias("reduction"),
-        F.lit(0).cast("bigint").alias("duration_ms"),
         F.when(compressed, F.col("dominant_type")).alias("content_type"), "action",
         F.col("n_errors").cast("int").alias("errors"), F.expr(args_summary_expr("args")).alias("tool_input"))
 
 
-def savings_report(events: DataFrame) -> DataFrame:
-    """A5: totals and per content type (rollup): events, tokens, reduction, latency, errors."""
+def latency(rows: DataFrame, key: str, ms: str) -> DataFrame:
+    """A5: (key, is_total, n, avg_ms, median_ms) for each value of ``key`` and over all rows (is_total = 1)."""
+    both = rows.select(F.col(key), F.col(ms).alias("_ms"), F.explode(F.array(F.lit(0), F.lit(1))).alias("is_total"))
+    both = both.withColumn(key, F.when(F.col("is_total") == 0, F.col(key)))
+    mean = both.groupBy(key, "is_total").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_ms"), 3).alias("avg_ms"))
+    mid = medians(both, [key, "is_total"], "_ms", "median_ms").select(
+        F.col(key).alias("_key"), F.col("is_total").alias("_total"), "median_ms")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("is_total") == F.col("_total"))
+    return mean.join(mid, same, "left").drop("_key", "_total")
+
+
+def savings(events: DataFrame) -> DataFrame:
+    """A5: events, tokens, reduction and errors per content type and over all (is_total = 1)."""
     return (events.rollup("content_type")
-            .agg(F.grouping_id().alias("is_total"), F.count(F.lit(1)).alias("events"),
-                 F.sum("before").alias("before"), F.sum("after").alias("after"),
-                 F.round(F.avg("duration_ms"), 3).alias("avg_ms"),
-                 F.expr("percentile(duration_ms, 0.5)").alias("median_ms"),
-                 F.sum("errors").alias("errors"))
+            .agg(F.grouping_id().cast("int").alias("is_total"), F.count(F.lit(1)).alias("events"),
+                 F.sum("before").alias("before"), F.sum("after").alias("after"), F.sum("errors").alias("errors"))
             .withColumn("reduction_pct", F.round(F.expr("(1 - after / before) * 100"), 3)))
 
 
+def savings_report(events: DataFrame) -> DataFrame:
+    """A5 in full: ``savings`` with the mean and median of the measured durations."""
+    took = latency(events, "content_type", "duration_ms").select(
+        F.col("content_type").alias("_type"), F.col("is_total").alias("_total"), "avg_ms", "median_ms")
+    same = F.col("content_type").eqNullSafe(F.col("_type")) & (F.col("is_total") == F.col("_total"))
+    return savings(events).join(took, same, "left").drop("_type", "_total")
+
+
 def outcome_counts(events: DataFrame) -> DataFrame:
     """Events per tool and action."""
     return events.groupBy("tool", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_events(events: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append the event rows to the log, partitioned by day."""
-    (events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").format(fmt).save(path))
-
-
 def previews(blocks: DataFrame, id_col: str = "result_id") -> DataFrame:
     """First 300 characters of each text block, joined by a separator line, cut at 500.
 

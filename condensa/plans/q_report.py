@@ -1,12 +1,17 @@
-"""Event log and report queries."""
+"""Event log and report queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import event_log as EL
 from ..operators import report as RP
+from ..operators import protocol as PR
+from ..operators import session as SS
+from ..session import ensure_checkpoint_dir, stage
 from ..sources import fixtures as FX
-from ..sources.tables import table
+from ..sources.protocol_fixture import DUCK_LINES, protocol_lines
+from ..sources.tables import fingerprint, table
 from . import duck as D
 from .q_normalise import DUCK_EMPTY, empty_responses
 from .q_results import REDUCED, _reduced
@@ -15,26 +20,60 @@ from .registry import query
 # The log of the end-to-end reduction, and an event for each empty response.
 _EVENTS_SQL = f"""
 WITH {REDUCED}
-SELECT tool, action, total_before AS before, CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after, 0 AS duration_ms,
+SELECT tool, action, total_before AS before, CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after,
        CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, n_errors AS errors FROM results
-UNION ALL SELECT event_type, 'empty-response', 0, 0, 0, NULL, 0 FROM ({DUCK_EMPTY})"""
+UNION ALL SELECT event_type, 'empty-response', 0, 0, NULL, 0 FROM ({DUCK_EMPTY})"""
 
 
-def event_log_table(spark, sf_dir):
-    """Events of the end-to-end reduction and of the empty responses."""
+def log_folder(spark, sf_dir):
+    """The folder of this application's event log of the tables as they are, written if it has not been.
+
+    The batch is named by the state of the input files, so the ledger tells whether it was reduced before:
+    the first query that needs the log pays for the reduction, and changed files give another log.
+    """
+    mark = fingerprint(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/condensa/event-log/{spark.sparkContext.applicationId}/{mark}"
+    if EL.has(spark, root, mark):
+        return root
     summary, _ = _reduced(spark, sf_dir)
-    return RP.events_from_results(summary).unionByName(RP.empty_events(
-        empty_responses(spark, sf_dir).withColumn("args", F.lit("{}")), "event_type"))
+    empty = empty_responses(spark, sf_dir).withColumn("args", F.lit("{}"))
+    EL.append(RP.events_from_results(summary).unionByName(RP.empty_events(empty, "event_type")), root, mark)
+    return root
+
+
+def event_log_table(spark, sf_dir):
+    """The log's events: those of the end-to-end reduction and of the empty responses."""
+    return EL.read(spark, log_folder(spark, sf_dir))
 
 
 @query("savings_report", oracle=f"""
 WITH ev AS ({_EVENTS_SQL})
 SELECT content_type, CAST(GROUPING(content_type) AS INTEGER) AS is_total, count(*) AS events, sum(before) AS before,
-       sum(after) AS after, round(avg(duration_ms), 3) AS avg_ms, quantile_cont(duration_ms, 0.5) AS median_ms,
-       sum(errors) AS errors, round((1 - sum(after) / sum(before)) * 100, 3) AS reduction_pct
+       sum(after) AS after, sum(errors) AS errors, round((1 - sum(after) / sum(before)) * 100, 3) AS reduction_pct
 FROM ev GROUP BY ROLLUP (content_type)""")
 def savings_report(spark, sf_dir):
-    return RP.savings_report(event_log_table(spark, sf_dir))
+    """A5 over the log, without the durations: those are measured, so no two runs agree."""
+    return RP.savings(event_log_table(spark, sf_dir))
+
+
+@query("latency_report", oracle=f"""
+WITH l AS (SELECT *, json_valid(line) AS ok FROM {DUCK_LINES} x),
+k AS (SELECT conn, seq, ts, json_extract_string(line, '$.id') AS rpc_id, json_extract_string(line, '$.params.name') AS tool,
+             json_extract_string(line, '$.method') IS NOT DISTINCT FROM 'tools/call' AS call FROM l WHERE ok),
+g AS (SELECT call, ts, lag(call) OVER w AS after_call, lag(tool) OVER w AS tool, lag(ts) OVER w AS since
+      FROM k WINDOW w AS (PARTITION BY conn, rpc_id ORDER BY seq)),
+d AS (SELECT tool, (epoch_us(ts) - epoch_us(since)) // 1000 AS ms FROM g WHERE NOT call AND after_call)
+SELECT tool, CAST(GROUPING(tool) AS INTEGER) AS is_total, count(*) AS n, round(avg(ms), 3) AS avg_ms,
+       quantile_cont(ms, 0.5) AS median_ms FROM d GROUP BY ROLLUP (tool)""")
+def latency_report(spark, sf_dir):
+    """A5's mean and exact median over the times from call to response, per tool and over all."""
+    m = PR.classify_messages(protocol_lines(spark, sf_dir)).filter(F.col("kind").isin("request", "response"))
+    m = m.select("conn", "rpc_id", "seq", "kind", "tool_name", F.unix_micros("ts").alias("at"))
+    done = SS.match_responses(m, ["conn", "rpc_id"], "seq", "kind").filter("kind = 'response' AND prev_kind = 'request'")
+    calls = m.filter("kind = 'request'").select("conn", F.col("seq").alias("prev_seq"), F.col("tool_name").alias("tool"),
+                                                F.col("at").alias("since"))
+    took = done.join(calls, ["conn", "prev_seq"]).select("tool", F.expr("(at - since) div 1000").alias("ms"))
+    return RP.latency(stage(took, "latency"), "tool", "ms")
 
 
 @query("outcome_counts", oracle=f"""
@@ -80,9 +119,8 @@ WITH {REDUCED}
 SELECT tool, result_id, CASE WHEN action = 'compressed' THEN rule_strategy ELSE 'skip' END AS strategy, total_before AS before,
        CASE WHEN action = 'compressed' THEN total_after ELSE total_before END AS after,
        CASE WHEN action <> 'compressed' THEN '0%' WHEN total_before > 0 THEN printf('%.1f', (1 - total_after / total_before) * 100) || '%' END AS reduction,
-       CAST(0 AS BIGINT) AS duration_ms, CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, action, CAST(n_errors AS INTEGER) AS errors,
+       CASE WHEN action = 'compressed' THEN dominant_type END AS content_type, action, CAST(n_errors AS INTEGER) AS errors,
        {_args_duck('args')} AS tool_input FROM results""")
 def event_log(spark, sf_dir):
-    """U2 over the end-to-end reduction: one event per result."""
-    summary, _ = _reduced(spark, sf_dir)
-    return RP.events_from_results(summary).drop("ts")
+    """One event per result, read from the log (without its measured times)."""
+    return event_log_table(spark, sf_dir).filter("result_id IS NOT NULL").drop("ts", "day", "duration_ms")

@@ -9,6 +9,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE_CONFIG
+from ..operators import event_log as EL
 from ..sources import fixtures as FX
 from ..sources.protocol_fixture import _LINE_SPARK, DUCK_LINES
 from ..sources.tables import table
@@ -90,5 +91,5 @@ def stream_reduce(spark, sf_dir):
         F.lit(None).cast("string").alias("mime_type"))
     q = reduce_stream(blocks, FIXTURE_CONFIG, os.path.join(out, "log"), os.path.join(out, "ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "log")).select("result_id", "tool", "strategy", "before", "after",
+    return EL.read(spark, os.path.join(out, "log")).select("result_id", "tool", "strategy", "before", "after",
                                                                "action")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -15,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names the state of all input files: their paths, lengths and times of change (no file is opened)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+             .load(sf_dir))
+    state = F.xxhash64("path", F.col("modificationTime").cast("string"), "length")
+    n, mark = files.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(state), F.lit(0))).first()
+    return f"{n}-{mark & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Spread rows over the cluster before a heavy per-row stage.
 

@@ -1,12 +1,16 @@
 """M3: continuous reduction — every micro-batch of tool results runs the result-level
-job, writes its reduced blocks and appends its events to the event log (both idempotent per batch id)."""
+job, writes its reduced blocks (overwritten if the batch is replayed) and appends its events to the event
+log (once per batch, by the log's ledger)."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..operators import event_log as EL
 from ..operators import report as RP
 from ..operators import results as RS
 
@@ -17,15 +21,13 @@ def reduce_stream(blocks: DataFrame, cfg: Config, log_path: str, checkpoint: str
     ``blocks_path`` the final blocks of every result are written there."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        started = time.time()
         summary, reduced = RS.reduce_results(df, cfg)
         if blocks_path:
             final = RS.final_blocks(reduced, summary).withColumn("batch_id", F.lit(batch_id))
             (final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(blocks_path))
-        ev = RP.events_from_results(summary).withColumn("batch_id", F.lit(batch_id))
-        # Overwrite this batch's own partition: a replayed batch after a failure
-        # replaces its output instead of duplicating it.
-        (ev.withColumn("day", F.to_date("ts")).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log_path))
+        EL.append(RP.events_from_results(summary), log_path, str(batch_id), started)
+        EL.merge(df.sparkSession, log_path)
 
     w = blocks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")

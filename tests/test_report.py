@@ -1,23 +1,84 @@
+import statistics
 import tempfile
+import time
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from condensa.operators import event_log as EL
 from condensa.operators import report as RP
+from condensa.operators.selection import medians
 
 
-def test_event_log_sink_appends(spark):
-    ev = spark.createDataFrame(
-        [("read_document", "truncate", 100, 60, "large-text", "compressed", 0),
-         ("fetch_page", "skip", 10, 10, None, "no-change", 0)],
-        "tool string, strategy string, before long, after long, content_type string, action string, errors int")
-    ev = ev.withColumn("ts", F.current_timestamp()).withColumn("duration_ms", F.lit(5).cast("long"))
-    path = tempfile.mkdtemp(prefix="condensa-log-", dir="/tmp")
-    RP.write_events(ev, path)
-    RP.write_events(ev, path)
-    back = spark.read.parquet(path)
-    assert back.count() == 4 and "day" in back.columns
-    rep = {r["content_type"]: r for r in RP.savings_report(back).collect()}
-    assert rep["large-text"]["reduction_pct"] == 40.0 and rep[None]["events"] >= 2
+EVENTS = [("r1", "read_document", "truncate", 100, 60, "large-text", "compressed", 0, "2024-03-01 10:00:00"),
+          ("r2", "fetch_page", "skip", 10, 10, None, "no-change", 0, "2024-03-01 23:59:59"),
+          ("r3", "fetch_page", "skip", 30, 30, None, "no-change", 1, "2024-03-02 00:00:00")]
+
+
+def _events(spark, rows=EVENTS):
+    ev = spark.createDataFrame(rows, "result_id string, tool string, strategy string, before long, after long, "
+                                     "content_type string, action string, errors int, ts string")
+    return ev.withColumns({"ts": F.to_timestamp("ts"), "reduction": F.lit("0%"), "tool_input": F.lit("")})
+
+
+def _log():
+    return tempfile.mkdtemp(prefix="condensa-log-", dir="/tmp")
+
+
+def _ids(spark, path):
+    return sorted(r["result_id"] for r in EL.read(spark, path).collect())
+
+
+def test_event_log_takes_a_batch_once_and_keeps_days(spark):
+    path = _log()
+    assert EL.read(spark, path).count() == 0
+    assert EL.append(_events(spark), path, "0", started=time.time() - 2)
+    assert not EL.append(_events(spark), path, "0")  # a replayed batch changes nothing
+    back = EL.read(spark, path)
+    assert {str(r["day"]): r["count"] for r in back.groupBy("day").count().collect()} == {"2024-03-01": 2, "2024-03-02": 1}
+    assert back.filter("duration_ms < 2000").count() == 0
+    assert "PartitionFilters: [isnotnull(day" in back.filter("day = '2024-03-02'")._jdf.queryExecution().toString()
+
+
+def test_event_log_reads_no_batch_that_the_ledger_has_not(spark):
+    path = _log()
+    EL.append(_events(spark), path, "0")
+    EL._write(_events(spark), path)  # an attempt that was lost before its ledger row
+    assert _ids(spark, path) == ["r1", "r2", "r3"]
+    assert EL.append(_events(spark).limit(0), path, "1") and not EL.append(_events(spark), path, "1")
+    assert _ids(spark, path) == ["r1", "r2", "r3"]
+
+
+def test_event_log_merges_in_levels(spark):
+    path = _log()
+    for i in range(9):
+        EL.append(_events(spark, [(f"r{i}", *EVENTS[0][1:])]), path, str(i), started=time.time() - i)
+        EL.merge(spark, path, fan_in=2)
+    before = {r["result_id"]: r["duration_ms"] for r in EL.read(spark, path).collect()}
+    assert sorted(before) == [f"r{i}" for i in range(9)] and all(before[f"r{i}"] >= 1000 * i for i in range(9))
+    assert sorted(r["level"] for r in EL.live(spark, path).collect()) == [0, 3]
+    assert not EL.append(_events(spark), path, "3")  # known although merged
+    assert EL.merge(spark, path, fan_in=2) == 0 and EL.replaced(spark, path).count() == 14
+
+
+def test_reports_scan_the_log(spark):
+    path = _log()
+    EL.append(_events(spark), path, "0")
+    rep = {(r["content_type"], r["is_total"]): r for r in RP.savings_report(EL.read(spark, path)).collect()}
+    assert rep["large-text", 0]["reduction_pct"] == 40.0 and rep[None, 0]["errors"] == 1 and rep[None, 1]["events"] == 3
+    assert all(r["avg_ms"] == r["median_ms"] >= 0 for r in rep.values())
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.none() | st.integers(-2**40, 2**40) | st.integers(0, 3)), max_size=30))
+@settings(max_examples=8, deadline=None)
+def test_medians_are_exact(spark, rows):
+    got = {r["k"]: r["median"] for r in medians(spark.createDataFrame(rows, "k string, v long"), ["k"], "v").collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
 
 
 def test_reduction_text(spark):
