@@ -52,25 +52,19 @@ def session_query(calls: DataFrame, tool_col: str = "tool_name", args_col: str =
 
 
 def match_responses(events: DataFrame, key_cols: list[str], seq: str, kind_col: str,
-                    bucket: int = SEQ_BUCKET) -> DataFrame:
-    """For every event: the previous event of its key (seq and kind), found per bucket.
+                    bucket: int = SEQ_BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For every event: the previous event of its key (prev_seq, prev_kind, prev_<each of carry>), found per bucket.
 
     ``kind_col`` is 'request' or 'response'. A response is matched when the previous
     event of its key is a request: a later request with the same key overwrites an
     earlier one, and a request is consumed by the first response after it.
     """
-    ev = events.withColumn("_b", F.floor(F.col(seq) / bucket))
-    w1 = Window.partitionBy(*key_cols, "_b").orderBy(seq)
-    ev = (ev.withColumn("_prev_seq", F.lag(seq).over(w1))
-            .withColumn("_prev_kind", F.lag(kind_col).over(w1)))
-    last = (events.withColumn("_b", F.floor(F.col(seq) / bucket))
-            .groupBy(*key_cols, "_b")
-            .agg(F.max_by(F.struct(F.col(seq).alias("s"), F.col(kind_col).alias("k")), seq).alias("_last")))
-    w2 = Window.partitionBy(*key_cols).orderBy("_b")
-    carry = (last.withColumn("_carry", F.lag("_last").over(w2))
-             .select(*key_cols, "_b", F.col("_carry.s").alias("_c_seq"), F.col("_carry.k").alias("_c_kind")))
-    out = ev.join(carry, [*key_cols, "_b"], "left")
-    first = F.col("_prev_seq").isNull()
-    return (out.withColumn("prev_seq", F.when(first, F.col("_c_seq")).otherwise(F.col("_prev_seq")))
-               .withColumn("prev_kind", F.when(first, F.col("_c_kind")).otherwise(F.col("_prev_kind")))
-               .drop("_b", "_prev_seq", "_prev_kind", "_c_seq", "_c_kind"))
+    kept = {"seq": seq, "kind": kind_col} | {c: c for c in carry}
+    events = events.withColumn("_b", F.floor(F.col(seq) / bucket)).withColumn(
+        "_this", F.struct(*[F.col(c).alias(f"prev_{name}") for name, c in kept.items()]))
+    ev = events.withColumn("_prev", F.lag("_this").over(Window.partitionBy(*key_cols, "_b").orderBy(seq)))
+    last = events.groupBy(*key_cols, "_b").agg(F.max_by("_this", seq).alias("_last"))
+    before = last.select(*key_cols, "_b", F.lag("_last").over(Window.partitionBy(*key_cols).orderBy("_b")).alias("_carry"))
+    return (ev.join(before, [*key_cols, "_b"], "left")
+            .withColumn("_prev", F.coalesce("_prev", "_carry"))
+            .select(*[c for c in events.columns if c not in ("_b", "_this")], "_prev.*"))

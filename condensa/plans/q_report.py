@@ -67,12 +67,11 @@ SELECT tool, CAST(GROUPING(tool) AS INTEGER) AS is_total, count(*) AS n, round(a
        quantile_cont(ms, 0.5) AS median_ms FROM d GROUP BY ROLLUP (tool)""")
 def latency_report(spark, sf_dir):
     """A5's mean and exact median over the times from call to response, per tool and over all."""
-    m = PR.classify_messages(protocol_lines(spark, sf_dir)).filter(F.col("kind").isin("request", "response"))
-    m = m.select("conn", "rpc_id", "seq", "kind", "tool_name", F.unix_micros("ts").alias("at"))
-    done = SS.match_responses(m, ["conn", "rpc_id"], "seq", "kind").filter("kind = 'response' AND prev_kind = 'request'")
-    calls = m.filter("kind = 'request'").select("conn", F.col("seq").alias("prev_seq"), F.col("tool_name").alias("tool"),
-                                                F.col("at").alias("since"))
-    took = done.join(calls, ["conn", "prev_seq"]).select("tool", F.expr("(at - since) div 1000").alias("ms"))
+    m = PR.classify_messages(protocol_lines(spark, sf_dir))
+    m = stage(m.select("conn", "rpc_id", "seq", "kind", "tool_name", F.unix_micros("ts").alias("at")), "messages")
+    done = SS.match_responses(m.filter(F.col("kind").isin("request", "response")), ["conn", "rpc_id"], "seq", "kind",
+                              carry=("tool_name", "at")).filter("kind = 'response' AND prev_kind = 'request'")
+    took = done.select(F.col("prev_tool_name").alias("tool"), F.expr("(at - prev_at) div 1000").alias("ms"))
     return RP.latency(stage(took, "latency"), "tool", "ms")
 
 

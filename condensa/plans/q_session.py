@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import protocol as PR
 from ..operators import session as SS
+from ..session import stage
 from ..sources.protocol_fixture import DUCK_LINES, protocol_lines
 from ..sources.tables import table
 from . import duck as D
@@ -88,13 +89,11 @@ SELECT g.conn, g.rpc_id, g.seq, coalesce(g.prev_kind = 'request', false) AS matc
 FROM g LEFT JOIN k r ON r.conn = g.conn AND r.seq = g.prev_seq
 WHERE g.kind = 'response'""")
 def request_response_asof(spark, sf_dir):
-    m = PR.classify_messages(protocol_lines(spark, sf_dir)).filter(F.col("kind").isin("request", "response"))
-    m = m.select("conn", "rpc_id", "seq", "kind", "tool_name")
-    g = SS.match_responses(m, ["conn", "rpc_id"], "seq", "kind")
-    reqs = m.filter("kind = 'request'").select("conn", F.col("seq").alias("prev_seq"),
-                                                F.col("tool_name").alias("req_tool"))
-    out = g.filter("kind = 'response'").join(reqs, ["conn", "prev_seq"], "left")
+    m = PR.classify_messages(protocol_lines(spark, sf_dir)).select("conn", "rpc_id", "seq", "kind", "tool_name")
+    # Written once: the look-back reads it twice, and a filter on ``kind`` would parse each line again.
+    m = stage(m, "messages").filter(F.col("kind").isin("request", "response"))
+    out = SS.match_responses(m, ["conn", "rpc_id"], "seq", "kind", carry=("tool_name",)).filter("kind = 'response'")
     matched = F.coalesce(F.col("prev_kind") == "request", F.lit(False))
     return out.select("conn", "rpc_id", "seq", matched.alias("matched"),
                       F.when(matched, F.col("prev_seq")).alias("request_seq"),
-                      F.when(matched, F.col("req_tool")).alias("tool_name"))
+                      F.when(matched, F.col("prev_tool_name")).alias("tool_name"))
