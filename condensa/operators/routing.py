@@ -2,43 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import exprs as E
 
-# A rule list is configuration: it is typed by a person and holds tens of entries. The
-# theta join cannot be shuffled on a key, so a list beyond this size is refused.
+# Patterns of which no literal is known meet every name, so their number is bounded; other rules are found by
+# a key and may be many more.
 MAX_BROADCAST_RULES = 10_000
+GRAM = 3
+LAST = 2**31 - 1
+
 
+def needed_literal(pattern: str) -> str | None:
+    """The longest text that any match of the regular expression holds, or None if that is not plain to see.
 
-def rules_frame(spark: SparkSession, rules) -> DataFrame:
-    rows = [(i, r.tool_name, r.tool_name_pattern, r.strategy) for i, r in enumerate(rules)]
-    return spark.createDataFrame(
-        rows, "rule_pos int, rule_tool_name string, rule_pattern string, rule_strategy string")
+    Groups, alternatives, flags and unusual escapes give None; classes, anchors, dots and what a quantifier
+    makes optional end a run of plain characters.
+    """
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        char = None
+        if c == "\\":
+            if i == len(pattern) or (pattern[i].isalnum() and pattern[i] not in "dDwWsSbB"):
+                return None
+            char, i = (None if pattern[i].isalnum() else pattern[i]), i + 1
+        elif c == "[":
+            end = pattern.find("]", i + 1)
+            if end < 0 or any(x in pattern[i:end] for x in "[&\\"):
+                return None
+            i = end + 1
+        elif c in "()|{}]*+?":
+            return None
+        elif c not in ".^$":
+            char = c
+        more = pattern[i:i + 1]
+        if more in ("*", "?", "{"):
+            char = None
+        if char is not None:
+            run += char
+        if char is None or more == "+":
+            runs, run = [*runs, run], ""
+        if more and more in "*?+{":
+            i = pattern.find("}", i) + 1 if more == "{" else i + 1
+            if i == 0:
+                return None
+            i += pattern[i:i + 1] in ("?", "+")  # lazy or possessive
+    return max([*runs, run], key=len) or None
+
+
+def _grams(text: str) -> set[str]:
+    return {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+def rule_index(rules) -> tuple[list, list, list]:
+    """Rules by how a name finds them: (name, position, strategy), (gram, position, pattern, strategy) and, for
+    patterns without a literal of GRAM characters, (position, pattern, strategy).
+
+    A pattern is filed under the gram of its literal that the fewest patterns have. Nothing after a rule that
+    matches every name can be first, so it is left out.
+    """
+    patterns = [(i, r) for i, r in enumerate(rules) if r.tool_name_pattern]
+    every = min((i for i, r in patterns if r.tool_name_pattern in (".*", "^.*")), default=LAST)
+    exact = [(r.tool_name, i, r.strategy) for i, r in enumerate(rules) if r.tool_name and i <= every]
+    known = {i: _grams(needed_literal(r.tool_name_pattern) or "") for i, r in patterns if i <= every}
+    held = Counter(g for grams in known.values() for g in grams)
+    keyed, rest = [], []
+    for i, r in patterns:
+        if i <= every and known[i]:
+            keyed.append((min(known[i], key=lambda g: (held[g], g)), i, r.tool_name_pattern, r.strategy))
+        elif i <= every:
+            rest.append((i, r.tool_name_pattern, r.strategy))
+    return exact, keyed, rest
 
 
 def match_rules(names: DataFrame, name_col: str, rules) -> DataFrame:
-    """First matching rule by position wins; no match gives ``auto``.
+    """First matching rule by position wins; no match gives ``auto``. One row per distinct name.
 
-    The theta join runs on the *distinct* names only (a partial aggregation), against
-    the rule table, which is broadcast because its size is the length of a Python list
-    checked here. The result is one row per distinct name; callers equi-join it back.
+    Distinct names (a partial aggregation) meet rules by equal keys: the whole name for exact rules, the
+    name's grams for patterns, which are then tried. Only patterns without a usable literal, such as ``.*``,
+    are tried on every name; that list is broadcast after its length is checked.
     """
     spark = names.sparkSession
-    rules = list(rules)
-    if len(rules) > MAX_BROADCAST_RULES:
-        raise ValueError(f"more than {MAX_BROADCAST_RULES} rules")
-    rf = F.broadcast(rules_frame(spark, rules))
+    exact, keyed, rest = rule_index(list(rules))
+    if len(rest) > MAX_BROADCAST_RULES:
+        raise ValueError(f"more than {MAX_BROADCAST_RULES} patterns without a literal")
     distinct = names.select(F.col(name_col).alias("_name")).distinct()
-    cond = ((F.col("_name") == F.col("rule_tool_name")) |
-            (F.col("rule_pattern").isNotNull() & F.expr("_name rlike rule_pattern")))
-    matched = (distinct.join(rf, cond, "left")
-               .groupBy("_name")
-               .agg(F.min_by("rule_strategy", "rule_pos").alias("_rule_strategy")))
-    return matched.select(F.col("_name").alias(name_col),
-                          F.coalesce("_rule_strategy", F.lit("auto")).alias("strategy"))
+    found = [distinct.select("_name", F.lit(LAST).alias("rule_pos"), F.lit("auto").alias("rule_strategy"))]
+    if exact:
+        by_name = spark.createDataFrame(exact, "_name string, rule_pos int, rule_strategy string")
+        found.append(distinct.join(by_name, "_name"))
+    if keyed:
+        by_gram = spark.createDataFrame(keyed, "_gram string, rule_pos int, rule_pattern string, rule_strategy string")
+        starts = f"sequence(1, greatest(length(_name) - {GRAM - 1}, 0))"
+        grams = distinct.filter(F.length("_name") >= GRAM).select("_name", F.explode(F.expr(
+            f"array_distinct(transform({starts}, i -> substring(_name, i, {GRAM})))")).alias("_gram"))
+        found.append(grams.join(by_gram, "_gram").filter("_name rlike rule_pattern"))
+    if rest:
+        wild = spark.createDataFrame(rest, "rule_pos int, rule_pattern string, rule_strategy string")
+        found.append(distinct.join(F.broadcast(wild), F.expr("_name rlike rule_pattern")))
+    cols = ["_name", "rule_pos", "rule_strategy"]
+    union = reduce(DataFrame.unionAll, [f.select(*cols) for f in found])
+    return union.groupBy(F.col("_name").alias(name_col)).agg(F.min_by("rule_strategy", "rule_pos").alias("strategy"))
 
 
 def with_rule_strategy(df: DataFrame, name_col: str, rules) -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..config import FIXTURE_CONFIG
 from ..operators import event_log as EL
 from ..sources import fixtures as FX
-from ..sources.protocol_fixture import _LINE_SPARK, DUCK_LINES
+from ..sources.protocol_fixture import _LINE_SPARK, DUCK_LINES, protocol_lines
 from ..sources.tables import table
 from ..streaming import correlate as CO
 from ..streaming import history as HI
+from ..streaming import lines as LI
 from ..streaming.common import file_stream, run_dir
 from ..streaming.continuous import reduce_stream
+from .q_blocks import _HOOK_LINES_DUCK, _HOOK_LINES_SPARK
 from .q_results import REDUCED
 from .registry import query
 
@@ -93,3 +95,41 @@ def stream_reduce(spark, sf_dir):
     q.awaitTermination()
     return EL.read(spark, os.path.join(out, "log")).select("result_id", "tool", "strategy", "before", "after",
                                                                "action")
+
+
+@query("stream_protocol", oracle=f"""
+WITH l AS (SELECT *, json_valid(line) AS ok FROM {DUCK_LINES} x),
+p AS (SELECT conn, line, ok, CASE WHEN ok THEN json_extract_string(line, '$.id') END AS rpc_id,
+        CASE WHEN ok THEN json_extract_string(line, '$.method') END AS method,
+        CASE WHEN ok THEN json_extract_string(line, '$.params.name') END AS tool_name,
+        CASE WHEN ok THEN json_extract(line, '$.result') IS NOT NULL OR json_extract(line, '$.error') IS NOT NULL END AS answer FROM l)
+SELECT conn, line, rpc_id, tool_name,
+  CASE WHEN NOT ok THEN 'raw' WHEN method = 'tools/call' AND rpc_id IS NOT NULL AND tool_name IS NOT NULL THEN 'request'
+       WHEN rpc_id IS NOT NULL AND answer THEN 'response' ELSE 'other' END AS kind
+FROM p""")
+def stream_protocol(spark, sf_dir):
+    """S4 from files of lines, one folder a connection, read as a stream and split by kind."""
+    out = run_dir(spark, "protocol")
+    lines = protocol_lines(spark, sf_dir)
+    blank = F.when(F.col("seq") % 97 == 0, F.lit("\n  ")).otherwise(F.lit(""))  # a blank line after some
+    lines.select("conn", F.concat("line", blank).alias("value")).write.partitionBy("conn").text(os.path.join(out, "in"))
+    m = LI.messages(LI.line_stream(spark, os.path.join(out, "in"), "conn bigint"))
+    LI.write(m.select("conn", "line", "rpc_id", "tool_name", "kind"), "kind", os.path.join(out, "data"),
+             os.path.join(out, "ckpt")).awaitTermination()
+    return spark.read.parquet(os.path.join(out, "data"))
+
+
+@query("stream_hook_events", oracle=f"""
+WITH l AS (SELECT {_HOOK_LINES_DUCK} AS line FROM events WHERE trim({_HOOK_LINES_DUCK}) <> ''),
+p AS (SELECT line, json_valid(line) AS ok FROM l)
+SELECT CASE WHEN ok THEN 'ok' ELSE 'corrupt' END AS status, line,
+       CASE WHEN ok THEN json_extract_string(line, '$.tool_name') END AS tool_name FROM p""")
+def stream_hook_events(spark, sf_dir):
+    """S1 from files of lines read as a stream: tool calls, and the corrupt lines with their text."""
+    out = run_dir(spark, "hooks")
+    table(spark, sf_dir, "events").select(F.expr(_HOOK_LINES_SPARK).alias("value")).write.text(os.path.join(out, "in"))
+    ev = LI.hook_events(LI.line_stream(spark, os.path.join(out, "in")))
+    ok = F.col("status") == "ok"
+    LI.write(ev.select("line", F.when(ok, F.col("tool_name")).alias("tool_name"), "status"), "status",
+             os.path.join(out, "data"), os.path.join(out, "ckpt")).awaitTermination()
+    return spark.read.parquet(os.path.join(out, "data"))

@@ -18,7 +18,7 @@ WHEN event_id % 2 = 0 THEN concat('{"jsonrpc": "2.0", "id": ', CAST(floor(event_
 WHEN event_id % 20 = 19 THEN concat('{"jsonrpc": "2.0", "id": ', CAST(floor(event_id / 2) % 7 AS STRING),
   ', "error": {"code": -32000, "message": "failed"}}')
 ELSE concat('{"jsonrpc": "2.0", "id": ', CAST(floor(event_id / 2) % 7 AS STRING),
-  ', "result": {"content": [{"type": "text", "text": "value ', CAST(CAST(value * 100 AS BIGINT) AS STRING), '"}]}}') END"""
+  ', "result": {"content": [{"type": "text", "text": "value ', CAST(CAST(round(value * 100) AS BIGINT) AS STRING), '"}]}}') END"""
 
 DUCK_LINES = """(
 SELECT event_id AS seq, CAST(floor(event_id / 2) % 5 AS BIGINT) AS conn, ts,
@@ -28,7 +28,7 @@ SELECT event_id AS seq, CAST(floor(event_id / 2) % 5 AS BIGINT) AS conn, ts,
   WHEN event_id % 20 = 19 THEN '{"jsonrpc": "2.0", "id": ' || CAST(CAST(floor(event_id / 2) AS BIGINT) % 7 AS VARCHAR)
     || ', "error": {"code": -32000, "message": "failed"}}'
   ELSE '{"jsonrpc": "2.0", "id": ' || CAST(CAST(floor(event_id / 2) AS BIGINT) % 7 AS VARCHAR)
-    || ', "result": {"content": [{"type": "text", "text": "value ' || CAST(CAST(value * 100 AS BIGINT) AS VARCHAR) || '"}]}}' END AS line
+    || ', "result": {"content": [{"type": "text", "text": "value ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '"}]}}' END AS line
 FROM events)"""
 
 

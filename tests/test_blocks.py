@@ -1,4 +1,8 @@
+import re
+
 from conftest import one
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from condensa.config import Config, DEFAULT_RULES, Rule, load_config
@@ -37,6 +41,42 @@ def test_rules_first_match_wins(spark):
     assert case == got
 
 
+def test_needed_literal():
+    want = {"browser_.*": "browser_", "^get_\\w+list$": "get_", "a+bc": "bc", "ab+c": "ab", "abc?de": "ab", "a\\.b_cd{2}": "a.b_c",
+            "[xyz]files": "files", "(a|b)files": None, "(?i)files": None, "\\x41bc": None, ".*": None, "x|files": None,
+            "\\Qab.c\\E": None, "a]b": None, "[a[bc]]files": None, "lazy*?end": "laz", "": None}
+    assert {p: R.needed_literal(p) for p in want} == want
+
+
+PIECES = st.sampled_from(["ab", "c", "list", ".", ".*", "a+", "b?", "[ab]", "\\w", "\\.", "x{2}", "^", "$", "d*?"])
+
+
+@given(st.lists(PIECES, max_size=6).map("".join), st.text("abcdlistx.", max_size=12))
+def test_every_match_holds_the_literal(pattern, name):
+    found = re.search(pattern, name)
+    assert not found or (R.needed_literal(pattern) or "") in found.group()
+
+
+def test_many_rules_meet_names_by_key(spark):
+    kinds = ["truncate", "json-collapse", "dom-cleanup", "ocr"]
+    rules = [Rule(kinds[i % 4], tool_name=f"tool_{i}") if i % 2 else Rule(kinds[i % 4], tool_name_pattern=f"^get_{i % 613}x.*item{i}$")
+             for i in range(5000)]
+    names = [f"tool_{i}" for i in range(0, 6000, 7)] + [f"get_{i % 613}x_item{i}" for i in range(0, 6000, 4)] + ["", "zz", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = R.match_rules(df, "n", rules)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+    plain = [(r.tool_name, r.tool_name_pattern and re.compile(r.tool_name_pattern), r.strategy) for r in rules]
+
+    def first(name):
+        return next((s for exact, p, s in plain if name is not None and (name == exact or (p and p.search(name)))), "auto")
+    assert {r["n"]: r["strategy"] for r in got.collect()} == {n: first(n) for n in names}
+    # Behind a rule that matches every name, no rule counts; before it, patterns without a literal do.
+    some = [Rule("ocr", tool_name_pattern="z|q"), Rule("truncate", tool_name_pattern=".*"), Rule("dom-cleanup", tool_name="tool_7")]
+    got = {r["n"]: r["strategy"] for r in R.match_rules(df, "n", some).collect()}
+    assert got["zz"] == "ocr" and got["tool_7"] == "truncate" and got[None] == "auto"
+
+
 def test_config_overlay():
     assert load_config(None).text_threshold == 100_000
     assert load_config('{"threshold": 500}').text_threshold == 500
