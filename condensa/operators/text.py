@@ -47,16 +47,23 @@ def chunk_expr(text: str, target: int = C.CHUNK_TARGET_TOKENS, overlap: int = C.
         segs = (f"flatten(transform({segs}, s -> IF({_tok('s')} > {t}, "
                 f"regexp_extract_all(s, {pat}, 1), array(s))))")
     hard = (f"flatten(transform({segs}, s -> IF(length(s) > {tc * 1.5}, "
-            f"transform(sequence(0, CAST(ceil(length(s) / {tc}) AS INT) - 1), k -> substring(s, k * {tc} + 1, {tc})), "
-            f"array(s))))")
+            f"regexp_extract_all(s, '(?s)(.{{1,{tc}}})', 1), array(s))))")
     tail = f"right(acc.cur, {oc})" if oc > 0 else "''"
-    merged = (
-        f"aggregate({hard}, named_struct('chunks', CAST(array() AS ARRAY<STRING>), 'cur', ''), "
-        f"(acc, seg) -> IF({_tok('concat(acc.cur, seg)')} > {t} AND length(acc.cur) > 0, "
+    # Each step of a fold copies its state, so pieces go in slices of about the root of their number: a slice's
+    # fold carries that slice's chunks only, and all chunks are copied once a slice.
+    empty = "CAST(array() AS ARRAY<STRING>)"
+    part = (
+        f"aggregate(slice(_p, k * _w + 1, _w), named_struct('chunks', {empty}, 'cur', o.cur), "
+        f"(acc, seg) -> IF(octet_length(acc.cur) + octet_length(seg) > {t * 4} AND acc.cur <> '', "
         f"named_struct('chunks', array_append(acc.chunks, acc.cur), 'cur', concat({tail}, seg)), "
-        f"named_struct('chunks', acc.chunks, 'cur', concat(acc.cur, seg))), "
-        f"acc -> IF(length(acc.cur) > 0, array_append(acc.chunks, acc.cur), acc.chunks))"
+        f"named_struct('chunks', acc.chunks, 'cur', concat(acc.cur, seg))))"
     )
+    fold = (
+        f"aggregate(sequence(0, CAST(ceil(size(_p) / _w) AS INT) - 1), named_struct('chunks', {empty}, 'cur', ''), "
+        f"(o, k) -> " + E.let(part, "_s", "named_struct('chunks', concat(o.chunks, _s.chunks), 'cur', _s.cur)") + ", "
+        f"o -> IF(o.cur <> '', array_append(o.chunks, o.cur), o.chunks))"
+    )
+    merged = E.let(hard, "_p", E.let("CAST(ceil(sqrt(size(_p))) AS INT)", "_w", fold))
     return E.let(text, "_txt", f"IF({_tok('_txt')} <= {t}, array(_txt), {merged})")
 
 

@@ -1,5 +1,6 @@
 """Text jobs on own inputs: tokens, ranking, chunks, the budget pick and the reduced text."""
 
+import re
 from conftest import one
 from pyspark.sql import functions as F
 
@@ -109,3 +110,29 @@ def test_query_builder(spark):
     assert {"ledger", "north"} <= set(query("read_file", '{"path": "north/ledger.csv"}').split())
     assert "openShed" in query("grep", '{"pattern": "openShed", "path": "lib/"}')
     assert "tariff" in query("snapshot", "{}", '{"path": "fees/tariff.md"}')
+
+
+def test_chunks_of_long_texts_equal_a_plain_fold(spark):
+    """Words only, no separators at all, and lines, with characters of several bytes; more than one slice of pieces."""
+    words = " ".join(("thion", "é", "wh", "edretha")[i * i % 4] for i in range(3000))
+    cases = [words, "é" * 5000, "\n".join(words[i:i + 40] for i in range(0, 12000, 40)), "a. b" * 1500]
+
+    def plain(text, target, overlap):
+        size = lambda s: -(-len(s.encode()) // 4)
+        pieces = [text]
+        for sep in ("\n\n", "\n", ". ", " "):
+            pieces = [q for p in pieces for q in (re.findall(f"(?s).*?{re.escape(sep)}|.+", p) if size(p) > target else [p])]
+        pieces = [q for p in pieces for q in ([p[i:i + target * 4] for i in range(0, len(p), target * 4)]
+                                              if len(p) > target * 6 else [p])]
+        chunks, cur = [], ""
+        for p in pieces:
+            if cur and size(cur + p) > target:
+                chunks.append(cur)
+                cur = (cur[-overlap * 4:] if overlap else "") + p
+            else:
+                cur += p
+        return chunks + [cur] * bool(cur)
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, text string")
+    for target, overlap in ((64, 8), (50, 0)):
+        got = {r.i: r.c for r in df.selectExpr("i", f"{T.chunk_expr('text', target, overlap)} AS c").collect()}
+        assert got == {i: plain(c, target, overlap) for i, c in enumerate(cases)}
