@@ -37,9 +37,10 @@ def let(value: str, var: str, body: str) -> str:
 
     Catalyst inlines a computed column into every place that reads it, including the
     body of a lambda, where it would then be recomputed per element. Reading a
-    computed array only through a bound variable keeps the work linear.
+    computed array only through a bound variable keeps the work linear. The variable is that of a fold's last step, over
+    nothing: ``transform`` would copy what the body gives, once more with each binding around it.
     """
-    return f"element_at(transform(array({value}), {var} -> {body}), 1)"
+    return f"aggregate(array(), {value}, (_acc, _none) -> _acc, {var} -> {body})"
 
 
 # P1 ---------------------------------------------------------------------------

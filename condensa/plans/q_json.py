@@ -8,6 +8,7 @@ from .. import config as C
 from ..functions import exprs as E
 from ..operators import jsonops as J
 from ..sources.json_fixtures import DUCK_JSON_PAYLOADS, json_payloads
+from ..sources.tables import spread
 from . import duck as D
 from .registry import query
 
@@ -124,7 +125,7 @@ FROM n"""
 
 @query("json_shred", oracle=_duck_shred())
 def json_shred(spark, sf_dir):
-    return J.shred(json_payloads(spark, sf_dir), "json_id", "text")
+    return J.shred(spread(json_payloads(spark, sf_dir), "json_id"), "json_id", "text")
 
 
 @query("json_shape_profile", oracle=f"""
@@ -133,7 +134,7 @@ SELECT split_part(json_id, ':', 1) AS payload_kind, depth, kind, count(*) AS n_n
        sum(n_children) AS n_children, count(DISTINCT json_id) AS n_payloads
 FROM s GROUP BY ALL""")
 def json_shape_profile(spark, sf_dir):
-    s = J.shred(json_payloads(spark, sf_dir), "json_id", "text")
+    s = J.shred(spread(json_payloads(spark, sf_dir), "json_id"), "json_id", "text")
     return (s.groupBy(F.split("json_id", ":")[0].alias("payload_kind"), "depth", "kind")
             .agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n_children").alias("n_children"),
                  F.countDistinct("json_id").alias("n_payloads")))
