@@ -87,22 +87,23 @@ def scores_expr(chunks: str, query_terms: str, k1: float = C.BM25_K1, b: float =
     chunks; document frequencies are computed once per query term. An empty query
     scores every chunk 0.
     """
+    # of a chunk's terms only their number and those that the query has are kept: each query term is counted among these
+    counted = f"transform({chunks}, c -> " + E.let(E.tokenize("c"), "_all", "named_struct('n', size(_all), 'hits', filter(_all, w -> array_contains(_qd, w)))") + ")"
     body = (
         f"transform(_ts, t -> aggregate("
-        f"transform(_qd, (x, j) -> named_struct('tf', size(filter(t, w -> w = x)), 'df', _st.dfs[j], "
+        f"transform(_qd, (x, j) -> named_struct('tf', size(filter(t.hits, w -> w = x)), 'df', _st.dfs[j], "
         f"'qtf', _st.qtf[j])), 0.0D, "
         f"(acc, y) -> acc + IF(y.tf = 0, 0.0D, y.qtf * "
         f"ln((_st.n - y.df + 0.5D) / (y.df + 0.5D) + 1.0D) * "
-        f"(y.tf * {k1 + 1}D) / (y.tf + {k1}D * (1.0D - {b}D + {b}D * coalesce(try_divide(size(t), _st.avgdl), 0.0D))))))"
+        f"(y.tf * {k1 + 1}D) / (y.tf + {k1}D * (1.0D - {b}D + {b}D * coalesce(try_divide(t.n, _st.avgdl), 0.0D))))))"
     )
     stats = (f"named_struct('n', size(_ts), "
-             f"'avgdl', try_divide(CAST(aggregate(_ts, 0L, (a, t) -> a + size(t)) AS DOUBLE), size(_ts)), "
-             f"'dfs', transform(_qd, x -> size(filter(_ts, t -> array_contains(t, x)))), "
+             f"'avgdl', try_divide(CAST(aggregate(_ts, 0L, (a, t) -> a + t.n) AS DOUBLE), size(_ts)), "
+             f"'dfs', transform(_qd, x -> size(filter(_ts, t -> array_contains(t.hits, x)))), "
              f"'qtf', transform(_qd, x -> size(filter(_q, y -> y = x))))")
     return E.let(f"coalesce({query_terms}, CAST(array() AS ARRAY<STRING>))", "_q",
                  E.let("array_distinct(_q)", "_qd",
-                       E.let(f"transform({chunks}, c -> {E.tokenize('c')})", "_ts",
-                             E.let(stats, "_st", body))))
+                       E.let(counted, "_ts", E.let(stats, "_st", body))))
 
 
 def with_chunk_scores(df: DataFrame, chunks_col: str, query_terms_col: str, out_col: str = "scores",

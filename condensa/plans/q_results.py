@@ -94,8 +94,7 @@ def _routed(spark, sf_dir):
 
 
 def _reduced(spark, sf_dir):
-    summary, reduced = RS.reduce_results(spread(all_blocks(spark, sf_dir), "result_id"), CFG,
-                                         ocr_table(spark, sf_dir))
+    summary, reduced = RS.reduce_results(all_blocks(spark, sf_dir), CFG, ocr_table(spark, sf_dir), materialize=True)
     return summary, reduced
 
 

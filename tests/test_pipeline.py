@@ -45,3 +45,33 @@ def test_json_flag_off_and_dry_run(spark):
     assert s["json"]["action"] == "no-change" and out["json"] == [(0, "text", RECORDS)]
     s, out = _run(spark, blocks, Config(dry_run=True))
     assert s["json"]["action"] == "no-change" and out["json"] == [(0, "text", RECORDS)]
+
+
+def test_materialised_blocks_are_read_by_every_branch(spark):
+    """The blocks come from files for the flags and the reducers: the input is read once, before the branches."""
+    text = "A sentence about a topic that goes on. " * 900
+    rows = [("r1", 0, "t", text), ("r1", 1, "t", '[{"a": 1, "b": 2}]'), ("r2", 0, "t", "small"),
+            ("r3", 0, "t", "[" + ", ".join('{"a": %d, "b": "x"}' % i for i in range(400)) + "]"), (None, 0, "t", text)]
+    df = spark.createDataFrame(rows, "result_id string, pos int, tool_name string, text string").selectExpr(
+        "result_id", "'s' AS source", "pos", "tool_name", "'{}' AS args", "'text' AS type", "text",
+        "CAST(NULL AS STRING) AS data", "CAST(NULL AS STRING) AS mime_type")
+    lazy, _ = RS.reduce_results(df, Config())
+    written, reduced = RS.reduce_results(df, Config(), materialize=True)
+    key = lambda r: str(r)
+    assert sorted(map(key, written.collect())) == sorted(map(key, lazy.collect()))
+    plan = reduced._jdf.queryExecution().executedPlan().toString()
+    assert "routed-blocks" in plan and "ExistingRDD" not in plan
+
+
+def test_stream_batch_holds_several_files(spark, tmp_path, monkeypatch):
+    """A batch costs the same jobs for any size, so files come several at a time; all rows are in the log once."""
+    from condensa.plans import q_stream
+    from condensa.streaming import continuous
+    docs = [(i, f"Some text number {i}. " * (400 * (i % 2) + 1), "en", "web", 20) for i in range(12)]
+    (spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+     .repartition(4).write.parquet(str(tmp_path / "documents.parquet")))
+    batches, append = [], continuous.EL.append
+    monkeypatch.setattr(continuous.EL, "append", lambda ev, root, batch, *a: batches.append(batch) or append(ev, root, batch, *a))
+    out = q_stream.stream_reduce(spark, str(tmp_path))
+    assert sorted(r.result_id for r in out.collect()) == sorted(f"doc:{i}" for i in range(12))
+    assert len(batches) == 1
