@@ -17,7 +17,7 @@ from ..streaming import correlate as CO
 from ..streaming import history as HI
 from ..streaming import lines as LI
 from ..streaming.common import file_stream, run_dir
-from ..streaming.continuous import reduce_stream
+from ..streaming.continuous import FILES_A_BATCH, reduce_stream
 from .q_blocks import _HOOK_LINES_DUCK, _HOOK_LINES_SPARK
 from .q_results import REDUCED
 from .registry import query
@@ -84,7 +84,7 @@ def stream_reduce(spark, sf_dir):
     """M3: continuous reduction of a stream of document results into the event log."""
     out = run_dir(spark, "reduce")
     d = table(spark, sf_dir, "documents")
-    docs = file_stream(spark, os.path.join(sf_dir, "documents.parquet"), d.schema)
+    docs = file_stream(spark, os.path.join(sf_dir, "documents.parquet"), d.schema, FILES_A_BATCH)
     blocks = docs.select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("result_id"),
         F.lit("documents").alias("source"), F.lit(0).alias("pos"),

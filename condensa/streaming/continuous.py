@@ -14,6 +14,9 @@ from ..operators import event_log as EL
 from ..operators import report as RP
 from ..operators import results as RS
 
+#: Input files of a micro-batch, at most: each batch has its own jobs, writes and ledger row, which cost the same for any size.
+FILES_A_BATCH = 16
+
 
 def reduce_stream(blocks: DataFrame, cfg: Config, log_path: str, checkpoint: str, trigger_once: bool = True,
                   blocks_path: str | None = None):
@@ -22,7 +25,7 @@ def reduce_stream(blocks: DataFrame, cfg: Config, log_path: str, checkpoint: str
 
     def batch(df: DataFrame, batch_id: int) -> None:
         started = time.time()
-        summary, reduced = RS.reduce_results(df, cfg)
+        summary, reduced = RS.reduce_results(df, cfg, materialize=True)
         if blocks_path:
             final = RS.final_blocks(reduced, summary).withColumn("batch_id", F.lit(batch_id))
             (final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(blocks_path))
