@@ -144,10 +144,14 @@ def meaningful_chars(text: str) -> str:
 
 # X1 ---------------------------------------------------------------------------
 def tokenize(text: str) -> str:
-    """Lower-case, non-word characters to space, split on whitespace, drop short and stop words."""
+    """Lower-case, non-word characters to space, split on whitespace, drop short and stop words.
+
+    One split on runs of what is neither a word character nor a hyphen leaves the same words, at a tenth
+    of the time of a replacement of each such character.
+    """
     stop = ", ".join(sql_str(w) for w in C.STOP_WORDS)  # a literal list is tested by hash
     return (
-        f"filter(split(regexp_replace(lower(coalesce({text}, '')), '[^\\\\w\\\\s-]', ' '), '\\\\s+'), "
+        f"filter(split(lower(coalesce({text}, '')), '[^\\\\w-]+'), "
         f"w -> length(w) > 1 AND w NOT IN ({stop}))"
     )
 

@@ -1,6 +1,6 @@
 """BM25 over a whole corpus as a relational plan (X2/X3 with A6-A8, J4, W3).
 
-    documents -> (doc, dl, terms)                      tokenised once, written once
+    documents -> (doc, dl, words)                      tokenised once, written once
     tf(doc, dl, term, tf)     terms of the query vocabulary, counted per document
     df(term)                  tf rows per term
     score(query, doc) = sum over query terms of qtf * idf(df) * tf-norm(tf, dl, avgdl)
@@ -27,14 +27,14 @@ MAX_BROADCAST_TERMS = 100_000
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, dl, terms) of every document, written once; dl = tokens in the document."""
+    """(doc_id, dl, words) of every document, written once; dl = tokens in the document, words = these, joined by spaces."""
     terms = docs.select(F.col(id_col).alias("doc_id"), F.expr(E.tokenize(text_col)).alias("terms"))
-    return stage(terms.withColumn("dl", F.size("terms")), "bm25-terms")
+    return stage(terms.select("doc_id", F.size("terms").alias("dl"), F.array_join("terms", " ").alias("words")), "bm25-terms")
 
 
 def term_table(tokens: DataFrame) -> DataFrame:
     """(doc_id, dl, term) with one row per token occurrence."""
-    return tokens.select("doc_id", "dl", F.explode("terms").alias("term"))
+    return tokens.where("dl > 0").select("doc_id", "dl", F.explode(F.split("words", " ")).alias("term"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from condensa.functions import exprs as E
 from condensa.operators import bm25 as BM
 from condensa.operators import search_index as SI
 
@@ -79,3 +80,31 @@ def test_repeated_ids_and_empty_tables(spark, tables):
     assert SI.search(spark, path, asked.where("false"), "item_id", "text").count() == 0
     SI.build(twice.where("false"), "doc_id", "text", path)  # replaces the index
     assert SI.search(spark, path, asked, "item_id", "text").count() == 0
+
+
+def test_few_more_pairs_than_results_get_exact_scores(spark, tables, index, monkeypatch):
+    """The greatest parts found are a floor too, so that what is scored exactly grows with the results, not the documents."""
+    monkeypatch.setattr(SI, "FIRST_POSTINGS", 20)
+    rows = SI.asked_levels(spark, index, tables[1], "item_id", "text")
+    results = SI.search(spark, index, tables[1], "item_id", "text").count()
+    assert SI.survivors(spark, index, rows, 10).count() <= 1.5 * results
+
+
+def test_rows_of_one_id_with_other_lengths_are_one_document(spark):
+    path = tempfile.mkdtemp(prefix="condensa-index-", dir="/tmp")
+    docs = [(1, "alpha beta"), (1, "alpha gamma delta"), (1, "alpha gamma delta"), (2, "alpha")]
+    SI.build(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", path)
+    found = {(r.doc_id, r.term): r.impact for r in spark.read.parquet(f"{path}/documents").collect()}
+    norm = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 2.25))
+    want = {(1, "alpha"): norm(1, 2) + norm(2, 3), (1, "beta"): norm(1, 2), (1, "gamma"): norm(2, 3), (1, "delta"): norm(2, 3), (2, "alpha"): norm(1, 1)}
+    assert found == pytest.approx(want)
+    assert spark.read.parquet(f"{path}/postings").where("term = 'alpha'").agg(F.sum("n")).first()[0] == 2
+
+
+def test_terms_of_odd_texts(spark):
+    texts = ["", None, " ", "a", "The quick-brown fox_1, THE Foxés naïve", "x\ty zz\U0001f600yy--..-", "\x0bone\x1ctwo\r\nthree ", "İstanbul K9 ſs"]
+    old = "split(regexp_replace(lower(coalesce(t, '')), '[^\\\\w\\\\s-]', ' '), '\\\\s+')"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    stop = E.tokenize("t")[E.tokenize("t").index("w -> "):]
+    for r in df.select(F.expr(E.tokenize("t")).alias("new"), F.expr(f"filter({old}, {stop}").alias("old")).collect():
+        assert r.new == r.old
