@@ -40,7 +40,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     found = queries.QUERIES[name](spark, DIR)
     cur = con.execute(queries.ORACLES[name])
