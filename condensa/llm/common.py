@@ -4,6 +4,7 @@
   back. It cuts lineage, is seen by every executor, and survives lost executors.
 * ``join_small``: join a side that is small as a rule: broadcast only when its row count
   (checked) is within a fixed bound, salted shuffle join beyond it. Same rows either way.
+  The planner is told so by a hint: it would go by the compressed bytes of the staged files.
 * ``prefix_scan``: running sums over a range-sorted table without a single-task window.
 """
 
@@ -67,13 +68,14 @@ def join_small(large: DataFrame, small: DataFrame, keys: list[str], spread: Colu
 
     Up to MAX_BROADCAST_ROWS rows (counted first) the small side is broadcast. Beyond
     that both sides are hashed on (keys, salt): the rows of one hot key are dealt by
-    ``spread`` over SALT tasks, for which the small side is repeated SALT times.
+    ``spread`` over SALT tasks, for which the small side is repeated SALT times. The planner takes
+    the repeated side for as small as its files, so a hint keeps it from broadcasting it.
     """
     if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         return large.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     dealt = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
-    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def prefix_scan(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:

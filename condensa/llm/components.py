@@ -77,11 +77,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if tasks <= 1:  # all edges met in one task
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour is joined with the least one
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # large star: every larger neighbour is joined with the least one (the hint: edges compress well, and
+        # the planner would broadcast very many of them)
+        large = both.join(_least(both).hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, name)
         # small star: the smaller neighbours and the node itself are joined with the least one
-        small = large.join(_least(large), "u")
+        small = large.join(_least(large).hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stage(small, name)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -24,7 +24,8 @@ documents a and b can link only if
 
 Memory: a task holds one row block, one column block (about COLUMN_ENTRIES entries; how many words
 a byte of text makes is an estimate, and a column block takes one entry a row block at least)
-or one block and a run of rows sent to it. Pairs are never emitted, only labels that join.
+or one block and a run of rows sent to it. Pairs are never emitted, only labels that join. The driver
+holds what is broadcast: tables whose rows are counted first, and which stay below fixed bounds.
 
 A null or blank text has no columns, and links with nothing. A text with fewer words than
 n has one column, the whole sequence. Repeated rows link like any two. Rows are told apart
@@ -50,6 +51,8 @@ from .components import components
 #: Bounds of a row block (rows, columns of all rows) and of a block of step 3.
 BLOCK_ROWS, BLOCK_COLUMNS = 2048, 1_000_000
 NEAR_ROWS, NEAR_COLUMNS = 512, 500_000
+#: Rows (a row's id and its block) that are broadcast at most; some 10 MB on the driver.
+BROADCAST_BLOCKS = 100_000
 #: Entries of a column block, on average: their number is estimated from the bytes of all texts.
 COLUMN_ENTRIES, BYTES_A_WORD = 1_000_000, 6
 #: Rows sent to a block that one task multiplies with it, and columns of all those rows.
@@ -254,6 +257,8 @@ def _near_blocks(reps: DataFrame, threshold: int) -> DataFrame:
     weight = F.greatest(F.col("n"), F.lit(NEAR_COLUMNS // NEAR_ROWS))
     order = prefix_scan(reps.select("rid", F.substring("columns", 1, 8).alias("key"), weight.alias("weight")), [F.col("key"), F.col("rid")], {"at": F.col("weight")}, "jaccard-order")
     block = order.select("rid", F.floor((F.col("at") - F.col("weight")) / NEAR_COLUMNS).alias("block"))
+    # the planner goes by the compressed bytes of a staged table, so the rows are counted
+    block = F.broadcast(block) if reps.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else block.hint("merge")
     return (reps.join(block, "rid").select("rid", "n", "columns", "block").groupBy("block")
             .applyInArrow(multiply, "rid bigint, n bigint, columns binary, block bigint, label bigint"))
 
