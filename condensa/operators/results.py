@@ -11,6 +11,8 @@ blocks does not concentrate on one reducer; what is joined back is one row per r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from . import jsonops as J
 from . import routing as R
 from . import snapshot as SN
 from . import text as T
-from ..session import stage
-from ..sources.tables import spread
+from ..session import stage, unstage
+from ..sources.tables import on_cluster, spread
 
 SUMMARY_TAG = "condensed"
 
@@ -182,31 +184,47 @@ def reduce_results(blocks: DataFrame, cfg: Config, ocr_text: DataFrame | None =
 
     The blocks feed the per-result flags and their join, and the routed blocks three reducer branches;
     with ``materialize`` both are written once below the cluster's checkpoint folder instead of being derived and
-    shuffled again for every reader. The routed ones are dealt out evenly: the join leaves partitions sized
-    by bytes, which are too few for reducers that spend seconds on a megabyte.
+    shuffled again for every reader, and the first are deleted once the second are written. On one machine the
+    routed ones are dealt out evenly: the join leaves partitions sized by bytes, which are too few for reducers
+    that spend seconds on a megabyte. On executors the join's own partitions stand, without a second shuffle of all text.
     """
     annotated = B.annotate(blocks, cfg)
     if materialize:
         annotated = stage(annotated, "annotated-blocks")
     routed = R.route(annotated, cfg)
     if materialize:
-        routed = stage(spread(routed, "result_id"), "routed-blocks")
+        routed = stage(routed if on_cluster(blocks.sparkSession) else spread(routed, "result_id"), "routed-blocks")
+        unstage(annotated)
     reduced = reduce_blocks(routed, cfg, ocr_text)
     return result_summary(reduced, cfg), reduced
 
 
+def stage_reduced(reduced: DataFrame) -> DataFrame:
+    """The reduced blocks, written once below the checkpoint folder; what they were made from is deleted.
+
+    A block that stays as it is (``same``) is not written a second time as its own output, whose columns are null.
+    """
+    columns = {"out_type": "type", "out_text": "text", "out_data": "data", "out_mime": "mime_type"}
+    same = reduce(lambda a, b: a & b, (F.col(out).eqNullSafe(F.col(old)) for out, old in columns.items()))
+    packed = reduced.withColumn("same", same)
+    packed = stage(packed.withColumns({out: F.when(~F.col("same"), F.col(out)) for out in columns}), "reduced-blocks")
+    unstage(reduced)
+    return packed
+
+
 # U1 + S9 -------------------------------------------------------------------------------
 def final_blocks(reduced: DataFrame, summary: DataFrame) -> DataFrame:
     """Blocks as emitted: changed results get their reduced blocks behind a summary block
-    at pos -1; every other result keeps its original blocks."""
+    at pos -1; every other result keeps its original blocks. ``reduced`` may come from ``stage_reduced``."""
     s = summary.select("result_id", "action", "summary")
     df = reduced.join(s, "result_id")
     changed = F.col("action") == "compressed"
+    new = changed & ~F.col("same") if "same" in reduced.columns else changed
     body = df.select("result_id", "pos",
-                     F.when(changed, F.col("out_type")).otherwise(F.col("type")).alias("type"),
-                     F.when(changed, F.col("out_text")).otherwise(F.col("text")).alias("text"),
-                     F.when(changed, F.col("out_data")).otherwise(F.col("data")).alias("data"),
-                     F.when(changed, F.col("out_mime")).otherwise(F.col("mime_type")).alias("mime_type"))
+                     F.when(new, F.col("out_type")).otherwise(F.col("type")).alias("type"),
+                     F.when(new, F.col("out_text")).otherwise(F.col("text")).alias("text"),
+                     F.when(new, F.col("out_data")).otherwise(F.col("data")).alias("data"),
+                     F.when(new, F.col("out_mime")).otherwise(F.col("mime_type")).alias("mime_type"))
     head = s.filter(changed).select("result_id", F.lit(-1).alias("pos"), F.lit("text").alias("type"),
                                     F.col("summary").alias("text"), F.lit(None).cast("string").alias("data"),
                                     F.lit(None).cast("string").alias("mime_type"))

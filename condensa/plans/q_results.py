@@ -9,7 +9,7 @@ from ..config import FIXTURE_CONFIG as CFG
 from ..operators import blocks as B
 from ..operators import results as RS
 from ..operators import routing as R
-from ..session import stage
+from ..session import stage, unstage
 from ..sources import fixtures as FX
 from ..sources.results_fixture import all_blocks, duck_all_blocks, ocr_table
 from ..sources.tables import spread
@@ -211,10 +211,12 @@ def result_output(spark, sf_dir):
     """Final blocks in result order (summary block first); per result the block
     count, characters and a position-aware hash (partial aggregation)."""
     _, reduced = _reduced(spark, sf_dir)
-    # the reduced blocks feed the summary, the output and its range sampling: written once
-    reduced = stage(reduced, "reduced-blocks")
-    summary = RS.result_summary(reduced, CFG)
-    nested = RS.nest(RS.final_blocks(reduced, summary))
+    # the reduced blocks feed the summary and the output, which feeds its range sampling, too: each is written once
+    # and deleted when the next is there, so that disk holds one text of a block and its shuffle
+    reduced = RS.stage_reduced(reduced)
+    final = stage(RS.final_blocks(reduced, RS.result_summary(reduced, CFG)), "final-blocks")
+    unstage(reduced)
+    nested = RS.nest(final)
     none = F.lit("")
     whole = F.concat_ws("|", "pos", "type", F.coalesce("text", none), F.coalesce("data", none), F.coalesce("mime_type", none))
     return nested.groupBy("result_id").agg(

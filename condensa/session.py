@@ -7,6 +7,7 @@ These helpers exist for tests, the bench and local runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -61,8 +62,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and return the table read back."""
+    """Write ``df`` as Parquet below the shared checkpoint folder and return the table read back.
+
+    The shuffle files of the write go with it: no later job reads them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the tables written by ``stage`` that ``df`` reads; no later job may need them."""
+    context = df.sparkSession.sparkContext
+    for folder in sorted({file.rpartition("/")[0] for file in df.inputFiles()}):
+        if re.search(r"/condensa/[0-9a-f]{32}/[^/]+$", folder):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

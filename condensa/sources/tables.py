@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return f"{n}-{mark & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
+def on_cluster(spark: SparkSession) -> bool:
+    """Whether executors run in processes of their own."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is None
+
+
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Spread rows over the cluster before a heavy per-row stage.
 
